@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, secrets, toxicity, winnowing
+from . import exact_dedup, mixing, pieces, pii, quality, secrets, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_quality": quality.op6_quality,
+    "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op8_winnow_fingerprints": winnowing.op8_winnow_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLES = {
