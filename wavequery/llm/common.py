@@ -55,20 +55,24 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    n = ids.count()
-    side = ids.select(F.col(ids.columns[0]).alias(key))
-    if n <= BROADCAST_IDS:
-        side = F.broadcast(side)
-    return df.join(side, key, how)
+def _by_ids(df: DataFrame, ids: DataFrame, key, how: str) -> DataFrame:
+    keys = [key] if isinstance(key, str) else list(key)
+    side = ids.select(*[F.col(c).alias(k) for c, k in zip(ids.columns, keys)])
+    return df.join(small(side), keys, how)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose key is among ``ids`` (a stashed table of ids)."""
+def small(side: DataFrame) -> DataFrame:
+    """``side`` (a stashed table) with a broadcast hint if a count shows that it
+    is short; else Spark shuffles both sides, and splits skewed partitions."""
+    return F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key="doc_id") -> DataFrame:
+    """Rows of ``df`` whose key (one column or some) is among ``ids`` (stashed)."""
     return _by_ids(df, ids, key, "left_semi")
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def drop_ids(df: DataFrame, ids: DataFrame, key="doc_id") -> DataFrame:
     """Rows of ``df`` whose key is not among ``ids``."""
     return _by_ids(df, ids, key, "left_anti")
 

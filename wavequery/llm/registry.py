@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, pii, quality, secrets, toxicity, winnowing
+from . import exact_dedup, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_quality": quality.op6_quality,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
