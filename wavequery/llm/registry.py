@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
+import corpus_pipeline
+
+from . import exact_dedup, jaccard_join, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
@@ -14,6 +17,7 @@ QUERIES = {
     "op8_winnow_fingerprints": winnowing.op8_winnow_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_bytes, map_arrow, mix, prefix_sums, read_documents, read_labels, row_steps, span_hashes, stash, text_or_empty
+from .common import _LOWER, arrow_bytes, drop_ids, map_arrow, mix, prefix_sums, read_documents, read_labels, row_steps, span_hashes, stash, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -297,3 +297,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
     return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all columns; rows
+    without a doc_id stay."""
+    rejected = toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    return drop_ids(docs, stash(rejected, "rejected"))
