@@ -3,6 +3,286 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles as o
+from .functions.intervals import greedy_match, lcs_length, temporal_iou, timed
+from .functions.text import anih_answer, drift_answer, mmss, narrative_answer, seconds, seconds_or_zero, soundscape_answer, title
+from .operators import aggregate, report
+from .operators.evaluators import METRICS, SCORE, long_scores
+from .sources import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+MODELS = ["m0", "m1", "m2", "m3"]
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    """Rounded alike in both engines: ties are pushed up first."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(1e-9), 6)
+
+
+# ------------------------------------------------------------------ inputs
+def anih(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, fixtures.ANIH)
+
+
+def drift(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, fixtures.DRIFT)
+
+
+def narrative(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, fixtures.NARRATIVE)
+    return rows.withColumns({"key_timestamps": F.array("t_a", "t_b", "t_c"), "required_reasoning_steps": F.array("r_a", "r_b", "r_c")})
+
+
+INPUT = {"anih": (anih, "event_id"), "speaker_drift": (drift, "event_id"), "soundscape": (fixtures.soundscape, "instance_id"), "narrative_coherence": (narrative, "event_id")}
+
+
+def scored(spark, sf_dir, task):
+    return SCORE[task](INPUT[task][0](spark, sf_dir))
+
+
+def all_scores(spark, sf_dir):
+    return reduce(DataFrame.unionByName, [long_scores(scored(spark, sf_dir, t), t, INPUT[t][1]) for t in METRICS])
+
+
+def summary(spark, sf_dir):
+    return aggregate.summarise(all_scores(spark, sf_dir))
+
+
+def latencies(spark, sf_dir):
+    """latency_ms is -1 for answers that failed."""
+    ms = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value"))
+    return fixtures.events(spark, sf_dir).select(F.concat(F.lit("m"), F.col("event_id") % 4).alias("model"), F.col("event_id").cast("string").alias("instance_id"), ms.alias("latency_ms"))
+
+
+# ----------------------------------------------------------------- parsing
+@query(f"SELECT event_id, \"timestamp\", preceding_sound FROM ({o.ANIH_PARSED})")
+def anih_parse(spark, sf_dir):
+    return anih(spark, sf_dir).select("event_id", anih_answer(F.col("response")).alias("a")).select("event_id", "a.*")
+
+
+@query(f"SELECT event_id, predicted_speaker, first_appearance FROM ({o.DRIFT_PARSED})")
+def drift_parse(spark, sf_dir):
+    return drift(spark, sf_dir).select("event_id", drift_answer(F.col("response")).alias("a")).select("event_id", "a.*")
+
+
+@query(f"SELECT instance_id, i, event_type, \"start\", \"end\", \"overlaps\" FROM ({o.SOUND_PARSED})")
+def soundscape_parse(spark, sf_dir):
+    rows = fixtures.soundscape(spark, sf_dir).select("instance_id", F.posexplode(soundscape_answer(F.col("response"))).alias("i", "e"))
+    return rows.select("instance_id", (F.col("i") + 1).cast("long").alias("i"), "e.*")
+
+
+@query(f"SELECT event_id, verdict, array_to_string(reasoning_steps, '|') AS steps, array_to_string(cited_timestamps, '|') AS cited FROM ({o.NARRATIVE_PARSED})")
+def narrative_parse(spark, sf_dir):
+    rows = narrative(spark, sf_dir).select("event_id", narrative_answer(F.col("response")).alias("a"))
+    return rows.select("event_id", "a.verdict", F.array_join("a.reasoning_steps", "|").alias("steps"), F.array_join("a.cited_timestamps", "|").alias("cited"))
+
+
+@query(
+    f"SELECT event_id, ts, {o.secs('ts')} AS strict, coalesce({o.secs('ts')}, 0) AS lenient, CASE WHEN {o.secs('ts')} IS NOT NULL THEN format('{{:02d}}:{{:02d}}', floor(({o.secs('ts')}) / 60)::BIGINT, floor(({o.secs('ts')}) % 60)::BIGINT) END AS back "
+    "FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id % 130)::VARCHAR || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') WHEN 1 THEN '05:00.5' WHEN 2 THEN '1:02:03' WHEN 3 THEN 'ongoing' ELSE '12:' END AS ts FROM events)"
+)
+def timestamp_roundtrip(spark, sf_dir):
+    n = F.col("event_id")
+    ts = F.when(n % 5 == 0, F.concat((n % 130).cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"))).when(n % 5 == 1, "05:00.5").when(n % 5 == 2, "1:02:03").when(n % 5 == 3, "ongoing").otherwise("12:")
+    rows = fixtures.events(spark, sf_dir).select("event_id", ts.alias("ts"))
+    return rows.select("event_id", "ts", seconds(F.col("ts")).alias("strict"), seconds_or_zero(F.col("ts")).alias("lenient"), mmss(seconds(F.col("ts"))).alias("back"))
+
+
+@query(
+    "SELECT 'conversations' AS source, count(*) AS n, count(nullif(regexp_extract(text, '(\\d{1,2}:\\d{2}(?:\\.\\d+)?)', 1), '')) AS timestamps, count(nullif(regexp_extract(text, '[Ss]peaker[:\\s]+(\\d+)', 1), '')) AS speakers FROM conversations "
+    "UNION ALL SELECT 'documents', count(*), count(nullif(regexp_extract(text, '(\\d{1,2}:\\d{2}(?:\\.\\d+)?)', 1), '')), count(nullif(regexp_extract(text, '[Ss]peaker[:\\s]+(\\d+)', 1), '')) FROM documents"
+)
+def free_text_parse(spark, sf_dir):
+    """Parsers over text that is no answer: they find next to nothing and never fail."""
+    both = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("source"), "text") for t in ("conversations", "documents")]
+    rows = both[0].unionByName(both[1]).select("source", anih_answer(F.col("text"))["timestamp"].alias("t"), drift_answer(F.col("text"))["predicted_speaker"].alias("s"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("timestamps"), F.count("s").alias("speakers"))
+
+
+# ----------------------------------------------------------------- scoring
+def _scores(task):
+    sql, key, names = o.METRICS[task]
+    strict = ["ordering_accuracy_strict"] if task == "soundscape" else []
+
+    def run(spark, sf_dir):
+        return scored(spark, sf_dir, task).select(key, "model", *[r6(n).alias(n) for n in [*names, *strict]])
+
+    return run, o.rounded(sql, [key, "model"], [*names, *strict])
+
+
+for _name, _task in (("anih_scores", "anih"), ("drift_scores", "speaker_drift"), ("soundscape_scores", "soundscape"), ("narrative_scores", "narrative_coherence")):
+    QUERIES[_name], ORACLES[_name] = _scores(_task)
+
+
+@query(
+    f"SELECT model, count(*) AS n, {o.r6('avg(timestamp_error_seconds)')} AS error_mean, {o.r6('stddev_pop(timestamp_error_seconds)')} AS error_std, {o.r6('median(timestamp_error_seconds)')} AS error_median, "
+    f"{o.r6('avg(timestamp_hit_5s)')} AS hit_5s, {o.r6('avg(preceding_sound_iou)')} AS sound_iou, {o.r6('avg(composite_score)')} AS composite FROM ({o.ANIH_SCORES}) GROUP BY model"
+)
+def anih_leaderboard(spark, sf_dir):
+    e = "timestamp_error_seconds"
+    rows = scored(spark, sf_dir, "anih").groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        r6(F.avg(e)).alias("error_mean"),
+        r6(F.stddev_pop(e)).alias("error_std"),
+        r6(F.median(e)).alias("error_median"),
+        r6(F.avg("timestamp_hit_5s")).alias("hit_5s"),
+        r6(F.avg("preceding_sound_iou")).alias("sound_iou"),
+        r6(F.avg("composite_score")).alias("composite"),
+    )
+    return rows.orderBy(F.desc("composite"), "model")
+
+
+def _matched(spark, sf_dir):
+    rows = fixtures.soundscape(spark, sf_dir).withColumn("events", soundscape_answer(F.col("response")))
+    rows = rows.withColumns({"p": timed(F.col("events")), "t": timed(F.col("true_events"))})
+    return rows.withColumn("m", greedy_match(F.col("p"), F.col("t")))
+
+
+@query(
+    f"WITH p AS (SELECT instance_id, i, event_type, {o.span('\"start\"', '\"end\"')} FROM ({o.SOUND_PARSED})), t AS (SELECT instance_id, ord AS j, event_type, {o.span('start_ts', 'end_ts')} FROM ({o.on_events(fixtures.SOUNDSCAPE)})) "
+    f"SELECT p.instance_id, p.i, t.j, {o.r6(o.iou('p.s', 'p.e', 't.s', 't.e'))} AS iou FROM p JOIN t ON p.instance_id = t.instance_id"
+)
+def temporal_iou_pairs(spark, sf_dir):
+    rows = _matched(spark, sf_dir).select("instance_id", "t", F.posexplode("p").alias("i", "x")).select("instance_id", "i", "x", F.posexplode("t").alias("j", "y"))
+    iou = temporal_iou(F.col("x.s"), F.col("x.e"), F.col("y.s"), F.col("y.e"))
+    return rows.select("instance_id", (F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"), r6(iou).alias("iou"))
+
+
+@query(f"SELECT instance_id, i, coalesce(j, 0) AS j FROM ({o.SOUND_MATCHED})")
+def greedy_event_match(spark, sf_dir):
+    rows = _matched(spark, sf_dir).select("instance_id", F.posexplode("m").alias("i", "j"))
+    return rows.select("instance_id", (F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"))
+
+
+@query(f"SELECT instance_id, k, lcs, lcs_strict FROM ({o.LCS})")
+def lcs_ordering(spark, sf_dir):
+    pairs = F.filter(F.transform("m", lambda j, i: F.struct(F.get("p", i).alias("p"), F.get("t", j).alias("t"), j.alias("j"), i.alias("i"))), lambda x: x["j"] >= 0)
+    rows = _matched(spark, sf_dir).withColumn("pairs", pairs).where(F.size("pairs") > 0)
+    p, t = F.transform("pairs", lambda x: x["p"]["event_type"]), F.transform("pairs", lambda x: x["t"]["event_type"])
+    by_time = F.transform(F.array_sort(F.transform("pairs", lambda x: F.struct(x["t"]["s"].alias("s"), x["i"].alias("i"), x["t"]["event_type"].alias("e")))), lambda x: x["e"])
+    return rows.select("instance_id", F.size("pairs").cast("long").alias("k"), lcs_length(p, t).cast("long").alias("lcs"), lcs_length(p, by_time).cast("long").alias("lcs_strict"))
+
+
+# -------------------------------------------------------------- aggregates
+_SUMMARY = ["mean", "std", "median", "min", "max"]
+
+
+@query(f"SELECT task, model, metric, n, {', '.join(f'{o.r6(c)} AS {c}' for c in _SUMMARY)} FROM ({o.SUMMARY})")
+def metric_summary(spark, sf_dir):
+    return summary(spark, sf_dir).select("task", "model", "metric", "n", *[r6(c).alias(c) for c in _SUMMARY])
+
+
+@query(f"SELECT model, {o.r6('avg_latency_ms')} AS avg_latency_ms FROM ({o.LATENCY})")
+def latency_mean(spark, sf_dir):
+    return aggregate.mean_latency(latencies(spark, sf_dir)).select("model", r6("avg_latency_ms").alias("avg_latency_ms"))
+
+
+@query(o.bootstrap(100))
+def bootstrap_ci(spark, sf_dir):
+    rows = long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id").where(F.col("metric").isin("timestamp_hit_5s", "composite_score"))
+    return aggregate.bootstrap(rows, 100).select("task", "model", "metric", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), "n")
+
+
+@query()
+def bootstrap_poisson(spark, sf_dir):
+    """The interval by Poisson weights, for groups of any size."""
+    return aggregate.poisson_bootstrap(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"), 100)
+
+
+@query(f"SELECT task, model, {o.r6('score')} AS score, rank FROM ({o.RANKED})")
+def model_ranking(spark, sf_dir):
+    return aggregate.rank_models(summary(spark, sf_dir)).select("task", "model", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT task, model, {o.r6('score')} AS score FROM ({o.RANKED}) WHERE rank = 1")
+def best_model(spark, sf_dir):
+    return aggregate.best_models(summary(spark, sf_dir)).select("task", "model", r6("score").alias("score"))
+
+
+@query(
+    f"WITH a AS (SELECT event_id FROM ({o.on_events(fixtures.ANIH)})), r AS (SELECT event_id AS id FROM events WHERE event_id % 13 <> 0 UNION ALL SELECT -event_id - 1 FROM events WHERE event_id % 17 = 0) "
+    "SELECT count(*) FILTER (a.event_id IS NOT NULL AND r.id IS NOT NULL) AS both_sides, count(*) FILTER (r.id IS NULL) AS only_truth, count(*) FILTER (a.event_id IS NULL) AS only_response FROM a FULL OUTER JOIN r ON a.event_id = r.id"
+)
+def joined_scores(spark, sf_dir):
+    """Audit of instances against responses: what an inner join would lose."""
+    n = F.col("event_id")
+    truth, all_ = anih(spark, sf_dir).select("event_id"), fixtures.events(spark, sf_dir)
+    responses = all_.where(n % 13 != 0).select(n.alias("id")).unionByName(all_.where(n % 17 == 0).select((-n - 1).alias("id")))
+    both = truth.join(responses, truth["event_id"] == responses["id"], "full_outer")
+    return both.agg(F.count_if(F.col("event_id").isNotNull() & F.col("id").isNotNull()).alias("both_sides"), F.count_if(F.col("id").isNull()).alias("only_truth"), F.count_if(F.col("event_id").isNull()).alias("only_response"))
+
+
+# ----------------------------------------------------------------- reports
+@query(
+    f"WITH p AS ({o.PRIMARY}) SELECT t.task, m.model, {o.r6('p.mean')} AS mean FROM (SELECT DISTINCT task FROM p) t CROSS JOIN (SELECT DISTINCT model FROM p) m LEFT JOIN p ON p.task = t.task AND p.model = m.model AND NOT (p.task = 'soundscape' AND p.model = 'm3')"
+)
+def dense_result_grid(spark, sf_dir):
+    """With one result taken away, so that the grid has a gap."""
+    rows = summary(spark, sf_dir)
+    gap = report.dense_grid(rows)
+    return gap.select("task", "model", r6(F.when(~((F.col("task") == "soundscape") & (F.col("model") == "m3")), F.col("mean"))).alias("mean"))
+
+
+@query(f"SELECT task, {', '.join(o.r6(f'max(mean) FILTER (model = {m!r})') + ' AS ' + m for m in MODELS)} FROM ({o.PRIMARY}) GROUP BY task")
+def main_table(spark, sf_dir):
+    return report.main_table(summary(spark, sf_dir), MODELS).select("task", *[r6(m).alias(m) for m in MODELS])
+
+
+@query(
+    f"SELECT task, metric, {', '.join(o.r6(f'max({c}) FILTER (model = {m!r})') + f' AS {m}_{c}' for m in MODELS for c in ('mean', 'std'))} FROM ({o.SUMMARY}) GROUP BY task, metric"
+)
+def detail_table(spark, sf_dir):
+    return report.detail_table(summary(spark, sf_dir), MODELS).select("task", "metric", *[r6(f"{m}_{c}").alias(f"{m}_{c}") for m in MODELS for c in ("mean", "std")])
+
+
+@query(
+    f"SELECT s.task, s.model, s.instance_id, coalesce(l.ms, -1.0::DOUBLE) AS latency_ms, {o.r6('s.value')} AS score FROM ({o.long('anih')}) s LEFT JOIN (SELECT event_id::VARCHAR AS id, CASE WHEN event_type = 'error' THEN -1.0::DOUBLE ELSE value END AS ms FROM events WHERE event_id % 19 <> 0) l ON l.id = s.instance_id WHERE metric = 'composite_score'"
+)
+def failure_rows(spark, sf_dir):
+    known = latencies(spark, sf_dir).where(F.col("instance_id").cast("long") % 19 != 0)
+    rows = report.failure_rows(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"), known)
+    return rows.select("task", "model", "instance_id", "latency_ms", r6("score").alias("score"))
+
+
+@query(f"SELECT s.task, s.model, s.metric, {o.r6('s.mean')} AS mean FROM ({o.SUMMARY}) s JOIN ({o.RANKED}) r ON r.task = s.task AND r.model = s.model AND r.rank = 1 WHERE s.metric <> 'composite_score'")
+def failure_breakdown(spark, sf_dir):
+    return report.failure_breakdown(summary(spark, sf_dir)).select("task", "model", "metric", r6("mean").alias("mean"))
+
+
+@query(f"SELECT task, model, {o.r6('avg_latency_ms / 1000')} AS latency_s, {o.r6('mean')} AS accuracy FROM ({o.PRIMARY}) JOIN ({o.LATENCY}) USING (model)")
+def latency_accuracy(spark, sf_dir):
+    rows = report.latency_accuracy(summary(spark, sf_dir), aggregate.mean_latency(latencies(spark, sf_dir)))
+    return rows.select("task", "model", r6("latency_s").alias("latency_s"), r6("accuracy").alias("accuracy"))
+
+
+@query(f"SELECT floor({o.secs('needle_timestamp')} / 600)::BIGINT AS depth, count(*) AS n, {o.r6('avg(timestamp_hit_5s)')} AS hit_5s FROM ({o.ANIH_SCORES}) JOIN (SELECT event_id, needle_timestamp FROM ({o.on_events(fixtures.ANIH)})) USING (event_id) GROUP BY 1")
+def depth_analysis(spark, sf_dir):
+    """Hits by depth of the needle, ten minutes a bucket (an extension)."""
+    rows = scored(spark, sf_dir, "anih").select(F.lit("timestamp_hit_5s").alias("metric"), F.col("timestamp_hit_5s").alias("value"), "needle_timestamp")
+    return report.by_bucket(rows, seconds(F.col("needle_timestamp")), 600, "depth").select("depth", "n", r6("mean").alias("hit_5s"))
+
+
+@query("SELECT DISTINCT event_type, upper(event_type[1]) || event_type[2:] || ' Rate' AS title FROM events")
+def display_names(spark, sf_dir):
+    name = F.concat(F.col("event_type"), F.lit("_rate"))
+    return fixtures.events(spark, sf_dir).select("event_type").distinct().select("event_type", title(name).alias("title"))
