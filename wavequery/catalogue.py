@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as o
-from .functions.intervals import greedy_match, lcs_length, temporal_iou, timed
+from .functions.intervals import greedy_match, lcs_length, overlap_join, temporal_iou, timed
 from .functions.text import anih_answer, drift_answer, mmss, narrative_answer, seconds, seconds_or_zero, soundscape_answer, title
-from .operators import aggregate, report
+from .operators import aggregate, generate, report, signal
 from .operators.evaluators import METRICS, SCORE, long_scores
-from .sources import fixtures
+from .plans import runner
+from .plans.tasks import prompt
+from .sources import files, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -286,3 +288,148 @@ def depth_analysis(spark, sf_dir):
 def display_names(spark, sf_dir):
     name = F.concat(F.col("event_type"), F.lit("_rate"))
     return fixtures.events(spark, sf_dir).select("event_type").distinct().select("event_type", title(name).alias("title"))
+
+
+# -------------------------------------------------------------- generators
+def _clips(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size, key = F.col("p_size"), F.col("p_partkey")
+
+    def pick(names, n):
+        return F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+
+    wav = F.lit(".wav")
+    backgrounds = part.where(size < 10).select(F.lit("background").alias("kind"), pick(["library", "office"], key).alias("category"), F.concat(F.lit("bg/"), F.lpad(key.cast("string"), 9, "0"), wav).alias("path"))
+    needles = part.select(F.lit("needle").alias("kind"), pick(["glass_shatter", "pen_click", "door_slam"], size).alias("category"), F.concat(F.lit("needle/"), (size % 3).cast("string"), wav).alias("path")).distinct()
+    clues = part.select(F.lit("clue").alias("kind"), pick(["clock_chime", "church_bell", "train_whistle", "ice_cream_truck"], size).alias("category"), F.concat(F.lit("clue/"), (size % 4).cast("string"), wav).alias("path")).distinct()
+    return backgrounds.unionByName(needles).unionByName(clues)
+
+
+def _speakers(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 2 and c_nationkey < 5")
+    dataset = F.element_at(F.array(F.lit("voxceleb2"), F.lit("ami"), F.lit("librispeech")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return c.select(dataset.alias("dataset"), F.col("c_name").alias("speaker_id")).unionByName(spark.range(1).select(F.lit("librispeech").alias("dataset"), F.lit("lonely").alias("speaker_id")))
+
+
+@query(o.GEN_ANIH)
+def gen_anih(spark, sf_dir):
+    rows = generate.anih(spark, _clips(spark, sf_dir), o.GEN_N)
+    return rows.select("instance_id", "needle_type", "background_source", "background_path", "needle_path", r6("needle_timestamp_seconds").alias("at_s"), "needle_timestamp", "preceding_sound", "prompt")
+
+
+@query(f"SELECT i, instance_id, dataset, array_to_string(speaker_order, '|') AS speaker_order FROM ({o.GEN_DRIFT})")
+def gen_drift(spark, sf_dir):
+    return generate.drift(spark, _speakers(spark, sf_dir), o.GEN_N).select("i", "instance_id", "dataset", F.array_join("speaker_order", "|").alias("speaker_order"))
+
+
+@query(o.GEN_TURNS)
+def gen_turns(spark, sf_dir):
+    rows = generate.turns(generate.drift(spark, _speakers(spark, sf_dir), o.GEN_N))
+    return rows.select("instance_id", F.col("ord").cast("long").alias("ord"), F.col("speaker_idx").cast("long").alias("speaker_idx"), "speaker_id", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "kind")
+
+
+@query(o.GEN_SOUNDSCAPE)
+def gen_soundscape(spark, sf_dir):
+    rows = generate.timelines(spark, o.GEN_N)
+    return rows.select("i", F.col("ord").cast("long").alias("ord"), "event_type", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "start", "end", F.col("overlaps").alias("overlap_names"))
+
+
+@query(o.GEN_NARRATIVE)
+def gen_narrative(spark, sf_dir):
+    rows = generate.narrative(spark, _clips(spark, sf_dir).where("kind = 'clue'"), o.GEN_N)
+    return rows.select(
+        "instance_id", "clue_type", "clue_path", "correct_verdict", *[f"clue_{x}_timestamp" for x in "abc"],
+        *[r6(f"clue_{x}_timestamp_seconds").alias(f"clue_{x}_s") for x in "abc"], F.array_join("required_reasoning_steps", "|").alias("steps"),
+    )
+
+
+@query(f"SELECT i, {o.ident('anih')} AS instance_id FROM (SELECT event_id AS i FROM events)")
+def instance_ids(spark, sf_dir):
+    return fixtures.events(spark, sf_dir).select(F.col("event_id").alias("i"), generate.instance_id("anih", F.lit(0), F.col("event_id")).alias("instance_id"))
+
+
+@query(
+    "SELECT c_custkey, 'This is a ' || (30 + c_custkey % 60)::VARCHAR || '-minute panel discussion with ' || (2 + c_custkey % 5)::VARCHAR || ' speakers who have very similar voices. Listen to the entire recording carefully. At timestamp 43:15, a speaker says a single sentence. "
+    "Identify which speaker this is (Speaker 1-' || (2 + c_custkey % 5)::VARCHAR || '). Has this speaker spoken previously in the audio? If yes, provide the timestamp of their first appearance in MM:SS format. Answer format: ''Speaker: X, First appearance: MM:SS (or \"Never\")''' AS prompt FROM customer"
+)
+def prompt_render(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = prompt("speaker_drift", duration_minutes=30 + k % 60, num_speakers=2 + k % 5, target_timestamp=mmss(F.lit(2595.0)))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("prompt"))
+
+
+# ----------------------------------------------------------------- signals
+SIZE = 50
+
+
+def _tone(spark, clips, n, value):
+    """Frames of a formula of the clip ``c`` and the sample number ``k``."""
+    c = F.col("clip_id")
+    rows = spark.range(clips).select(F.col("id").alias("clip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // SIZE) - 1).cast("long"))).alias("frame_idx"))
+    k = F.sequence(F.col("frame_idx") * SIZE, F.least(F.col("frame_idx") * SIZE + SIZE, F.lit(n)) - 1)
+    return rows.select("clip_id", "frame_idx", F.transform(k, lambda i: value(c, i)).alias("samples"))
+
+
+def _tones(spark):
+    return _tone(spark, 6, 400, lambda c, k: (1 + c % 2) * 0.7 * F.sin(k * 0.1 + c))
+
+
+def _fore(spark):
+    return _tone(spark, 6, 60, lambda c, k: F.when(c == 5, 0.0).otherwise(0.5 * F.cos(k * 0.3 + c)))
+
+
+def _flat(frames):
+    return signal.samples(frames, SIZE).select("clip_id", "pos", r6("v").alias("v"))
+
+
+@query(o.RMS)
+def rms(spark, sf_dir):
+    return signal.rms(_tones(spark)).select("clip_id", r6("rms").alias("rms"))
+
+
+@query(o.PEAK)
+def peak_normalise(spark, sf_dir):
+    return _flat(signal.normalise(_tones(spark)))
+
+
+@query(o.MIX)
+def mix_snr(spark, sf_dir):
+    return _flat(signal.mix_snr(_tones(spark), _fore(spark), 37 + 61 * F.col("clip_id"), SIZE))
+
+
+@query(o.SUM)
+def soundscape_sum(spark, sf_dir):
+    events = _fore(spark).withColumn("event", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    events = events.withColumn("samples", F.transform("samples", lambda x: x * (F.col("event") + 1)))
+    return _flat(signal.sum_events(signal.looped(_tones(spark), 12), events, 90 + 50 * F.col("event"), SIZE, 12))
+
+
+@query(o.CONCAT)
+def concat_crossfade(spark, sf_dir):
+    parts = [(0, 0, 120), (1, 100, 260), (2, 250, 250), (3, 255, 700)]
+    places = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("start"), F.lit(z).alias("end")) for i, a, z in parts])
+    segments = spark.range(6).select(F.col("id").alias("clip_id"), F.col("id").alias("source"), F.explode(places).alias("p")).select("clip_id", "source", "p.*")
+    return _flat(signal.concatenate(segments, _tones(spark), SIZE, 12, 15))
+
+
+# ------------------------------------------------------------ joins, runner
+@query(o.OVERLAP)
+def interval_overlap_join(spark, sf_dir):
+    s = F.unix_timestamp("ts").cast("double")
+    rows = fixtures.events(spark, sf_dir).select("event_id", "user_id", s.alias("s"), (s + 600 + F.col("event_id") % 7200).alias("e"))
+    pairs = overlap_join(rows, rows, ["user_id"], 7200.0).where("event_id < event_id_r")
+    return pairs.select("event_id", "event_id_r", (F.least("e", "e_r") - F.greatest("s", "s_r")).alias("overlap_s"))
+
+
+@query(o.DEDUPE)
+def dedupe_results(spark, sf_dir):
+    rows = fixtures.events(spark, sf_dir).withColumn("_o", F.struct("ts", "event_id"))
+    return files.last_by(rows, ["user_id", "event_type"], "_o").select("user_id", "event_type", "event_id", "value")
+
+
+@query()
+def mock_runner(spark, sf_dir):
+    """Answers of the deterministic model, parsed and with errors as misses."""
+    instances = generate.anih(spark, _clips(spark, sf_dir), o.GEN_N).withColumn("audio_path", F.concat(F.lit("data/anih/"), "instance_id", F.lit(".wav")))
+    answers = runner.run(instances, "echo").join(instances.select("instance_id", "needle_timestamp", F.col("preceding_sound").alias("gt_sound")), "instance_id")
+    return SCORE["anih"](answers.withColumnRenamed("response_text", "response")).select("instance_id", "model", "error", "timestamp_error_seconds", "composite_score")

@@ -237,3 +237,122 @@ WITH v AS (
 SELECT 'anih' AS task, model, metric, {r6('quantile_cont(mu, 0.025)')} AS ci_lo, {r6('quantile_cont(mu, 0.975)')} AS ci_hi, (SELECT any_value(n) FROM v WHERE v.model = m.model AND v.metric = m.metric) AS n
 FROM m GROUP BY model, metric
 """
+
+
+# --------------------------------------------------------------- generators
+def uniform(low: float, high: float, *key: str) -> str:
+    return f"({float(low)!r}::DOUBLE + {float(high) - float(low)!r}::DOUBLE * ({h32(*key)} / 4294967296.0::DOUBLE))"
+
+
+def one_of(values, *key: str) -> str:
+    return f"({list(values)!r})[{h32(*key)} % {len(values)} + 1]"
+
+
+def clock(s: str) -> str:
+    return f"format('{{:02d}}:{{:02d}}', floor(({s}) / 60)::BIGINT, floor(({s}) % 60)::BIGINT)"
+
+
+def ident(task: str) -> str:
+    return f"'{task}_' || substr(md5('{task}:0:' || i::VARCHAR), 1, 8)"
+
+
+GEN_N = 300
+
+CLIPS = """
+SELECT 'background' AS kind, (['library', 'office'])[p_partkey % 2 + 1] AS category, 'bg/' || lpad(p_partkey::VARCHAR, 9, '0') || '.wav' AS path FROM part WHERE p_size < 10
+UNION ALL SELECT DISTINCT 'needle', (['glass_shatter', 'pen_click', 'door_slam'])[p_size % 3 + 1], 'needle/' || (p_size % 3)::VARCHAR || '.wav' FROM part
+UNION ALL SELECT DISTINCT 'clue', (['clock_chime', 'church_bell', 'train_whistle', 'ice_cream_truck'])[p_size % 4 + 1], 'clue/' || (p_size % 4)::VARCHAR || '.wav' FROM part
+"""
+
+_ANIH_KEY = ("'anih'", "0", "i")
+GEN_ANIH = f"""
+WITH clips AS ({CLIPS}), b AS (SELECT category, path, row_number() OVER (PARTITION BY category ORDER BY path) - 1 AS k, count(*) OVER (PARTITION BY category) AS n FROM clips WHERE kind = 'background'),
+r AS (SELECT i, {one_of(('library', 'office', 'lecture'), *_ANIH_KEY, "'source'")} AS background_source, {one_of(('glass_shatter', 'pen_click', 'phone_notification', 'door_slam', 'keyboard_click'), *_ANIH_KEY, "'needle'")} AS needle_type,
+  {uniform(30, 3570, *_ANIH_KEY, "'depth'")} AS at_s, {h32(*_ANIH_KEY, "'clip'")} AS pick FROM range({GEN_N}) AS t(i))
+SELECT {ident('anih')} AS instance_id, needle_type, background_source, b.path AS background_path, n.path AS needle_path, {r6('at_s')} AS at_s, {clock('at_s')} AS needle_timestamp,
+  CASE background_source WHEN 'library' THEN 'pages turning' WHEN 'office' THEN 'keyboard typing' ELSE 'professor speaking' END AS preceding_sound,
+  'Listen carefully to the entire audio recording. At what exact timestamp (in MM:SS format) did the ' || replace(needle_type, '_', ' ') || ' occur, and what environmental sound immediately preceded it (within 5 seconds)? Provide your answer as: ''Timestamp: MM:SS, Preceding sound: <description>''' AS prompt
+FROM r JOIN b ON b.category = r.background_source AND b.k = r.pick % b.n JOIN clips n ON n.kind = 'needle' AND n.category = r.needle_type
+"""
+
+SPEAKERS = "SELECT (['voxceleb2', 'ami', 'librispeech'])[c_custkey % 3 + 1] AS dataset, c_name AS speaker_id FROM customer WHERE c_custkey % 3 <> 2 AND c_nationkey < 5 UNION ALL SELECT 'librispeech', 'lonely'"
+
+GEN_DRIFT = f"""
+WITH s AS ({SPEAKERS}), r AS (SELECT i, {one_of(('voxceleb2', 'ami', 'librispeech'), "'speaker_drift'", '0', 'i', "'dataset'")} AS dataset FROM range({GEN_N}) AS t(i)),
+p AS (SELECT i, dataset, speaker_id, row_number() OVER (PARTITION BY i ORDER BY {h32("'speaker_drift'", '0', 'i', 'speaker_id')}, speaker_id) AS ord FROM r JOIN s USING (dataset))
+SELECT i, {ident('speaker_drift')} AS instance_id, dataset, list(speaker_id ORDER BY ord) AS speaker_order FROM p WHERE ord <= 5 GROUP BY i, dataset HAVING count(*) = 5
+"""
+
+GEN_TURNS = f"""
+WITH d AS ({GEN_DRIFT}), t AS (SELECT d.i, instance_id, speaker_order, k FROM d, range(47) AS r(k)),
+x AS (SELECT *, CASE WHEN k < 5 THEN k WHEN k = 46 THEN 2 ELSE ([0, 1, 3, 4])[{h32("'turns'", '0', 'i', 'k')} % 4 + 1] END AS who,
+  CASE WHEN k < 5 THEN k * 24.0::DOUBLE WHEN k = 46 THEN 2595.0::DOUBLE ELSE 120.0::DOUBLE + (k - 5) * (2475.0::DOUBLE / 41) END AS s, CASE WHEN k < 5 THEN 24.0::DOUBLE WHEN k = 46 THEN 10.0::DOUBLE ELSE 2475.0::DOUBLE / 41 END AS len FROM t)
+SELECT instance_id, k AS ord, who AS speaker_idx, speaker_order[who + 1] AS speaker_id, {r6('s')} AS start_s, {r6('s + len')} AS end_s, CASE WHEN k < 5 THEN 'initial' WHEN k = 46 THEN 'target_return' ELSE 'middle' END AS kind FROM x
+"""
+
+EVENT_TYPES = (
+    "rain_start", "rain_stop", "rain_heavy", "rain_light", "wind_start", "wind_stop", "wind_howling", "thunder", "siren_approaching", "siren_passing", "siren_receding", "dog_barking",
+    "bird_chorus", "traffic_increase", "traffic_decrease", "footsteps", "door_open", "door_close", "engine_start", "engine_stop", "crowd_cheer", "crowd_applause", "music_start", "music_stop",
+)
+
+_SK = ("'soundscape'", "0", "i", "t")
+GEN_SOUNDSCAPE = f"""
+WITH e AS (SELECT i, t, ({list(EVENT_TYPES)!r})[t + 1] AS event_type, {h32(*_SK)} AS lot FROM range({GEN_N}) AS a(i), range(24) AS b(t)),
+f AS (SELECT i, arg_min(t, (lot, t)) AS f FROM e WHERE t < 8 GROUP BY i),
+o AS (SELECT e.*, CASE WHEN t = f THEN 0 ELSE row_number() OVER (PARTITION BY e.i ORDER BY (t = f)::INT, lot, t) END AS ord FROM e JOIN f USING (i)),
+l AS (SELECT *, {uniform(10, 120, *_SK, "'length'")} AS len FROM o WHERE ord < 6 + {h32("'soundscape'", '0', 'i', "'count'")} % 5),
+s AS (SELECT *, coalesce(sum(CASE WHEN ord = 0 THEN 0.3::DOUBLE * len ELSE len END) OVER (PARTITION BY i ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
+w AS (SELECT *, least(s + len, 1800) AS e, list(struct_pack(event_type, s)) OVER (PARTITION BY i ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent FROM s WHERE s < 1800)
+SELECT i, ord, event_type, {r6('s')} AS start_s, {r6('e')} AS end_s, {clock('s')} AS "start", CASE WHEN e < 1800 THEN {clock('e')} ELSE 'ongoing' END AS "end",
+  CASE WHEN len(recent) > 0 AND {h32(*_SK, "'overlap'")} % 100 < 40 THEN recent[{h32(*_SK, "'which'")} % len(recent) + 1].event_type || ' (from ' || {clock(f"recent[{h32(*_SK, chr(39) + 'which' + chr(39))} % len(recent) + 1].s")} || ')' ELSE '' END AS overlap_names
+FROM w
+"""
+
+_NK = ("'narrative_coherence'", "0", "i")
+GEN_NARRATIVE = f"""
+WITH c AS (SELECT category, min(path) AS path FROM ({CLIPS}) WHERE kind = 'clue' GROUP BY category),
+r AS (SELECT i, {one_of(('clock_chime', 'distinctive_bell', 'unique_bird_call', 'train_whistle', 'church_bell', 'factory_whistle', 'ice_cream_truck', 'emergency_alert'), *_NK, "'clue'")} AS clue_type,
+  {uniform(.05, .15, *_NK, "'a'")} * 2400 AS a, {uniform(.35, .55, *_NK, "'b'")} * 2400 AS b, {uniform(.8, .95, *_NK, "'c'")} * 2400 AS c, {one_of(('Validates', 'Debunks'), *_NK, "'verdict'")} AS correct_verdict FROM range({GEN_N}) AS t(i))
+SELECT {ident('narrative_coherence')} AS instance_id, clue_type, c.path AS clue_path, correct_verdict, {clock('a')} AS clue_a_timestamp, {clock('b')} AS clue_b_timestamp, {clock('r.c')} AS clue_c_timestamp,
+  {r6('a')} AS clue_a_s, {r6('b')} AS clue_b_s, {r6('r.c')} AS clue_c_s,
+  'Identify the ' || replace(clue_type, '_', ' ') || ' at ' || {clock('a')} || '|Note the character''s reference to the ' || replace(clue_type, '_', ' ') || ' at ' || {clock('b')} || '|Compare suspect''s alibi at ' || {clock('r.c')} || ' with acoustic evidence' AS steps
+FROM r JOIN c ON c.category = r.clue_type
+"""
+
+# ------------------------------------------------------------------ signals
+#: Clips of 400 samples at 100 Hz: sin(0.1 k + clip), twice as loud for odd clips.
+TONES = "SELECT clip_id, k, (1 + clip_id % 2) * 0.7::DOUBLE * sin(k * 0.1::DOUBLE + clip_id) AS v FROM range(6) AS c(clip_id), range(400) AS s(k)"
+FORE = "SELECT clip_id, k, CASE WHEN clip_id = 5 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * cos(k * 0.3::DOUBLE + clip_id) END AS v FROM range(6) AS c(clip_id), range(60) AS s(k)"
+
+RMS = f"SELECT clip_id, {r6('sqrt(avg(v * v))')} AS rms FROM ({TONES}) GROUP BY clip_id"
+PEAK = f"SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM (SELECT *, max(abs(v)) OVER (PARTITION BY clip_id) AS m FROM ({TONES}))"
+#: The foreground of clip c starts at sample 37 + 61 c: the last passes the end.
+MIX = f"""
+WITH b AS ({TONES}), f AS (SELECT clip_id, k + 37 + 61 * clip_id AS k, v FROM ({FORE})), n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id),
+g AS (SELECT b.clip_id, sum(v * v) AS e FROM b JOIN n ON n.clip_id = b.clip_id AND k BETWEEN a AND z GROUP BY b.clip_id)
+SELECT p.clip_id, p.k AS pos, {r6("coalesce(b.v, 0) + coalesce(f.v, 0) * CASE WHEN n.e > 0 AND coalesce(g.e, 0) > 0 THEN 10 ** 0.5::DOUBLE * sqrt(g.e / n.e) ELSE 1 END")} AS v
+FROM (SELECT clip_id, k FROM range(6) AS c(clip_id), range(450) AS s(k) WHERE k < 400 OR clip_id = 5) p LEFT JOIN b USING (clip_id, k) LEFT JOIN f USING (clip_id, k) JOIN n ON n.clip_id = p.clip_id LEFT JOIN g ON g.clip_id = p.clip_id
+"""
+SUM = f"""
+WITH x AS (SELECT clip_id, k, v FROM (SELECT clip_id, k + 400 * r AS k, v FROM ({TONES}), range(2) AS t(r)) WHERE k < 600
+  UNION ALL SELECT clip_id, k + 90 + 50 * e, v * (e + 1) FROM ({FORE}), range(3) AS t(e)), s AS (SELECT clip_id, k, sum(v) AS v FROM x WHERE k < 600 GROUP BY clip_id, k), m AS (SELECT clip_id, max(abs(v)) AS m FROM s GROUP BY clip_id)
+SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM s JOIN m USING (clip_id)
+"""
+#: Segments: (ord, start, end) = (0, 0, 120), (1, 100, 260), (2, 250, 250), (3, 255, 700), all of the clip's own tone; fades of 15 samples.
+CONCAT = f"""
+WITH RECURSIVE seg AS (SELECT * FROM (VALUES (0, 0, 120), (1, 100, 260), (2, 250, 250), (3, 255, 600)) AS s(o, a, z)),
+l AS (
+  SELECT 0 AS o, clip_id, k, 0.0::DOUBLE AS v FROM range(6) AS c(clip_id), range(600) AS s(k)
+  UNION ALL
+  SELECT l.o + 1, l.clip_id, l.k,
+    CASE WHEN z <= a THEN l.v ELSE l.v * CASE WHEN a > 0 AND l.k >= greatest(0, a - 15) AND l.k < a THEN 1 - (l.k - greatest(0, a - 15)) / (a - greatest(0, a - 15) - 1)::DOUBLE ELSE 1 END
+      + CASE WHEN l.k >= a AND l.k < z AND l.k - a < 400 THEN (1 + l.clip_id % 2) * 0.7::DOUBLE * sin((l.k - a) * 0.1::DOUBLE + l.clip_id) * CASE WHEN a > 0 AND l.k < a + least(15, z - a) THEN (l.k - a) / (least(15, z - a) - 1)::DOUBLE ELSE 1 END ELSE 0 END END
+  FROM l JOIN seg ON seg.o = l.o
+), r AS (SELECT clip_id, k, v, max(abs(v)) OVER (PARTITION BY clip_id) AS m FROM l WHERE o = 4)
+SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM r
+"""
+OVERLAP = f"""
+WITH x AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::DOUBLE AS s, epoch(date_trunc('second', ts))::DOUBLE + 600 + event_id % 7200 AS e FROM events)
+SELECT a.event_id AS event_id, b.event_id AS event_id_r, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_s FROM x a JOIN x b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e AND a.event_id < b.event_id
+"""
+DEDUPE = "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
