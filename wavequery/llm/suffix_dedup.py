@@ -15,8 +15,10 @@ three steps, each exact, none of which collects a corpus-sized group:
    smaller positions in suffix order give each window's longest previous
    factor; the mirrored arrays give its longest later one.  An anchor with more
    than ``MOST`` contexts (a passage that very many documents share) would make
-   a task grow with the corpus; its windows are counted by 128-bit digests
-   instead, again with map-side combining.
+   a task grow with the corpus.  Its windows are counted instead, by 128-bit
+   digests with map-side combining, in blocks of ``BLOCKS`` distances to the
+   anchor: a block repeats as a whole, or cannot repeat because the bytes that
+   all its windows share don't, or is cut into smaller blocks.
 
 Copies of whole texts are set apart first by SHA-256; one of each goes on.
 
@@ -49,7 +51,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, GRAM = 200, 24
 
 #: Contexts of an anchor that meet in one task at most.
-MOST = 128
+MOST = 512
+
+#: Windows in a block, level by level.
+BLOCKS = (16, 4, 1)
 
 #: Bytes of contexts that one suffix array covers (or one anchor's).
 CHUNK = 1 << 20
@@ -255,7 +260,7 @@ def repeats(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gra
         known = known.where(F.struct("d", "k", "s", "rel", "n") != F.col("_first"))
     known = known.select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b"))
     kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = contexts.join(kinds, "anchor").select("anchor", "times", F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.s").alias("s"), F.col("first.n").alias("n"), (F.col("kinds") > MOST).alias("hot"))
+    several = contexts.join(kinds, "anchor").select("anchor", "times", F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.s").alias("s"), F.col("first.rel").alias("rel"), F.col("first.n").alias("n"), (F.col("kinds") > MOST).alias("hot"))
     found = stash(known, "known").unionByName(_several(texts, stash(several, "several"), length, keep_first))
     return copied.select("sha", "first", "times").distinct().join(narrow, "sha", "right"), found
 
@@ -263,16 +268,38 @@ def repeats(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gra
 def _several(texts: DataFrame, several: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Spans of the contexts that share an anchor with others."""
     spark = texts.sparkSession
-    lists = several.groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "times", "s", "n", "hot")).alias("runs"))
+    lists = several.groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "times", "s", "rel", "n", "hot")).alias("runs"))
     ids = stash(several.select("d", "k").distinct(), "ids")
-    cut = stash(map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, n int, hot boolean, bytes binary"), "cut")
+    cut = stash(map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, rel int, n int, hot boolean, bytes binary"), "cut")
     cold = cut.where("not hot").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "d", "k", "s")
     found = cold.mapInArrow(_resolve(length, keep_first), SPANS)
-    windows = stash(map_arrow(cut.where("hot"), _digests(length), "w binary, times long, d long, k long, s long"), "windows")
-    counts = windows.groupBy("w").agg(F.sum("times").alias("all"), F.min(F.struct("d", "k", "s")).alias("_first"))
-    hot = windows.join(counts.where(F.col("all") > 1), "w")
-    hot = hot.where(F.struct("d", "k", "s") != F.col("_first")) if keep_first else hot
-    return stash(found, "found").unionByName(hot.select("d", "k", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
+    return stash(found, "found").unionByName(_hot(cut.where("hot").drop("hot"), length, keep_first))
+
+
+def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Spans of contexts whose anchors are too frequent for one task."""
+    own = ["d", "k", "s"]
+    pending = contexts.withColumn("open", F.array(F.struct((F.col("rel") - F.col("n") + 1).alias("lo"), F.col("rel").alias("hi"))))
+    spans = None
+    for level in BLOCKS:
+        blocks = stash(map_arrow(pending, _blocks(length, level), "core binary, whole binary, times long, d long, k long, s long, rel int, lo int, hi int"), "blocks")
+        place = F.struct("d", "k", F.col("s") + F.col("rel") - F.col("hi"))
+        cores = blocks.groupBy("core").agg(F.sum("times").alias("in_core"), F.min(place).alias("first")).where("in_core > 1")
+        some = blocks.join(cores, "core")
+        if level > 1:
+            wholes = blocks.groupBy("whole").agg(F.sum("times").alias("in_whole"), F.min(place).alias("one")).where("in_whole > 1")
+            some = stash(some.join(wholes, "whole", "left"), "some")
+            whole = F.coalesce(F.col("in_whole") > 1, F.lit(False)) if not keep_first else F.lit(False)
+            done = some.where(whole)
+            # One of each such block goes on: others may share a part of it.
+            rest = some.where(~whole | (place == F.col("one"))).groupBy(*own).agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
+            pending = contexts.join(rest, own)
+        else:
+            done = some.where(place != F.col("first")) if keep_first else some
+        a = F.col("s") + F.col("rel") - F.col("hi")
+        done = done.select("d", "k", a.alias("a"), (a + F.col("hi") - F.col("lo") + length).alias("b"))
+        spans = done if spans is None else spans.unionByName(done)
+    return spans
 
 
 def _cut(length: int):
@@ -287,21 +314,31 @@ def _cut(length: int):
             m = len(runs)
             table["bytes"] = [raw[o + s : o + s + n + length - 1] for s, n in zip(table["s"], table["n"])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(table["anchor"], pa.int64()), pa.array(table["times"], pa.int64()), pa.array([d] * m, pa.int64()), pa.array([k] * m, pa.int64()), pa.array(table["s"], pa.int64()), pa.array(table["n"], pa.int32()), pa.array(table["hot"], pa.bool_()), pa.array(table["bytes"], pa.binary())],
-                ["anchor", "times", "d", "k", "s", "n", "hot", "bytes"],
+                [pa.array(table["anchor"], pa.int64()), pa.array(table["times"], pa.int64()), pa.array([d] * m, pa.int64()), pa.array([k] * m, pa.int64()), pa.array(table["s"], pa.int64()), pa.array(table["rel"], pa.int32()), pa.array(table["n"], pa.int32()), pa.array(table["hot"], pa.bool_()), pa.array(table["bytes"], pa.binary())],
+                ["anchor", "times", "d", "k", "s", "rel", "n", "hot", "bytes"],
             )
 
     return rows
 
 
-def _digests(length: int):
-    """One row for each window of a context."""
+def _blocks(length: int, level: int):
+    """One row for each block of ``level`` distances to the anchor that the open
+    ranges [lo, hi] touch: digests of the bytes that all windows of the block
+    share, and of all bytes of those that the range holds."""
 
     def rows(batch):
-        columns = [batch.column(c).to_pylist() for c in ("times", "d", "k", "s", "n", "bytes")]
-        out = [(xxhash.xxh3_128_digest(raw[i : i + length]), times, d, k, s + i) for times, d, k, s, n, raw in zip(*columns) for i in range(n)]
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["w", "times", "d", "k", "s"])
+        out = []
+        names = ("anchor", "times", "d", "k", "s", "rel", "bytes", "open")
+        for anchor, times, d, k, s, rel, raw, open_ in zip(*[batch.column(c).to_pylist() for c in names]):
+            for r in open_:
+                for j in range(r["lo"] // level, r["hi"] // level + 1):
+                    lo, hi = max(r["lo"], j * level), min(r["hi"], j * level + level - 1)
+                    tag = f"{anchor}:{j}:".encode()
+                    core = raw[rel - j * level : rel - j * level - level + 1 + length]
+                    whole = raw[rel - hi : rel - lo + length]
+                    out.append((xxhash.xxh3_128_digest(tag + core), xxhash.xxh3_128_digest(tag + f"{lo}:{hi}:".encode() + whole), times, d, k, s, rel, lo, hi))
+        types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], v) for i, v in enumerate(types)], ["core", "whole", "times", "d", "k", "s", "rel", "lo", "hi"])
 
     return rows
 
