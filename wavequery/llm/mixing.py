@@ -118,10 +118,13 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED, share:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.  doc_id must be
-    a key: rows that repeat one would multiply."""
-    plan = mix(docs, **options).where(F.col("copies") > 0).select("doc_id", "copies")
-    return docs.join(plan, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """The rows of ``docs``, with all columns, each as often as the mix takes
+    it.  Rows that repeat a doc_id are taken as often as the first of them; rows
+    without a doc_id are left out."""
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.struct("size", "copies"))["copies"].alias("_mix_n"))
+    rows = docs.join(plan.where("_mix_n > 0"), F.col("doc_id") == F.col("_mix_id"))
+    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
+    return rows.drop("_mix_id", "_mix_n", "_mix_copy")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,8 +352,10 @@ def _worker(model) -> Pieces:
 
 def encode(docs: DataFrame, path: str = MODEL, col: str = "text") -> DataFrame:
     """All columns of ``docs`` (``col`` with null as empty), then ids, n_pieces
-    and exact: whether decoding the ids gives the text back."""
+    and exact: whether decoding the ids gives the text back.  Columns of these
+    names in ``docs`` are replaced."""
     model = load_model(path)
+    docs = docs.drop("ids", "n_pieces", "exact")
     names = docs.columns
     docs = docs.withColumn(col, text_or_empty(col))
     at = names.index(col)

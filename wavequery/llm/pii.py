@@ -173,7 +173,9 @@ def replace(text: str, cipher: Cipher, back: bool = False) -> tuple[str, list[tu
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, col: str = "text") -> DataFrame:
     """All columns of ``docs`` with pseudonyms in ``col``, then n_found and
-    spans (kind:start:end, joined by commas)."""
+    spans (kind:start:end, joined by commas); columns of these names in ``docs``
+    are replaced."""
+    docs = docs.drop("n_found", "spans")
     names = docs.columns
     at = names.index(col)
     docs = docs.withColumn(col, text_or_empty(col))
