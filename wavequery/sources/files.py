@@ -144,7 +144,7 @@ def wav_bytes(frames: DataFrame, rate: int = 16_000) -> DataFrame:
     """clip_id and its WAV file; a clip's frames meet in one task, as its file
     must."""
 
-    def one(key, table: pa.Table) -> pa.Table:
+    def one(key, table):
         table = table.sort_by("frame_idx")
         values = [x for f in table.column("samples").to_pylist() for x in f]
         return pa.table({"clip_id": pa.array([str(key[0].as_py())]), "content": pa.array([encode_wav(values, rate)], pa.binary())})
