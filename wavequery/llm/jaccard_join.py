@@ -21,11 +21,12 @@ Recursion.  In each region the member that shares most regions with others is
 the pivot.  Every document's distance to its best pivot is computed; those
 within tau are linked, which joins their regions without comparing their
 members with each other.  Regions whose members all hang together are done.
-In the others, the members outside the largest group are compared exactly with
-all members that the triangle inequality, by distances to a common pivot, and
-the sizes leave open, in blocks of bounded size dealt over tasks.  Components
-of the links are found by alternating large and small stars; no group is ever
-collected.
+In the others, the members outside the largest group are held against all
+members, in blocks of bounded size dealt over tasks, by one byte a class: two
+sets differ in at least as many shingles as classes have different bytes.
+Pairs that this, the sizes and the triangle inequality, by distances to a
+common pivot, leave open are measured exactly.  Components of the links are
+found by alternating large and small stars; no group is ever collected.
 
 Equal sets are one node (64-bit digest), so exact copies take part once.
 
@@ -118,37 +119,54 @@ SCHEMES = schemes()
 _BEYOND = [x[1] for x in SCHEMES]
 
 
-def _first(order: np.ndarray, scheme: int) -> np.ndarray:
+#: The low bits of a region name its scheme; ``FEW`` is that of small sets.
+CODE, FEW = 6, 63
+
+
+def _named(hashes: np.ndarray, code: int) -> np.ndarray:
+    return (hashes >> np.uint64(CODE) << np.uint64(CODE)) | np.uint64(code)
+
+
+def _first(order: np.ndarray, code: int) -> np.ndarray:
     n = len(order)
-    return mix(np.sort(order)[: n - -(-9 * n // 10) + 1] + np.uint64(scheme))
+    return _named(mix(np.sort(order)[: n - -(-9 * n // 10) + 1] + np.uint64(code + 1)), code)
+
 
+def _classes(order: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the shingles of each class, and one byte of each."""
+    cls = (order >> np.uint64(33)).astype(np.int64) % m
+    sums = np.zeros(m, np.uint64)
+    np.add.at(sums, cls, order)
+    return sums, (mix(sums) >> np.uint64(56)).astype(np.uint8)
 
-def regions(u: np.ndarray) -> np.ndarray:
-    """The regions of a set; linked sets that differ share one."""
+
+def regions(u: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """The regions of a set, and (scheme, a byte for each class).  Linked sets
+    that differ share a region."""
     n = len(u)
     if n < 9:  # no other set is near enough
-        return u[:0]
-    out = []
+        return u[:0], []
+    out, views = [], []
     order = mix(u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
     if 9 * n <= 10 * (SMALL - 1):
-        out.append(_first(order, 1))
+        out.append(_first(order, FEW))
+        views.append((FEW, _classes(order, SMALL)[1].tobytes()))
     if n >= SMALL:
         own = bisect.bisect_right(_BEYOND, n)
         for k in (own, own - 1):
             if k < 0 or (k < own and 9 * n > 10 * (SCHEMES[k][1] - 1)):
                 continue
             _, _, m, spare = SCHEMES[k]
-            cls = (order >> np.uint64(33)).astype(np.int64) % m
-            sums = np.zeros(m, np.uint64)
-            np.add.at(sums, cls, order)
-            full = np.flatnonzero(np.bincount(cls, minlength=m))
-            out.append(mix(sums[full] + mix((full + (k << 40) + 2).astype(np.uint64))))
+            sums, view = _classes(order, m)
+            full = np.flatnonzero(sums)
+            out.append(_named(mix(sums[full] + mix((full + (k << 40) + 2).astype(np.uint64))), k))
             if m - len(full) > spare:
-                out.append(_first(order, 1000 + k))
-    return np.concatenate(out)
+                out.append(_first(order, k))
+            views.append((k, view.tobytes()))
+    return np.concatenate(out), views
 
 
-NODES = "doc_id long, c long, n long, regions array<long>"
+NODES = "doc_id long, c long, n long, regions array<long>, views array<struct<code:int,view:binary>>"
 
 
 def _nodes(words: int):
@@ -156,11 +174,13 @@ def _nodes(words: int):
         data, offs = arrow_bytes(batch.column("text"))
         for i, j in row_steps(offs):
             sets = list(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words))
-            at = [regions(u) for u in sets]
+            both = [regions(u) for u in sets]
+            at = [x[0] for x in both]
+            views = pa.array([[{"code": k, "view": v} for k, v in x[1]] for x in both], pa.list_(pa.struct([("code", pa.int32()), ("view", pa.binary())])))
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:j], pa.array([node(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(at).view(np.int64)))],
-                ["doc_id", "c", "n", "regions"],
+                [batch.column("doc_id")[i:j], pa.array([node(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(at).view(np.int64))), views],
+                ["doc_id", "c", "n", "regions", "views"],
             )
 
     return rows
@@ -171,10 +191,12 @@ def _pairs(words: int):
 
     def rows(batch):
         one, two = text_sets(batch.column("a"), words), text_sets(batch.column("b"), words)
+        right = [node(x) == c and node(y) == h for x, y, c, h in zip(one, two, batch.column("c").to_pylist(), batch.column("hub").to_pylist())]
         common = np.array([len(x) + len(y) - len(np.union1d(x, y)) for x, y in zip(one, two)])
         a, b = np.array([len(x) for x in one]), np.array([len(x) for x in two])
         far = 1 - common / np.maximum(1, a + b - common)
-        yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b)), pa.array(far)], ["c", "hub", "link", "far"])
+        out = pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b)), pa.array(far)], ["c", "hub", "link", "far"])
+        yield out.filter(pa.array(right, pa.bool_()))
 
     return rows
 
@@ -195,21 +217,23 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     pivots = members.join(score, "c").groupBy("region").agg(F.max(F.struct("score", "c", "doc_id")).alias("pivot"))
     best = members.join(pivots, "region").where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"), F.first("doc_id").alias("doc_id"))
     star = stash(best.join(score, "c").where(F.struct("pivot.score", "pivot.c") > F.struct("score", "c")).select("c", "doc_id", F.col("pivot.c").alias("hub"), F.col("pivot.doc_id").alias("hub_doc")), "star")
-    ids = stash(star.select("doc_id").union(star.select("hub_doc")).distinct(), "star_ids")
-    own = keep_ids(texts, ids)
-    pairs = star.join(own.withColumnRenamed("text", "a"), "doc_id").join(own.select(F.col("doc_id").alias("hub_doc"), F.col("text").alias("b")), "hub_doc")
-    measured = stash(map_arrow(pairs.select("c", "hub", "a", "b"), _pairs(words), "c long, hub long, link boolean, far double"), "measured")
-    # Where rows repeat a doc_id with other texts, a wrong text may have been
-    # measured; the nearest one counts, and a link between texts is a link.
-    measured = measured.groupBy("c", "hub").agg(F.min("far").alias("far"), F.max("link").alias("link"))
-    near = stash(measured, "near")
+    near = measure(texts, star, words)
     found = near.where("link").select("c", "hub")
     up = found.select(F.col("c").alias("hub"), F.col("hub").alias("top"))
     labels = found.join(up, "hub", "left").select("c", F.coalesce("top", "hub").alias("label"))
-    return found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(texts, members, labels, near, words))
+    return found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(texts, nodes, members, labels, near, words))
 
 
-def _within(texts: DataFrame, members: DataFrame, labels: DataFrame, near: DataFrame, words: int) -> DataFrame:
+def measure(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """c, hub, link and far (distance) of pairs (c, doc_id, hub, hub_doc)."""
+    ids = stash(pairs.select("doc_id").union(pairs.select("hub_doc")).distinct(), "pair_ids")
+    own = keep_ids(texts, ids)
+    rows = pairs.join(own.withColumnRenamed("text", "a"), "doc_id").join(own.select(F.col("doc_id").alias("hub_doc"), F.col("text").alias("b")), "hub_doc")
+    # Where rows repeat a doc_id with other texts, only the right ones count.
+    return stash(map_arrow(rows.select("c", "hub", "a", "b"), _pairs(words), "c long, hub long, link boolean, far double").distinct(), "measured")
+
+
+def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame, near: DataFrame, words: int) -> DataFrame:
     """Links inside regions whose members don't yet hang together."""
     members = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     members = stash(members.join(near.select("c", "hub", "far"), "c", "left"), "labelled")
@@ -225,71 +249,59 @@ def _within(texts: DataFrame, members: DataFrame, labels: DataFrame, near: DataF
     rows = rows.withColumn("_r", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("_f", F.ceil(F.col("all") / AGAINST).cast("int"))
     mine = F.pmod(F.xxhash64("c", F.lit(1)), F.col("_r")).cast("int")
     theirs = F.pmod(F.xxhash64("c", F.lit(2)), F.col("_f")).cast("int")
-    keep = ["region", "c", "doc_id", "label", "hub", "far"]
+    keep = ["region", "c", "doc_id", "n", "label", "hub", "far"]
     place = rows.where("label != main").select(*keep, mine.alias("r"), F.explode(F.sequence(F.lit(0), F.col("_f") - 1)).alias("f"), F.lit(True).alias("mine"))
     other = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r"), theirs.alias("f"), F.lit(False).alias("mine"))
     block = F.xxhash64("region", "r", "f").alias("block")
-    cells = stash(place.unionByName(other).select(block, *keep[1:], "mine"), "cells")
-    ids = stash(cells.select("doc_id").distinct(), "cell_ids")
-    cells = cells.join(keep_ids(texts, ids), "doc_id")
-    cells = cells.repartition(F.col("block")).sortWithinPartitions("block", "c")
-    return stash(cells.select("block", "c", "label", "hub", "far", "mine", "text").mapInArrow(_blocks(words), "u long, v long"), "within").distinct()
-
-
-def _blocks(words: int):
-    def run(batches):
-        pending: list[tuple] = []
-        for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("block", "c", "label", "hub", "far", "mine")], text_sets(batch.column("text"), words))
-            for row in rows:
-                if pending and row[0] != pending[-1][0]:
-                    yield _links(block_links(pending))
-                    pending = []
-                pending.append(row)
-        if pending:
-            yield _links(block_links(pending))
-
-    return run
-
-
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
-
-
-def block_links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Links from the rows that are to be placed to all others of a block."""
-    rows = [x for x in rows if node(x[6]) == x[1]]  # where a doc_id repeats: the right text
-    if not rows:
-        return []
-    others = [x for x in rows if not x[5]]
+    cells = stash(place.unionByName(other).select(block, F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code"), *keep[1:], "mine"), "cells")
+    views = nodes.select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view").distinct()
+    cells = cells.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
+    open_ = cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(_blocks, "c long, doc_id long, hub long, hub_doc long")
+    # A pair is open in many regions: once is enough.
+    found = measure(texts, stash(open_.distinct(), "pairs"), words)
+    return found.where("link").select(F.col("c").alias("u"), F.col("hub").alias("v"))
+
+
+def _blocks(batches):
+    pending: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[x.to_pylist() for x in batch.columns]):
+            if pending and row[0] != pending[-1][0]:
+                yield _links(block_pairs(pending))
+                pending = []
+            pending.append(row)
+    if pending:
+        yield _links(block_pairs(pending))
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    names = ["c", "doc_id", "hub", "hub_doc"]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], names)
+
+
+def block_pairs(rows: list[tuple]) -> list[tuple]:
+    """Pairs of a block that may be linked, each with the larger node first."""
+    others = [x for x in rows if not x[7]]
     if not others:
         return []
-    sizes = np.array([len(x[6]) for x in others])
-    names, cells = np.unique(np.concatenate([x[6] for x in others]), return_inverse=True)
-    offs = np.concatenate([[0], np.cumsum(sizes)])
-    c, label = np.array([x[1] for x in others]), np.array([x[2] for x in others])
-    hub = np.array([x[3] if x[3] is not None else x[1] for x in others])
-    far = np.array([x[4] if x[4] is not None else 0.0 for x in others])
+    n, label = np.array([x[3] for x in others]), np.array([x[4] for x in others])
+    hub = np.array([x[1] if x[5] is None else x[5] for x in others])
+    far = np.array([x[6] if x[6] is not None else 0.0 for x in others])
+    views = np.frombuffer(b"".join([x[8] for x in others]), np.uint8).reshape(len(others), -1)
     found = []
-    for _, own, own_label, own_hub, own_far, mine, u in rows:
+    for _, own, doc, size, own_label, own_hub, own_far, mine, view in rows:
         if not mine:
             continue
-        n = len(u)
-        open_ = (label != own_label) & (100 * np.minimum(n, sizes) >= 90 * np.maximum(n, sizes))
+        open_ = (label != own_label) & (100 * np.minimum(size, n) >= 90 * np.maximum(size, n))
         # Triangle inequality: linked sets have distances to a common pivot within tau.
         open_ &= (hub != (own if own_hub is None else own_hub)) | (np.abs(far - (own_far or 0.0)) <= 0.1 + 1e-9)
-        if not open_.any():
+        at = np.flatnonzero(open_)
+        if not len(at):
             continue
-        at = np.minimum(np.searchsorted(names, u), len(names) - 1)
-        has = np.zeros(len(names) + 1, np.int64)
-        has[at[names[at] == u]] = 1
-        common = np.add.reduceat(has[cells.ravel()], offs[:-1])
-        good = open_ & linked(common, n, sizes)
-        found += [(own, int(v)) for v in c[good]]
-        # What is linked now has this label too.
-        if good.any():
-            merged = np.isin(label, label[good])
-            label[merged] = own_label
+        differ = np.count_nonzero(views[at] != np.frombuffer(view, np.uint8), axis=1)
+        for i in at[19 * differ <= size + n[at]].tolist():
+            a, b = (own, doc), (others[i][1], others[i][2])
+            found.append((*max(a, b), *min(a, b)))
     return found
 
 
