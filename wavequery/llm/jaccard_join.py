@@ -24,9 +24,11 @@ members with each other.  Regions whose members all hang together are done.
 In the others, the members outside the largest group are held against all
 members, in blocks of bounded size dealt over tasks, by one byte a class: two
 sets differ in at least as many shingles as classes have different bytes.
-Pairs that this, the sizes and the triangle inequality, by distances to a
-common pivot, leave open are measured exactly.  Components of the links are
-found by alternating large and small stars; no group is ever collected.
+Members with a partner that this, the sizes and the triangle inequality, by
+distances to a common pivot, leave open meet again, with their texts, and are
+measured exactly; what a link has joined is not compared again, so a block
+returns a spanning forest and not its pairs.  Components of the links are found
+by alternating large and small stars; no group is ever collected.
 
 Equal sets are one node (64-bit digest), so exact copies take part once.
 
@@ -256,53 +258,93 @@ def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: Data
     cells = stash(place.unionByName(other).select(block, F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code"), *keep[1:], "mine"), "cells")
     views = nodes.select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view").distinct()
     cells = cells.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
-    open_ = cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(_blocks, "c long, doc_id long, hub long, hub_doc long")
-    # A pair is open in many regions: once is enough.
-    found = measure(texts, stash(open_.distinct(), "pairs"), words)
-    return found.where("link").select(F.col("c").alias("u"), F.col("hub").alias("v"))
+    open_ = stash(cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(_by_block(open_members), OPEN), "open_members")
+    ids = stash(open_.select("doc_id").distinct(), "open_ids")
+    rows = open_.join(keep_ids(texts, ids), "doc_id").repartition(F.col("block")).sortWithinPartitions("block", "c")
+    found = rows.select("block", "c", "doc_id", "label", "mine", "text").mapInArrow(_by_block(lambda x: forest(x, words)), "u long, v long")
+    return stash(found.distinct(), "within")
 
 
-def _blocks(batches):
-    pending: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[x.to_pylist() for x in batch.columns]):
-            if pending and row[0] != pending[-1][0]:
-                yield _links(block_pairs(pending))
-                pending = []
-            pending.append(row)
-    if pending:
-        yield _links(block_pairs(pending))
+OPEN = "block long, c long, doc_id long, label long, mine boolean"
 
 
-def _links(found: list[tuple]) -> pa.RecordBatch:
-    names = ["c", "doc_id", "hub", "hub_doc"]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], names)
+def _by_block(fn):
+    """Apply a function to the rows of each block; batches are sorted by block."""
 
+    def run(batches):
+        pending: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[x.to_pylist() for x in batch.columns]):
+                if pending and row[0] != pending[-1][0]:
+                    yield fn(pending)
+                    pending = []
+                pending.append(row)
+        if pending:
+            yield fn(pending)
 
-def block_pairs(rows: list[tuple]) -> list[tuple]:
-    """Pairs of a block that may be linked, each with the larger node first."""
+    return run
+
+
+def open_members(rows: list[tuple]) -> pa.RecordBatch:
+    """The rows of a block (see ``OPEN``) with a partner that may be linked."""
     others = [x for x in rows if not x[7]]
-    if not others:
-        return []
-    n, label = np.array([x[3] for x in others]), np.array([x[4] for x in others])
-    hub = np.array([x[1] if x[5] is None else x[5] for x in others])
-    far = np.array([x[6] if x[6] is not None else 0.0 for x in others])
-    views = np.frombuffer(b"".join([x[8] for x in others]), np.uint8).reshape(len(others), -1)
+    keep: set[int] = set()
+    mine_kept = []
+    if others:
+        n, label = np.array([x[3] for x in others]), np.array([x[4] for x in others])
+        hub = np.array([x[1] if x[5] is None else x[5] for x in others])
+        far = np.array([x[6] if x[6] is not None else 0.0 for x in others])
+        views = np.frombuffer(b"".join([x[8] for x in others]), np.uint8).reshape(len(others), -1)
+        for x in rows:
+            _, own, _, size, own_label, own_hub, own_far, mine, view = x
+            if not mine:
+                continue
+            open_ = (label != own_label) & (100 * np.minimum(size, n) >= 90 * np.maximum(size, n))
+            # Triangle inequality: linked sets have distances to a common pivot within tau.
+            open_ &= (hub != (own if own_hub is None else own_hub)) | (np.abs(far - (own_far or 0.0)) <= 0.1 + 1e-9)
+            at = np.flatnonzero(open_)
+            if not len(at):
+                continue
+            differ = np.count_nonzero(views[at] != np.frombuffer(view, np.uint8), axis=1)
+            at = at[19 * differ <= size + n[at]]
+            if len(at):
+                mine_kept.append(x)
+                keep.update(at.tolist())
+    kept = mine_kept + [others[i] for i in sorted(keep)]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], v) for i, v in zip((0, 1, 2, 4, 7), types)], ["block", "c", "doc_id", "label", "mine"])
+
+
+def forest(rows: list[tuple], words: int = WORDS) -> pa.RecordBatch:
+    """Links between members of a block that join what is not joined yet."""
+    sets = text_sets(pa.array([x[5] for x in rows], pa.string()), words)
+    right = [i for i, u in enumerate(sets) if node(u) == rows[i][1]]  # where rows repeat a doc_id
+    others, mine = [i for i in right if not rows[i][4]], [i for i in right if rows[i][4]]
     found = []
-    for _, own, doc, size, own_label, own_hub, own_far, mine, view in rows:
-        if not mine:
-            continue
-        open_ = (label != own_label) & (100 * np.minimum(size, n) >= 90 * np.maximum(size, n))
-        # Triangle inequality: linked sets have distances to a common pivot within tau.
-        open_ &= (hub != (own if own_hub is None else own_hub)) | (np.abs(far - (own_far or 0.0)) <= 0.1 + 1e-9)
-        at = np.flatnonzero(open_)
-        if not len(at):
-            continue
-        differ = np.count_nonzero(views[at] != np.frombuffer(view, np.uint8), axis=1)
-        for i in at[19 * differ <= size + n[at]].tolist():
-            a, b = (own, doc), (others[i][1], others[i][2])
-            found.append((*max(a, b), *min(a, b)))
-    return found
+    if others and mine:
+        size = np.array([len(sets[i]) for i in others])
+        names, cells = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+        offs = np.concatenate([[0], np.cumsum(size)])[:-1]
+        labels, at = np.unique([x[3] for x in rows], return_inverse=True)
+        joined = np.arange(len(labels))  # the group that each label is in now
+        other_at = at[others]
+        has = np.zeros(len(names), np.int64)
+        for i in mine:
+            u = sets[i]
+            group = joined[other_at]
+            if (group == joined[at[i]]).all():
+                continue
+            where = np.minimum(np.searchsorted(names, u), len(names) - 1)
+            where = where[names[where] == u]
+            has[where] = 1
+            common = np.add.reduceat(has[cells], offs)
+            has[where] = 0
+            good = np.flatnonzero(linked(common, len(u), size) & (group != joined[at[i]]))
+            for j in good.tolist():
+                if joined[other_at[j]] != joined[at[i]]:
+                    found.append((rows[i][1], rows[others[j]][1]))
+                    joined[joined == joined[other_at[j]]] = joined[at[i]]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
 
 
 # -------------------------------------------------------------- components
