@@ -10,7 +10,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
+import types
 import uuid
 
 import numpy as np
@@ -93,7 +96,7 @@ def unit_hash(col: Column, seed: int) -> Column:
 
 # ------------------------------------------------------------------- bytes
 #: Text bytes that one numpy step takes; its temporaries are some 100 bytes each.
-STEP = 1 << 20
+STEP = 1 << 19
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
@@ -123,19 +126,17 @@ def row_steps(offs: np.ndarray, most: int = STEP):
         i = j
 
 
-_POWERS: dict = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64, for i up to n."""
-    have = _POWERS.get("n", -1)
-    if have < n:
-        n = max(n, STEP + 4096)
-        up = np.full(n + 1, _R, np.uint64)
-        down = np.full(n + 1, _R_INV, np.uint64)
+    """R**i and R**-i modulo 2**64, for i up to n; kept once for a process, as
+    every task brings its own copy of this module."""
+    kept = sys.modules.setdefault("_kept_powers", types.ModuleType("_kept_powers"))
+    if getattr(kept, "n", -1) < n:
+        size = max(n, STEP + 4096)
+        up = np.full(size + 1, _R, np.uint64)
+        down = np.full(size + 1, _R_INV, np.uint64)
         up[0] = down[0] = 1
-        _POWERS.update(n=n, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _POWERS["up"], _POWERS["down"]
+        kept.up, kept.down, kept.n = np.multiply.accumulate(up), np.multiply.accumulate(down), size
+    return kept.up, kept.down
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -214,6 +215,24 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run):
+    """``run``, then what it leaves goes back to the system: idle workers are
+    kept, and their memory counts against the executor's."""
+
+    def then(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return then
 
 

@@ -51,7 +51,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, drop_ids, keep_ids, map_arrow, mix, read_documents, row_steps, small, stash, text_or_empty, word_hashes
+from .common import arrow_bytes, drop_ids, keep_ids, map_arrow, mix, read_documents, row_steps, small, stash, text_or_empty, tidy, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -258,13 +258,13 @@ def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: Data
     cells = stash(place.unionByName(other).select(block, F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code"), *keep[1:], "mine"), "cells")
     views = nodes.select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view").distinct()
     cells = cells.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
-    open_ = stash(cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(_by_block(open_members), OPEN), "open_members")
+    open_ = stash(cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(open_members)), OPEN), "open_members")
     # Most pairs are open in many regions: of blocks with the same open members one stays.
     marks = open_.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c", "mine").cast("decimal(38,0)")).alias("print"))
     open_ = stash(open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block"), "open_blocks")
     ids = stash(open_.select("doc_id").distinct(), "open_ids")
     rows = open_.join(keep_ids(texts, ids), "doc_id").repartition(F.col("block")).sortWithinPartitions("block", "c")
-    found = rows.select("block", "c", "doc_id", "label", "mine", "text").mapInArrow(_by_block(lambda x: forest(x, words)), "u long, v long")
+    found = rows.select("block", "c", "doc_id", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words))), "u long, v long")
     return stash(found.distinct(), "within")
 
 

@@ -44,7 +44,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, arrow_bytes, drop_ids, keep_ids, map_arrow, partitions, prefix_sums, read_documents, row_steps, sliding_min, small, span_hashes, stash, text_or_empty
+from .common import STEP, arrow_bytes, drop_ids, keep_ids, map_arrow, partitions, prefix_sums, read_documents, row_steps, sliding_min, small, span_hashes, stash, text_or_empty, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,7 +57,7 @@ MOST = 512
 BLOCKS = (16, 4, 1)
 
 #: Bytes of contexts that one suffix array covers (or one anchor's).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: Bytes of a row that are searched at a time; positions must fit 24 bits.
 SEGMENT = 1 << 22
@@ -272,7 +272,7 @@ def _several(texts: DataFrame, several: DataFrame, length: int, keep_first: bool
     ids = stash(several.select("d", "k").distinct(), "ids")
     cut = stash(map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, rel int, n int, hot boolean, bytes binary"), "cut")
     cold = cut.where("not hot").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "d", "k", "s")
-    found = cold.mapInArrow(_resolve(length, keep_first), SPANS)
+    found = cold.mapInArrow(tidy(_resolve(length, keep_first)), SPANS)
     return stash(found, "found").unionByName(_hot(cut.where("hot").drop("hot"), length, keep_first))
 
 

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, partitions, prefix_sums, read_documents, sliding_min, span_hashes, text_or_empty
+from .common import STEP, partitions, prefix_sums, read_documents, sliding_min, span_hashes, text_or_empty, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -184,4 +184,4 @@ def _rows(pending: list[tuple]) -> pa.RecordBatch:
 
 
 def op8_winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_with_next(read_documents(spark, sf_dir)).mapInArrow(_compare, SCHEMA)
+    return pair_with_next(read_documents(spark, sf_dir)).mapInArrow(tidy(_compare), SCHEMA)
