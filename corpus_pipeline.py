@@ -2,8 +2,8 @@
 
 Stages, each over all rows that the one before kept, written as Parquet in the
 shared folder and read again: reject toxic documents, remove exact copies (the
-largest doc_id stays), keep one document of each group of near copies (the
-smallest doc_id), mix the sources (a document appears as often as the mix takes
+largest doc_id stays), keep one document of each group of near copies (4 in 5
+of their distinct runs of 5 words; the smallest doc_id), mix the sources (a document appears as often as the mix takes
 it), encode the texts.  All but the last return the columns of documents.
 """
 
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.deduplicate(docs)
+    return jaccard_join.deduplicate(docs, words=5, near=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,6 +172,54 @@ def test_linked_sets_share_a_region():
                 assert np.intersect1d(jaccard_join.regions(a)[0], jaccard_join.regions(b)[0]).size
 
 
+def test_linked_sets_share_a_region_at_other_thresholds():
+    rng = np.random.default_rng(5)
+    for near in (67, 80):
+        known, linked = jaccard_join.schemes(near), 0
+        for n in [3, 4, 5, 9, 20, 63, 64, 70, 79, 80, 95, 96, 120, 143, 144, 215, 330, 700, 1500]:
+            most = n * (100 - near) // near
+            for _ in range(30):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                cut = int(rng.integers(0, most + 1))
+                extra = rng.integers(0, 1 << 63, int(rng.integers(0, most + 1))).astype(np.uint64)
+                b = np.unique(np.concatenate([a[cut:], extra]))
+                common = len(np.intersect1d(a, b))
+                if max(len(a), len(b)) != common and jaccard_join.linked(common, len(a), len(b), near):
+                    linked += 1
+                    assert np.intersect1d(jaccard_join.regions(a, near, known)[0], jaccard_join.regions(b, near, known)[0]).size
+        assert linked > 100
+
+
+@pytest.mark.parametrize(("words", "near"), [(5, 80), (3, 67)])
+def test_jaccard_components_at_other_thresholds(spark, words, near):
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.choice([3, 5, 9, 30, 90, 150, 400]))] for _ in range(40)]
+    rows = []
+    for i, w in enumerate(base):
+        rows.append((10 * i, " ".join(w)))
+        for j in range(1, 5):  # ever more words changed
+            v = list(w)
+            for _ in range(1 + j * len(w) // 150):
+                v[rng.randrange(len(v))] = f"x{rng.randint(0, 9)}"
+            rows.append((10 * i + j, " ".join(v)))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= near * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    low = {}
+    for (i, _), g in zip(rows, group):
+        low[g] = min(low.get(g, i), i)
+    want = {i: (len(s), low[g]) for (i, _), s, g in zip(rows, sets, group)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_components(docs, words, near).collect()}
+    assert got == want and len(set(low.values())) < len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["u"]: r["root"] for r in jaccard_join.components(edges).collect()}

@@ -81,3 +81,14 @@ def test_stages(spark, sf_dir):
     got = out.collect()
     assert collections.Counter(r["doc_id"] for r in got) == kept["mix_sources"]
     assert all(r["exact"] and coder.decode(r["ids"]) == r["text"] for r in got)
+
+
+def test_near_copies_by_five_words(spark):
+    w = [f"w{i}" for i in range(60)]
+    v = w[:30] + ["other"] + w[31:]  # 51 of 61 runs of 5 words, 55 of 61 of 3
+    u = w[:28] + ["one", "more"] + w[30:]  # 50 of 62 and 54 of 62
+    far = w[:20] + ["other"] + w[21:40] + ["other"] + w[41:]  # 46 of 66
+    rows = [(1, " ".join(w)), (2, " ".join(v)), (3, " ".join(u)), (4, " ".join(far[::-1])), (5, " ".join(w[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {1, 4, 5}

@@ -1,7 +1,9 @@
 """N-gram Jaccard join in metric space: exact links, one component a document.
 
 Documents are sets of distinct word shingles; two link when their Jaccard
-distance, a metric, is at most ``TAU`` = 0.1.
+distance, a metric, is at most tau.  Callers give the least similarity
+``near`` = 100 (1 - tau) in per cent, 67 to 99, and the words of a shingle; the
+numbers below are those of the defaults, 90 and 3.
 
 Regions.  Distances between whole documents crowd near 1, so Voronoi regions
 around pivot documents would have windows (2 tau) that admit nearly every
@@ -55,7 +57,7 @@ from .common import arrow_bytes, drop_ids, keep_ids, map_arrow, mix, read_docume
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS, SMALL = 3, 64
+WORDS, NEAR, SMALL = 3, 90, 64
 
 #: Members of a region that meet in one block: the ones to place, all others.
 BLOCK, AGAINST = 512, 2048
@@ -93,23 +95,32 @@ def node(u: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63)
 
 
-def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * common >= 90 * (a + b - common)
+def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, near: int = NEAR) -> np.ndarray:
+    return 100 * common >= near * (a + b - common)
 
 
-def schemes(most: int = 1 << 40) -> list[tuple[int, int, int, int]]:
+def least_size(near: int) -> int:
+    """The smallest set that another one can be near to."""
+    return -(-near // (100 - near))
+
+
+def schemes(near: int = NEAR, most: int = 1 << 40) -> list[tuple[int, int, int, int]]:
     """For sizes from SMALL: (least size, size beyond, classes, empty classes
-    that a set may have).  A few spare classes make up for those."""
+    that a set may have).  A few spare classes make up for those; sets with more
+    of them have other regions, so any number is right."""
+    if not 67 <= near <= 99:  # linked sets are of the same or the next sizes
+        raise ValueError(f"near: {near}")
     out, low = [], SMALL
     while low < most:
         high = low * 3 // 2
-        differ = (high - 1) // 9
+        differ = (100 - near) * (high - 1) // near
         spare = 0
         while True:
             m = differ + 1 + spare
             empty = m * math.exp(-low / m)
-            need = math.ceil(empty + 4 * math.sqrt(empty) + 1)
-            if spare >= need:
+            spread = math.sqrt(empty * (1 - (1 + low / m) * math.exp(-low / m)))
+            need = math.ceil(empty + 4 * spread + 1)
+            if spare >= need or m > low:
                 break
             spare = need
         out.append((low, high, m, spare))
@@ -117,10 +128,6 @@ def schemes(most: int = 1 << 40) -> list[tuple[int, int, int, int]]:
     return out
 
 
-SCHEMES = schemes()
-_BEYOND = [x[1] for x in SCHEMES]
-
-
 #: The low bits of a region name its scheme; ``FEW`` is that of small sets.
 CODE, FEW = 6, 63
 
@@ -129,9 +136,9 @@ def _named(hashes: np.ndarray, code: int) -> np.ndarray:
     return (hashes >> np.uint64(CODE) << np.uint64(CODE)) | np.uint64(code)
 
 
-def _first(order: np.ndarray, code: int) -> np.ndarray:
+def _first(order: np.ndarray, code: int, near: int) -> np.ndarray:
     n = len(order)
-    return _named(mix(np.sort(order)[: n - -(-9 * n // 10) + 1] + np.uint64(code + 1)), code)
+    return _named(mix(np.sort(order)[: n - -(-near * n // 100) + 1] + np.uint64(code + 1)), code)
 
 
 def _classes(order: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,28 +149,28 @@ def _classes(order: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, (mix(sums) >> np.uint64(56)).astype(np.uint8)
 
 
-def regions(u: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+def regions(u: np.ndarray, near: int = NEAR, known: list | None = None) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
     """The regions of a set, and (scheme, a byte for each class).  Linked sets
-    that differ share a region."""
-    n = len(u)
-    if n < 9:  # no other set is near enough
+    that differ share a region.  ``known``: ``schemes(near)``."""
+    n, known = len(u), known or schemes(near)
+    if n < least_size(near):  # no other set is near enough
         return u[:0], []
     out, views = [], []
     order = mix(u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
-    if 9 * n <= 10 * (SMALL - 1):
-        out.append(_first(order, FEW))
+    if near * n <= 100 * (SMALL - 1):
+        out.append(_first(order, FEW, near))
         views.append((FEW, _classes(order, SMALL)[1].tobytes()))
     if n >= SMALL:
-        own = bisect.bisect_right(_BEYOND, n)
+        own = bisect.bisect_right(known, n, key=lambda x: x[1])
         for k in (own, own - 1):
-            if k < 0 or (k < own and 9 * n > 10 * (SCHEMES[k][1] - 1)):
+            if k < 0 or (k < own and near * n > 100 * (known[k][1] - 1)):
                 continue
-            _, _, m, spare = SCHEMES[k]
+            _, _, m, spare = known[k]
             sums, view = _classes(order, m)
             full = np.flatnonzero(sums)
             out.append(_named(mix(sums[full] + mix((full + (k << 40) + 2).astype(np.uint64))), k))
             if m - len(full) > spare:
-                out.append(_first(order, k))
+                out.append(_first(order, k, near))
             views.append((k, view.tobytes()))
     return np.concatenate(out), views
 
@@ -171,12 +178,14 @@ def regions(u: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
 NODES = "doc_id long, c long, n long, regions array<long>, views array<struct<code:int,view:binary>>"
 
 
-def _nodes(words: int):
+def _nodes(words: int, near: int):
+    known = schemes(near)
+
     def rows(batch):
         data, offs = arrow_bytes(batch.column("text"))
         for i, j in row_steps(offs):
             sets = list(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words))
-            both = [regions(u) for u in sets]
+            both = [regions(u, near, known) for u in sets]
             at = [x[0] for x in both]
             views = pa.array([[{"code": k, "view": v} for k, v in x[1]] for x in both], pa.list_(pa.struct([("code", pa.int32()), ("view", pa.binary())])))
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
@@ -188,7 +197,7 @@ def _nodes(words: int):
     return rows
 
 
-def _pairs(words: int):
+def _pairs(words: int, near: int):
     """Links between the texts a and b of each row, and their distance."""
 
     def rows(batch):
@@ -197,20 +206,20 @@ def _pairs(words: int):
         common = np.array([len(x) + len(y) - len(np.union1d(x, y)) for x, y in zip(one, two)])
         a, b = np.array([len(x) for x in one]), np.array([len(x) for x in two])
         far = 1 - common / np.maximum(1, a + b - common)
-        out = pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b)), pa.array(far)], ["c", "hub", "link", "far"])
+        out = pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b, near)), pa.array(far)], ["c", "hub", "link", "far"])
         yield out.filter(pa.array(right, pa.bool_()))
 
     return rows
 
 
 # ------------------------------------------------------------------- links
-def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """Links (u, v) that connect what is linked: nodes of a component, not all
     pairs.  ``texts``: doc_id, text; ``nodes``: stashed, see ``NODES``."""
     # One document stands for each set.
     one = nodes.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
     others = stash(nodes.where("n > 0").join(one, "c").where("doc_id != first").select("doc_id", "c").distinct(), "others")
-    nodes = drop_ids(nodes.where("n >= 9"), others, ["doc_id", "c"])
+    nodes = drop_ids(nodes.where(F.col("n") >= least_size(near)), others, ["doc_id", "c"])
     members = nodes.select("doc_id", "c", "n", F.explode("regions").alias("region"))
     crowded = stash(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "regions")
     members = stash(members.join(small(crowded), "region").distinct(), "members")
@@ -219,26 +228,26 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     pivots = members.join(score, "c").groupBy("region").agg(F.max(F.struct("score", "c", "doc_id")).alias("pivot"))
     best = members.join(pivots, "region").where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"), F.first("doc_id").alias("doc_id"))
     star = stash(best.join(score, "c").where(F.struct("pivot.score", "pivot.c") > F.struct("score", "c")).select("c", "doc_id", F.col("pivot.c").alias("hub"), F.col("pivot.doc_id").alias("hub_doc")), "star")
-    near = measure(texts, star, words)
-    found = near.where("link").select("c", "hub")
+    measured = measure(texts, star, words, near)
+    found = measured.where("link").select("c", "hub")
     up = found.select(F.col("c").alias("hub"), F.col("hub").alias("top"))
     labels = found.join(up, "hub", "left").select("c", F.coalesce("top", "hub").alias("label"))
-    return found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(texts, nodes, members, labels, near, words))
+    return found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(texts, nodes, members, labels, measured, words, near))
 
 
-def measure(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def measure(texts: DataFrame, pairs: DataFrame, words: int, near: int) -> DataFrame:
     """c, hub, link and far (distance) of pairs (c, doc_id, hub, hub_doc)."""
     ids = stash(pairs.select("doc_id").union(pairs.select("hub_doc")).distinct(), "pair_ids")
     own = keep_ids(texts, ids)
     rows = pairs.join(own.withColumnRenamed("text", "a"), "doc_id").join(own.select(F.col("doc_id").alias("hub_doc"), F.col("text").alias("b")), "hub_doc")
     # Where rows repeat a doc_id with other texts, only the right ones count.
-    return stash(map_arrow(rows.select("c", "hub", "a", "b"), _pairs(words), "c long, hub long, link boolean, far double").distinct(), "measured")
+    return stash(map_arrow(rows.select("c", "hub", "a", "b"), _pairs(words, near), "c long, hub long, link boolean, far double").distinct(), "measured")
 
 
-def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame, near: DataFrame, words: int) -> DataFrame:
+def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame, measured: DataFrame, words: int, near: int) -> DataFrame:
     """Links inside regions whose members don't yet hang together."""
     members = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    members = stash(members.join(near.select("c", "hub", "far"), "c", "left"), "labelled")
+    members = stash(members.join(measured.select("c", "hub", "far"), "c", "left"), "labelled")
     groups = members.groupBy("region").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("print")
     )
@@ -258,13 +267,13 @@ def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: Data
     cells = stash(place.unionByName(other).select(block, F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code"), *keep[1:], "mine"), "cells")
     views = nodes.select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view").distinct()
     cells = cells.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
-    open_ = stash(cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(open_members)), OPEN), "open_members")
+    open_ = stash(cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(lambda x: open_members(x, near))), OPEN), "open_members")
     # Most pairs are open in many regions: of blocks with the same open members one stays.
     marks = open_.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c", "mine").cast("decimal(38,0)")).alias("print"))
     open_ = stash(open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block"), "open_blocks")
     ids = stash(open_.select("doc_id").distinct(), "open_ids")
     rows = open_.join(keep_ids(texts, ids), "doc_id").repartition(F.col("block")).sortWithinPartitions("block", "c")
-    found = rows.select("block", "c", "doc_id", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words))), "u long, v long")
+    found = rows.select("block", "c", "doc_id", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words, near))), "u long, v long")
     return stash(found.distinct(), "within")
 
 
@@ -288,7 +297,7 @@ def _by_block(fn):
     return run
 
 
-def open_members(rows: list[tuple]) -> pa.RecordBatch:
+def open_members(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
     """The rows of a block (see ``OPEN``) with a partner that may be linked."""
     others = [x for x in rows if not x[7]]
     keep: set[int] = set()
@@ -302,14 +311,14 @@ def open_members(rows: list[tuple]) -> pa.RecordBatch:
             _, own, _, size, own_label, own_hub, own_far, mine, view = x
             if not mine:
                 continue
-            open_ = (label != own_label) & (100 * np.minimum(size, n) >= 90 * np.maximum(size, n))
+            open_ = (label != own_label) & (100 * np.minimum(size, n) >= near * np.maximum(size, n))
             # Triangle inequality: linked sets have distances to a common pivot within tau.
-            open_ &= (hub != (own if own_hub is None else own_hub)) | (np.abs(far - (own_far or 0.0)) <= 0.1 + 1e-9)
+            open_ &= (hub != (own if own_hub is None else own_hub)) | (np.abs(far - (own_far or 0.0)) <= 1 - near / 100 + 1e-9)
             at = np.flatnonzero(open_)
             if not len(at):
                 continue
             differ = np.count_nonzero(views[at] != np.frombuffer(view, np.uint8), axis=1)
-            at = at[19 * differ <= size + n[at]]
+            at = at[(100 + near) * differ <= (100 - near) * (size + n[at])]
             if len(at):
                 mine_kept.append(x)
                 keep.update(at.tolist())
@@ -318,7 +327,7 @@ def open_members(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], v) for i, v in zip((0, 1, 2, 4, 7), types)], ["block", "c", "doc_id", "label", "mine"])
 
 
-def forest(rows: list[tuple], words: int = WORDS) -> pa.RecordBatch:
+def forest(rows: list[tuple], words: int = WORDS, near: int = NEAR) -> pa.RecordBatch:
     """Links between members of a block that join what is not joined yet."""
     sets = text_sets(pa.array([x[5] for x in rows], pa.string()), words)
     right = [i for i, u in enumerate(sets) if node(u) == rows[i][1]]  # where rows repeat a doc_id
@@ -342,7 +351,7 @@ def forest(rows: list[tuple], words: int = WORDS) -> pa.RecordBatch:
             has[where] = 1
             common = np.add.reduceat(has[cells], offs)
             has[where] = 0
-            good = np.flatnonzero(linked(common, len(u), size) & (group != joined[at[i]]))
+            good = np.flatnonzero(linked(common, len(u), size, near) & (group != joined[at[i]]))
             for j in good.tolist():
                 if joined[other_at[j]] != joined[at[i]]:
                     found.append((rows[i][1], rows[others[j]][1]))
@@ -373,11 +382,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_components(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    nodes = stash(map_arrow(texts, _nodes(words), NODES), "nodes")
-    roots = components(links(texts, nodes, words))
+    nodes = stash(map_arrow(texts, _nodes(words, near), NODES), "nodes")
+    roots = components(links(texts, nodes, words, near))
     rows = nodes.select("doc_id", "c", "n").join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     rows = stash(rows.select("doc_id", "n", "root"), "rooted")
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -385,9 +394,9 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """The rows of ``docs`` that are the first of their component by doc_id."""
-    losers = near_components(docs, words).where("doc_id != component_id").select("doc_id").distinct()
+    losers = near_components(docs, words, near).where("doc_id != component_id").select("doc_id").distinct()
     return drop_ids(docs, stash(losers, "losers"))
 
 
