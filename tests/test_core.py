@@ -166,6 +166,34 @@ def test_bootstrap(spark, kind):
     assert (again["ci_lo"], again["ci_hi"]) == pytest.approx((r["ci_lo"], r["ci_hi"]))
 
 
+def test_poisson_weights_of_equal_values(spark):
+    """Against weights drawn one by one with numpy."""
+    import numpy as np
+
+    values = [0.0] * 1500 + [1.0] * 4500 + [0.5] * 3 + [0.25]
+    r = aggregate.poisson_bootstrap(scores(spark, values)).first()
+    v, rng = np.array(values), np.random.default_rng(1)
+    w = rng.poisson(1.0, (4000, len(v)))
+    low, high = np.quantile(w @ v / w.sum(1), [0.025, 0.975])
+    assert (r["ci_lo"], r["ci_hi"]) == pytest.approx((low, high), abs=0.001)
+
+
+def test_registered_intervals_cover_all_metrics(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from wavequery import catalogue
+    from wavequery.operators.evaluators import METRICS
+
+    start, kinds = datetime(2024, 1, 1), ["click", "view", "error"]
+    rows = [(i, start + timedelta(minutes=37 * i), i % 5, kinds[i % 3], float(i % 9)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    taken, real = [], aggregate._interval
+    monkeypatch.setattr(aggregate, "_interval", lambda means, confidence: taken.append(means) or real(means, confidence))
+    got = {(r["task"], r["metric"]) for r in catalogue.QUERIES["bootstrap_poisson"](spark, str(tmp_path)).collect()}
+    assert got == {(t, m) for t in METRICS for m in METRICS[t]}
+    assert taken[0].agg(F.max("b")).first()[0] == 9_999
+
+
 def test_ranking_breaks_ties_by_name(spark):
     df = scores(spark, [0.5]).unionByName(scores(spark, [0.5]).withColumn("model", F.lit("a")))
     ranks = {r["model"]: r["rank"] for r in aggregate.rank_models(aggregate.summarise(df)).collect()}

@@ -207,8 +207,9 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def bootstrap_poisson(spark, sf_dir):
-    """The interval by Poisson weights, for groups of any size."""
-    return aggregate.poisson_bootstrap(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"), 100)
+    """The interval of every metric of every task by Poisson weights, with the
+    replicates of the configuration."""
+    return aggregate.poisson_bootstrap(all_scores(spark, sf_dir))
 
 
 @query(f"SELECT task, model, {o.r6('score')} AS score, rank FROM ({o.RANKED})")
