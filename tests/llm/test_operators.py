@@ -302,6 +302,16 @@ def test_ledger_scans_only_unseen_blobs(spark, docs, nothing):
     assert secrets.scan_versions(nothing)[0].count() == 0
 
 
+def test_second_version_of_a_scanned_path(spark):
+    schema = "doc_id long, text string"
+    first = [(1, "old secret=abcdefgh"), (2, "same"), (None, "old token=abcdefgh")]
+    _, ledger = secrets.scan_versions(spark.createDataFrame(first, schema))
+    both = spark.createDataFrame([*first, (1, "new password=abcdefgh"), (None, "new")], schema)
+    found, fresh = secrets.scan_versions(both, ledger)
+    assert fresh.count() == 2
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in found.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)]
+
+
 # -------------------------------------------------------------- winnowing
 def winnow(t, k=winnowing.K, w=winnowing.WINDOW):
     units = np.frombuffer(t.encode("utf-32-le"), np.uint32)

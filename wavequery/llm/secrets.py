@@ -91,6 +91,8 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, version: str
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     texts = drop_ids(texts, others) if others.count() <= unseen.count() else _keep(texts, unseen, ids)
     texts = texts.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("blob"))
+    if ledger is not None:  # a doc_id may also have versions that the ledger has
+        texts = keep_ids(texts, unseen.select("blob"), "blob")
     found = map_arrow(texts, _scan(version, rules), LEDGER)
     fresh = stash(found, "ledger").dropDuplicates(["blob"])
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == version))
