@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from wavequery.llm import exact_dedup, jaccard_join, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
+from wavequery.llm import common, exact_dedup, jaccard_join, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
 
 WORDS = "the of and in that it was for with ocean river stone light paper green house seven walking under über café naïve señor".split()
 
@@ -78,10 +78,20 @@ def test_exact_dedup_keeps_columns(clashing, rows, nothing):
     last = {}
     for i, t, _ in rows:
         last[t or ""] = max(i, last.get(t or "", -1))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t, _ in rows if i == last[t or ""])
+    assert sorted((r["text"] or "", r["doc_id"]) for r in kept.collect()) == sorted(last.items())
     assert exact_dedup.exact_groups(nothing).count() == 0
 
 
+def test_exact_dedup_with_repeated_and_null_ids(spark):
+    rows = [(7, "same"), (9, "same"), (7, "other text"), (None, "same"), (None, "alone"), (None, "alone"), (None, None), (3, ""), (5, "twice"), (5, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1_000_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "BROADCAST_IDS", most)
+            got = sorted(((r["doc_id"], r["text"] or "") for r in exact_dedup.deduplicate(docs).collect()), key=str)
+        assert got == sorted([(9, "same"), (7, "other text"), (None, "alone"), (3, ""), (5, "twice")], key=str)
+
+
 # -------------------------------------------------------------- mixing
 def shares(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
@@ -128,6 +138,21 @@ def test_mixed_repeats_rows(clashing, docs):
     for i in plan:
         if i not in (404,):
             assert got[i] == plan[i]
+    assert got[404] in (0, 2, 4)
+
+
+def test_mixed_with_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    rows = [(i % 150 if i % 7 else None, text(rng, rng.randint(0, 30)), rng.choice(["a", "b", "c", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, words = mixing.mix(docs).collect(), collections.Counter()
+    for r in mixing.mixed(docs.repartition(3)).collect():
+        words[r["source"]] += len(r["text"].split())
+    taken = collections.Counter()
+    for r in plan:
+        taken[r["source"]] += r["taken"]
+    assert words == +taken and len(plan) == len(rows)
+    assert mixing.mixed(docs.where("false")).count() == 0
 
 
 # -------------------------------------------------------------- Jaccard join
@@ -284,54 +309,113 @@ def test_secret_spans():
     assert s[spans[0][0] : spans[0][2]] == 'Password = "hunter22x'
 
 
+def base_rules(t):
+    """The base spans of a text, found one position at a time."""
+    found = []
+    kinds = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    )
+    for rank, (kind, pattern, good) in enumerate(kinds):
+        i = 0
+        while i <= len(t):
+            m = pattern.match(t, i)
+            if m and m.end() > i:
+                if good(m):
+                    found.append((i, rank, m.end(), kind))
+                i = m.end()
+            else:
+                i += 1
+    return sorted(found)
+
+
+def test_secrets_by_brute_force(spark, rows):
+    rng = random.Random(9)
+    bits = ["password", "Token", "api_key", "APIKEY", "=", ": ", "\"", "'", " ", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef" * 3, "0123456789abcdef" * 2, "x1y2z3", "é", "\n", "eyJhbGci.eyJzdWIi.abc", "ghp_" + "a1" * 20]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(300)] + [t or "" for _, t, _ in rows]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ledger = secrets.Ledger(spark)
+    paths, n = ledger.scan(docs)
+    assert n == len(set(texts))
+    for r in ledger.findings(paths).collect():
+        want = base_rules(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[3] == k for x in want) for k in secrets.BASE)
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in spans if x.split(":")[0] in secrets.BASE] == [f"{k}:{a}:{b}" for a, _, b, k in want]
+
+
 def test_ledger_scans_only_unseen_blobs(spark, docs, nothing):
     from pyspark.sql import functions as F
 
     texts = docs.withColumn("text", F.when(F.col("doc_id") < 10, F.concat("text", F.lit(' token = "abcdef1234"'))).otherwise(F.col("text")))
-    found, ledger = secrets.scan_versions(texts)
-    got = by_id(found)
-    assert len(got) == texts.select("doc_id").distinct().count()
-    assert all(r["n_assign"] == (i < 10) for i, rs in got.items() for r in rs if i is not None)
-    assert ledger.count() == texts.select(F.coalesce("text", F.lit(""))).distinct().count()
+    ledger = secrets.Ledger(spark)
+    paths, n = ledger.scan(texts)
+    found = ledger.findings(paths)
+    assert found.count() == texts.count()
+    assert all(r["n_assign"] == (r["doc_id"] < 10) for r in found.collect())
+    assert n == texts.select(F.coalesce("text", F.lit(""))).distinct().count() == ledger.rows(secrets.RULE_VERSION).count()
     more = texts.unionByName(spark.createDataFrame([(999, "new secret=abcdefgh", "s")], texts.schema))
-    again, fresh = secrets.scan_versions(more, ledger)
-    assert fresh.count() == 1
-    assert again.count() == more.count()
-    _, other = secrets.scan_versions(texts, ledger, version="another")
-    assert other.count() == ledger.count()
-    assert secrets.scan_versions(nothing)[0].count() == 0
+    again, fresh = secrets.Ledger(spark, ledger.path).scan(more)
+    assert fresh == 1 and ledger.findings(again).count() == more.count()
+    assert ledger.scan(more)[1] == 0
+    assert ledger.scan(texts, "another")[1] == n
+    assert secrets.Ledger(spark).scan(nothing)[1] == 0 and ledger.findings(ledger.scan(nothing)[0]).count() == 0
 
 
 def test_second_version_of_a_scanned_path(spark):
     schema = "doc_id long, text string"
     first = [(1, "old secret=abcdefgh"), (2, "same"), (None, "old token=abcdefgh")]
-    _, ledger = secrets.scan_versions(spark.createDataFrame(first, schema))
+    ledger = secrets.Ledger(spark)
+    assert ledger.scan(spark.createDataFrame(first, schema))[1] == 3
     both = spark.createDataFrame([*first, (1, "new password=abcdefgh"), (None, "new")], schema)
-    found, fresh = secrets.scan_versions(both, ledger)
-    assert fresh.count() == 2
-    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in found.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)]
+    paths, n = ledger.scan(both)
+    assert n == 2
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in ledger.findings(paths).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)]
 
 
 # -------------------------------------------------------------- winnowing
+def gram_hash(part):
+    """The polynomial of some code points, mixed, with Python's numbers."""
+    h, top = 0, (1 << 64) - 1
+    for c in part:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & top
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & top
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & top
+    return (h ^ h >> 32) >> 32
+
+
 def winnow(t, k=winnowing.K, w=winnowing.WINDOW):
-    units = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    if len(units) < k:
-        return [0] if len(units) else []
-    _, pos, _ = winnowing.select_hashes(units, np.array([0, len(units)]))
-    sums = winnowing.prefix_sums(units)
-    at = np.arange(len(units) - k + 1)
-    h = (winnowing.span_hashes(sums, at, at + k) >> np.uint64(32)).tolist()
+    """(position, hash) of what is selected, one window at a time."""
+    if len(t) < k:
+        return []
+    h = [gram_hash(t[i : i + k]) for i in range(len(t) - k + 1)]
     want = set()
     for i in range(max(1, len(h) - w + 1)):
         part = h[i : i + w]
         want.add(i + max(j for j, x in enumerate(part) if x == min(part)))
-    assert sorted(want) == pos.tolist()
-    return sorted(want)
+    return [(i, h[i]) for i in sorted(want)]
 
 
-def test_winnowing_selects_rightmost_minima(rows):
-    for _, t, _ in rows:
-        winnow(t or "")
+def hex_print(t):
+    at, out = 0, []
+    for i, h in winnow(t):
+        out.append(f"{h:08x}{i - at:02x}")
+        at = i
+    return "".join(out)
+
+
+def test_winnowing_selects_rightmost_minima(rows, monkeypatch):
+    texts = [t or "" for _, t, _ in rows]
+    long = [i for i, t in enumerate(texts) if len(t) >= winnowing.K or not t]
+    for step in (winnowing.STEP, 300):  # the second: longer texts in pieces
+        monkeypatch.setattr(winnowing, "STEP", step)
+        prints, sets = winnowing.fingerprints(texts)
+        assert [prints[i] for i in long] == [hex_print(texts[i]) for i in long]
+        assert all(set(sets[i].tolist()) == {h for _, h in winnow(texts[i])} for i in long)
 
 
 def test_winnowing_guarantee():
@@ -352,6 +436,18 @@ def test_winnowing_pairs(spark, docs, rows, nothing):
     got = winnowing.pair_with_next(docs.where("doc_id <> 404")).mapInArrow(winnowing._compare, winnowing.SCHEMA).collect()
     assert {r["doc_id"]: r["edited_sha256"] for r in got} == want and len(got) == len(unique)
     texts = {i: t or "" for i, t, _ in unique}
+    after = {i: b or "" for (i, _, _), (_, b, _) in zip(order, order[1:] + order[:1])}
+
+    def alike(a, b):
+        x, y = ({h for _, h in winnow(t)} for t in (a, b))
+        return len(x & y) / len(x | y) if x and y else float(not x and not y)
+
+    for r in got:  # likeness, by brute force
+        a, b = texts[r["doc_id"]], after[r["doc_id"]]
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        if min(len(a), len(b), len(edited)) >= winnowing.K:
+            assert r["near_next"] == pytest.approx(alike(a, b)) and r["near_edited"] == pytest.approx(alike(a, edited))
+            assert r["edited_fingerprint"] == hex_print(edited)
     prints = {}
     for r in got:
         prints.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
@@ -401,7 +497,7 @@ def test_pieces_on_odd_characters(monkeypatch):
     ["und.34@mail7.example.com", "4111 1111 1111 1111", "4845168114407329", "+1 (017) 555-7713", "97.51.17.173", "2024-02-29", "31.12.1999", "12/25/2001", "DE89 3704 0044 0532 0130 00", "123-45-6789"],
 )
 def test_pseudonyms_turn_back(value):
-    c = pii.Cipher()
+    c = pii.Cipher(b"key")
     s = f"it was {value} then, {value}."
     new, spans = pii.replace(s, c)
     assert len(spans) == 2 and value not in new
@@ -412,22 +508,44 @@ def test_pseudonyms_turn_back(value):
     assert pii.replace(s, pii.Cipher(b"other"))[0] != new
 
 
-@pytest.mark.parametrize("value", ["2023-02-30", "4111 1111 1111 1112", "300.1.2.3", "DE00 3704 0044 0532 0130 00", "31.13.1999"])
+@pytest.mark.parametrize("value", ["2023-02-30", "4111 1111 1111 1112", "300.1.2.3", "DE00 3704 0044 0532 0130 00", "31.13.1999", "000-12-3456", "666-12-3456", "123-00-4567", "123-45-0000", "000-000-0000", "a" * 65 + "@mail.example.com", "a@" + "b." * 200 + "com", "y" * 20000 + "@x.com"])
 def test_invalid_values_stay(value):
-    assert pii.replace(f"x {value} y", pii.Cipher())[1] == []
+    assert pii.replace(f"x {value} y", pii.Cipher(b"key"))[1] == []
 
 
 def test_feistel_is_a_permutation():
-    c = pii.Cipher()
+    c = pii.Cipher(b"key")
     for size in (1, 2, 3, 10, 97, 366):
         assert sorted(c.permute("t", v, size) for v in range(size)) == list(range(size))
         assert all(c.permute("t", c.permute("t", v, size), size, back=True) == v for v in range(size))
 
 
+@pytest.mark.parametrize("value", ["1.2.2001", "01.02.2001", "9/14/1980", "28.2.1999", "3.11.2020", "1999-01-02"])
+def test_dates_keep_their_writing(value):
+    seen, c = set(), pii.Cipher(b"key")
+    for _ in range(200):
+        new = c.pseudonym("date", value)
+        assert [len(x) for x in re.split("[-./]", new)] == [len(x) for x in re.split("[-./]", value)]
+        assert c.pseudonym("date", new, back=True) == value
+        assert new not in seen
+        seen.add(new)
+        value = new
+
+
+def test_numbers_are_permuted_within_their_format():
+    c = pii.Cipher(b"key")
+    some = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 2, 665, 667, 899, 900, 999) for g in (1, 50, 99) for s in (1, 5000, 9999)]
+    new = [c.pseudonym("ssn", x) for x in some]
+    assert len(set(new)) == len(some) and [c.pseudonym("ssn", x, back=True) for x in new] == some
+    assert all(x[:3] not in ("000", "666") and x[4:6] != "00" and x[7:] != "0000" for x in new)
+    with pytest.raises(ValueError):
+        pii.Cipher(b"")
+
+
 def test_pii_edges(clashing, nothing):
-    out = pii.pseudonymise(clashing)
+    out = pii.pseudonymise(clashing, b"key")
     assert out.count() == clashing.count() and out.columns.count("spans") == 1
-    assert pii.pseudonymise(nothing).count() == 0
+    assert pii.pseudonymise(nothing, b"key").count() == 0
 
 
 # -------------------------------------------------------------- classifiers

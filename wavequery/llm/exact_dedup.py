@@ -12,24 +12,39 @@
 
 Edge cases: null text counts as empty and equals the empty text; two rows that
 repeat a doc_id are two rows of the same group; the group keeps the largest
-doc_id (null doc_ids sort lowest); an empty table gives an empty result; other columns
-of the input play no role here and survive in ``deduplicate``.
+doc_id (null doc_ids sort lowest, a group without any keeps null); texts are
+hashed whole, however long; an empty table gives an empty result; other columns
+of the input, whatever their names, play no role here and survive in
+``deduplicate``, which keeps exactly one row for every text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, read_documents, stash, text_or_empty
+from .common import drop_ids, keep_ids, read_documents, stash, text_or_empty
 
 #: Share of all rows from which a digest may count as heavy.
 SUPPORT = 1 / 2000
 
 
+def text_sha() -> Column:
+    return F.sha2(text_or_empty().cast("binary"), 256)
+
+
+#: A column that rows have on the way, and 60 bits of a digest as a number: with
+#: the doc_id, they name a row in 16 bytes.
+_SHA = "_text_sha_of_exact_dedup"
+
+
+def _short(sha: Column) -> Column:
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+
+
 def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    digests = stash(docs.select("doc_id", F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256")), "digests")
+    digests = stash(docs.select("doc_id", text_sha().alias("text_sha256")), "digests")
     heavy = _heavy_groups(digests, support)
     light = digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
     groups = light.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -50,11 +65,18 @@ def _heavy_groups(digests: DataFrame, support: float) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Of rows that
-    repeat both text and doc_id all stay: they can't be told apart by id."""
-    groups = exact_groups(docs, support)
-    losers = stash(groups.where(~F.col("kept")).select("doc_id").distinct(), "losers")
-    return drop_ids(docs, losers)
+    """One row of ``docs`` for every text, with all its columns: the one with
+    the largest doc_id.  Rows are told apart by doc_id and text together, so rows
+    that share a doc_id and differ in text all stay, null doc_ids included.  Of
+    rows that repeat both, the first one met stays."""
+    groups = exact_groups(docs, support).where("group_size > 1").withColumn("sha", _short(F.col("text_sha256")))
+    rows = stash(groups.groupBy("doc_id", "sha").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "copies")
+    losers, twice = (rows.where(test).select("doc_id", "sha") for test in ("not kept", "kept and n > 1"))
+    keyed = docs.withColumn(_SHA, _short(text_sha()))
+    if not twice.limit(1).count():
+        return drop_ids(keyed, losers, ["doc_id", _SHA]).drop(_SHA)
+    kept = drop_ids(keyed, losers.unionByName(twice), ["doc_id", _SHA])
+    return kept.unionByName(keep_ids(keyed, twice, ["doc_id", _SHA]).dropDuplicates([_SHA])).drop(_SHA)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,17 @@ sums run inside buckets and are offset by the bucket totals, so a source with a
 third of all rows never meets in one task.  Row counts, not values, bound every
 table that is broadcast.
 
-Edge cases: null text has size 0; documents of size 0 take 0 words; a source
-without words has target 0; null is a source of its own, last in order; rows
-that repeat a doc_id share a key and are ordered by size; an empty table gives
-an empty result.
+What a source takes beyond its epochs is a prefix of this order, so ``mixed``
+needs no join by document: each source's last taken document, one row a source,
+meets the documents where they are, and no text is shuffled.
+
+Edge cases: null text has size 0; documents of size 0 take 0 words, and are
+part of ``mixed`` once an epoch; a source without words has target 0; null is a source of its
+own, last in order; rows without a doc_id draw by their text; rows that repeat a
+doc_id share a draw and are ordered by size and text; rows equal in all of
+these are taken alike by ``mixed``, as the first of them is; texts are counted
+whole, however long; an empty table gives an empty result; other columns,
+whatever their names, play no role and survive in ``mixed``.
 """
 
 from __future__ import annotations
@@ -69,33 +76,47 @@ def source_targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, w
     return t.withColumn("target", target.cast("double")).drop("_w", "_cap", "_ratio", "_level")
 
 
+def _level(weight: Column) -> Column:
+    level = F.lit(LEVELS[-1])
+    for x in reversed(LEVELS[:-1]):
+        level = F.when(weight <= x, F.lit(x)).otherwise(level)
+    return level
+
+
+def _ordered(docs: DataFrame, weight: Column | None, seed: int) -> list[Column]:
+    """What decides a row's place: its source, size, weight level, key, and the
+    doc_id and text hash that order rows of one key."""
+    text = text_or_empty()
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    weight = quality_weight(F.length(text), size) if weight is None else weight
+    draw = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary")))), seed)
+    return [
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_s"),
+        size.alias("_size"),
+        _level(weight).alias("_level"),
+        (-F.log(draw) / weight).alias("_key"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
+        F.xxhash64(text).alias("_hash"),
+    ]
+
+
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source for every row.
 
     ``weight``: a column in (0, 1]; by default ``quality_weight`` of the text.
     ``copies``: how often the mix holds the document; taken = size * copies.
     """
+    rows = _plan(docs, weight, seed, share, cap, weights)
+    return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), "copies", "source")
+
+
+def _plan(docs: DataFrame, weight: Column | None, seed: int, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
+    """For every row: its place (see ``_ordered``), epochs, whether one copy
+    more is taken, and copies."""
     spark = docs.sparkSession
-    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.length(text_or_empty()).alias("_chars"), *([weight.alias("_weight")] if weight is not None else []))
-    if weight is None:
-        narrow = narrow.withColumn("_weight", quality_weight(F.col("_chars"), F.col("size")))
-    level = F.lit(LEVELS[-1])
-    for x in reversed(LEVELS[:-1]):
-        level = F.when(F.col("_weight") <= x, F.lit(x)).otherwise(level)
-    narrow = stash(
-        narrow.select(
-            "doc_id",
-            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_s"),
-            "source",
-            "size",
-            level.alias("_level"),
-            (-F.log(unit_hash(F.col("doc_id"), seed)) / F.col("_weight")).alias("_key"),
-        ),
-        "sizes",
-    )
+    narrow = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), *_ordered(docs, weight, seed)), "sizes")
     shares = [F.avg((F.col("_level") == x).cast("double")).alias(f"_p{i}") for i, x in enumerate(LEVELS)]
-    sources = narrow.groupBy("_s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"), *shares)
+    sources = narrow.groupBy("_s").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"), *shares)
     targets = stash(source_targets(sources, share, cap, weights), "targets")
     total = targets.agg(F.sum("_rows").alias("rows"), F.count(F.lit(1)).alias("n")).first()
     buckets = 2 * partitions(spark)
@@ -103,28 +124,32 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED, share:
     rows = narrow.join(F.broadcast(side) if total["n"] <= BROADCAST_SOURCES else side, "_s")
     below = sum((F.col(f"_p{i}") * (1 - F.exp(-F.col("_key") * x)) for i, x in enumerate(LEVELS)), F.lit(0.0))
     own = F.greatest(F.lit(1.0), F.ceil(F.col("_rows") * (buckets / max(1, total["rows"] or 1))))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_s", "_key", F.least(own - 1, F.floor(below * own)).cast("int").alias("_b"))
-    sums = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_words"))
+    rows = rows.select("doc_id", "source", "_size", "source_size", "target", "_s", "_key", "_id", "_hash", F.least(own - 1, F.floor(below * own)).cast("int").alias("_b"))
+    sums = rows.groupBy("_s", "_b").agg(F.sum("_size").alias("_words"))
     ahead = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_s", "_b", F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_s", "_b").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_upto", F.sum("size").over(inside)).join(sums, ["_s", "_b"])
+    inside = Window.partitionBy("_s", "_b").orderBy("_key", "_id", "_size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", F.sum("_size").over(inside)).join(sums, ["_s", "_b"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    before = F.col("_offset") + F.col("_upto") - F.col("size")
-    more = (F.col("size") > 0) & (2 * before + F.col("size") <= 2 * rest)
-    copies = epochs + more.cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all columns, each as often as the mix takes
-    it.  Rows that repeat a doc_id are taken as often as the first of them; rows
-    without a doc_id are left out."""
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.struct("size", "copies"))["copies"].alias("_mix_n"))
-    rows = docs.join(plan.where("_mix_n > 0"), F.col("doc_id") == F.col("_mix_id"))
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
-    return rows.drop("_mix_id", "_mix_n", "_mix_copy")
+    rows = rows.withColumn("epochs", epochs)
+    rest = F.col("target") - F.col("epochs") * F.col("source_size")
+    before = F.col("_offset") + F.col("_upto") - F.col("_size")
+    rows = rows.withColumn("more", (F.col("_size") > 0) & (2 * before + F.col("_size") <= 2 * rest))
+    return rows.withColumn("copies", F.col("epochs") + F.col("more").cast("long"))
+
+
+def mixed(docs: DataFrame, weight: Column | None = None, seed: int = SEED, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs``, with all columns, each as often as the mix takes it."""
+    place = F.struct("_key", "_id", "_size", "_hash")
+    plan = _plan(docs, weight, seed, share, cap, weights)
+    last = stash(plan.groupBy(F.col("_s").alias("_mix_s")).agg(F.first("epochs").alias("_mix_n"), F.max(F.when(F.col("more"), place)).alias("_mix_last")), "last_taken")
+    side = F.broadcast(last) if last.count() <= BROADCAST_SOURCES else last
+    own = F.struct(*_ordered(docs, weight, seed))
+    rows = docs.withColumn("_mix_own", own).join(side, F.col("_mix_own._s") == F.col("_mix_s"))
+    at = F.struct(*[F.col(f"_mix_own.{c}") for c in ("_key", "_id", "_size", "_hash")])
+    more = (F.col("_mix_own._size") > 0) & F.coalesce(at <= F.col("_mix_last"), F.lit(False))
+    rows = rows.withColumn("_mix_n", (F.col("_mix_n") + more.cast("long")).cast("int")).where("_mix_n > 0")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

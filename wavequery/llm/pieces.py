@@ -12,16 +12,25 @@ Relaxation: a token sequence is the BPE encoding exactly if every two
 neighbours are the encoding of their own concatenation.  So among the edges
 that end at a position, the one that is kept is the longest whose piece agrees
 with the token kept where it starts.  If none agrees, the cut is merged plainly.
+Cuts of over ``FAR`` characters (runs without any place to cut) are merged
+window by window; neighbours agree where windows meet, so the result is exact.
 
 Encoding a text and decoding the ids gives the text back, but for U+2581, which
-the format itself writes for a space.  Edge cases: null and empty texts have no
-ids and decode to the empty text; characters without a piece become their UTF-8
-bytes; repeated rows are encoded each; long texts are cut into parts, never
-short; an empty table gives an empty result.
+the format itself writes for a space.  Every text's ids are decoded and compared;
+where they differ for any other reason (two cuts with one hash), the text is
+encoded anew without what the worker remembers, so results don't depend on a
+worker's history.
+
+Edge cases: null and empty texts have no ids and decode to the empty text;
+characters without a piece become their UTF-8 bytes; repeated rows, and rows
+without a doc_id, are encoded each; very long texts are encoded whole, in parts
+of bounded size; an empty table gives an empty result; other columns are kept,
+those named as the operator's own replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import sys
 import types
@@ -31,7 +40,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, prefix_sums, read_documents, span_hashes, text_or_empty
+from .common import arrow_bytes, map_arrow, read_documents, row_steps, span_hashes, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,7 +50,11 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 #: Characters of text that are cut and encoded at a time; of new cuts that one
 #: suffix array indexes; cuts that a worker remembers.
-PART, INDEX, REMEMBERED, PAIR_BITS = 1 << 20, 1 << 18, 2_000_000, 21
+PART, INDEX, REMEMBERED, PAIR_BITS = 1 << 20, 1 << 18, 500_000, 20
+
+#: Characters of a cut from which it is merged in windows; of a window; of what
+#: is left to the next window.
+FAR, WINDOW, LEFT = 1024, 4096, 128
 
 
 def _fields(data: bytes):
@@ -89,7 +102,7 @@ class Pieces:
     def __init__(self, model: list[tuple[str, float, int]]) -> None:
         self.model = model
         self.ids = {p: i for i, (p, _, kind) in enumerate(model) if kind == NORMAL}
-        self.scores = [s for _, s, _ in model]
+        self.costs = {p: -s for p, s, kind in model if kind == NORMAL}
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(model) if kind == BYTE}
         self.plain = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else p.encode() if kind == NORMAL else b"" for p, _, kind in model]
         self.plain_bytes = np.frombuffer(b"".join(self.plain), np.uint8)
@@ -126,18 +139,77 @@ class Pieces:
     # -------------------------------------------------------------- encoding
     def merged(self, cut: str) -> list[str]:
         """Plain BPE: the best-scored, leftmost pair is merged until none is left."""
-        parts = list(cut)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(cut) > 64:
+            return self._merged_by_heap(cut)
+        parts, none, cost = list(cut), float("inf"), self.costs.get
+        costs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
+        while costs and (best := min(costs)) < none:
+            k = costs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del costs[k]
+            if k:
+                costs[k - 1] = cost(parts[k - 1] + parts[k], none)
+            if k < len(costs):
+                costs[k] = cost(parts[k] + parts[k + 1], none)
         return parts
 
+    def _merged_by_heap(self, cut: str) -> list[str]:
+        parts: list[str | None] = list(cut)
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(c, i, cut[i : i + 2]) for i in range(n - 1) if (c := self.costs.get(cut[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, piece = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != len(piece) or parts[i] + parts[j] != piece:
+                continue  # a neighbour has changed meanwhile
+            parts[i], parts[j], after[i] = piece, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (c := self.costs.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (c, a, parts[a] + parts[b]))
+        return [p for p in parts if p is not None]
+
+    def _plain_ids(self, parts: list[str]) -> list[int]:
+        out = []
+        for p in parts:
+            i = self.ids.get(p)
+            out += [i] if i is not None else [self.bytes[b] for b in p.encode()]
+        return out
+
+    def merged_far(self, cut: str) -> np.ndarray:
+        """The ids of a long cut: windows are merged one after the other, each
+        from where the one before is settled; if the tokens that meet there don't
+        agree, from a token earlier."""
+        done, parts, at = [], [], 0
+        while at < len(cut):
+            more = self.merged(cut[at : at + WINDOW])
+            if parts and parts[-1] in self.ids and more[0] in self.ids and self.merged(parts[-1] + more[0]) != [parts[-1], more[0]]:
+                at -= len(parts.pop())
+                continue
+            if at + WINDOW < len(cut):
+                rest = 0
+                while rest < LEFT:
+                    rest += len(more.pop())
+            at += sum(map(len, more))
+            parts += more
+            if len(parts) > 4096:
+                done.append(np.array(self._plain_ids(parts[:-1024]), np.int32))
+                parts = parts[-1024:]
+        return np.concatenate([*done, np.array(self._plain_ids(parts), np.int32)])
+
+    def direct(self, text: str) -> np.ndarray:
+        """The ids of a text (with its spaces marked) by merging alone."""
+        units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        rank = self.rank[units]
+        start = np.flatnonzero(np.append(True, ~self.joined[rank[:-1], rank[1:]])).tolist()
+        out = [np.zeros(0, np.int32)]
+        for a, b in zip(start, [*start[1:], len(text)]):
+            out.append(self.merged_far(text[a:b]) if b - a > FAR else np.array(self._plain_ids(self.merged(text[a:b])), np.int32))
+        return np.concatenate(out)
+
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pieces a, b encode their own concatenation; a < 0 is a
         character without a piece, which merges with nothing."""
@@ -223,8 +295,7 @@ class Pieces:
             for k, e, c in zip(ids.tolist(), ends.tolist(), of.tolist()):
                 cells[c] += [k] if k >= 0 else [self.bytes[b] for b in text[e].encode()]
             for c in np.flatnonzero(failed).tolist():
-                for part in self.merged(cuts[c]):
-                    cells[c] += [self.ids[part]] if part in self.ids else [self.bytes[b] for b in part.encode()]
+                cells[c] += self._plain_ids(self.merged(cuts[c]))
             for c, x in enumerate(cells):
                 out += x
                 sizes[c] = len(x)
@@ -242,7 +313,7 @@ class Pieces:
         return out
 
     def learn(self, hashes: np.ndarray, cuts: list[str]) -> None:
-        ids, sizes = self.encode_cuts(cuts)
+        ids, sizes = (x := self.merged_far(cuts[0]), np.array([len(x)])) if len(cuts[0]) > FAR else self.encode_cuts(cuts)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -267,27 +338,39 @@ class Pieces:
         cut[offs[:-1][offs[:-1] < len(units)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(units))
-        hashes, where, inverse = np.unique(span_hashes(prefix_sums(units), start, end), return_index=True, return_inverse=True)
+        hashes, where, inverse = np.unique(span_hashes(units.view(np.uint8), 4 * start, 4 * end), return_index=True, return_inverse=True)
         if len(self.hashes) + len(hashes) > REMEMBERED:
             self.forget()
         new = np.flatnonzero(self.lookup(hashes)[:, 1] < 0)
+        new = new[np.argsort(end[where[new]] - start[where[new]], kind="stable")]
         begin, stop = start[where[new]], end[where[new]]
         chars = np.cumsum(stop - begin)
+        near = int(np.searchsorted(stop - begin, FAR, "right"))
         i = 0
-        while i < len(new):  # a suffix array for INDEX characters, or one longer cut
-            j = max(i + 1, int(np.searchsorted(chars, (chars[i - 1] if i else 0) + INDEX, "right")))
+        while i < len(new):  # a suffix array for INDEX characters; longer cuts alone
+            j = min(near, max(i + 1, int(np.searchsorted(chars, (chars[i - 1] if i else 0) + INDEX, "right")))) if i < near else i + 1
             self.learn(hashes[new[i:j]], [text[a:b] for a, b in zip(begin[i:j].tolist(), stop[i:j].tolist())])
             i = j
         places = self.lookup(hashes)[inverse.ravel()]
         ids = self.flat[_ragged(places[:, 0], places[:, 1])]
         upto = np.concatenate([[0], np.cumsum(places[:, 1])])[np.searchsorted(start, offs)]
-        # Decoded, as bytes, against the text.
-        sizes = self.plain_sizes[ids]
-        data = self.plain_bytes[_ragged(self.plain_starts[ids], sizes)]
-        bytes_upto = np.concatenate([[0], np.cumsum(sizes)])[upto].tolist()
-        exact = np.array([data[a:b].tobytes() == t.encode() for a, b, t in zip(bytes_upto[:-1], bytes_upto[1:], texts)], bool)
+        exact = self._decodes(ids, upto, texts)
+        wrong = [k for k in np.flatnonzero(~exact).tolist() if texts[k]]
+        if wrong:  # of two cuts with one hash, one has the other's ids
+            each = np.split(ids, upto[1:-1])
+            for k in wrong:
+                each[k] = self.direct(texts[k])
+            ids, upto = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            exact = self._decodes(ids, upto, texts)
         return ids, np.diff(upto), exact
 
+    def _decodes(self, ids: np.ndarray, upto: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Whether each text's ids decode to it, as bytes, a stretch of ids at a time."""
+        ends = np.cumsum(self.plain_sizes[ids])
+        bounds = np.concatenate([[0], ends])[upto].tolist()
+        plain = b"".join([self.plain_bytes[_ragged(self.plain_starts[x], self.plain_sizes[x])].tobytes() for x in (ids[i : i + INDEX] for i in range(0, len(ids), INDEX))])
+        return np.array([plain[a:b] == t.encode() for a, b, t in zip(bounds[:-1], bounds[1:], texts)], bool)
+
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``encode``, after the space that is put before a text, about PART
         characters at a time; a longer text goes in parts, cut where no piece
@@ -362,19 +445,13 @@ def encode(docs: DataFrame, path: str = MODEL, col: str = "text") -> DataFrame:
 
     def rows(batch):
         pieces = _worker(model)
-        texts = batch.column(at).to_pylist()
-        i = 0
-        while i < len(texts):  # the ids of about PART characters at a time
-            j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) <= PART):
-                chars += len(texts[j])
-                j += 1
-            flat, sizes, exact = pieces.encode_all(texts[i:j])
+        _, offs = arrow_bytes(batch.column(at))
+        for i, j in row_steps(offs, PART):  # the ids of about PART bytes at a time
+            flat, sizes, exact = pieces.encode_all(batch.column(at).slice(i, j - i).to_pylist())
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             part = [c.slice(i, j - i) for c in batch.columns]
             yield pa.RecordBatch.from_arrays([*part, ids, pa.array(sizes.astype(np.int32)), pa.array(exact)], [*names, "ids", "n_pieces", "exact"])
-            i = j
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return map_arrow(docs, rows, f"{schema}, ids array<int>, n_pieces int, exact boolean")

@@ -1,18 +1,23 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
-Found: e-mail addresses, IPv4 addresses, phone numbers, payment cards (Luhn),
-IBANs (modulo 97), social security numbers and dates that exist.  A value is
+Found: e-mail addresses (local part of at most 64 characters, labels of at most
+63, domain of at most 253), IPv4 addresses, phone numbers, payment cards (Luhn), IBANs (modulo 97),
+social security numbers that can be issued and dates that exist.  A value is
 taken as a number below the size of its format (digits stay digits, letters
-letters of their case, a date a date of 1900-2099, an address an address, check
-digits are made anew) and permuted by a keyed Feistel network; numbers outside
-the format are permuted again until they fall inside (cycle walking).  So equal
-values get equal pseudonyms in every document, different ones different, and
-who holds the key can turn them back (``Cipher.back``).
+letters of their case, a date a date of 1900-2099 whose day and month are written
+with as many digits, an address an address, check digits are made anew) and
+permuted by a keyed Feistel network; numbers outside the format are permuted
+again until they fall inside (cycle walking).  So equal values get equal
+pseudonyms in every document, different ones different, and who holds the key
+can turn them back (``Cipher.back``).  There is no default key.
 
 Edge cases: null text is empty; texts without findings stay as they are; values
-that fail their check (month 13, octet 256, wrong check digit) stay; repeated
-rows are treated each; an empty table gives an empty result; other columns are
-kept by ``pseudonymise``.  Spans count code points of the given text.
+that fail their check (month 13, octet 256, area code 000, wrong check digit,
+parts too long) stay; very long texts are searched whole, in time and memory
+proportional to them; repeated rows are treated each; rows without a doc_id
+like any other; an empty table gives an empty result; other columns are kept by
+``pseudonymise``, those named as its own replaced.  Spans count code points of
+the given text.
 """
 
 from __future__ import annotations
@@ -30,11 +35,17 @@ from .common import map_arrow, read_documents, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KEY, ROUNDS = b"change this key", 8
+ROUNDS = 8
+
+#: The setting that holds the key of ``op7_pii_pseudonyms``, and the key of the
+#: test tables, whose personal data are made up, where it is unset.
+KEY_SETTING, TEST_KEY = "spark.wavequery.pii.key", b"key of the test tables"
+
+LOCAL, LABEL, DOMAIN = 64, 63, 253
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 KINDS = ("email", "iban", "date", "phone", "ssn", "ip", "card")
-EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,{LOCAL}}}@(?:[A-Za-z0-9-]{{1,{LABEL}}}\.)+[A-Za-z]{{2,{LABEL}}}")
 NUMBER = re.compile(
     r"""(?=[0-9+(A-Z])(?:(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
     |(?<![0-9.\-/])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<mark>[./])[0-9]{1,2}(?P=mark)[0-9]{4})(?![0-9\-/]|\.[0-9])
@@ -63,11 +74,13 @@ def _iban_check(country: str, rest: str) -> str:
 class Cipher:
     """A keyed permutation of the values of each kind."""
 
-    def __init__(self, key: bytes = KEY) -> None:
+    def __init__(self, key: bytes) -> None:
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key = hashlib.sha256(key).digest()
 
     def _round(self, kind: str, size: int, i: int, half: int, bits: int) -> int:
-        data = self.key + f"{kind}:{size}:{i}:{half}".encode()
+        data = self.key + f"{kind}:{size:x}:{i}:{half:x}".encode()
         return int.from_bytes(hashlib.shake_256(data).digest(bits // 8 + 8), "big") & ((1 << bits) - 1)
 
     def permute(self, kind: str, value: int, size: int, back: bool = False) -> int:
@@ -108,6 +121,8 @@ class Cipher:
         if kind == "email":
             local, _, domain = text.partition("@")
             host, _, top = domain.rpartition(".")
+            if len(domain) > DOMAIN:
+                return None
             return f"{self.characters('local', local, back)}@{self.characters('host', host, back)}.{top}"
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
@@ -129,14 +144,21 @@ class Cipher:
             if not FIRST_DAY <= day <= LAST_DAY:
                 return None
             # A date is permuted among those that the same writing can hold.
+            widths = [len(x) for x in (parts[1:] if iso else parts[:2])]
+
+            def fits(x: datetime.date) -> bool:
+                both = (x.month, x.day) if iso or swap else (x.day, x.month)
+                return (not swap or x.day > 12) and all(w == 2 or n < 10 for n, w in zip(both, widths))
+
             new = self.permute(kind, day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
-            while swap and datetime.date.fromordinal(FIRST_DAY + new).day <= 12:
+            while not fits(datetime.date.fromordinal(FIRST_DAY + new)):
                 new = self.permute(kind, new, LAST_DAY - FIRST_DAY + 1, back)
             x = datetime.date.fromordinal(FIRST_DAY + new)
             if iso:
                 return f"{x.year:04d}-{x.month:02d}-{x.day:02d}"
             mark = text[-5]
-            return f"{x.month:02d}{mark}{x.day:02d}{mark}{x.year:04d}" if swap else f"{x.day:02d}{mark}{x.month:02d}{mark}{x.year:04d}"
+            a, b = (x.month, x.day) if swap else (x.day, x.month)
+            return f"{a:0{widths[0]}d}{mark}{b:0{widths[1]}d}{mark}{x.year:04d}"
         if kind == "card":
             digits = re.sub(r"\D", "", text)
             if _luhn(digits[:-1]) != int(digits[-1]):
@@ -151,10 +173,24 @@ class Cipher:
             rest = self.characters("iban" + plain[:2], plain[4:], back)
             new = iter(plain[:2] + _iban_check(plain[:2], rest) + rest)
             return "".join(c if c == " " else next(new) for c in text)
+        if kind == "ssn":  # areas 001 to 999 without 666 (from 900 on: taxpayer numbers), groups from 01, serial numbers from 0001
+            area, group, serial = int(text[:3]), int(text[4:6]), int(text[7:])
+            if area in (0, 666) or not group or not serial:
+                return None
+            n = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+            n = self.permute(kind, n, 998 * 99 * 9999, back)
+            area = n // 9999 // 99
+            return f"{area + 1 + (area >= 665):03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
         if kind == "phone":
             m = re.match(r"\+[0-9]{1,3}[ .-]?", text)
             head = m[0] if m else ""
-            return head + self.characters("phone", text[len(head) :], back)
+            rest = text[len(head) :]
+            if not int(re.sub(r"\D", "", rest)):
+                return None
+            while True:  # a number of zeros alone is none
+                rest = self.characters("phone", rest, back)
+                if int(re.sub(r"\D", "", rest)):
+                    return head + rest
         return self.characters(kind, text, back)
 
 
@@ -171,7 +207,7 @@ def replace(text: str, cipher: Cipher, back: bool = False) -> tuple[str, list[tu
     return "".join(out) + text[at:] if spans else text, spans
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, col: str = "text") -> DataFrame:
     """All columns of ``docs`` with pseudonyms in ``col``, then n_found and
     spans (kind:start:end, joined by commas); columns of these names in ``docs``
     are replaced."""
@@ -197,4 +233,5 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, col: str = "text") -> DataFr
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read_documents(spark, sf_dir).select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise(read_documents(spark, sf_dir).select("doc_id", "text"), key.encode() if key else TEST_KEY)

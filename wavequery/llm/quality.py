@@ -12,8 +12,10 @@ text is scored on the executors.
 
 Edge cases: null text is empty; a text without tokens gets the bias alone;
 without labelled rows the score is 0.5; rows of ``labels`` without id or label
-are left out, repeated ones count once (the largest label); an empty table gives
-an empty result; other columns are ignored.
+are left out, repeated ones count once (the largest label); repeated documents,
+and rows without a doc_id, are scored each; texts of over ``STEP`` bytes are read
+in pieces, whose last and first token make no 2-gram; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_bytes, map_arrow, mix, prefix_sums, read_documents, read_labels, row_steps, span_hashes, stash, text_or_empty
-from .toxicity import _WORDY, _tokens, fold
+from .common import _LOWER, arrow_bytes, map_arrow, mix, read_documents, read_labels, release, row_steps, segments, span_hashes, spans_of, stash, text_or_empty
+from .toxicity import _WORDY, fold
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,20 +37,30 @@ TRAIN_ROWS, UPDATES, THRESHOLD = 10_000, 20_000, 0.3
 BITS, ALPHA, BETA, L1, L2 = 18, 1.0, 1.0, 0.005, 0.02
 
 
-def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hashed n-gram) pairs, sorted: indices and row bounds."""
-    s1, e1, _ = _tokens(data, offs, _WORDY[data])
-    s2, e2, _ = _tokens(data, offs, ~_WORDY[data] & (data > 0x20))
+def _cells(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Sorted distinct (row, hashed n-gram) keys of some pieces of text."""
+    s1, e1, _ = spans_of(_WORDY[data], offs)
+    s2, e2, _ = spans_of(~_WORDY[data] & (data > 0x20), offs)
     start, end = np.concatenate([s1, s2]), np.concatenate([e1, e2])
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
-    hashes = span_hashes(prefix_sums(_LOWER[data]), start, end)
+    hashes = span_hashes(_LOWER[data], start, end)
     row = np.searchsorted(offs, start, "right") - 1
     same = row[1:] == row[:-1]
     pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:] * np.uint64(0x9E3779B97F4A7C15))[same]
     rows = np.concatenate([row, row[:-1][same]])
-    cells = np.concatenate([hashes, pairs]) >> np.uint64(64 - BITS)
-    keys = np.unique(rows.astype(np.int64) << BITS | cells.astype(np.int64))
+    cells = mix(np.concatenate([hashes, pairs])) >> np.uint64(64 - BITS)
+    return np.unique(rows.astype(np.int64) << BITS | cells.astype(np.int64))
+
+
+def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed n-grams of every row: indices and row bounds."""
+    cuts, of = segments(data, offs, hard=True)
+    keys = [np.zeros(0, np.int64)]
+    for i, j in row_steps(cuts):
+        own = _cells(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+        keys.append(of[i + (own >> BITS)].astype(np.int64) << BITS | own & ((1 << BITS) - 1))
+    keys = np.unique(np.concatenate(keys))
     return (keys & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(keys, np.arange(len(offs), dtype=np.int64) << BITS)
 
 
@@ -93,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndar
     for _ in range(min(40, -(-UPDATES // max(1, table.count())))):
         for r in table.toLocalIterator():
             model.learn(np.frombuffer(r["cells"], np.int32), float(r["label"]))
+    release(chosen, table)
     return model.weights(slice(None)).astype(np.float32)
 
 

@@ -1,18 +1,22 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its content (the
-blob).  A ledger holds one row per (blob, rule version) already scanned: the
-spans found, empty lists included.  A scan takes only the pairs that the ledger
-lacks, one copy of each blob, and findings are joined back to all paths.
+blob).  The ledger is a table in the shared folder with one row per (blob, rule
+version) already scanned: the spans found, empty lists included.  A scan takes
+only the pairs that the ledger lacks, one copy of each blob, and appends them;
+findings are read from the ledger and joined back to all paths.  A scan that is
+cut off has appended nothing, and one that is repeated scans nothing.
 
 Kinds of the base rules, leftmost and non-overlapping within a kind: ``assign``
 (a keyword, a separator and a value of 6 or more characters), ``access`` (20 or
 more characters) and ``hex`` (24 or more).  Further kinds only add spans.
 
 Edge cases: null text counts as empty; an empty text is a blob without
-findings; rows that repeat a doc_id or a text are each a path of their blob; an
-empty table gives an empty result; other columns are ignored.  Spans count code
-points, ends are exclusive.
+findings; rows that repeat a doc_id are versions of one path, rows that repeat a
+text paths of one blob, rows without a doc_id paths without a name, and each
+gets its findings; very long texts are searched whole, in time and memory
+proportional to them; an empty table gives an empty result; other columns,
+whatever their names, are ignored.  Spans count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keep_ids, map_arrow, read_documents, stash, text_or_empty
+from .common import drop_ids, keep_ids, map_arrow, read_documents, release, shared_dir, split_join, stash, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RULE_VERSION = "2024-1"
+RULE_VERSION = "2024-2"
 
 #: kind, pattern, group whose length counts, least length.
 RULES = (
@@ -38,7 +43,7 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 BASE = ("assign", "access", "hex")
@@ -78,35 +83,56 @@ def _scan(version: str, rules):
     return scan
 
 
-def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger lacks.  Returns the findings of every row of
-    ``docs`` and the ledger's new rows (to be appended to it)."""
-    paths = stash(docs.select("doc_id", F.sha2(text_or_empty().cast("binary"), 256).alias("blob")), "paths")
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    unseen = stash(blobs, "unseen")
-    ids = unseen.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    others = stash(paths.select("doc_id").distinct().join(ids, "doc_id", "left_anti").where(F.col("doc_id").isNotNull()), "others")
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    texts = drop_ids(texts, others) if others.count() <= unseen.count() else _keep(texts, unseen, ids)
-    texts = texts.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("blob"))
-    if ledger is not None:  # a doc_id may also have versions that the ledger has
-        texts = keep_ids(texts, unseen.select("blob"), "blob")
-    found = map_arrow(texts, _scan(version, rules), LEDGER)
-    fresh = stash(found, "ledger").dropDuplicates(["blob"])
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == version))
-    return paths.join(known, "blob"), fresh
-
-
-def _keep(texts: DataFrame, unseen: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the ids; rows without an id are kept if any such blob is unseen."""
-    kept = keep_ids(texts, ids)
-    if unseen.where(F.col("doc_id").isNull()).limit(1).count():
-        kept = kept.unionByName(texts.where(F.col("doc_id").isNull()))
-    return kept
+class Ledger:
+    """The ledger in the folder ``path``; a new one of its own in the shared
+    folder if that is not given."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/blob-ledger-{uuid.uuid4().hex}"
+        spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(self.path)
+
+    def rows(self, version: str) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("rule_version") == version)
+
+    def lacks(self, paths: DataFrame, version: str) -> DataFrame:
+        """One path, (doc_id, blob), of every blob that wasn't scanned by the rules."""
+        blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+        return blobs.join(self.rows(version).select("blob"), "blob", "left_anti").select("doc_id", "blob")
+
+    def scan(self, docs: DataFrame, version: str = RULE_VERSION, rules=RULES) -> tuple[DataFrame, int]:
+        """Scan what the ledger lacks and append it.  Returns (doc_id, blob) of
+        every row of ``docs`` and how many blobs were scanned."""
+        blob = F.sha2(text_or_empty().cast("binary"), 256)
+        paths = stash(docs.select("doc_id", blob.alias("blob")), "paths")
+        unseen = stash(self.lacks(paths, version), "unseen")
+        n = unseen.count()
+        if n:
+            texts = docs.select("doc_id", text_or_empty().alias("text"), blob.alias("blob"))
+            others = stash(paths.distinct().join(unseen, (paths["blob"] == unseen["blob"]) & paths["doc_id"].eqNullSafe(unseen["doc_id"]), "left_anti"), "others")
+            # By the shorter list: of what to scan, or of what not to.
+            short = [F.col("doc_id"), _name("blob").alias("name")]
+            named = texts.withColumn("name", _name("blob"))
+            named = drop_ids(named, others.select(short), ["doc_id", "name"]) if others.count() < n else keep_ids(named, unseen.select(short), ["doc_id", "name"])
+            fresh = stash(map_arrow(named.select("text", "blob"), _scan(version, rules), LEDGER), "findings")
+            fresh.dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
+            release(others, fresh)
+        release(unseen)
+        return paths, n
+
+    def findings(self, paths: DataFrame, version: str = RULE_VERSION) -> DataFrame:
+        """The ledger's columns for every path; blobs that very many paths share
+        meet them on the map side."""
+        return split_join(paths, self.rows(version), "blob")
+
+
+def _name(blob: str):
+    """60 bits of a blob: with the doc_id, they name a version in 16 bytes."""
+    return F.conv(F.substring(blob, 1, 15), 16, 10).cast("long")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan_versions(read_documents(spark, sf_dir))
-    return findings.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob", "rule_version")
+    ledger = Ledger(spark)
+    paths, _ = ledger.scan(read_documents(spark, sf_dir))
+    if ledger.lacks(paths, RULE_VERSION).limit(1).count():  # what a second scan would take
+        raise RuntimeError("the ledger lacks blobs that were scanned")
+    return ledger.findings(paths).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob", "rule_version")

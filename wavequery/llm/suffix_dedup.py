@@ -7,6 +7,8 @@ three steps, each exact, none of which collects a corpus-sized group:
    hash, leftmost of equal ones), so equal windows have equal anchors at equal
    distances.  Consecutive windows with one anchor form a run, one row for
    about 85 bytes.  Anchors that occur once are dropped: nothing repeats there.
+   A context (below) that a text holds more than ``OFTEN`` times, as texts of one
+   letter do, repeats: what it covers is one span, and two runs stand for it.
 2. Runs whose bytes agree altogether (their context) are counted with map-side
    combining; all windows of a context that occurs twice repeat.
 3. Contexts that share an anchor and differ meet in one task, in chunks of
@@ -18,9 +20,11 @@ three steps, each exact, none of which collects a corpus-sized group:
    a task grow with the corpus.  Its windows are counted instead, by 128-bit
    digests with map-side combining, in blocks of ``BLOCKS`` distances to the
    anchor: a block repeats as a whole, or cannot repeat because the bytes that
-   all its windows share don't, or is cut into smaller blocks.
+   all its windows share don't, or is cut into smaller blocks.  Both ways give
+   the same spans; ``MOST`` bounds a task and decides nothing else.
 
 Copies of whole texts are set apart first by SHA-256; one of each goes on.
+Tables of (key, row) meet by ``split_join``: frequent keys on the map side.
 
 ``repeats(..., keep_first=True)`` removes only later copies: an occurrence
 that has no earlier one, in order of doc_id and position, stays.
@@ -28,8 +32,10 @@ that has no earlier one, in order of doc_id and position, stays.
 Edge cases: null text is empty; texts shorter than LENGTH lose bytes never;
 matches don't cross documents; rows that repeat a doc_id or a text are
 documents of their own (equal rows are copies of each other); null doc_ids come
-first in order; an empty table gives an empty result; other columns are
-ignored.  Bytes are UTF-8; a removed run may cut a character.
+first in order; texts of over ``SEGMENT`` bytes are searched in pieces that
+overlap by a window, with the same result; an empty table gives an empty result;
+other columns, whatever their names, are ignored.  Bytes are UTF-8; a removed
+run may cut a character.
 """
 
 from __future__ import annotations
@@ -44,14 +50,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, arrow_bytes, drop_ids, keep_ids, map_arrow, partitions, prefix_sums, read_documents, row_steps, sliding_min, small, span_hashes, stash, text_or_empty, tidy
+from .common import STEP, arrow_bytes, drop_ids, gram_hashes, keep_ids, map_arrow, partitions, read_documents, release, repeated, row_steps, sliding_min, split_join, stash, text_or_empty, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, GRAM = 200, 24
 
-#: Contexts of an anchor that meet in one task at most.
-MOST = 512
+#: Contexts of an anchor that meet in one task at most; times that a text may
+#: hold a context before it is known to repeat.
+MOST, OFTEN = 512, 16
 
 #: Windows in a block, level by level.
 BLOCKS = (16, 4, 1)
@@ -70,9 +77,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     none = np.zeros(0, np.int64)
     if n < length:
         return none.astype(np.uint64), none, none, none, none
-    sums = prefix_sums(data)
     at = np.arange(n - gram + 1)
-    hashes = span_hashes(sums, at, at + gram)
+    hashes = gram_hashes(data, gram)
     keys = hashes & np.uint64(0xFFFFFFFFFF000000) | at.astype(np.uint64)
     low = (sliding_min(keys, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
     whole = np.diff(offs) >= length
@@ -90,10 +96,12 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return hashes[anchor], start, anchor - start, stop - start, row
 
 
-RUNS = "anchor long, ctx long, d long, k long, s long, rel int, n int"
+#: A row with rel = -1 is a span that is known to go: n bytes from s on.
+RUNS = [("anchor", "long"), ("ctx", "long"), ("d", "long"), ("k", "long"), ("s", "long"), ("rel", "int"), ("n", "int")]
+_RUN = np.dtype([(name, {"long": np.int64, "int": np.int32}[kind]) for name, kind in RUNS])
 
 
-def _runs(length: int, gram: int):
+def _runs(length: int, gram: int, keep_first: bool):
     def segments(offs):
         """Pieces (row, first byte, end) of all rows; long rows overlap by length - 1."""
         for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
@@ -121,13 +129,43 @@ def _runs(length: int, gram: int):
             ctx ^= (rel * 4096 + n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             row = np.array([r for r, _, _ in parts[i:j]], np.int64)[seg]
             begin = np.array([a for _, a, _ in parts[i:j]], np.int64)[seg]
-            columns = [hashes.view(np.int64), ctx.view(np.int64), d[row], k[row], start - cuts[seg] + begin - offs[row], rel.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "ctx", "d", "k", "s", "rel", "n"])
+            out = np.empty(len(start), _RUN)
+            columns = [hashes.view(np.int64), ctx.view(np.int64), d[row], k[row], start - cuts[seg] + begin - offs[row], rel, n]
+            for (name, _), values in zip(RUNS, columns):
+                out[name] = values
+            yield _thinned(out, row, length, keep_first) if 16 * len(start) > len(part) else out
             i = j
 
     return rows
 
 
+def _thinned(runs: np.ndarray, row: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
+    """The runs without those of contexts that a text holds more than OFTEN
+    times; their first two stay, and all that goes is covered by spans (twice
+    each, since ``repeated`` returns rows whose key occurs twice)."""
+    by = np.lexsort((runs["s"], runs["ctx"], row))
+    first = np.flatnonzero(np.append(True, (row[by][1:] != row[by][:-1]) | (runs["ctx"][by][1:] != runs["ctx"][by][:-1])))
+    size = np.diff(np.append(first, len(by)))
+    often = np.repeat(size > OFTEN, size)
+    place = np.arange(len(by)) - np.repeat(first, size)
+    gone = by[often & (place >= int(keep_first))]
+    gone = gone[np.lexsort((runs["s"][gone], row[gone]))]
+    if not len(gone):
+        return runs
+    a, b = runs["s"][gone], runs["s"][gone] + runs["n"][gone] + length - 1
+    # Spans of a text that touch are one; ends rise as starts do, but for the runs' lengths.
+    reach = np.maximum.accumulate(b + row[gone] * (1 << 40)) - row[gone] * (1 << 40)
+    start = np.append(True, (row[gone][1:] != row[gone][:-1]) | (a[1:] > reach[:-1]))
+    spans = runs[gone][start].copy()
+    last = np.append(np.flatnonzero(start)[1:], len(gone)) - 1
+    spans["s"], spans["n"], spans["rel"] = a[start], (reach[last] - a[start]).astype(np.int32), -1
+    names = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in spans]
+    spans["anchor"] = np.array(names, np.uint64).view(np.int64)
+    stay = np.ones(len(runs), bool)
+    stay[by[often & (place >= 2)]] = False
+    return np.concatenate([runs[stay], spans, spans])
+
+
 # ------------------------------------------------------------ suffix arrays
 def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order by the first ``length`` bytes, equal ones by position, and
@@ -245,24 +283,28 @@ def repeats(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gra
     from texts, which overlap.  Copied texts as a whole have no spans."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), text_or_empty().alias("text"))
     rows = rows.select("doc_id", "d", F.xxhash64("text").alias("k"), "text")
-    narrow = stash(rows.select("doc_id", "d", "k", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    copies = narrow.groupBy("sha").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    copied = stash(narrow.join(copies, "sha"), "copied")
-    others = copied.where(F.col("d") != F.col("first")).select("d", "k").distinct()
+    each = stash(rows.select("doc_id", "d", "k", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
+    copies = each.groupBy("sha").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    narrow = stash(split_join(each, stash(copies, "copies"), "sha", "left"), "narrow")
+    others = stash(narrow.where("d != first").select("d", "k").distinct(), "others")
     texts = rows.where(F.octet_length("text") >= length).select("d", "k", "text")
-    runs = stash(map_arrow(drop_ids(texts, stash(others, "others"), ["d", "k"]), _runs(length, gram), RUNS), "runs")
-    anchors_twice = stash(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
-    runs = runs.join(small(anchors_twice), "anchor", "left_semi")
-    contexts = stash(runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "k", "s", "rel", "n")).alias("first")), "contexts")
+    runs = stash(repeated(drop_ids(texts, others, ["d", "k"]), _runs(length, gram, keep_first), RUNS), "runs")
+    release(each, others)
+    spans = runs.where("rel < 0").select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).distinct()
+    real = runs.where("rel >= 0")
+    contexts = stash(real.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "k", "s", "rel", "n")).alias("first")), "contexts")
     twice = contexts.where("times > 1").select("anchor", "ctx", F.col("first").alias("_first"))
-    known = runs.join(twice, ["anchor", "ctx"])
+    known = split_join(real, twice, "ctx", on=["anchor", "ctx"])
     if keep_first:
         known = known.where(F.struct("d", "k", "s", "rel", "n") != F.col("_first"))
-    known = known.select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b"))
+    known = stash(known.select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b")).unionByName(spans), "known")
     kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = contexts.join(kinds, "anchor").select("anchor", "times", F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.s").alias("s"), F.col("first.rel").alias("rel"), F.col("first.n").alias("n"), (F.col("kinds") > MOST).alias("hot"))
-    found = stash(known, "known").unionByName(_several(texts, stash(several, "several"), length, keep_first))
-    return copied.select("sha", "first", "times").distinct().join(narrow, "sha", "right"), found
+    several = split_join(contexts, kinds, "anchor").select("anchor", "times", F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.s").alias("s"), F.col("first.rel").alias("rel"), F.col("first.n").alias("n"), (F.col("kinds") > MOST).alias("hot"))
+    several = stash(several, "several")
+    release(runs, contexts)
+    found = stash(known.unionByName(_several(texts, several, length, keep_first)), "found")
+    release(known, several)
+    return narrow, found
 
 
 def _several(texts: DataFrame, several: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -273,7 +315,7 @@ def _several(texts: DataFrame, several: DataFrame, length: int, keep_first: bool
     cut = stash(map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, rel int, n int, hot boolean, bytes binary"), "cut")
     cold = cut.where("not hot").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "d", "k", "s")
     found = cold.mapInArrow(tidy(_resolve(length, keep_first)), SPANS)
-    return stash(found, "found").unionByName(_hot(cut.where("hot").drop("hot"), length, keep_first))
+    return found.unionByName(_hot(cut.where("hot").drop("hot"), length, keep_first))
 
 
 def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -282,13 +324,13 @@ def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     pending = contexts.withColumn("open", F.array(F.struct((F.col("rel") - F.col("n") + 1).alias("lo"), F.col("rel").alias("hi"))))
     spans = None
     for level in BLOCKS:
-        blocks = stash(map_arrow(pending, _blocks(length, level), "core binary, whole binary, times long, d long, k long, s long, rel int, lo int, hi int"), "blocks")
+        blocks = stash(map_arrow(pending, _blocks(length, level), "core string, whole string, times long, d long, k long, s long, rel int, lo int, hi int"), "blocks")
         place = F.struct("d", "k", F.col("s") + F.col("rel") - F.col("hi"))
         cores = blocks.groupBy("core").agg(F.sum("times").alias("in_core"), F.min(place).alias("first")).where("in_core > 1")
-        some = blocks.join(cores, "core")
+        some = stash(split_join(blocks, cores, "core"), "cores")
         if level > 1:
-            wholes = blocks.groupBy("whole").agg(F.sum("times").alias("in_whole"), F.min(place).alias("one")).where("in_whole > 1")
-            some = stash(some.join(wholes, "whole", "left"), "some")
+            wholes = some.groupBy("whole").agg(F.sum("times").alias("in_whole"), F.min(place).alias("one")).where("in_whole > 1")
+            some = stash(split_join(some, wholes, "whole", "left"), "some")
             whole = F.coalesce(F.col("in_whole") > 1, F.lit(False)) if not keep_first else F.lit(False)
             done = some.where(whole)
             # One of each such block goes on: others may share a part of it.
@@ -296,6 +338,7 @@ def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
             pending = contexts.join(rest, own)
         else:
             done = some.where(place != F.col("first")) if keep_first else some
+        release(blocks)
         a = F.col("s") + F.col("rel") - F.col("hi")
         done = done.select("d", "k", a.alias("a"), (a + F.col("hi") - F.col("lo") + length).alias("b"))
         spans = done if spans is None else spans.unionByName(done)
@@ -336,8 +379,8 @@ def _blocks(length: int, level: int):
                     tag = f"{anchor}:{j}:".encode()
                     core = raw[rel - j * level : rel - j * level - level + 1 + length]
                     whole = raw[rel - hi : rel - lo + length]
-                    out.append((xxhash.xxh3_128_digest(tag + core), xxhash.xxh3_128_digest(tag + f"{lo}:{hi}:".encode() + whole), times, d, k, s, rel, lo, hi))
-        types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    out.append((xxhash.xxh3_128_hexdigest(tag + core), xxhash.xxh3_128_hexdigest(tag + f"{lo}:{hi}:".encode() + whole), times, d, k, s, rel, lo, hi))
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], v) for i, v in enumerate(types)], ["core", "whole", "times", "d", "k", "s", "rel", "lo", "hi"])
 
     return rows
@@ -368,7 +411,6 @@ def deduplicate(docs: DataFrame, keep_first: bool = False, length: int = LENGTH,
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_bytes``, the
     remaining bytes (kept) of every row."""
     narrow, found = repeats(docs, keep_first, length, gram)
-    narrow = stash(narrow, "rows")
     gone = (F.col("times") > 1) & (F.col("n_bytes") >= length)
     lists = stash(found.groupBy("d", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
     if keep_first:

@@ -6,13 +6,18 @@ Lexicon, trees and calibration are learned from at most ``TRAIN_ROWS`` labelled
 rows, those of the smallest hashes, so the model's size and training time don't
 grow with the corpus; every whole text is then scored on the executors, where
 the model (some kB) goes with the task.  A quarter of the training rows is kept
-from the trees and fits the isotonic calibration.
+from lexicon and trees and fits the isotonic calibration.  The others are dealt
+to two halves: the trees see each half by the lexicon of the other one, so no
+row is described by words that its own label chose.
 
 Edge cases: null text is empty and scored like any other; without labelled rows
 of both classes the score is the share of label 1 (0 without any label); rows
 of ``labels`` without id or label are left out, repeated ones count once (the
-largest label); repeated documents are scored each; an empty table gives an
-empty result; other columns are ignored.
+largest label); repeated documents, and rows without a doc_id, are scored each;
+texts of over ``STEP`` bytes are read in pieces (a word that a cut of a run
+without white space divides counts as two, words meet second persons within
+their piece); an empty table gives an empty result; other columns, whatever
+their names, are ignored by ``score`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_bytes, drop_ids, map_arrow, mix, prefix_sums, read_documents, read_labels, row_steps, span_hashes, stash, text_or_empty
+from .common import _LOWER, arrow_bytes, map_arrow, read_documents, read_labels, release, row_steps, segments, span_hashes, spans_of, stash, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,24 +64,12 @@ _UPPER[0x41:0x5B] = True
 
 
 def hash_words(words) -> np.ndarray:
-    out = []
-    for w in words:
-        b = np.frombuffer(w.encode(), np.uint8)
-        out.append(span_hashes(prefix_sums(b), np.array([0]), np.array([len(b)]))[0])
-    return np.sort(np.array(out, np.uint64))
-
-
-def _tokens(data: np.ndarray, offs: np.ndarray, inside: np.ndarray):
-    """Runs of the bytes marked ``inside`` that no row's end crosses."""
-    n = len(data)
-    cut = np.zeros(n + 1, bool)
-    cut[offs] = True
-    first, last = inside.copy(), inside.copy()
-    if n:
-        first[1:] &= ~inside[:-1] | cut[1:n]
-        last[:-1] &= ~inside[1:] | cut[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(start, offs)
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(b) for b in raw])
+    return np.unique(span_hashes(np.frombuffer(b"".join(raw), np.uint8), end - [len(b) for b in raw], end))
+
+
+_INSULTS, _SECOND = hash_words(LEXICON), hash_words(SECOND_PERSON)
 
 
 def _found(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -92,57 +85,67 @@ def _per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def features(data: np.ndarray, offs: np.ndarray, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One row of FEATURES for every text."""
-    rows = len(offs) - 1
-    out = np.zeros((rows, len(FEATURES)))
-    start, end, first = _tokens(data, offs, _WORDY[data])
-    hashes = span_hashes(prefix_sums(_LOWER[data]), start, end)
-    n_words = np.maximum(1, np.diff(first))
-    n_bytes = np.maximum(1, np.diff(offs))
-    in_lexicon = _found(hash_words(LEXICON), hashes) >= 0
+#: What is counted in a piece of text, in this order.
+(_WORDS, _BYTES, _INSULT, _GAIN, _SECONDS, _CLOSE, _LETTERS, _CAPITALS, _SHOUTS, _MARKS, _EXCLAIMS, _HIDDEN, _SEEN) = range(13)
+
+
+def _counts(data: np.ndarray, offs: np.ndarray, learned: np.ndarray, weights: np.ndarray):
+    """Counts of every piece, its best gain, and (piece, learned word) pairs."""
+    out = np.zeros((len(offs) - 1, 13))
+    wordy, upper = _WORDY[data], _UPPER[data]
+    start, end, first = spans_of(wordy, offs)
+    hashes = span_hashes(_LOWER[data], start, end)
+    insult, second = _found(_INSULTS, hashes) >= 0, _found(_SECOND, hashes) >= 0
     at = _found(learned, hashes)
     gain = np.where(at >= 0, weights[at] if len(weights) else 0.0, 0.0)
-    second = _found(hash_words(SECOND_PERSON), hashes) >= 0
     row = np.searchsorted(first, np.arange(len(start)), "right") - 1
-    bad = in_lexicon | (gain > 1.0)
     spread = np.zeros(len(start) + 1, np.int64)
     hits = np.flatnonzero(second)
-    lo, hi = np.maximum(first[row[hits]], hits - NEAR), np.minimum(first[row[hits] + 1], hits + NEAR + 1)
-    np.add.at(spread, lo, 1)
-    np.add.at(spread, hi, -1)
-    close = (np.cumsum(spread[:-1]) > 0) & bad
-    out[:, 0] = _per_row(in_lexicon, first) / n_words
-    out[:, 1] = np.log1p(_per_row(in_lexicon, first))
-    out[:, 2] = _per_row(gain, first) / n_words
+    np.add.at(spread, np.maximum(first[row[hits]], hits - NEAR), 1)
+    np.add.at(spread, np.minimum(first[row[hits] + 1], hits + NEAR + 1), -1)
+    capital = np.concatenate([[0], np.cumsum(upper, dtype=np.int32)])
+    out[:, _WORDS], out[:, _BYTES] = np.diff(first), np.diff(offs)
+    out[:, _INSULT], out[:, _GAIN], out[:, _SECONDS] = _per_row(insult, first), _per_row(gain, first), _per_row(second, first)
+    out[:, _CLOSE] = _per_row((np.cumsum(spread[:-1]) > 0) & (insult | (gain > 1.0)), first)
+    out[:, _LETTERS], out[:, _CAPITALS] = _per_row(_LETTER[data], offs), _per_row(upper, offs)
+    out[:, _SHOUTS] = _per_row((capital[end] - capital[start] == end - start) & (end - start >= 3), first)
+    out[:, _MARKS] = _per_row(~wordy & (data > 0x20), offs)
+    out[:, _EXCLAIMS] = _per_row((data == 0x21) | (data == 0x3F), offs)
+    best = np.zeros(len(offs) - 1)
     if len(start):
         full = np.flatnonzero(np.diff(first) > 0)
-        out[full, 3] = np.maximum.reduceat(gain, first[:-1][full])
-    if (at >= 0).any():
-        pairs = np.unique(row[at >= 0] * (len(learned) + 1) + at[at >= 0])
-        out[:, 4] = np.bincount(pairs // (len(learned) + 1), minlength=rows)[:rows] / np.sqrt(n_words)
-    out[:, 5] = _per_row(second, first) / n_words
-    out[:, 6] = _per_row(close, first) / n_words
-    letters = _per_row(_LETTER[data], offs)
-    upper = _UPPER[data]
-    out[:, 7] = _per_row(upper, offs) / np.maximum(1, letters)
-    capital = np.concatenate([[0], np.cumsum(upper)])
-    out[:, 8] = _per_row((capital[end] - capital[start] == end - start) & (end - start >= 3), first) / n_words
-    marks = ~_WORDY[data] & (data > 0x20)
-    out[:, 9] = _per_row(marks, offs) / n_bytes
-    out[:, 10] = _per_row((data == 0x21) | (data == 0x3F), offs) / n_bytes
-    wide = _WORDY[data] | _MASK[data]
-    start, end, first = _tokens(data, offs, wide)
-    masked = np.concatenate([[0], np.cumsum(_MASK[data])])
-    letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        best[full] = np.maximum.reduceat(gain, first[:-1][full])
+    pairs = np.unique(row[at >= 0] * (len(learned) + 1) + at[at >= 0])
+    start, end, first = spans_of(wordy | _MASK[data], offs)
+    masked = np.concatenate([[0], np.cumsum(_MASK[data], dtype=np.int32)])
+    letter = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
     hidden = (masked[end] > masked[start]) & (letter[end] > letter[start])
-    plain = span_hashes(prefix_sums(_UNMASK[data]), start[hidden], end[hidden])
     seen = np.zeros(len(start))
-    seen[hidden] = _found(hash_words(LEXICON), plain) >= 0
-    out[:, 11] = _per_row(hidden, first) / n_words
-    out[:, 12] = _per_row(seen, first) / n_words
-    out[:, 13] = np.log1p(n_words)
-    out[:, 14] = letters / n_words
+    seen[hidden] = _found(_INSULTS, span_hashes(_UNMASK[data], start[hidden], end[hidden])) >= 0
+    out[:, _HIDDEN], out[:, _SEEN] = _per_row(hidden, first), _per_row(seen, first)
+    return out, best, pairs
+
+
+def features(data: np.ndarray, offs: np.ndarray, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """One row of FEATURES for every text, about STEP bytes at a time."""
+    rows, width = len(offs) - 1, len(learned) + 1
+    cuts, of = segments(data, offs, hard=True)
+    n, best, kinds = np.zeros((rows, 13)), np.zeros(rows), []
+    for i, j in row_steps(cuts):
+        counts, most, pairs = _counts(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], learned, weights)
+        np.add.at(n, of[i:j], counts)
+        np.maximum.at(best, of[i:j], most)
+        kinds.append(np.unique(of[i + pairs // width] * width + pairs % width))
+    kinds = np.bincount(np.unique(np.concatenate(kinds)) // width, minlength=rows) if kinds else np.zeros(rows)
+    words, size = np.maximum(1, n[:, _WORDS]), np.maximum(1, n[:, _BYTES])
+    out = np.zeros((rows, len(FEATURES)))
+    out[:, 0], out[:, 1] = n[:, _INSULT] / words, np.log1p(n[:, _INSULT])
+    out[:, 2], out[:, 3], out[:, 4] = n[:, _GAIN] / words, best, kinds / np.sqrt(words)
+    out[:, 5], out[:, 6] = n[:, _SECONDS] / words, n[:, _CLOSE] / words
+    out[:, 7], out[:, 8] = n[:, _CAPITALS] / np.maximum(1, n[:, _LETTERS]), n[:, _SHOUTS] / words
+    out[:, 9], out[:, 10] = n[:, _MARKS] / size, n[:, _EXCLAIMS] / size
+    out[:, 11], out[:, 12] = n[:, _HIDDEN] / words, n[:, _SEEN] / words
+    out[:, 13], out[:, 14] = np.log1p(words), n[:, _LETTERS] / words
     return out
 
 
@@ -223,62 +226,82 @@ def calibrated(model: dict, raw: np.ndarray) -> np.ndarray:
     return 0.99 * np.interp(raw, x, y) + 0.01 * plain if len(x) else plain
 
 
+#: Eighths of the training rows: two for the calibration, three for each half.
+ASIDE, ONE, TWO, BOTH = (0, 1), (2, 3, 4), (5, 6, 7), (2, 3, 4, 5, 6, 7)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
     """The model from labelled rows (doc_id, label)."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = stash(labels.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most), "chosen")
-    sample = stash(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id"), "sample")
-    learned, weights = _lexicon(sample)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(8)).cast("int").alias("part")
+    sample = stash(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("*", part), "sample")
+    known = _lexicons(sample)
+    by_part = {p: known[TWO if p in ONE else ONE if p in TWO else BOTH] for p in range(8)}
 
     def rows(batch):
         data, offs = arrow_bytes(batch.column("text"))
-        for i, j in row_steps(offs):
-            part = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], learned, weights)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[i:j], "label": batch.column("label")[i:j], "x": pa.array(list(part), pa.list_(pa.float64()))})
-
-    table = map_arrow(sample, rows, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")
+        parts, x = np.asarray(batch.column("part")), np.zeros((batch.num_rows, len(FEATURES)))
+        for group in (ASIDE, ONE, TWO):
+            own = np.isin(parts, group)
+            if own.any():
+                x[own] = features(data, offs, *by_part[group[0]])[own]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "part": batch.column("part"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    table = map_arrow(sample, rows, "doc_id long, label int, part int, x array<double>").toPandas().sort_values("doc_id")
+    release(chosen, sample)
     x = np.stack(table.x.to_list()) if len(table) else np.zeros((0, len(FEATURES)))
     y = table.label.to_numpy(np.float64)
-    aside = mix(table.doc_id.to_numpy(np.uint64)) % np.uint64(4) == 0
+    aside = np.isin(table.part.to_numpy(), ASIDE)
+    learned, weights = known[BOTH]
     model = grow(x[~aside], y[~aside]) | {"learned": learned, "weights": weights}
     model["knots"] = isotonic(raw_scores(model, x[aside]), y[aside]) if aside.any() and model["trees"] else (np.zeros(0), np.zeros(0))
     return model
 
 
-def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words (by hash) that mark label 1, from document counts by label; the
-    LEARNED strongest at most.  Weights are log-odds."""
+def _lexicons(sample: DataFrame) -> dict:
+    """For each half of the training rows and for both: words (by hash) that
+    mark label 1, from document counts by label; the LEARNED strongest at most.
+    Weights are log-odds."""
 
     def rows(batch):
         data, offs = arrow_bytes(batch.column("text"))
-        label = np.asarray(batch.column("label"))
-        for i, j in row_steps(offs):
-            part, cuts = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            start, end, first = _tokens(part, cuts, _WORDY[part])
-            hashes = span_hashes(prefix_sums(_LOWER[part]), start, end)
+        label, part = np.asarray(batch.column("label")), np.asarray(batch.column("part"))
+        cuts, of = segments(data, offs, hard=True)
+        for i, j in row_steps(cuts):
+            piece, own = data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]
+            start, end, first = spans_of(_WORDY[piece], own)
+            hashes = span_hashes(_LOWER[piece], start, end)
             for k in range(j - i):
-                own = np.unique(hashes[first[k] : first[k + 1]])
-                yield pa.RecordBatch.from_pydict({"word": pa.array(own.view(np.int64)), "label": pa.array(np.full(len(own), label[i + k], np.int32))})
+                words, r = np.unique(hashes[first[k] : first[k + 1]]), of[i + k]
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(np.full(len(words), r, np.int32)), "word": pa.array(words.view(np.int64)), "label": pa.array(np.full(len(words), label[r], np.int32)), "part": pa.array(np.full(len(words), part[r], np.int32))})
+
+    words = map_arrow(sample.where(F.col("part").isin(list(BOTH))), rows, "doc int, word long, label int, part int")
+    half = F.col("part").isin(list(ONE))
+    sums = [F.sum(F.when(test, value).otherwise(0)).alias(name) for name, test, value in (("a1", half, F.col("label")), ("b1", half, F.lit(1)), ("a2", ~half, F.col("label")), ("b2", ~half, F.lit(1)))]
+    counts = stash(words.groupBy("word").agg(*sums).where(F.col("a1") + F.col("a2") >= LEAST_DOCS), "words")
+    totals = sample.groupBy("part").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for group, a, b in ((ONE, F.col("a1"), F.col("b1")), (TWO, F.col("a2"), F.col("b2")), (BOTH, F.col("a1") + F.col("a2"), F.col("b1") + F.col("b2"))):
+        ones, n = sum(r["ones"] for r in totals if r["part"] in group), sum(r["n"] for r in totals if r["part"] in group)
+        odds = F.log((a + 0.5) / (ones + 1.0)) - F.log((b - a + 0.5) / (n - ones + 1.0))
+        best = counts.where(a >= (LEAST_DOCS if group == BOTH else LEAST_DOCS // 2)).withColumn("w", odds).where(F.col("w") > 1.5).orderBy(F.desc(F.col("w") * F.sqrt(a)), "word").limit(LEARNED).collect()
+        found = sorted((np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF), r["w"]) for r in best)
+        out[group] = np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.float64)
+    release(counts)
+    return out
+
 
-    totals = sample.agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).first()
-    ones, n = totals["ones"] or 0, totals["n"]
-    counts = map_arrow(sample, rows, "word long, label int").groupBy("word").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (ones + 1.0)) - F.log((F.col("b") - F.col("a") + 0.5) / (n - ones + 1.0))
-    best = counts.where(F.col("a") >= LEAST_DOCS).withColumn("w", odds).where(F.col("w") > 1.5).orderBy(F.desc(F.col("w") * F.sqrt("a")), "word").limit(LEARNED).collect()
-    found = sorted((np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF), r["w"]) for r in best)
-    return np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.float64)
+def _scores(column, model: dict) -> np.ndarray:
+    x = features(*arrow_bytes(column), model["learned"], model["weights"])
+    return np.clip(calibrated(model, raw_scores(model, x)), 0, 1)
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted of every row."""
 
     def rows(batch):
-        data, offs = arrow_bytes(batch.column("text"))
-        values = []
-        for i, j in row_steps(offs):
-            x = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], model["learned"], model["weights"])
-            values.append(calibrated(model, raw_scores(model, x)))
-        s = np.clip(np.concatenate(values), 0, 1)
+        s = _scores(batch.column("text"), model)
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
     return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), rows, "doc_id long, score double, predicted int")
@@ -299,8 +322,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all columns; rows
-    without a doc_id stay."""
-    rejected = toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return drop_ids(docs, stash(rejected, "rejected"))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all columns.  A
+    score depends on the text alone, so each row is judged where it is: rows
+    that repeat a doc_id, or have none, are judged each by their own text."""
+    model = train(docs, labels.where(fold(4) != 2).select("doc_id", F.col("toxic").alias("label")))
+    at = docs.columns.index("text")
+
+    def rows(batch):
+        yield batch.filter(pa.array(_scores(batch.column(at).cast(pa.string()), model) < threshold))
+
+    return map_arrow(docs, rows, docs.schema)

@@ -15,10 +15,14 @@ without collecting anything: ranges of ids, from their quantiles, each go to a
 task of their own, sorted; the first row of a range also goes to the range
 above it, whose last document it follows.
 
+With the values below 23 shared code points are sure to be found, and a text of
+50 code points has some five hashes.
+
 Edge cases: null text is empty; an empty text has an empty fingerprint, and two
 empty fingerprints are alike (1.0), one alone is not (0.0); a table of one row
-follows itself; equal doc_ids are ordered by text; null doc_ids come last; an
-empty table gives an empty result; other columns are ignored.
+follows itself; equal doc_ids are ordered by text; null doc_ids come last; texts
+of over ``STEP`` code points are hashed in overlapping pieces, with the same
+result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,25 +32,34 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, partitions, prefix_sums, read_documents, sliding_min, span_hashes, text_or_empty, tidy
+from .common import STEP, mix, partitions, read_documents, sliding_min, text_or_empty, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-K, WINDOW = 16, 48
+K, WINDOW = 8, 16
+
+_LOW, _BASE = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
-_LOW = np.uint64(0xFFFFFFFF)
+
+def rolling_hashes(units: np.ndarray, k: int = K) -> np.ndarray:
+    """32 bits of the polynomial of every k code points in a row."""
+    m = max(0, len(units) - k + 1)
+    out = np.zeros(m, np.uint64)
+    for i in range(k):
+        out = out * _BASE + (units[i : i + m].astype(np.uint64) + np.uint64(1))
+    return mix(out) >> np.uint64(32)
 
 
 def select_hashes(units: np.ndarray, offs: np.ndarray, k: int = K, window: int = WINDOW):
     """Selected hashes (uint32), their positions, and each row's first one."""
     n, lengths = len(units), np.diff(offs)
-    sums = prefix_sums(units)
-    at = np.arange(max(0, n - k + 1))
-    hashes = span_hashes(sums, at, at + k) >> np.uint64(32)
+    hashes = rolling_hashes(units, k)
+    at = np.arange(len(hashes))
     keys = hashes << np.uint64(32) | (_LOW - at.astype(np.uint64))  # equal hashes: the rightmost is smaller
     grams = lengths - k + 1
     inside = np.zeros(max(0, n - k + 1 - window + 1) + 1, np.int64)  # windows that no row's end cuts
@@ -65,13 +78,31 @@ def select_hashes(units: np.ndarray, offs: np.ndarray, k: int = K, window: int =
     if len(tiny):
         start = offs[:-1][tiny]
         pos = np.concatenate([pos, start])
-        value = np.concatenate([value, span_hashes(sums, start, start + lengths[tiny]) >> np.uint64(32)])
+        whole = [xxhash.xxh3_64_intdigest(units[a : a + size].tobytes()) >> 32 for a, size in zip(start.tolist(), lengths[tiny].tolist())]
+        value = np.concatenate([value, np.array(whole, np.uint64)])
         order = np.argsort(pos, kind="stable")
         pos, value = pos[order], value[order]
     return value.astype(np.uint32), pos, np.searchsorted(pos, offs)
 
 
-def fingerprints(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+def _units(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _long(text: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``select_hashes`` of one long text: pieces that overlap by all but one
+    code point of a window's reach hold every window once."""
+    values, places, step = [], [], max(STEP, 2 * (k + window))
+    for a in range(0, len(text) - (k + window - 2), step):
+        units = _units(text[a : a + step + k + window - 2])
+        value, pos, _ = select_hashes(units, np.array([0, len(units)]), k, window)
+        values.append(value)
+        places.append(pos + a)
+    pos, first = np.unique(np.concatenate(places), return_index=True)
+    return np.concatenate(values)[first], pos, np.array([0, len(pos)])
+
+
+def fingerprints(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[list[str], list[np.ndarray]]:
     """Fingerprint and sorted distinct hashes of every text."""
     prints, sets = [], []
     i = 0
@@ -80,9 +111,8 @@ def fingerprints(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
         while j < len(texts) and (j == i or chars + len(texts[j]) <= STEP):
             chars += len(texts[j])
             j += 1
-        units = np.frombuffer("".join(texts[i:j]).encode("utf-32-le"), np.uint32)
         offs = np.concatenate([[0], np.cumsum([len(x) for x in texts[i:j]])]).astype(np.int64)
-        value, pos, first = select_hashes(units, offs)
+        value, pos, first = _long(texts[i], k, window) if chars > STEP else select_hashes(_units("".join(texts[i:j])), offs, k, window)
         gap = np.diff(pos, prepend=0)
         starts = first[:-1][first[:-1] < first[1:]]
         gap[starts] = pos[starts] - offs[:-1][first[:-1] < first[1:]]
