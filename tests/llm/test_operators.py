@@ -245,6 +245,70 @@ def test_jaccard_components_at_other_thresholds(spark, words, near):
     assert got == want and len(set(low.values())) < len(rows)
 
 
+@pytest.mark.parametrize("words", [3, 5])
+def test_jaccard_regions_are_divided(spark, monkeypatch, words):
+    """Many variants of some templates: regions larger than LARGE, with a third
+    of all rows in one, are divided by pivots and still lose no link."""
+    rng = random.Random(12)
+    monkeypatch.setattr(jaccard_join, "LARGE", 12)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "AGAINST", 9)
+    base = [[f"t{rng.randint(0, 300)}" for _ in range(n)] for n in (70, 80, 90)]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    divided = []
+    inner = jaccard_join.divide
+
+    def watched(*args):
+        cells, found = inner(*args)
+        divided.append(cells.where(f"was < {1 << 60}").select("region").distinct().count())
+        return cells, found
+
+    monkeypatch.setattr(jaccard_join, "divide", watched)
+    near = 90 if words == 3 else 80
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_components(docs, words, near).collect()}
+    sets = [{tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= near * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    low = {}
+    for i, g in enumerate(group):
+        low[g] = min(low.get(g, i), i)
+    assert got == {i: low[g] for i, g in enumerate(group)}
+    assert divided[0] > 0
+
+
+def thue_morse(n, x, y):
+    return "".join((x, y)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_jaccard_tells_regular_words_apart(spark):
+    rows = [(1, thue_morse(1024, "a", "b")), (2, thue_morse(1024, "b", "a")), (3, thue_morse(4096, "a", "b")), (4, thue_morse(4096, "b", "a"))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_jaccard_dedup_with_repeated_and_null_ids(spark):
+    rng = random.Random(2)
+    a, b = (text(rng, 60) for _ in range(2))
+    rows = [(5, a), (5, a + " tail"), (4, a + " end"), (None, a + " last"), (5, b), (None, None), (None, ""), (8, ""), (None, b + " tail"), (9, b), (6, "one"), (6, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS n", "3 AS c")
+    for most in (1_000_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "BROADCAST_IDS", most)
+            out = jaccard_join.deduplicate(docs)
+            got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert out.columns == docs.columns
+        assert got == sorted([(4, a + " end"), (5, b), (None, None), (None, ""), (8, ""), (6, "one")], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["u"]: r["root"] for r in jaccard_join.components(edges).collect()}

@@ -199,6 +199,22 @@ def repeated(df: DataFrame, make, fields: list[tuple[str, str]], distinct: str |
 LOCAL, OPEN, KNOWN, SIGNAL = 64, 0, 1, 2
 
 
+#: The column that ``keep_one`` adds on the way.
+_KEY = "_key_of_the_row"
+
+
+def keep_one(docs: DataFrame, key: Column, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows that go.  ``rows`` (stashed): doc_id, key, kept,
+    n (rows with both alike) of those that go and of those that repeat; rows are
+    told apart by doc_id and ``key``, and of rows alike in both one stays."""
+    losers, twice = (rows.where(test).select("doc_id", "key") for test in ("not kept", "kept and n > 1"))
+    keyed = docs.withColumn(_KEY, key)
+    if not twice.limit(1).count():
+        return drop_ids(keyed, losers, ["doc_id", _KEY]).drop(_KEY)
+    kept = drop_ids(keyed, losers.unionByName(twice), ["doc_id", _KEY])
+    return kept.unionByName(keep_ids(keyed, twice, ["doc_id", _KEY]).dropDuplicates(["doc_id", _KEY])).drop(_KEY)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keep_ids, read_documents, stash, text_or_empty
+from .common import keep_one, read_documents, stash, text_or_empty
 
 #: Share of all rows from which a digest may count as heavy.
 SUPPORT = 1 / 2000
@@ -33,12 +33,8 @@ def text_sha() -> Column:
     return F.sha2(text_or_empty().cast("binary"), 256)
 
 
-#: A column that rows have on the way, and 60 bits of a digest as a number: with
-#: the doc_id, they name a row in 16 bytes.
-_SHA = "_text_sha_of_exact_dedup"
-
-
 def _short(sha: Column) -> Column:
+    """60 bits of a digest: with the doc_id, they name a row in 16 bytes."""
     return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
 
 
@@ -69,14 +65,9 @@ def deduplicate(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     the largest doc_id.  Rows are told apart by doc_id and text together, so rows
     that share a doc_id and differ in text all stay, null doc_ids included.  Of
     rows that repeat both, the first one met stays."""
-    groups = exact_groups(docs, support).where("group_size > 1").withColumn("sha", _short(F.col("text_sha256")))
-    rows = stash(groups.groupBy("doc_id", "sha").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "copies")
-    losers, twice = (rows.where(test).select("doc_id", "sha") for test in ("not kept", "kept and n > 1"))
-    keyed = docs.withColumn(_SHA, _short(text_sha()))
-    if not twice.limit(1).count():
-        return drop_ids(keyed, losers, ["doc_id", _SHA]).drop(_SHA)
-    kept = drop_ids(keyed, losers.unionByName(twice), ["doc_id", _SHA])
-    return kept.unionByName(keep_ids(keyed, twice, ["doc_id", _SHA]).dropDuplicates([_SHA])).drop(_SHA)
+    groups = exact_groups(docs, support).where("group_size > 1").withColumn("key", _short(F.col("text_sha256")))
+    rows = groups.groupBy("doc_id", "key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return keep_one(docs, _short(text_sha()), stash(rows, "copies"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,24 +20,32 @@ empty classes, use as pivots their first shingles in hash order: linked sets
 share one among the first ``n - ceil(0.9 n) + 1``.
 
 Recursion.  In each region the member that shares most regions with others is
-the pivot.  Every document's distance to its best pivot is computed; those
-within tau are linked, which joins their regions without comparing their
-members with each other.  Regions whose members all hang together are done.
-In the others, the members outside the largest group are held against all
-members, in blocks of bounded size dealt over tasks, by one byte a class: two
-sets differ in at least as many shingles as classes have different bytes.
-Members with a partner that this, the sizes and the triangle inequality, by
-distances to a common pivot, leave open meet again, with their texts, and are
+the pivot.  Every set's distance to its best pivot is computed; those within
+tau are linked, which joins their regions without comparing their members with
+each other.  Regions whose members all hang together are done.  Of the others,
+those of more than ``LARGE`` members are divided: ``PIVOTS`` of their members are
+pivots of Voronoi regions, every member belongs to the region of the nearest
+one, and is also put into each region whose pivot is at most 2 tau farther (the
+triangle inequality: a linked set may belong there).  Regions that are still
+large, and at most ``SHRINK`` of the one they come from, are divided again, up to
+``LEVELS`` times.  In what remains, the members outside the largest group are held
+against all members, in blocks of bounded size dealt over tasks, by one byte a
+class: two sets differ in at least as many shingles as classes have different
+bytes.  Members with a partner that this, the sizes and the triangle inequality,
+by distances to a common pivot, leave open meet again, with their sets, and are
 measured exactly; what a link has joined is not compared again, so a block
 returns a spanning forest and not its pairs.  Components of the links are found
 by alternating large and small stars; no group is ever collected.
 
-Equal sets are one node (64-bit digest), so exact copies take part once.
+Equal sets are one node (64-bit digest), so exact copies take part once.  Tables
+of (key, row) meet by ``split_join``: frequent keys on the map side.
 
 Edge cases: null and empty texts have no shingles and are alone; texts of fewer
 words than a shingle are one shingle of all their words; rows that repeat a
-doc_id are nodes by their sets; an empty table gives an empty result; other
-columns are ignored.
+doc_id, or have none, are nodes by their sets (a component without any doc_id has
+none); very long texts are read in pieces and compared as whole sets; an empty
+table gives an empty result; other columns, whatever their names, are ignored by
+``near_components`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -53,20 +61,27 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, drop_ids, keep_ids, map_arrow, mix, read_documents, row_steps, small, stash, text_or_empty, tidy, word_hashes
+from .common import arrow_bytes, frequent, keep_ids, keep_one, map_arrow, mix, read_documents, release, repeated, row_steps, split_join, stash, text_or_empty, tidy, word_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, NEAR, SMALL = 3, 90, 64
 
-#: Members of a region that meet in one block: the ones to place, all others.
-BLOCK, AGAINST = 512, 2048
+#: Members of a region that meet in one block: the ones to place, all others;
+#: and their shingles.
+BLOCK, AGAINST, SHINGLES = 512, 2048, 1 << 20
+
+#: Members from which a region is divided, its pivots, how much smaller than its
+#: own a region must be to be divided again, and how often.
+LARGE, PIVOTS, SHRINK, LEVELS = 2048, 8, 0.8, 4
+
+#: Shingles of a pivot that may be broadcast: 2000 of them at most, so 32 MB.
+BROADCAST_SHINGLES = 2000
 
 
 # ------------------------------------------------------------------- sets
-def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS):
-    """The sorted distinct shingle hashes of every row."""
-    hashes, first = word_hashes(data, offs)
+def shingle_sets(hashes: np.ndarray, first: np.ndarray, words: int = WORDS):
+    """The sorted distinct shingle hashes of every row, from its words' hashes."""
     n = len(hashes)
     both = np.zeros(max(0, n - words + 1), np.uint64)
     for i in range(words):
@@ -83,12 +98,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS):
             yield hashes[:0]
 
 
-def text_sets(column, words: int) -> list[np.ndarray]:
-    data, offs = arrow_bytes(column)
-    out = []
-    for i, j in row_steps(offs):
-        out += shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words)
-    return out
+def text_sets(column, words: int):
+    """(i, j, sets of rows i to j - 1), some rows at a time."""
+    for i, j, hashes, first in word_rows(column):
+        yield i, j, list(shingle_sets(hashes, first, words))
 
 
 def node(u: np.ndarray) -> int:
@@ -175,39 +188,72 @@ def regions(u: np.ndarray, near: int = NEAR, known: list | None = None) -> tuple
     return np.concatenate(out), views
 
 
-NODES = "doc_id long, c long, n long, regions array<long>, views array<struct<code:int,view:binary>>"
+NODES = "doc_id long, k long, c long, n long, regions binary, views array<struct<code:int,view:binary>>"
 
 
 def _nodes(words: int, near: int):
     known = schemes(near)
 
     def rows(batch):
-        data, offs = arrow_bytes(batch.column("text"))
-        for i, j in row_steps(offs):
-            sets = list(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words))
+        for i, j, sets in text_sets(batch.column("text"), words):
             both = [regions(u, near, known) for u in sets]
-            at = [x[0] for x in both]
-            views = pa.array([[{"code": k, "view": v} for k, v in x[1]] for x in both], pa.list_(pa.struct([("code", pa.int32()), ("view", pa.binary())])))
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
+            flat = [x for _, views in both for x in views]
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in both])]).astype(np.int32))
+            views = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.binary())], ["code", "view"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:j], pa.array([node(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(at).view(np.int64))), views],
-                ["doc_id", "c", "n", "regions", "views"],
+                [*[batch.column(c)[i:j] for c in ("doc_id", "k")], pa.array([node(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([x[0].tobytes() for x in both], pa.binary()), pa.ListArray.from_arrays(bounds, views)],
+                ["doc_id", "k", "c", "n", "regions", "views"],
             )
 
     return rows
 
 
-def _pairs(words: int, near: int):
-    """Links between the texts a and b of each row, and their distance."""
+_MEMBER = np.dtype([("region", np.int64), ("c", np.int64)])
+
 
+def _members(batch):
+    """(region, c) of each region of each set."""
+    data, offs = arrow_bytes(batch.column("regions"))
+    c = np.asarray(batch.column("c"))
+    for i, j in row_steps(offs, 1 << 22):
+        out = np.empty((offs[j] - offs[i]) // 8, _MEMBER)
+        out["region"] = np.frombuffer(data[offs[i] : offs[j]].tobytes(), np.int64)
+        out["c"] = np.repeat(c[i:j], np.diff(offs[i : j + 1]) // 8)
+        yield out
+
+
+def _as_sets(words: int):
     def rows(batch):
-        one, two = text_sets(batch.column("a"), words), text_sets(batch.column("b"), words)
-        right = [node(x) == c and node(y) == h for x, y, c, h in zip(one, two, batch.column("c").to_pylist(), batch.column("hub").to_pylist())]
-        common = np.array([len(x) + len(y) - len(np.union1d(x, y)) for x, y in zip(one, two)])
+        for _, _, sets in text_sets(batch.column("text"), words):
+            yield pa.RecordBatch.from_arrays([pa.array([node(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["c", "n", "u"])
+
+    return rows
+
+
+def unpack(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many members two sorted sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
+def _pairs(near: int):
+    """Links between the sets a and b of each row, and their distance."""
+
+    def rows(batch):
+        one, two = unpack(batch.column("a")), unpack(batch.column("b"))
+        common = np.array([overlap(x, y) for x, y in zip(one, two)])
         a, b = np.array([len(x) for x in one]), np.array([len(x) for x in two])
         far = 1 - common / np.maximum(1, a + b - common)
-        out = pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b, near)), pa.array(far)], ["c", "hub", "link", "far"])
-        yield out.filter(pa.array(right, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b, near)), pa.array(far)], ["c", "hub", "link", "far"])
 
     return rows
 
@@ -215,69 +261,151 @@ def _pairs(words: int, near: int):
 # ------------------------------------------------------------------- links
 def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """Links (u, v) that connect what is linked: nodes of a component, not all
-    pairs.  ``texts``: doc_id, text; ``nodes``: stashed, see ``NODES``."""
-    # One document stands for each set.
-    one = nodes.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
-    others = stash(nodes.where("n > 0").join(one, "c").where("doc_id != first").select("doc_id", "c").distinct(), "others")
-    nodes = drop_ids(nodes.where(F.col("n") >= least_size(near)), others, ["doc_id", "c"])
-    members = nodes.select("doc_id", "c", "n", F.explode("regions").alias("region"))
-    crowded = stash(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "regions")
-    members = stash(members.join(small(crowded), "region").distinct(), "members")
-    # The best pivot of each document: the one whose regions hold most members.
-    score = members.groupBy("c").agg(F.sum("size").alias("score"))
-    pivots = members.join(score, "c").groupBy("region").agg(F.max(F.struct("score", "c", "doc_id")).alias("pivot"))
-    best = members.join(pivots, "region").where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"), F.first("doc_id").alias("doc_id"))
-    star = stash(best.join(score, "c").where(F.struct("pivot.score", "pivot.c") > F.struct("score", "c")).select("c", "doc_id", F.col("pivot.c").alias("hub"), F.col("pivot.doc_id").alias("hub_doc")), "star")
-    measured = measure(texts, star, words, near)
+    pairs.  ``texts``: doc_id, k, text; ``nodes``: stashed, see ``NODES``."""
+    members = stash(repeated(nodes.select("c", "regions"), _members, [("region", "long"), ("c", "long")], "c").distinct(), "members")
+    crowd = stash(members.groupBy("c").agg(F.count(F.lit(1)).alias("score")), "crowd")
+    # One row of the table stands for each set that isn't alone in all its regions.
+    first = nodes.join(crowd, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("r"))
+    ids = stash(first.select("r.doc_id", "r.k"), "set_ids")
+    sets = stash(map_arrow(keep_ids(texts, ids, ["doc_id", "k"]).select("text"), _as_sets(words), "c long, n long, u binary"), "sets")
+    names = frequent(members, "region")
+    # The best pivot of each set: the one that is in most regions with others.
+    pivots = members.join(crowd, "c").groupBy("region").agg(F.max(F.struct("score", "c")).alias("pivot"))
+    best = split_join(members, pivots, "region", names=names).where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"))
+    star = stash(best.join(crowd, "c").where(F.col("pivot") > F.struct("score", "c")).select("c", F.col("pivot.c").alias("hub")), "star")
+    measured = measure(star, sets, near)
+    release(ids, star)
     found = measured.where("link").select("c", "hub")
     up = found.select(F.col("c").alias("hub"), F.col("hub").alias("top"))
-    labels = found.join(up, "hub", "left").select("c", F.coalesce("top", "hub").alias("label"))
-    return found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(texts, nodes, members, labels, measured, words, near))
+    label = found.join(up, "hub", "left").select("c", F.coalesce("top", "hub").alias("label"))
+    known = sets.select("c", "n").distinct().join(label, "c", "left").join(measured.select("c", "hub", "far"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    labelled = stash(members.join(known, "c"), "labelled")
+    release(members, crowd)
+    out = found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(nodes, sets, labelled, names, near))
+    out = stash(out.distinct(), "links")
+    release(sets, labelled, measured)
+    return out
+
+
+def measure(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """c, hub, link and far (distance) of pairs (c, hub), stashed."""
+    other = sets.select(F.col("c").alias("hub"), F.col("u").alias("b"), "n")
+    often = other.where(F.col("n") <= BROADCAST_SHINGLES).join(F.broadcast(frequent(pairs, "hub")), "hub", "left_semi").drop("n")
+    often = stash(often.dropDuplicates(["hub"]), "frequent_hubs")
+    own = sets.select("c", F.col("u").alias("a"))
+    light = pairs.join(F.broadcast(often.select("hub")), "hub", "left_anti").join(own, "c").join(other.drop("n"), "hub")
+    heavy = pairs.join(F.broadcast(often.select("hub")), "hub", "left_semi").join(own, "c").join(F.broadcast(often), "hub")
+    rows = light.unionByName(heavy).select("c", "hub", "a", "b")
+    return stash(map_arrow(rows, _pairs(near), "c long, hub long, link boolean, far double").distinct(), "measured")
 
 
-def measure(texts: DataFrame, pairs: DataFrame, words: int, near: int) -> DataFrame:
-    """c, hub, link and far (distance) of pairs (c, doc_id, hub, hub_doc)."""
-    ids = stash(pairs.select("doc_id").union(pairs.select("hub_doc")).distinct(), "pair_ids")
-    own = keep_ids(texts, ids)
-    rows = pairs.join(own.withColumnRenamed("text", "a"), "doc_id").join(own.select(F.col("doc_id").alias("hub_doc"), F.col("text").alias("b")), "hub_doc")
-    # Where rows repeat a doc_id with other texts, only the right ones count.
-    return stash(map_arrow(rows.select("c", "hub", "a", "b"), _pairs(words, near), "c long, hub long, link boolean, far double").distinct(), "measured")
+CELL = ["region", "code", "c", "n", "label", "hub", "far", "mine", "was"]
 
 
-def _within(texts: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame, measured: DataFrame, words: int, near: int) -> DataFrame:
-    """Links inside regions whose members don't yet hang together."""
-    members = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    members = stash(members.join(measured.select("c", "hub", "far"), "c", "left"), "labelled")
+def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFrame, near: int) -> DataFrame:
+    """Links inside regions whose members don't yet hang together.  ``members``:
+    region, c, n, label, hub, far, stashed; ``names``: its frequent regions."""
     groups = members.groupBy("region").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("print")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("all"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("print")
     )
     # Regions with the same members are one.
-    groups = groups.where("low != high").groupBy("size", "print").agg(F.min("region").alias("region"))
-    counts = members.join(groups.select("region", F.col("size").alias("all")), "region").groupBy("region", "all", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("region", "all").agg(F.max(F.struct("k", "label")).alias("main"))
-    main = stash(main.select("region", "all", F.col("main.label").alias("main"), (F.col("all") - F.col("main.k")).alias("rest")), "open")
-    rows = members.join(main, "region")
-    rows = rows.withColumn("_r", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("_f", F.ceil(F.col("all") / AGAINST).cast("int"))
-    mine = F.pmod(F.xxhash64("c", F.lit(1)), F.col("_r")).cast("int")
+    groups = groups.where("low != high").groupBy("all", "print").agg(F.min("region").alias("region")).select("region")
+    open_ = stash(split_join(members, groups, "region", names=names), "open")
+    counts = open_.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("region").agg(F.max(F.struct("k", "label")).alias("main"))
+    code = F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code")
+    rows = split_join(open_, main, "region", names=names)
+    rows = rows.select("region", code, "c", "n", "label", "hub", "far", (F.col("label") != F.col("main.label")).alias("mine"), F.lit(1 << 60).alias("was"))
+    cells, found = divide(stash(rows, "cells"), sets, near)
+    release(open_)
+    by_region = cells.groupBy("region").agg(
+        F.count(F.lit(1)).alias("all"), F.count_if("mine").alias("rest"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("mine"), F.col("n")).otherwise(0)).alias("rest_n")
+    )
+    r, f = (F.greatest(F.ceil(F.col(a) / x), F.ceil(F.col(a + "_n") / SHINGLES)).cast("int").alias(name) for a, x, name in (("rest", BLOCK, "_r"), ("all", AGAINST, "_f")))
+    rows = split_join(cells, by_region.where("rest > 0").select("region", r, f), "region")
+    place, keep = F.pmod(F.xxhash64("c", F.lit(1)), F.col("_r")).cast("int"), ["region", "code", "c", "n", "label", "hub", "far"]
     theirs = F.pmod(F.xxhash64("c", F.lit(2)), F.col("_f")).cast("int")
-    keep = ["region", "c", "doc_id", "n", "label", "hub", "far"]
-    place = rows.where("label != main").select(*keep, mine.alias("r"), F.explode(F.sequence(F.lit(0), F.col("_f") - 1)).alias("f"), F.lit(True).alias("mine"))
+    mine = rows.where("mine").select(*keep, place.alias("r"), F.explode(F.sequence(F.lit(0), F.col("_f") - 1)).alias("f"), F.lit(True).alias("mine"))
     other = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r"), theirs.alias("f"), F.lit(False).alias("mine"))
-    block = F.xxhash64("region", "r", "f").alias("block")
-    cells = stash(place.unionByName(other).select(block, F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code"), *keep[1:], "mine"), "cells")
-    views = nodes.select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view").distinct()
-    cells = cells.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
-    open_ = stash(cells.select("block", "c", "doc_id", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(lambda x: open_members(x, near))), OPEN), "open_members")
+    blocks = stash(mine.unionByName(other).select(F.xxhash64("region", "r", "f").alias("block"), *keep[1:], "mine"), "blocks")
+    used = stash(blocks.select("c").distinct(), "used")
+    views = keep_ids(nodes.select("c", "views"), used, "c").dropDuplicates(["c"]).select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view")
+    rows = blocks.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
+    open_ = stash(rows.select("block", "c", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(lambda x: open_members(x, near))), OPEN), "open_members")
+    release(blocks, cells, used)
     # Most pairs are open in many regions: of blocks with the same open members one stays.
     marks = open_.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c", "mine").cast("decimal(38,0)")).alias("print"))
-    open_ = stash(open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block"), "open_blocks")
-    ids = stash(open_.select("doc_id").distinct(), "open_ids")
-    rows = open_.join(keep_ids(texts, ids), "doc_id").repartition(F.col("block")).sortWithinPartitions("block", "c")
-    found = rows.select("block", "c", "doc_id", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words, near))), "u long, v long")
-    return stash(found.distinct(), "within")
+    some = open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block")
+    rows = some.join(sets.select("c", "u"), "c").repartition(F.col("block")).sortWithinPartitions("block", "c")
+    forests = rows.select("block", "c", "label", "mine", "u").mapInArrow(tidy(_by_block(lambda x: forest(x, near))), "u long, v long")
+    out = stash(forests.unionByName(found).distinct(), "within")
+    release(open_)
+    return out
 
 
-OPEN = "block long, c long, doc_id long, label long, mine boolean"
+# ------------------------------------------------------------ Voronoi regions
+REGION = "region long, code int, c long, n long, label long, hub long, far double, mine boolean, was long, pivot long"
+
+
+def divide(cells: DataFrame, sets: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
+    """Divide large regions by pivots, again and again: the regions that are
+    left, stashed, and links (u, v) of members to pivots.  ``cells``: ``CELL``,
+    stashed; ``mine`` marks the members that must meet all members."""
+    spark = cells.sparkSession
+    found = spark.createDataFrame([], "u long, v long")
+    for level in range(LEVELS):
+        sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n"), F.count_if("mine").alias("rest"), F.max("was").alias("was"), F.min("label").alias("low"), F.max("label").alias("high"))
+        large = stash(sizes.where((F.col("all") > LARGE) & (F.col("rest") > 0) & (F.col("low") != F.col("high")) & (F.col("all") <= SHRINK * F.col("was"))).select("region", "all", "all_n"), "large")
+        if not large.limit(1).count():
+            release(large)
+            break
+        rows = stash(split_join(cells, large, "region"), "large_rows")
+        slot = F.pmod(F.xxhash64("c", F.lit(level + 3)), F.lit(PIVOTS)).cast("int").alias("slot")
+        chosen = rows.groupBy("region", slot).agg(F.min(F.struct(F.xxhash64("c", F.lit(level + 7)), "c", "label", "all", "all_n")).alias("p"))
+        deals = F.greatest(F.ceil(F.col("all") / AGAINST), F.ceil(F.col("all_n") / SHINGLES)).cast("int")
+        pivots = chosen.select("region", "slot", "p.c", "p.label", "p.all", "p.all_n")
+        pivots = pivots.join(sets.select("c", "u"), "c").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+        members = rows.join(sets.select("c", "u"), "c").withColumn("deal", F.pmod(F.xxhash64("c", F.lit(9)), deals).cast("int"))
+        both = members.withColumn("slot", F.lit(-1)).unionByName(pivots, allowMissingColumns=True)
+        both = both.select(F.xxhash64("region", "deal").alias("cell"), *CELL[:-1], F.col("all").alias("was"), "slot", "u")
+        both = both.repartition(F.col("cell")).sortWithinPartitions("cell", F.col("slot").desc(), "c")
+        new = stash(both.mapInArrow(tidy(_by_block(lambda x, level=level: nearest(x, near, level))), REGION), "voronoi")
+        found = stash(found.unionByName(new.where("pivot is not null").select(F.col("c").alias("u"), F.col("pivot").alias("v"))).distinct(), "pivot_links")
+        rest = split_join(cells, large.select("region", F.lit(True).alias("_large")), "region", "left").where("_large is null")
+        cells = stash(rest.select(*CELL).unionByName(new.select(*CELL)), "cells")
+        release(large, rows, new)
+    return cells, found
+
+
+def nearest(rows: list[tuple], near: int, level: int) -> pa.RecordBatch:
+    """Members of a region, ``CELL`` and u, after its pivots (slot >= 0): each is
+    in the region of its nearest pivot, and, without having to meet all members,
+    in each whose pivot is at most 2 tau farther."""
+    pivots = {}
+    for x in rows:
+        if x[10] >= 0:
+            pivots.setdefault(x[3], x)
+    pivots = sorted(pivots.values(), key=lambda x: x[10])
+    sets = [np.frombuffer(x[11], np.uint64) for x in pivots]
+    size = np.array([len(u) for u in sets])
+    tau, out = 1 - near / 100, []
+    for x in rows:
+        if x[10] >= 0:
+            continue
+        u = np.frombuffer(x[11], np.uint64)
+        common = np.array([overlap(u, v) for v in sets])
+        far = 1 - common / np.maximum(1, len(u) + size - common)
+        own = int(far.argmin())
+        close = bool(linked(common[own], len(u), size[own], near)) and pivots[own][3] != x[3]
+        label = pivots[own][5] if close else x[5]
+        for j in np.flatnonzero(far <= far[own] + 2 * tau + 1e-9).tolist():
+            name = xxhash.xxh3_64_intdigest(f"{x[1]}:{level}:{pivots[j][10]}".encode()) - (1 << 63)
+            out.append((name, x[2], x[3], x[4], label, pivots[j][3], float(far[j]), x[8] and j == own, x[9], pivots[own][3] if close and j == own else None))
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], [*CELL, "pivot"])
+
+
+OPEN = "block long, c long, label long, mine boolean"
 
 
 def _by_block(fn):
@@ -299,16 +427,16 @@ def _by_block(fn):
 
 def open_members(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
     """The rows of a block (see ``OPEN``) with a partner that may be linked."""
-    others = [x for x in rows if not x[7]]
+    others = [x for x in rows if not x[6]]
     keep: set[int] = set()
     mine_kept = []
     if others:
-        n, label = np.array([x[3] for x in others]), np.array([x[4] for x in others])
-        hub = np.array([x[1] if x[5] is None else x[5] for x in others])
-        far = np.array([x[6] if x[6] is not None else 0.0 for x in others])
-        views = np.frombuffer(b"".join([x[8] for x in others]), np.uint8).reshape(len(others), -1)
+        n, label = np.array([x[2] for x in others]), np.array([x[3] for x in others])
+        hub = np.array([x[1] if x[4] is None else x[4] for x in others])
+        far = np.array([x[5] if x[5] is not None else 0.0 for x in others])
+        views = np.frombuffer(b"".join([x[7] for x in others]), np.uint8).reshape(len(others), -1)
         for x in rows:
-            _, own, _, size, own_label, own_hub, own_far, mine, view = x
+            _, own, size, own_label, own_hub, own_far, mine, view = x
             if not mine:
                 continue
             open_ = (label != own_label) & (100 * np.minimum(size, n) >= near * np.maximum(size, n))
@@ -323,21 +451,21 @@ def open_members(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
                 mine_kept.append(x)
                 keep.update(at.tolist())
     kept = mine_kept + [others[i] for i in sorted(keep)]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], v) for i, v in zip((0, 1, 2, 4, 7), types)], ["block", "c", "doc_id", "label", "mine"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], v) for i, v in zip((0, 1, 3, 6), types)], ["block", "c", "label", "mine"])
 
 
-def forest(rows: list[tuple], words: int = WORDS, near: int = NEAR) -> pa.RecordBatch:
-    """Links between members of a block that join what is not joined yet."""
-    sets = text_sets(pa.array([x[5] for x in rows], pa.string()), words)
-    right = [i for i, u in enumerate(sets) if node(u) == rows[i][1]]  # where rows repeat a doc_id
-    others, mine = [i for i in right if not rows[i][4]], [i for i in right if rows[i][4]]
+def forest(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
+    """Links between members of a block (block, c, label, mine, u) that join what
+    is not joined yet."""
+    sets = [np.frombuffer(x[4], np.uint64) for x in rows]
+    others, mine = [i for i, x in enumerate(rows) if not x[3]], [i for i, x in enumerate(rows) if x[3]]
     found = []
     if others and mine:
         size = np.array([len(sets[i]) for i in others])
         names, cells = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
         offs = np.concatenate([[0], np.cumsum(size)])[:-1]
-        labels, at = np.unique([x[3] for x in rows], return_inverse=True)
+        labels, at = np.unique([x[2] for x in rows], return_inverse=True)
         joined = np.arange(len(labels))  # the group that each label is in now
         other_at = at[others]
         has = np.zeros(len(names), np.int64)
@@ -368,13 +496,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     e = stash(e, "edges")
     last = None
     for _ in range(most):
-        both = e.union(e.select("v", "u"))
+        before, both = e, e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         small_star = e.join(low, "u")
         e = small_star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         e = stash(e, "edges")
+        release(before)
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             return e.select("u", F.col("v").alias("root"))
@@ -382,22 +511,34 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _grouped(docs: DataFrame, words: int, near: int) -> DataFrame:
+    """doc_id, k (the text's hash), n and, of rows with shingles, component_id
+    and the first row of the component (first.doc_id, first.k)."""
+    texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    nodes = stash(map_arrow(texts, _nodes(words, near), NODES), "nodes")
+    roots = components(links(texts, nodes, words, near)).withColumnRenamed("u", "c")
+    rows = split_join(nodes.select("doc_id", "k", "c", "n"), roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rows = stash(rows.select("doc_id", "k", "n", "root"), "rooted")
+    release(nodes)
+    some = rows.where("n > 0")
+    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
+    none = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    return split_join(some, least, "root").unionByName(none, allowMissingColumns=True)
+
+
 def near_components(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    nodes = stash(map_arrow(texts, _nodes(words, near), NODES), "nodes")
-    roots = components(links(texts, nodes, words, near))
-    rows = nodes.select("doc_id", "c", "n").join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    rows = stash(rows.select("doc_id", "n", "root"), "rooted")
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    some = rows.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _grouped(docs, words, near).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component by doc_id."""
-    losers = near_components(docs, words, near).where("doc_id != component_id").select("doc_id").distinct()
-    return drop_ids(docs, stash(losers, "losers"))
+    """One row of each component: the one with the least doc_id (rows without
+    one come last).  Rows are told apart by doc_id and text together; texts without
+    words all stay."""
+    kept = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k")))
+    rows = _grouped(docs, words, near).withColumn("kept", kept)
+    rows = rows.groupBy("doc_id", F.col("k").alias("key")).agg(F.first("kept").alias("kept"), F.sum(F.when(F.col("first").isNull(), 0).otherwise(1)).alias("n"))
+    return keep_one(docs, F.xxhash64(text_or_empty()), stash(rows.where("not kept or n > 1"), "copies"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
