@@ -144,12 +144,12 @@ def mixed(docs: DataFrame, weight: Column | None = None, seed: int = SEED, share
     plan = _plan(docs, weight, seed, share, cap, weights)
     last = stash(plan.groupBy(F.col("_s").alias("_mix_s")).agg(F.first("epochs").alias("_mix_n"), F.max(F.when(F.col("more"), place)).alias("_mix_last")), "last_taken")
     side = F.broadcast(last) if last.count() <= BROADCAST_SOURCES else last
-    own = F.struct(*_ordered(docs, weight, seed))
-    rows = docs.withColumn("_mix_own", own).join(side, F.col("_mix_own._s") == F.col("_mix_s"))
-    at = F.struct(*[F.col(f"_mix_own.{c}") for c in ("_key", "_id", "_size", "_hash")])
-    more = (F.col("_mix_own._size") > 0) & F.coalesce(at <= F.col("_mix_last"), F.lit(False))
-    rows = rows.withColumn("_mix_n", (F.col("_mix_n") + more.cast("long")).cast("int")).where("_mix_n > 0")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")).drop("_mix_copy")
+    # All columns go as one, so none can clash with those of the plan.
+    rows = docs.select(F.struct("*").alias("_row"), F.struct(*_ordered(docs, weight, seed)).alias("_own")).join(side, F.col("_own._s") == F.col("_mix_s"))
+    at = F.struct(*[F.col(f"_own.{c}") for c in ("_key", "_id", "_size", "_hash")])
+    more = (F.col("_own._size") > 0) & F.coalesce(at <= F.col("_mix_last"), F.lit(False))
+    rows = rows.withColumn("_n", (F.col("_mix_n") + more.cast("long")).cast("int")).where("_n > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
