@@ -1,5 +1,6 @@
 """Functions against plain Python versions, fixed examples, and invariants."""
 
+import json
 import random
 import re
 
@@ -8,11 +9,10 @@ from pyspark.sql import functions as F
 
 from wavequery.functions import intervals, text
 from wavequery.operators import aggregate, evaluators, generate, report, signal
-from wavequery.plans import runner, tasks
+from wavequery.plans import drivers, runner, tasks
 from wavequery.sources import files
 
 
-
 def one(spark, column, **values):
     schema = ", ".join(f"{k} {'string' if v is None or isinstance(v, str) else 'double'}" for k, v in values.items())
     return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first()["x"]
@@ -188,8 +188,8 @@ def test_registered_intervals_cover_all_metrics(spark, tmp_path, monkeypatch):
     rows = [(i, start + timedelta(minutes=37 * i), i % 5, kinds[i % 3], float(i % 9)) for i in range(60)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     taken, real = [], aggregate._interval
-    monkeypatch.setattr(aggregate, "_interval", lambda means, confidence: taken.append(means) or real(means, confidence))
-    got = {(r["task"], r["metric"]) for r in catalogue.QUERIES["bootstrap_poisson"](spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(aggregate, "_interval", lambda means, confidence, keys: taken.append(means) or real(means, confidence, keys))
+    got = {(r["task"], r["metric"]) for r in catalogue.QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()}
     assert got == {(t, m) for t in METRICS for m in METRICS[t]}
     assert taken[0].agg(F.max("b")).first()[0] == 9_999
 
@@ -205,7 +205,38 @@ def test_report_strings():
     rows = [{"task": "anih_x", "m": 0.5}, {"task": "b", "m": None}]
     assert "| anih_x | 0.500 |" in report.markdown(rows, ["task", "m"]) and "—" in report.markdown(rows, ["task", "m"])
     assert r"anih\_x & 0.500 \\" in report.latex(rows, ["task", "m"], "Scores", "t")
-    assert report.cell(None) == "—" and report.cell(0.5, 0.4) == "0.500 [0.400, 0.000]"
+
+
+def test_main_cells(spark):
+    rows = spark.createDataFrame([("anih", "a", "composite_score", 0.5, 0.4, 0.6), ("anih", "b", "composite_score", 0.25, None, None), ("soundscape", "a", "composite_score", 1.0, 1.0, 1.0)], "task string, model string, metric string, mean double, ci_lo double, ci_hi double")
+    got = {r["task"]: (r["a"], r["b"], r["c"]) for r in report.main_cells(rows, ["a", "b", "c"]).collect()}
+    assert got == {"anih": ("0.500 [0.400, 0.600]", "0.250 [0.000, 0.000]", "—"), "soundscape": ("1.000 [1.000, 1.000]", "—", "—")}
+    radar = report.radar(rows, ["a", "b"]).orderBy("model").collect()
+    assert [(r["anih"], r["soundscape"], r["speaker_drift"]) for r in radar] == [(0.5, 1.0, 0.0), (0.25, 0.0, 0.0)]
+
+
+def test_summary_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(0, 1000, 501), "b": np.round(rng.random(400), 1), "c": np.full(7, 1e9 + 0.1), "d": rng.integers(0, 2, 300).astype(float), "e": np.append(rng.random(99), 1e12)}
+    rows = [("anih", "m", str(i), k, float(v)) for k, vs in groups.items() for i, v in enumerate(vs)] + [("anih", "m", "x", "a", None)]
+    df = spark.createDataFrame(rows, "task string, model string, instance_id string, metric string, value double")
+    for r in aggregate.summarise(df).collect():
+        v = groups[r["metric"]]
+        assert r["median"] == float(np.median(v)) and (r["min"], r["max"], r["n"]) == (v.min(), v.max(), len(v) + (r["metric"] == "a"))
+        assert r["mean"] == pytest.approx(v.mean(), rel=1e-12) and r["std"] == pytest.approx(v.std(), rel=1e-6, abs=1e-6)
+
+
+def test_numbering_and_distinct_picks(spark):
+    rows = generate._numbered(spark.range(500).selectExpr("cast(id % 3 as int) AS g", "concat('p', id) AS path"), ["g"], "path").collect()
+    for g in range(3):
+        own = [r for r in rows if r["g"] == g]
+        assert sorted(r["k"] for r in own) == list(range(len(own))) and {r["n"] for r in own} == {len(own)}
+    picks = spark.range(300).select(generate._distinct_picks(F.col("id") % 4 + 5, 5, "t", F.col("id")).alias("p"), (F.col("id") % 4 + 5).alias("n")).collect()
+    assert all(len(set(r["p"])) == 5 and 0 <= min(r["p"]) and max(r["p"]) < r["n"] for r in picks)
+    few = spark.createDataFrame([("ami", f"p{i}") for i in range(4)], "dataset string, speaker_id string")
+    assert generate.drift(spark, few, 20).count() == 0
 
 
 # ------------------------------------------------------- tasks and generators
@@ -253,6 +284,16 @@ def test_mix_keeps_length_and_sets_the_ratio(spark):
     assert power == pytest.approx(10.0)
 
 
+def test_looped_and_fitted_clips(spark):
+    clips = {1: [float(i) for i in range(23)], 2: [float(i) for i in range(40)]}
+    for n in (7, 10, 23, 57):
+        for name, want in (("looped", {c: [v[i % len(v)] for i in range(n)] for c, v in clips.items()}), ("fitted", {c: (v + [0.0] * n)[:n] for c, v in clips.items()})):
+            got = {}
+            for r in signal.samples(getattr(signal, name)(frames(spark, clips), n, 10), 10).collect():
+                got.setdefault(r["clip_id"], {})[r["pos"]] = r["v"]
+            assert {c: [x[i] for i in range(n)] for c, x in got.items()} == want and all(len(x) == n for x in got.values())
+
+
 def test_mix_continues_a_short_background(spark):
     out = signal.samples(signal.mix_snr(frames(spark, {1: [0.1] * 20}), frames(spark, {1: [0.2] * 10}), F.lit(25), 10), 10).collect()
     assert len(out) == 40
@@ -281,6 +322,78 @@ def test_instances_and_results_round_trip(spark, tmp_path):
     assert [x["num_instances"] for x in files.read_results(spark, str(tmp_path)).collect()] == [2]
 
 
+def test_models_of_given_parts(spark):
+    df = spark.createDataFrame([("1", "1.wav", "when?")], "instance_id string, audio_path string, prompt string")
+    parts = {"transcribe": lambda path: f"text of {path}", "answer": lambda text, prompt: f"{prompt} {text}"}
+    assert runner.run(df, "cascaded", **parts).first()["response_text"] == "when? text of 1.wav"
+    assert runner.run(df, "ltu", start=lambda: lambda path, prompt: path.upper()).first()["response_text"] == "1.WAV"
+    assert runner.available() == ["echo"]
+    with pytest.raises(ValueError):
+        runner.get_model("qwen_audio")
+
+
+def test_sources_by_configuration(spark, tmp_path):
+    wav = files.encode_wav([0.0] * 10, 100)
+    made = {"bg": ["library/a.wav", "office/b.wav"], "vox": ["id1/v1/1.wav", "id1/v2/1.wav", "id2/v1/1.wav"], "ami": ["m1/A/1.wav", "m1/B/1.wav"], "books": ["one.wav", "two.wav"], "clues": ["clock_chime/x.wav"]}
+    for folder, names in made.items():
+        for name in names:
+            path = tmp_path / folder / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(wav)
+    (tmp_path / "books" / "one.txt").write_text("once")
+    paths = {"audioset": "bg", "voxceleb2": "vox", "ami": "ami", "librivox": "books", "acoustic_clues": "clues", "fsd50k": "missing", "unknown": "bg"}
+    got = files.discover_sources(spark, {k: str(tmp_path / v) for k, v in paths.items()})
+    assert sorted((r["kind"], r["category"]) for r in got["clips"].collect()) == [("background", "library"), ("background", "office"), ("clue", "clock_chime")]
+    assert sorted((r["dataset"], r["speaker_id"]) for r in got["speakers"].collect()) == [("ami", "A"), ("ami", "B"), ("voxceleb2", "id1"), ("voxceleb2", "id2")]
+    assert sorted((r["source"], r["transcript"] or "") for r in got["stories"].collect()) == [("librivox", ""), ("librivox", "once")]
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    wav = files.encode_wav([0.0] * 10, 100)
+    for name in [*[f"bg/{c}/{i}.wav" for c in ("library", "office", "lecture") for i in range(3)], *[f"needles/{c}/0.wav" for c in tasks.AnihConfig().needle_types], *[f"clues/{c}/0.wav" for c in tasks.NarrativeConfig().clue_types], *[f"vox/id{i}/v/0.wav" for i in range(7)]]:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(wav)
+    config = {
+        "data": {"audioset": f"{tmp_path}/bg", "needles": f"{tmp_path}/needles", "acoustic_clues": f"{tmp_path}/clues", "voxceleb2": f"{tmp_path}/vox"},
+        "tasks": {"anih": {"num_instances": 12}, "speaker_drift": {"num_instances": 12, "dataset_sources": ["voxceleb2"]}, "soundscape": {"num_instances": 5}},
+    }
+    paths = drivers.generate_data(spark, config, f"{tmp_path}/data")
+    assert {t: files.read_split(spark, t, f"{tmp_path}/data").count() for t in paths} == {"anih": 12, "speaker_drift": 12, "soundscape": 5, "narrative_coherence": 10}
+    assert files.read_split(spark, "soundscape", f"{tmp_path}/data").selectExpr("variant_get(metadata, '$.background_path', 'string') AS p").where("p like '%/bg/%'").count() == 5
+    with pytest.raises(FileNotFoundError):
+        drivers.evaluate(spark, f"{tmp_path}/none")
+    scores, responses = drivers.evaluate(spark, f"{tmp_path}/data", ["anih", "soundscape", "no such task"], ["echo", "no such model"], out=f"{tmp_path}/out", replicates=50)
+    assert scores.select("task").distinct().count() == 2 and responses.count() == 17
+    got = {r["task"]: r for r in files.read_results(spark, f"{tmp_path}/out").collect()}
+    assert {t: (r["model"], r["num_instances"], len(r["predictions"])) for t, r in got.items()} == {"anih": ("echo", 12, 12), "soundscape": ("echo", 5, 5)}
+    mean = {(r["task"], r["metric"]): r["mean"] for r in aggregate.summarise(scores).collect()}
+    assert all(r["metrics"][m]["mean"] == pytest.approx(mean[t, m]) for t, r in got.items() for m in r["metrics"])
+    assert set(json.loads((tmp_path / "out" / "summary.json").read_text())) == {"anih", "soundscape"}
+    latencies = responses.select("model", "instance_id", F.coalesce("latency_ms", F.lit(-1.0)).alias("latency_ms"))
+    drivers.write_report(scores, latencies, f"{tmp_path}/report", 50)
+    assert "| anih |" in (tmp_path / "report" / "summary.md").read_text() and "tabular" in (tmp_path / "report" / "main_table.tex").read_text()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/report/failures").count() == 17
+    docs = [json.loads(r["value"]) for r in files.score_documents(scores).collect()]
+    assert len(docs) == 17 and all("composite_score" in d["metrics"] for d in docs)
+
+
+def test_an_hour_of_audio(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    with wave.open(str(tmp_path / "long.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(16_000)
+        w.writeframes(np.tile(np.arange(-8000, 8000, dtype="<i2").repeat(2), 3600).tobytes())
+    frames = files.read_audio(spark, str(tmp_path / "long.wav"), rate=8_000, size=8_000)
+    r = frames.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("samples")).alias("samples"), F.min(F.array_min("samples")).alias("low")).first()
+    assert (r["n"], r["samples"]) == (3600, 8_000 * 3600) and r["low"] == pytest.approx(-8000 / 32768)
+    assert files.read_audio(spark, str(tmp_path / "long.wav"), most_seconds=2.5).count() == 3
+
+
 def test_runner_captures_errors(spark):
     df = spark.createDataFrame([(str(i), f"{i}.wav", "when?") for i in range(60)], "instance_id string, audio_path string, prompt string")
     rows = runner.run(df, "echo", fail=3).collect()

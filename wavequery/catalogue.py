@@ -141,16 +141,14 @@ for _name, _task in (("anih_scores", "anih"), ("drift_scores", "speaker_drift"),
     f"{o.r6('avg(timestamp_hit_5s)')} AS hit_5s, {o.r6('avg(preceding_sound_iou)')} AS sound_iou, {o.r6('avg(composite_score)')} AS composite FROM ({o.ANIH_SCORES}) GROUP BY model"
 )
 def anih_leaderboard(spark, sf_dir):
+    rows = aggregate.summarise(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"))
+
+    def of(metric, column):
+        return F.max(F.when(F.col("metric") == metric, F.col(column)))
+
     e = "timestamp_error_seconds"
-    rows = scored(spark, sf_dir, "anih").groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"),
-        r6(F.avg(e)).alias("error_mean"),
-        r6(F.stddev_pop(e)).alias("error_std"),
-        r6(F.median(e)).alias("error_median"),
-        r6(F.avg("timestamp_hit_5s")).alias("hit_5s"),
-        r6(F.avg("preceding_sound_iou")).alias("sound_iou"),
-        r6(F.avg("composite_score")).alias("composite"),
-    )
+    columns = [("error_mean", e, "mean"), ("error_std", e, "std"), ("error_median", e, "median"), ("hit_5s", "timestamp_hit_5s", "mean"), ("sound_iou", "preceding_sound_iou", "mean"), ("composite", "composite_score", "mean")]
+    rows = rows.groupBy("model").agg(of(e, "n").alias("n"), *[r6(of(m, c)).alias(name) for name, m, c in columns])
     return rows.orderBy(F.desc("composite"), "model")
 
 
@@ -199,16 +197,10 @@ def latency_mean(spark, sf_dir):
     return aggregate.mean_latency(latencies(spark, sf_dir)).select("model", r6("avg_latency_ms").alias("avg_latency_ms"))
 
 
-@query(o.bootstrap(100))
-def bootstrap_ci(spark, sf_dir):
-    rows = long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id").where(F.col("metric").isin("timestamp_hit_5s", "composite_score"))
-    return aggregate.bootstrap(rows, 100).select("task", "model", "metric", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), "n")
-
-
 @query()
-def bootstrap_poisson(spark, sf_dir):
-    """The interval of every metric of every task by Poisson weights, with the
-    replicates of the configuration."""
+def bootstrap_ci(spark, sf_dir):
+    """The interval of every metric of every task, with the replicates of the
+    configuration, by Poisson weights."""
     return aggregate.poisson_bootstrap(all_scores(spark, sf_dir))
 
 
@@ -223,14 +215,13 @@ def best_model(spark, sf_dir):
 
 
 @query(
-    f"WITH a AS (SELECT event_id FROM ({o.on_events(fixtures.ANIH)})), r AS (SELECT event_id AS id FROM events WHERE event_id % 13 <> 0 UNION ALL SELECT -event_id - 1 FROM events WHERE event_id % 17 = 0) "
-    "SELECT count(*) FILTER (a.event_id IS NOT NULL AND r.id IS NOT NULL) AS both_sides, count(*) FILTER (r.id IS NULL) AS only_truth, count(*) FILTER (a.event_id IS NULL) AS only_response FROM a FULL OUTER JOIN r ON a.event_id = r.id"
+    f"WITH a AS (SELECT event_id FROM ({o.on_events(fixtures.ANIH)})) "
+    "SELECT count(*) FILTER (a.event_id IS NOT NULL AND r.o_orderkey IS NOT NULL) AS both_sides, count(*) FILTER (r.o_orderkey IS NULL) AS only_truth, count(*) FILTER (a.event_id IS NULL) AS only_response FROM a FULL OUTER JOIN orders r ON a.event_id = r.o_orderkey"
 )
 def joined_scores(spark, sf_dir):
-    """Audit of instances against responses: what an inner join would lose."""
-    n = F.col("event_id")
-    truth, all_ = anih(spark, sf_dir).select("event_id"), fixtures.events(spark, sf_dir)
-    responses = all_.where(n % 13 != 0).select(n.alias("id")).unionByName(all_.where(n % 17 == 0).select((-n - 1).alias("id")))
+    """Audit of instances against responses (orders stand for them): what an
+    inner join would lose."""
+    truth, responses = anih(spark, sf_dir).select("event_id"), spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     both = truth.join(responses, truth["event_id"] == responses["id"], "full_outer")
     return both.agg(F.count_if(F.col("event_id").isNotNull() & F.col("id").isNotNull()).alias("both_sides"), F.count_if(F.col("id").isNull()).alias("only_truth"), F.count_if(F.col("event_id").isNull()).alias("only_response"))
 
@@ -240,10 +231,9 @@ def joined_scores(spark, sf_dir):
     f"WITH p AS ({o.PRIMARY}) SELECT t.task, m.model, {o.r6('p.mean')} AS mean FROM (SELECT DISTINCT task FROM p) t CROSS JOIN (SELECT DISTINCT model FROM p) m LEFT JOIN p ON p.task = t.task AND p.model = m.model AND NOT (p.task = 'soundscape' AND p.model = 'm3')"
 )
 def dense_result_grid(spark, sf_dir):
-    """With one result taken away, so that the grid has a gap."""
-    rows = summary(spark, sf_dir)
-    gap = report.dense_grid(rows)
-    return gap.select("task", "model", r6(F.when(~((F.col("task") == "soundscape") & (F.col("model") == "m3")), F.col("mean"))).alias("mean"))
+    """Without the results of one model in one task: the grid has a gap there."""
+    rows = summary(spark, sf_dir).where("not (task = 'soundscape' and model = 'm3')")
+    return report.dense_grid(rows).select("task", "model", r6("mean").alias("mean"))
 
 
 @query(f"SELECT task, {', '.join(o.r6(f'max(mean) FILTER (model = {m!r})') + ' AS ' + m for m in MODELS)} FROM ({o.PRIMARY}) GROUP BY task")
@@ -251,6 +241,31 @@ def main_table(spark, sf_dir):
     return report.main_table(summary(spark, sf_dir), MODELS).select("task", *[r6(m).alias(m) for m in MODELS])
 
 
+@query()
+def main_table_intervals(spark, sf_dir):
+    """The main table as text, ``mean [low, high]``."""
+    scores = all_scores(spark, sf_dir)
+    rows = aggregate.with_intervals(aggregate.summarise(scores), aggregate.poisson_bootstrap(aggregate.primary(scores)))
+    return report.main_cells(rows, MODELS)
+
+
+_TASKS = list(METRICS)
+
+
+@query(f"SELECT model, {', '.join(f'coalesce({o.r6(f'max(mean) FILTER (task = {t!r})')}, 0) AS {t}' for t in _TASKS)} FROM ({o.PRIMARY}) GROUP BY model")
+def radar_matrix(spark, sf_dir):
+    return report.radar(summary(spark, sf_dir), MODELS).select("model", *[r6(t).alias(t) for t in _TASKS])
+
+
+@query(f"SELECT task, model, floor((600 + event_id % 5 * 720) / 600)::BIGINT AS step, {o.r6('avg(s.value)')} AS mean, count(*) AS n FROM ({o.long('anih')}) s JOIN events ON event_id::VARCHAR = instance_id WHERE metric = 'composite_score' GROUP BY ALL")
+def scaling_by_duration(spark, sf_dir):
+    """Scores by length of the audio, ten minutes a step (an extension)."""
+    n = F.col("event_id")
+    lengths = fixtures.events(spark, sf_dir).select(n.cast("string").alias("instance_id"), (600.0 + n % 5 * 720).alias("duration"))
+    rows = report.scaling(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"), lengths)
+    return rows.select("task", "model", "step", r6("mean").alias("mean"), "n")
+
+
 @query(
     f"SELECT task, metric, {', '.join(o.r6(f'max({c}) FILTER (model = {m!r})') + f' AS {m}_{c}' for m in MODELS for c in ('mean', 'std'))} FROM ({o.SUMMARY}) GROUP BY task, metric"
 )
@@ -259,11 +274,10 @@ def detail_table(spark, sf_dir):
 
 
 @query(
-    f"SELECT s.task, s.model, s.instance_id, coalesce(l.ms, -1.0::DOUBLE) AS latency_ms, {o.r6('s.value')} AS score FROM ({o.long('anih')}) s LEFT JOIN (SELECT event_id::VARCHAR AS id, CASE WHEN event_type = 'error' THEN -1.0::DOUBLE ELSE value END AS ms FROM events WHERE event_id % 19 <> 0) l ON l.id = s.instance_id WHERE metric = 'composite_score'"
+    f"SELECT s.task, s.model, s.instance_id, coalesce(l.ms, -1.0::DOUBLE) AS latency_ms, {o.r6('s.value')} AS score FROM ({o.long('anih')}) s LEFT JOIN (SELECT event_id::VARCHAR AS id, CASE WHEN event_type = 'error' THEN -1.0::DOUBLE ELSE value END AS ms FROM events) l ON l.id = s.instance_id WHERE metric = 'composite_score'"
 )
 def failure_rows(spark, sf_dir):
-    known = latencies(spark, sf_dir).where(F.col("instance_id").cast("long") % 19 != 0)
-    rows = report.failure_rows(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"), known)
+    rows = report.failure_rows(long_scores(scored(spark, sf_dir, "anih"), "anih", "event_id"), latencies(spark, sf_dir))
     return rows.select("task", "model", "instance_id", "latency_ms", r6("score").alias("score"))
 
 
@@ -300,44 +314,55 @@ def _clips(spark, sf_dir):
         return F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
 
     wav = F.lit(".wav")
-    backgrounds = part.where(size < 10).select(F.lit("background").alias("kind"), pick(["library", "office"], key).alias("category"), F.concat(F.lit("bg/"), F.lpad(key.cast("string"), 9, "0"), wav).alias("path"))
+    backgrounds = part.select(F.lit("background").alias("kind"), pick(["library", "office"], key).alias("category"), F.concat(F.lit("bg/"), F.lpad(key.cast("string"), 9, "0"), wav).alias("path"))
     needles = part.select(F.lit("needle").alias("kind"), pick(["glass_shatter", "pen_click", "door_slam"], size).alias("category"), F.concat(F.lit("needle/"), (size % 3).cast("string"), wav).alias("path")).distinct()
     clues = part.select(F.lit("clue").alias("kind"), pick(["clock_chime", "church_bell", "train_whistle", "ice_cream_truck"], size).alias("category"), F.concat(F.lit("clue/"), (size % 4).cast("string"), wav).alias("path")).distinct()
     return backgrounds.unionByName(needles).unionByName(clues)
 
 
 def _speakers(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 2 and c_nationkey < 5")
     dataset = F.element_at(F.array(F.lit("voxceleb2"), F.lit("ami"), F.lit("librispeech")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    return c.select(dataset.alias("dataset"), F.col("c_name").alias("speaker_id")).unionByName(spark.range(1).select(F.lit("librispeech").alias("dataset"), F.lit("lonely").alias("speaker_id")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(dataset.alias("dataset"), F.col("c_name").alias("speaker_id"))
+
+
+def _instances(spark, sf_dir):
+    """As many instances as ``part`` has rows."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").count()
 
 
 @query(o.GEN_ANIH)
 def gen_anih(spark, sf_dir):
-    rows = generate.anih(spark, _clips(spark, sf_dir), o.GEN_N)
+    rows = generate.anih(spark, _clips(spark, sf_dir), _instances(spark, sf_dir))
     return rows.select("instance_id", "needle_type", "background_source", "background_path", "needle_path", r6("needle_timestamp_seconds").alias("at_s"), "needle_timestamp", "preceding_sound", "prompt")
 
 
 @query(f"SELECT i, instance_id, dataset, array_to_string(speaker_order, '|') AS speaker_order FROM ({o.GEN_DRIFT})")
 def gen_drift(spark, sf_dir):
-    return generate.drift(spark, _speakers(spark, sf_dir), o.GEN_N).select("i", "instance_id", "dataset", F.array_join("speaker_order", "|").alias("speaker_order"))
+    return generate.drift(spark, _speakers(spark, sf_dir), _instances(spark, sf_dir)).select("i", "instance_id", "dataset", F.array_join("speaker_order", "|").alias("speaker_order"))
 
 
 @query(o.GEN_TURNS)
 def gen_turns(spark, sf_dir):
-    rows = generate.turns(generate.drift(spark, _speakers(spark, sf_dir), o.GEN_N))
+    rows = generate.turns(generate.drift(spark, _speakers(spark, sf_dir), _instances(spark, sf_dir)))
     return rows.select("instance_id", F.col("ord").cast("long").alias("ord"), F.col("speaker_idx").cast("long").alias("speaker_idx"), "speaker_id", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "kind")
 
 
 @query(o.GEN_SOUNDSCAPE)
 def gen_soundscape(spark, sf_dir):
-    rows = generate.timelines(spark, o.GEN_N)
+    rows = generate.timelines(spark, _instances(spark, sf_dir))
     return rows.select("i", F.col("ord").cast("long").alias("ord"), "event_type", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "start", "end", F.col("overlaps").alias("overlap_names"))
 
 
+@query(o.GEN_SOUNDSCAPES)
+def gen_soundscape_instances(spark, sf_dir):
+    rows = generate.soundscape(spark, _instances(spark, sf_dir), clips=_clips(spark, sf_dir))
+    names = F.transform("events", lambda e: F.concat(e["event_type"], F.lit(" "), e["start"]))
+    return rows.select("instance_id", "background_path", F.col("num_events").cast("long").alias("num_events"), F.array_join(names, "|").alias("event_names"))
+
+
 @query(o.GEN_NARRATIVE)
 def gen_narrative(spark, sf_dir):
-    rows = generate.narrative(spark, _clips(spark, sf_dir).where("kind = 'clue'"), o.GEN_N)
+    rows = generate.narrative(spark, _clips(spark, sf_dir).where("kind = 'clue'"), _instances(spark, sf_dir))
     return rows.select(
         "instance_id", "clue_type", "clue_path", "correct_verdict", *[f"clue_{x}_timestamp" for x in "abc"],
         *[r6(f"clue_{x}_timestamp_seconds").alias(f"clue_{x}_s") for x in "abc"], F.array_join("required_reasoning_steps", "|").alias("steps"),
@@ -363,20 +388,22 @@ def prompt_render(spark, sf_dir):
 SIZE = 50
 
 
-def _tone(spark, clips, n, value):
-    """Frames of a formula of the clip ``c`` and the sample number ``k``."""
+def _tone(spark, sf_dir, n, value):
+    """Frames of a formula of the clip ``c`` and the sample number ``k``, a clip
+    for each row of ``supplier``."""
     c = F.col("clip_id")
-    rows = spark.range(clips).select(F.col("id").alias("clip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // SIZE) - 1).cast("long"))).alias("frame_idx"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("clip_id"))
+    rows = rows.withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // SIZE) - 1).cast("long"))))
     k = F.sequence(F.col("frame_idx") * SIZE, F.least(F.col("frame_idx") * SIZE + SIZE, F.lit(n)) - 1)
     return rows.select("clip_id", "frame_idx", F.transform(k, lambda i: value(c, i)).alias("samples"))
 
 
-def _tones(spark):
-    return _tone(spark, 6, 400, lambda c, k: (1 + c % 2) * 0.7 * F.sin(k * 0.1 + c))
+def _tones(spark, sf_dir):
+    return _tone(spark, sf_dir, 400, lambda c, k: (1 + c % 2) * 0.7 * F.sin(k * 0.1 + c))
 
 
-def _fore(spark):
-    return _tone(spark, 6, 60, lambda c, k: F.when(c == 5, 0.0).otherwise(0.5 * F.cos(k * 0.3 + c)))
+def _fore(spark, sf_dir):
+    return _tone(spark, sf_dir, 60, lambda c, k: F.when(c % 6 == 5, 0.0).otherwise(0.5 * F.cos(k * 0.3 + c)))
 
 
 def _flat(frames):
@@ -385,32 +412,53 @@ def _flat(frames):
 
 @query(o.RMS)
 def rms(spark, sf_dir):
-    return signal.rms(_tones(spark)).select("clip_id", r6("rms").alias("rms"))
+    return signal.rms(_tones(spark, sf_dir)).select("clip_id", r6("rms").alias("rms"))
 
 
 @query(o.PEAK)
 def peak_normalise(spark, sf_dir):
-    return _flat(signal.normalise(_tones(spark)))
+    return _flat(signal.normalise(_tones(spark, sf_dir)))
 
 
 @query(o.MIX)
 def mix_snr(spark, sf_dir):
-    return _flat(signal.mix_snr(_tones(spark), _fore(spark), 37 + 61 * F.col("clip_id"), SIZE))
+    return _flat(signal.mix_snr(_tones(spark, sf_dir), _fore(spark, sf_dir), 37 + 61 * (F.col("clip_id") % 6), SIZE))
+
+
+@query(o.ANIH_AUDIO)
+def anih_audio(spark, sf_dir):
+    return _flat(signal.anih_audio(_tones(spark, sf_dir), _fore(spark, sf_dir), 120 + 31 * (F.col("clip_id") % 6), 970, 80, SIZE))
+
+
+@query(o.NARRATIVE_AUDIO)
+def narrative_audio(spark, sf_dir):
+    return _flat(signal.narrative_audio(_tones(spark, sf_dir), _fore(spark, sf_dir), 15 + 21 * (F.col("clip_id") % 6), 330, 100, SIZE))
+
+
+@query(o.DRIFT_AUDIO)
+def drift_audio(spark, sf_dir):
+    """Panels of three turns of two seconds at 100 Hz, of neighbouring clips."""
+    clips = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k, n = F.col("s_suppkey").cast("long"), clips.count()
+    turns = clips.select(k.alias("instance_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord"))
+    turns = turns.withColumns({"speaker_id": (F.col("instance_id") + F.col("ord")) % n, "start_s": F.col("ord") * 2.0, "end_s": F.col("ord") * 2.0 + 2.0})
+    return _flat(signal.drift_audio(turns, _tones(spark, sf_dir), 100, SIZE, 6.0))
 
 
 @query(o.SUM)
 def soundscape_sum(spark, sf_dir):
-    events = _fore(spark).withColumn("event", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    events = _fore(spark, sf_dir).withColumn("event", F.explode(F.sequence(F.lit(0), F.lit(2))))
     events = events.withColumn("samples", F.transform("samples", lambda x: x * (F.col("event") + 1)))
-    return _flat(signal.sum_events(signal.looped(_tones(spark), 12), events, 90 + 50 * F.col("event"), SIZE, 12))
+    return _flat(signal.soundscape_audio(_tones(spark, sf_dir), events, 90 + 50 * F.col("event"), 12, SIZE))
 
 
 @query(o.CONCAT)
 def concat_crossfade(spark, sf_dir):
     parts = [(0, 0, 120), (1, 100, 260), (2, 250, 250), (3, 255, 700)]
     places = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("start"), F.lit(z).alias("end")) for i, a, z in parts])
-    segments = spark.range(6).select(F.col("id").alias("clip_id"), F.col("id").alias("source"), F.explode(places).alias("p")).select("clip_id", "source", "p.*")
-    return _flat(signal.concatenate(segments, _tones(spark), SIZE, 12, 15))
+    tones = _tones(spark, sf_dir)
+    segments = tones.select("clip_id").distinct().select("clip_id", F.col("clip_id").alias("source"), F.explode(places).alias("p")).select("clip_id", "source", "p.*")
+    return _flat(signal.concatenate(segments, tones, SIZE, 12, 15))
 
 
 # ------------------------------------------------------------ joins, runner
@@ -431,6 +479,6 @@ def dedupe_results(spark, sf_dir):
 @query()
 def mock_runner(spark, sf_dir):
     """Answers of the deterministic model, parsed and with errors as misses."""
-    instances = generate.anih(spark, _clips(spark, sf_dir), o.GEN_N).withColumn("audio_path", F.concat(F.lit("data/anih/"), "instance_id", F.lit(".wav")))
+    instances = generate.anih(spark, _clips(spark, sf_dir), _instances(spark, sf_dir)).withColumn("audio_path", F.concat(F.lit("data/anih/"), "instance_id", F.lit(".wav")))
     answers = runner.run(instances, "echo").join(instances.select("instance_id", "needle_timestamp", F.col("preceding_sound").alias("gt_sound")), "instance_id")
     return SCORE["anih"](answers.withColumnRenamed("response_text", "response")).select("instance_id", "model", "error", "timestamp_error_seconds", "composite_score")

@@ -17,20 +17,59 @@ from .evaluators import PRIMARY
 KEYS = ["task", "model", "metric"]
 
 
+#: Bins of a group's range, of which one or two are looked into for its median.
+BINS = 1024
+
+
 def summarise(scores: DataFrame) -> DataFrame:
-    """mean, std (population), median, min, max and n of every metric: one
-    shuffle, with partial aggregates for all but the median."""
-    v = F.col("value")
-    return scores.groupBy(*KEYS).agg(
-        F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("std"),
-        F.coalesce(F.median(v), F.lit(0.0)).alias("median"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(F.lit(1)).alias("n"),
+    """mean, std (population), median, min, max and n of every metric.
+
+    Equal values of a metric become one row with their count, in one shuffle
+    with partial sums; all else reads that table.  No buffer holds a group: the
+    median is found by a histogram of the group's range and then among the
+    distinct values of the bin that it is in."""
+    equal = scores.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c"))
+    v, c = F.col("value"), F.col("c")
+    known = F.when(v.isNotNull(), c)
+    reach = equal.groupBy(*KEYS).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.coalesce(F.sum(known), F.lit(0)).alias("k"), F.sum(c).alias("n"))
+    rows = equal.where(v.isNotNull()).join(reach, KEYS).withColumn("d", v - F.col("min"))
+    # Distances to the least value: equal values have a deviation of exactly 0.
+    sums = rows.groupBy(*KEYS).agg(F.sum(c * F.col("d")).alias("s"), F.sum(c * F.col("d") * F.col("d")).alias("q"))
+    mean = F.col("s") / F.col("k")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean))
+    out = reach.join(sums, KEYS, "left").join(_medians(rows), KEYS, "left")
+    return out.select(
+        *KEYS,
+        F.coalesce(F.col("min") + mean, F.lit(0.0)).alias("mean"),
+        F.coalesce(std, F.lit(0.0)).alias("std"),
+        F.coalesce("median", F.lit(0.0)).alias("median"),
+        "min",
+        "max",
+        "n",
     )
 
 
+def _medians(rows: DataFrame) -> DataFrame:
+    """The median of each group from its distinct values (value, c) with the
+    group's min, max and number of values k."""
+    width = (F.col("max") - F.col("min")) / BINS
+    rows = rows.select(*KEYS, "value", "c", "k", F.when(width > 0, F.least(F.lit(BINS - 1), F.floor(F.col("d") / width))).otherwise(0).cast("int").alias("bin"))
+    bins = rows.groupBy(*KEYS, "bin", "k").agg(F.sum("c").alias("c"))
+    ahead = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    low, high = F.floor((F.col("k") - 1) / 2), F.floor(F.col("k") / 2)  # the two ranks, from 0, that count
+    hit = bins.where(((F.col("before") <= low) & (low < F.col("before") + F.col("c"))) | ((F.col("before") <= high) & (high < F.col("before") + F.col("c"))))
+    inside = rows.join(hit.select(*KEYS, "bin", "before"), [*KEYS, "bin"])
+    upto = Window.partitionBy(*KEYS, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    first = inside.withColumn("from", F.col("upto") - F.col("c"))
+
+    def at(rank):
+        return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("value")))
+
+    return first.groupBy(*KEYS).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def mean_latency(responses: DataFrame) -> DataFrame:
     """Mean of positive latencies by model, 0 without any."""
     ms = F.col("latency_ms")
@@ -42,15 +81,16 @@ def bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: float = 0
     replacement, drawn by hash, so that any engine draws the same.
 
     ``replicates * n`` draws meet their values in an equi-join on the index
-    within a group; for groups beyond some 100 000 values use
-    ``poisson_bootstrap``, which moves no draws."""
+    within a group, whose values are numbered in one task: for groups of up to
+    some 10 000 values.  ``poisson_bootstrap`` moves no draws and has no such
+    bound; the registered queries use it."""
     own = Window.partitionBy(*KEYS)
     values = scores.where(F.col("value").isNotNull())
     values = values.withColumns({"k": F.row_number().over(own.orderBy("instance_id")) - 1, "n": F.count(F.lit(1)).over(own)})
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
     draws = values.select(*KEYS, "n", "k", b).select(*KEYS, "b", (draw(F.col("model"), F.col("metric"), F.col("b"), F.col("k")) % F.col("n")).alias("k"))
     means = draws.join(values.select(*KEYS, "k", "value"), [*KEYS, "k"]).groupBy(*KEYS, "b").agg(F.avg("value").alias("mu"))
-    return _interval(means, confidence).join(values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS)
+    return _interval(means, confidence, KEYS).join(values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS)
 
 
 #: Poisson weights of 2**k equal values are drawn at once, for k up to this.
@@ -93,17 +133,19 @@ def poisson_bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: f
     # Small rows still have many draws: deal them over all tasks, by a number
     # of partitions, as Spark would put them together.
     seed = draw(F.col("model"), F.col("metric"), F.col("value"), F.col("p.k"), F.col("p.i"))
+    group = F.xxhash64(*KEYS)  # sums by a number are cheaper than by three names
     parts = parts.withColumn("seed", seed).repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), F.xxhash64(*KEYS, "value", "p"))
-    rows = parts.select(*KEYS, "value", "p.k", "p.i", "seed", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    names = equal.groupBy(group.alias("g")).agg(*[F.first(k).alias(k) for k in KEYS], F.sum("c").alias("n"))
+    rows = parts.select(group.alias("g"), "value", "p.k", "p.i", "seed", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     u = F.shiftrightunsigned(F.xxhash64("seed", "value", "k", "i", "b"), 11) / float(1 << 53)
-    rows = rows.select(*KEYS, "value", "b", _poisson(u, F.col("k")).alias("w"))
-    means = rows.groupBy(*KEYS, "b").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("mu"))
-    return _interval(means, confidence)
+    rows = rows.select("g", "value", "b", _poisson(u, F.col("k")).alias("w"))
+    means = rows.groupBy("g", "b").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("mu"))
+    return _interval(means, confidence, ["g"]).join(names, "g").select(*KEYS, "ci_lo", "ci_hi", "n")
 
 
-def _interval(means: DataFrame, confidence: float) -> DataFrame:
+def _interval(means: DataFrame, confidence: float, keys: list[str]) -> DataFrame:
     tail = (1 - confidence) / 2
-    return means.groupBy(*KEYS).agg(F.percentile("mu", F.lit(tail)).alias("ci_lo"), F.percentile("mu", F.lit(1 - tail)).alias("ci_hi"))
+    return means.groupBy(*keys).agg(F.percentile("mu", F.lit(tail)).alias("ci_lo"), F.percentile("mu", F.lit(1 - tail)).alias("ci_hi"))
 
 
 def with_intervals(summary: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -20,10 +20,31 @@ def instance_id(task: str, *key: Column) -> Column:
     return F.concat(F.lit(task + "_"), F.substring(F.md5(text.cast("binary")), 1, 8))
 
 
+#: Parts in which the rows of a key are numbered.
+PARTS = 1024
+
+
 def _numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows numbered from 0 within keys, with the number of rows."""
-    own = Window.partitionBy(*keys)
-    return df.withColumns({"k": F.row_number().over(own.orderBy(order)) - 1, "n": F.count(F.lit(1)).over(own)})
+    """Rows numbered from 0 within keys (k), with the number of rows (n).  Rows are
+    dealt to PARTS by the hash of ``order``, numbered there, and moved on by the
+    sizes of the parts before, so no task has all rows of a key."""
+    rows = df.withColumn("_part", draw(F.col(order)) % PARTS)
+    sizes, own = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c")), Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_part", before.alias("_before"), F.sum("_c").over(own).alias("n"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1).join(sizes, [*keys, "_part"])
+    return rows.withColumn("k", F.col("k") + F.col("_before")).drop("_part", "_before")
+
+
+def _distinct_picks(n: Column, k: int, *key: Column | str) -> Column:
+    """k different numbers below n: the j-th is drawn from what n - j numbers are
+    left, and moved past the smaller ones that were taken."""
+
+    def pick(taken: Column, j: Column) -> Column:
+        x = F.aggregate(F.array_sort(taken), draw(*key, j) % (n - j), lambda x, t: x + (t <= x).cast("bigint"))
+        return F.concat(taken, F.array(x))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), pick)
 
 
 def anih(spark: SparkSession, clips: DataFrame, n: int, seed: int = 0, config: AnihConfig = AnihConfig()) -> DataFrame:
@@ -33,10 +54,10 @@ def anih(spark: SparkSession, clips: DataFrame, n: int, seed: int = 0, config: A
     depth = one_of([float(x) for x in config.insertion_depths], *key, "depth") if config.insertion_depths else uniform(30, config.background_duration - 30, *key, "depth")
     rows = spark.range(n).select(F.col("id").alias("i")).select("i", one_of(config.background_sources, *key, "source").alias("background_source"), one_of(config.needle_types, *key, "needle").alias("needle_type"), depth.alias("at"), draw(*key, "clip").alias("pick"))
     backgrounds = _numbered(clips.where("kind = 'background'"), ["category"], "path").select(F.col("category").alias("background_source"), F.col("path").alias("background_path"), "k", "n")
-    sizes = backgrounds.select("background_source", "n").distinct()
+    sizes = clips.where("kind = 'background'").groupBy(F.col("category").alias("background_source")).agg(F.count(F.lit(1)).alias("n"))
     needles = clips.where("kind = 'needle'").groupBy(F.col("category").alias("needle_type")).agg(F.min("path").alias("needle_path"))
-    rows = rows.join(F.broadcast(sizes), "background_source").withColumn("k", F.col("pick") % F.col("n")).drop("n")
-    rows = rows.join(backgrounds.drop("n"), ["background_source", "k"]).join(F.broadcast(needles), "needle_type")
+    rows = rows.join(sizes, "background_source").withColumn("k", F.col("pick") % F.col("n")).drop("n")
+    rows = rows.join(backgrounds.drop("n"), ["background_source", "k"]).join(needles, "needle_type")
     labels = F.create_map(*[F.lit(x) for kv in config.preceding_sounds.items() for x in kv])
     return rows.select(
         "i",
@@ -55,13 +76,15 @@ def anih(spark: SparkSession, clips: DataFrame, n: int, seed: int = 0, config: A
 
 def drift(spark: SparkSession, speakers: DataFrame, n: int, seed: int = 0, config: DriftConfig = DriftConfig()) -> DataFrame:
     """Panel instances with their speakers in order.  ``speakers``: dataset,
-    speaker_id.  A dataset with too few speakers yields none."""
+    speaker_id.  A dataset with too few speakers yields none; of the others a row
+    an instance and place is drawn by number and joined."""
     key = ("speaker_drift", F.lit(seed), F.col("i"))
     rows = spark.range(n).select(F.col("id").alias("i")).withColumn("dataset", one_of(config.dataset_sources, *key, "dataset"))
-    lot = draw("speaker_drift", F.lit(seed), F.col("i"), F.col("speaker_id"))
-    order = Window.partitionBy("i").orderBy(lot, "speaker_id")
-    picked = rows.join(F.broadcast(speakers), "dataset").withColumn("ord", F.row_number().over(order) - 1).where(F.col("ord") < config.num_speakers)
-    lists = picked.groupBy("i", "dataset").agg(F.array_sort(F.collect_list(F.struct("ord", "speaker_id"))).alias("s")).where(F.size("s") == config.num_speakers)
+    sizes = speakers.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.num_speakers)
+    picks = _distinct_picks(F.col("n"), config.num_speakers, *key, F.lit("speaker"))
+    rows = rows.join(sizes, "dataset").select("i", "dataset", F.posexplode(picks).alias("ord", "k"))
+    picked = rows.join(_numbered(speakers, ["dataset"], "speaker_id").select("dataset", "k", "speaker_id"), ["dataset", "k"])
+    lists = picked.groupBy("i", "dataset").agg(F.array_sort(F.collect_list(F.struct("ord", "speaker_id"))).alias("s"))
     return lists.select(
         "i",
         instance_id("speaker_drift", F.lit(seed), F.col("i")).alias("instance_id"),
@@ -116,19 +139,27 @@ def timelines(spark: SparkSession, n: int, seed: int = 0, config: SoundscapeConf
     return rows.select("i", "ord", "event_type", "start_s", end.alias("end_s"), mmss(F.col("start_s")).alias("start"), F.when(end < c.duration, mmss(end)).otherwise("ongoing").alias("end"), overlaps.alias("overlaps"))
 
 
-def soundscape(spark: SparkSession, n: int, seed: int = 0, config: SoundscapeConfig = SoundscapeConfig()) -> DataFrame:
-    """Soundscape instances: events sorted by their printed start."""
+def soundscape(spark: SparkSession, n: int, seed: int = 0, config: SoundscapeConfig = SoundscapeConfig(), clips: DataFrame | None = None) -> DataFrame:
+    """Soundscape instances: events sorted by their printed start; one of the
+    background clips (kind, path), if there are any."""
     event = F.struct(F.floor("start_s").alias("s"), "ord", F.struct("event_type", "start", "end", "overlaps").alias("e"))
     lists = timelines(spark, n, seed, config).groupBy("i").agg(F.array_sort(F.collect_list(event)).alias("l"))
+    if clips is None:
+        lists = lists.withColumn("background_path", F.lit(None).cast("string"))
+    else:
+        numbered = _numbered(clips.where("kind = 'background'").select("kind", "path"), ["kind"], "path").select("k", F.col("path").alias("background_path"))
+        size = clips.where("kind = 'background'").agg(F.count(F.lit(1)).alias("_n"))
+        lists = lists.join(size).withColumn("k", F.when(F.col("_n") > 0, draw("soundscape", F.lit(seed), F.col("i"), "background") % F.col("_n")))
+        lists = lists.join(numbered, "k", "left")
     events = F.transform("l", lambda x: x["e"])
-    return lists.select("i", instance_id("soundscape", F.lit(seed), F.col("i")).alias("instance_id"), events.alias("events"), F.lit(config.duration).alias("duration"), F.size("l").alias("num_events"), prompt("soundscape", duration_minutes=F.lit(int(config.duration / 60))).alias("prompt"))
+    return lists.select("i", instance_id("soundscape", F.lit(seed), F.col("i")).alias("instance_id"), events.alias("events"), "background_path", F.lit(config.duration).alias("duration"), F.size("l").alias("num_events"), prompt("soundscape", duration_minutes=F.lit(int(config.duration / 60))).alias("prompt"))
 
 
 def narrative(spark: SparkSession, clues: DataFrame, n: int, seed: int = 0, config: NarrativeConfig = NarrativeConfig()) -> DataFrame:
     """Story instances.  ``clues``: category, path; others are left out."""
     key = ("narrative_coherence", F.lit(seed), F.col("i"))
     rows = spark.range(n).select(F.col("id").alias("i")).withColumn("clue_type", one_of(config.clue_types, *key, "clue"))
-    rows = rows.join(F.broadcast(clues.groupBy(F.col("category").alias("clue_type")).agg(F.min("path").alias("clue_path"))), "clue_type")
+    rows = rows.join(clues.groupBy(F.col("category").alias("clue_type")).agg(F.min("path").alias("clue_path")), "clue_type")
     for name, low, high in (("a", 0.05, 0.15), ("b", 0.35, 0.55), ("c", 0.80, 0.95)):
         rows = rows.withColumn(f"clue_{name}_timestamp_seconds", uniform(low, high, *key, name) * config.duration)
     rows = rows.withColumns({f"clue_{x}_timestamp": mmss(F.col(f"clue_{x}_timestamp_seconds")) for x in "abc"})

@@ -52,28 +52,67 @@ def place(frames: DataFrame, offset: Column, size: int, *keep: str) -> DataFrame
     return lists.select("clip_id", *keep, "frame_idx", F.aggregate("l", zeros(size), add).alias("samples"))
 
 
-def looped(frames: DataFrame, n_frames: int) -> DataFrame:
-    """Clips of whole frames, repeated or cut to ``n_frames``."""
-    rows = frames.join(frames.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("_n")), "clip_id")
-    turns = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n_frames - 1 - F.col("frame_idx")) / F.col("_n"))))
-    rows = rows.where(F.col("frame_idx") < n_frames).withColumn("_t", F.explode(turns))
-    return rows.select("clip_id", (F.col("frame_idx") + F.col("_t") * F.col("_n")).alias("frame_idx"), "samples").where(F.col("frame_idx") < n_frames)
+def fitted(frames: DataFrame, n: int, size: int) -> DataFrame:
+    """Clips cut, or continued by silence, to ``n`` samples."""
+    last = -(-n // size) - 1
+    index = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("frame_idx")
+    rows = frames.select("clip_id").distinct().select("clip_id", index).join(frames, KEY, "left")
+    length = F.when(F.col("frame_idx") == last, n - last * size).otherwise(size)
+    whole = F.concat(F.coalesce("samples", F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), size))
+    return rows.select(*KEY, F.slice(whole, F.lit(1), length).alias("samples"))
+
+
+def looped(frames: DataFrame, n: int, size: int) -> DataFrame:
+    """Clips of any length repeated, or cut, to ``n`` samples."""
+    length = frames.groupBy("clip_id").agg(F.sum(F.size("samples")).alias("_n"))
+    rows = frames.join(length, "clip_id").where("_n > 0")
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.col("_n")))
+    rows = rows.withColumn("_t", F.explode(turns)).withColumn("_off", F.col("_t") * F.col("_n")).where(F.col("_off") + F.col("frame_idx") * size < n)
+    return fitted(place(rows, F.col("_off"), size), n, size)
 
 
 def mix_snr(background: DataFrame, foreground: DataFrame, at: Column, size: int, snr_db: float = 10.0) -> DataFrame:
     """The foreground added to the background from sample ``at`` (a column of
     the foreground, one value a clip), scaled to ``snr_db`` against the part of
     the background beneath; silence on either side leaves it unscaled.  A short
-    background is continued by silence."""
+    background is continued by silence; frames that the foreground touches are
+    whole, others as long as they were."""
     span = foreground.groupBy("clip_id").agg(F.min(at).alias("_at"), F.sum(F.size("samples")).alias("_len"), F.sum(energy(F.col("samples"))).alias("_fg"))
     placed = place(foreground, at, size).withColumnRenamed("samples", "fg")
-    both = background.withColumnRenamed("samples", "bg").join(placed, KEY, "full_outer").withColumns({"bg": F.coalesce("bg", zeros(size)), "fg": F.coalesce("fg", zeros(size))})
+    both = background.withColumnRenamed("samples", "bg").join(placed, KEY, "full_outer")
+    own = F.coalesce(F.size("bg"), F.lit(0))
+    both = both.withColumns({"_size": F.when(F.col("fg").isNull(), own).otherwise(size), "bg": F.slice(F.concat(F.coalesce("bg", F.array().cast("array<double>")), zeros(size)), 1, size), "fg": F.coalesce("fg", zeros(size))})
     both = both.join(span, "clip_id", "left")
     inside = F.zip_with("bg", F.sequence(F.lit(0), F.lit(size - 1)), lambda x, i: F.when((F.col("frame_idx") * size + i >= F.col("_at")) & (F.col("frame_idx") * size + i < F.col("_at") + F.col("_len")), x).otherwise(0.0))
     beneath = both.groupBy("clip_id").agg(F.sum(energy(inside)).alias("_bg"))
     ratio = 10 ** (snr_db / 20)
     scale = F.when((F.col("_bg") > 0) & (F.col("_fg") > 0), ratio * F.sqrt(F.col("_bg") / F.col("_fg"))).otherwise(1.0)
-    return both.join(beneath, "clip_id").withColumn("_k", scale).select(*KEY, F.zip_with("bg", "fg", lambda x, y: x + y * F.col("_k")).alias("samples"))
+    return both.join(beneath, "clip_id").withColumn("_k", scale).select(*KEY, F.slice(F.zip_with("bg", "fg", lambda x, y: x + y * F.col("_k")), F.lit(1), F.col("_size")).alias("samples"))
+
+
+def anih_audio(background: DataFrame, needle: DataFrame, at: Column, n: int, needle_n: int, size: int, snr_db: float = 10.0) -> DataFrame:
+    """A background looped to ``n`` samples with a needle of ``needle_n`` samples
+    from sample ``at`` on."""
+    return mix_snr(looped(background, n, size), fitted(needle, needle_n, size), at, size, snr_db)
+
+
+def narrative_audio(story: DataFrame, clue: DataFrame, at: Column, n: int, clue_n: int, size: int, snr_db: float = 5.0) -> DataFrame:
+    """A story cut or continued to ``n`` samples with a clue from ``at`` on."""
+    return mix_snr(fitted(story, n, size), fitted(clue, clue_n, size), at, size, snr_db)
+
+
+def drift_audio(turns: DataFrame, speech: DataFrame, rate: int, size: int, seconds: float, fade_ms: float = 10.0) -> DataFrame:
+    """The turns (instance_id, ord, speaker_id, start_s, end_s) of panels, each
+    taken from its speaker's frames in ``speech`` (clip_id = speaker_id)."""
+    segments = turns.select(
+        F.col("instance_id").alias("clip_id"), "ord", F.col("speaker_id").alias("source"), F.floor(F.col("start_s") * rate).cast("long").alias("start"), F.floor(F.col("end_s") * rate).cast("long").alias("end")
+    )
+    return concatenate(segments, speech, size, -(-int(seconds * rate) // size), int(fade_ms * rate / 1000))
+
+
+def soundscape_audio(background: DataFrame, events: DataFrame, at: Column, n_frames: int, size: int) -> DataFrame:
+    """Events summed over a looped background, normalised."""
+    return sum_events(looped(background, n_frames * size, size), events, at, size, n_frames)
 
 
 def sum_events(background: DataFrame, events: DataFrame, at: Column, size: int, n_frames: int) -> DataFrame:

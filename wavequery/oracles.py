@@ -224,21 +224,6 @@ def h32(*parts: str) -> str:
     return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
 
 
-def bootstrap(replicates: int) -> str:
-    return f"""
-WITH v AS (
-  SELECT model, metric, value, row_number() OVER (PARTITION BY model, metric ORDER BY instance_id) - 1 AS k, count(*) OVER (PARTITION BY model, metric) AS n
-  FROM ({long('anih')}) WHERE value IS NOT NULL AND metric IN ('timestamp_hit_5s', 'composite_score')
-), d AS (
-  SELECT model, metric, b, {h32('model', 'metric', 'b', 'k')} % n AS k FROM v, range({replicates}) AS r(b)
-), m AS (
-  SELECT model, metric, b, avg(value) AS mu FROM d JOIN v USING (model, metric, k) GROUP BY ALL
-)
-SELECT 'anih' AS task, model, metric, {r6('quantile_cont(mu, 0.025)')} AS ci_lo, {r6('quantile_cont(mu, 0.975)')} AS ci_hi, (SELECT any_value(n) FROM v WHERE v.model = m.model AND v.metric = m.metric) AS n
-FROM m GROUP BY model, metric
-"""
-
-
 # --------------------------------------------------------------- generators
 def uniform(low: float, high: float, *key: str) -> str:
     return f"({float(low)!r}::DOUBLE + {float(high) - float(low)!r}::DOUBLE * ({h32(*key)} / 4294967296.0::DOUBLE))"
@@ -256,31 +241,48 @@ def ident(task: str) -> str:
     return f"'{task}_' || substr(md5('{task}:0:' || i::VARCHAR), 1, 8)"
 
 
-GEN_N = 300
+#: One instance a row of ``part``, one clip a row of ``supplier``.
+INSTANCES = "(SELECT p_partkey AS i FROM part)"
+SUPPLIERS = "(SELECT s_suppkey AS clip_id FROM supplier)"
 
 CLIPS = """
-SELECT 'background' AS kind, (['library', 'office'])[p_partkey % 2 + 1] AS category, 'bg/' || lpad(p_partkey::VARCHAR, 9, '0') || '.wav' AS path FROM part WHERE p_size < 10
+SELECT 'background' AS kind, (['library', 'office'])[p_partkey % 2 + 1] AS category, 'bg/' || lpad(p_partkey::VARCHAR, 9, '0') || '.wav' AS path FROM part
 UNION ALL SELECT DISTINCT 'needle', (['glass_shatter', 'pen_click', 'door_slam'])[p_size % 3 + 1], 'needle/' || (p_size % 3)::VARCHAR || '.wav' FROM part
 UNION ALL SELECT DISTINCT 'clue', (['clock_chime', 'church_bell', 'train_whistle', 'ice_cream_truck'])[p_size % 4 + 1], 'clue/' || (p_size % 4)::VARCHAR || '.wav' FROM part
 """
 
 _ANIH_KEY = ("'anih'", "0", "i")
 GEN_ANIH = f"""
-WITH clips AS ({CLIPS}), b AS (SELECT category, path, row_number() OVER (PARTITION BY category ORDER BY path) - 1 AS k, count(*) OVER (PARTITION BY category) AS n FROM clips WHERE kind = 'background'),
+WITH clips AS ({CLIPS}), b AS (SELECT category, path, row_number() OVER (PARTITION BY category ORDER BY {h32('path')} % 1024, path) - 1 AS k, count(*) OVER (PARTITION BY category) AS n FROM clips WHERE kind = 'background'),
 r AS (SELECT i, {one_of(('library', 'office', 'lecture'), *_ANIH_KEY, "'source'")} AS background_source, {one_of(('glass_shatter', 'pen_click', 'phone_notification', 'door_slam', 'keyboard_click'), *_ANIH_KEY, "'needle'")} AS needle_type,
-  {uniform(30, 3570, *_ANIH_KEY, "'depth'")} AS at_s, {h32(*_ANIH_KEY, "'clip'")} AS pick FROM range({GEN_N}) AS t(i))
+  {uniform(30, 3570, *_ANIH_KEY, "'depth'")} AS at_s, {h32(*_ANIH_KEY, "'clip'")} AS pick FROM {INSTANCES} AS t)
 SELECT {ident('anih')} AS instance_id, needle_type, background_source, b.path AS background_path, n.path AS needle_path, {r6('at_s')} AS at_s, {clock('at_s')} AS needle_timestamp,
   CASE background_source WHEN 'library' THEN 'pages turning' WHEN 'office' THEN 'keyboard typing' ELSE 'professor speaking' END AS preceding_sound,
   'Listen carefully to the entire audio recording. At what exact timestamp (in MM:SS format) did the ' || replace(needle_type, '_', ' ') || ' occur, and what environmental sound immediately preceded it (within 5 seconds)? Provide your answer as: ''Timestamp: MM:SS, Preceding sound: <description>''' AS prompt
 FROM r JOIN b ON b.category = r.background_source AND b.k = r.pick % b.n JOIN clips n ON n.kind = 'needle' AND n.category = r.needle_type
 """
 
-SPEAKERS = "SELECT (['voxceleb2', 'ami', 'librispeech'])[c_custkey % 3 + 1] AS dataset, c_name AS speaker_id FROM customer WHERE c_custkey % 3 <> 2 AND c_nationkey < 5 UNION ALL SELECT 'librispeech', 'lonely'"
+SPEAKERS = "SELECT (['voxceleb2', 'ami', 'librispeech'])[c_custkey % 3 + 1] AS dataset, c_name AS speaker_id FROM customer"
 
+_DRAW = [h32("'speaker_drift'", "0", "i", "'speaker'", str(j)) for j in range(5)]
+#: Five different numbers: each is moved past the smaller ones that were taken.
 GEN_DRIFT = f"""
-WITH s AS ({SPEAKERS}), r AS (SELECT i, {one_of(('voxceleb2', 'ami', 'librispeech'), "'speaker_drift'", '0', 'i', "'dataset'")} AS dataset FROM range({GEN_N}) AS t(i)),
-p AS (SELECT i, dataset, speaker_id, row_number() OVER (PARTITION BY i ORDER BY {h32("'speaker_drift'", '0', 'i', 'speaker_id')}, speaker_id) AS ord FROM r JOIN s USING (dataset))
-SELECT i, {ident('speaker_drift')} AS instance_id, dataset, list(speaker_id ORDER BY ord) AS speaker_order FROM p WHERE ord <= 5 GROUP BY i, dataset HAVING count(*) = 5
+WITH s AS ({SPEAKERS}), z AS (SELECT dataset, count(*) AS n FROM s GROUP BY dataset HAVING count(*) >= 5),
+q AS (SELECT dataset, speaker_id, row_number() OVER (PARTITION BY dataset ORDER BY {h32('speaker_id')} % 1024, speaker_id) - 1 AS k FROM s),
+r AS (SELECT i, {one_of(('voxceleb2', 'ami', 'librispeech'), "'speaker_drift'", '0', 'i', "'dataset'")} AS dataset FROM {INSTANCES} AS t),
+d AS (SELECT i, dataset, [{', '.join(f'{x} % (n - {j})' for j, x in enumerate(_DRAW))}] AS d FROM r JOIN z USING (dataset)),
+p2 AS (SELECT i, dataset, d, [d[1], d[2] + (d[2] >= d[1])::INT] AS t FROM d),
+a3 AS (SELECT *, list_sort(t) AS l, d[3] + (d[3] >= list_sort(t)[1])::INT AS x FROM p2),
+p3 AS (SELECT i, dataset, d, list_append(t, x + (x >= l[2])::INT) AS t FROM a3),
+a4 AS (SELECT *, list_sort(t) AS l, d[4] + (d[4] >= list_sort(t)[1])::INT AS x FROM p3),
+b4 AS (SELECT *, x + (x >= l[2])::INT AS y FROM a4),
+p4 AS (SELECT i, dataset, d, list_append(t, y + (y >= l[3])::INT) AS t FROM b4),
+a5 AS (SELECT *, list_sort(t) AS l, d[5] + (d[5] >= list_sort(t)[1])::INT AS x FROM p4),
+b5 AS (SELECT *, x + (x >= l[2])::INT AS y FROM a5),
+c5 AS (SELECT *, y + (y >= l[3])::INT AS z FROM b5),
+p5 AS (SELECT i, dataset, list_append(t, z + (z >= l[4])::INT) AS t FROM c5),
+e AS (SELECT i, dataset, unnest(t) AS k, unnest(range(1, 6)) AS ord FROM p5)
+SELECT i, {ident('speaker_drift')} AS instance_id, dataset, list(speaker_id ORDER BY ord) AS speaker_order FROM e JOIN q USING (dataset, k) GROUP BY i, dataset
 """
 
 GEN_TURNS = f"""
@@ -297,7 +299,7 @@ EVENT_TYPES = (
 
 _SK = ("'soundscape'", "0", "i", "t")
 GEN_SOUNDSCAPE = f"""
-WITH e AS (SELECT i, t, ({list(EVENT_TYPES)!r})[t + 1] AS event_type, {h32(*_SK)} AS lot FROM range({GEN_N}) AS a(i), range(24) AS b(t)),
+WITH e AS (SELECT i, t, ({list(EVENT_TYPES)!r})[t + 1] AS event_type, {h32(*_SK)} AS lot FROM {INSTANCES} AS a, range(24) AS b(t)),
 f AS (SELECT i, arg_min(t, (lot, t)) AS f FROM e WHERE t < 8 GROUP BY i),
 o AS (SELECT e.*, CASE WHEN t = f THEN 0 ELSE row_number() OVER (PARTITION BY e.i ORDER BY (t = f)::INT, lot, t) END AS ord FROM e JOIN f USING (i)),
 l AS (SELECT *, {uniform(10, 120, *_SK, "'length'")} AS len FROM o WHERE ord < 6 + {h32("'soundscape'", '0', 'i', "'count'")} % 5),
@@ -308,11 +310,19 @@ SELECT i, ord, event_type, {r6('s')} AS start_s, {r6('e')} AS end_s, {clock('s')
 FROM w
 """
 
+#: With one background for each, of all.
+GEN_SOUNDSCAPES = f"""
+WITH b AS (SELECT path, row_number() OVER (ORDER BY {h32('path')} % 1024, path) - 1 AS k, count(*) OVER () AS n FROM ({CLIPS}) WHERE kind = 'background')
+SELECT {ident('soundscape')} AS instance_id, b.path AS background_path, num_events, event_names
+FROM (SELECT i, count(*) AS num_events, string_agg(event_type || ' ' || "start", '|' ORDER BY floor(start_s), ord) AS event_names FROM ({GEN_SOUNDSCAPE}) GROUP BY i) x
+JOIN b ON b.k = {h32("'soundscape'", "0", "x.i", "'background'")} % b.n
+"""
+
 _NK = ("'narrative_coherence'", "0", "i")
 GEN_NARRATIVE = f"""
 WITH c AS (SELECT category, min(path) AS path FROM ({CLIPS}) WHERE kind = 'clue' GROUP BY category),
 r AS (SELECT i, {one_of(('clock_chime', 'distinctive_bell', 'unique_bird_call', 'train_whistle', 'church_bell', 'factory_whistle', 'ice_cream_truck', 'emergency_alert'), *_NK, "'clue'")} AS clue_type,
-  {uniform(.05, .15, *_NK, "'a'")} * 2400 AS a, {uniform(.35, .55, *_NK, "'b'")} * 2400 AS b, {uniform(.8, .95, *_NK, "'c'")} * 2400 AS c, {one_of(('Validates', 'Debunks'), *_NK, "'verdict'")} AS correct_verdict FROM range({GEN_N}) AS t(i))
+  {uniform(.05, .15, *_NK, "'a'")} * 2400 AS a, {uniform(.35, .55, *_NK, "'b'")} * 2400 AS b, {uniform(.8, .95, *_NK, "'c'")} * 2400 AS c, {one_of(('Validates', 'Debunks'), *_NK, "'verdict'")} AS correct_verdict FROM {INSTANCES} AS t)
 SELECT {ident('narrative_coherence')} AS instance_id, clue_type, c.path AS clue_path, correct_verdict, {clock('a')} AS clue_a_timestamp, {clock('b')} AS clue_b_timestamp, {clock('r.c')} AS clue_c_timestamp,
   {r6('a')} AS clue_a_s, {r6('b')} AS clue_b_s, {r6('r.c')} AS clue_c_s,
   'Identify the ' || replace(clue_type, '_', ' ') || ' at ' || {clock('a')} || '|Note the character''s reference to the ' || replace(clue_type, '_', ' ') || ' at ' || {clock('b')} || '|Compare suspect''s alibi at ' || {clock('r.c')} || ' with acoustic evidence' AS steps
@@ -321,17 +331,17 @@ FROM r JOIN c ON c.category = r.clue_type
 
 # ------------------------------------------------------------------ signals
 #: Clips of 400 samples at 100 Hz: sin(0.1 k + clip), twice as loud for odd clips.
-TONES = "SELECT clip_id, k, (1 + clip_id % 2) * 0.7::DOUBLE * sin(k * 0.1::DOUBLE + clip_id) AS v FROM range(6) AS c(clip_id), range(400) AS s(k)"
-FORE = "SELECT clip_id, k, CASE WHEN clip_id = 5 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * cos(k * 0.3::DOUBLE + clip_id) END AS v FROM range(6) AS c(clip_id), range(60) AS s(k)"
+TONES = f"SELECT clip_id, k, (1 + clip_id % 2) * 0.7::DOUBLE * sin(k * 0.1::DOUBLE + clip_id) AS v FROM {SUPPLIERS} AS c, range(400) AS s(k)"
+FORE = f"SELECT clip_id, k, CASE WHEN clip_id % 6 = 5 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * cos(k * 0.3::DOUBLE + clip_id) END AS v FROM {SUPPLIERS} AS c, range(60) AS s(k)"
 
 RMS = f"SELECT clip_id, {r6('sqrt(avg(v * v))')} AS rms FROM ({TONES}) GROUP BY clip_id"
 PEAK = f"SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM (SELECT *, max(abs(v)) OVER (PARTITION BY clip_id) AS m FROM ({TONES}))"
-#: The foreground of clip c starts at sample 37 + 61 c: the last passes the end.
+#: The foreground of clip c starts at sample 37 + 61 (c mod 6): the last passes the end.
 MIX = f"""
-WITH b AS ({TONES}), f AS (SELECT clip_id, k + 37 + 61 * clip_id AS k, v FROM ({FORE})), n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id),
+WITH b AS ({TONES}), f AS (SELECT clip_id, k + 37 + 61 * (clip_id % 6) AS k, v FROM ({FORE})), n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id),
 g AS (SELECT b.clip_id, sum(v * v) AS e FROM b JOIN n ON n.clip_id = b.clip_id AND k BETWEEN a AND z GROUP BY b.clip_id)
 SELECT p.clip_id, p.k AS pos, {r6("coalesce(b.v, 0) + coalesce(f.v, 0) * CASE WHEN n.e > 0 AND coalesce(g.e, 0) > 0 THEN 10 ** 0.5::DOUBLE * sqrt(g.e / n.e) ELSE 1 END")} AS v
-FROM (SELECT clip_id, k FROM range(6) AS c(clip_id), range(450) AS s(k) WHERE k < 400 OR clip_id = 5) p LEFT JOIN b USING (clip_id, k) LEFT JOIN f USING (clip_id, k) JOIN n ON n.clip_id = p.clip_id LEFT JOIN g ON g.clip_id = p.clip_id
+FROM (SELECT clip_id, k FROM {SUPPLIERS} AS c, range(450) AS s(k) WHERE k < 400 OR clip_id % 6 = 5) p LEFT JOIN b USING (clip_id, k) LEFT JOIN f USING (clip_id, k) JOIN n ON n.clip_id = p.clip_id LEFT JOIN g ON g.clip_id = p.clip_id
 """
 SUM = f"""
 WITH x AS (SELECT clip_id, k, v FROM (SELECT clip_id, k + 400 * r AS k, v FROM ({TONES}), range(2) AS t(r)) WHERE k < 600
@@ -342,7 +352,7 @@ SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1
 CONCAT = f"""
 WITH RECURSIVE seg AS (SELECT * FROM (VALUES (0, 0, 120), (1, 100, 260), (2, 250, 250), (3, 255, 600)) AS s(o, a, z)),
 l AS (
-  SELECT 0 AS o, clip_id, k, 0.0::DOUBLE AS v FROM range(6) AS c(clip_id), range(600) AS s(k)
+  SELECT 0 AS o, clip_id, k, 0.0::DOUBLE AS v FROM {SUPPLIERS} AS c, range(600) AS s(k)
   UNION ALL
   SELECT l.o + 1, l.clip_id, l.k,
     CASE WHEN z <= a THEN l.v ELSE l.v * CASE WHEN a > 0 AND l.k >= greatest(0, a - 15) AND l.k < a THEN 1 - (l.k - greatest(0, a - 15)) / (a - greatest(0, a - 15) - 1)::DOUBLE ELSE 1 END
@@ -351,6 +361,28 @@ l AS (
 ), r AS (SELECT clip_id, k, v, max(abs(v)) OVER (PARTITION BY clip_id) AS m FROM l WHERE o = 4)
 SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM r
 """
+
+
+def mixed_audio(background: str, foreground: str, fore_n: int, at: str, snr_db: float) -> str:
+    """A background with a foreground continued to fore_n samples from ``at`` on."""
+    return f"""
+WITH b AS ({background}), f AS (SELECT c.clip_id, s.k + {at} AS k, coalesce(x.v, 0) AS v FROM {SUPPLIERS} AS c CROSS JOIN range({fore_n}) AS s(k) LEFT JOIN ({foreground}) x ON x.clip_id = c.clip_id AND x.k = s.k),
+n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id), g AS (SELECT b.clip_id, sum(v * v) AS e FROM b JOIN n ON n.clip_id = b.clip_id AND k BETWEEN a AND z GROUP BY b.clip_id)
+SELECT b.clip_id, b.k AS pos, {r6(f"b.v + coalesce(f.v, 0) * CASE WHEN n.e > 0 AND g.e > 0 THEN 10 ** ({snr_db / 20!r}::DOUBLE) * sqrt(g.e / n.e) ELSE 1 END")} AS v
+FROM b LEFT JOIN f USING (clip_id, k) JOIN n ON n.clip_id = b.clip_id JOIN g ON g.clip_id = b.clip_id
+"""
+
+
+#: A tone looped to 970 samples with 80 samples of foreground; a story cut to 330 with 100.
+ANIH_AUDIO = mixed_audio(f"SELECT clip_id, k + 400 * r AS k, v FROM ({TONES}), range(3) AS t(r) WHERE k + 400 * r < 970", FORE, 80, "120 + 31 * (c.clip_id % 6)", 10.0)
+NARRATIVE_AUDIO = mixed_audio(f"SELECT clip_id, k, v FROM ({TONES}) WHERE k < 330", FORE, 100, "15 + 21 * (c.clip_id % 6)", 5.0)
+
+#: Three turns of 2 s at 100 Hz, of the clip's own tone and of the next two; fades of 1 sample.
+DRIFT_AUDIO = f"""
+WITH n AS (SELECT count(*) AS n FROM supplier), p AS (SELECT c.clip_id, o, (c.clip_id + o) % n.n AS source, 200 * o AS a FROM {SUPPLIERS} AS c, range(3) AS t(o), n),
+x AS (SELECT p.clip_id, t.k + a AS k, CASE WHEN o > 0 AND t.k = 0 THEN 0.0::DOUBLE ELSE t.v END AS v FROM p JOIN ({TONES}) t ON t.clip_id = p.source AND t.k < 200)
+SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM (SELECT *, max(abs(v)) OVER (PARTITION BY clip_id) AS m FROM x)
+"""
 OVERLAP = f"""
 WITH x AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::DOUBLE AS s, epoch(date_trunc('second', ts))::DOUBLE + 600 + event_id % 7200 AS e FROM events)
 SELECT a.event_id AS event_id, b.event_id AS event_id_r, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_s FROM x a JOIN x b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e AND a.event_id < b.event_id

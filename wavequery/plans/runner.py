@@ -22,7 +22,10 @@ SCHEMA = "instance_id string, model string, response_text string, latency_ms dou
 
 
 class Model(ABC):
-    """What a runner needs: ``load`` once, then ``predict`` each instance."""
+    """What a runner needs: ``load`` once, then ``predict`` each instance.
+    ``needs``: options without which there is no such model."""
+
+    needs: tuple[str, ...] = ()
 
     def __init__(self, **options) -> None:
         self.options = options
@@ -44,7 +47,43 @@ class Echo(Model):
         return f"Timestamp: {h // 7 % 60:02d}:{h // 11 % 60:02d}, Preceding sound: pages turning"
 
 
-MODELS: dict[str, type[Model]] = {"echo": Echo}
+class Cascaded(Model):
+    """Speech recognition, then a language model: ``transcribe(audio_path)`` and
+    ``answer(transcript, prompt)``, which bring their own weights."""
+
+    needs = ("transcribe", "answer")
+
+    def predict(self, audio_path: str, prompt: str) -> str:
+        return self.options["answer"](self.options["transcribe"](audio_path), prompt)
+
+
+class Native(Model):
+    """A model that hears: ``start()`` loads it where it runs and returns
+    ``answer(audio_path, prompt)``."""
+
+    needs = ("start",)
+
+    def load(self) -> None:
+        self.answer = self.options["start"]()
+
+    def predict(self, audio_path: str, prompt: str) -> str:
+        return self.answer(audio_path, prompt)
+
+
+class QwenAudio(Native):
+    """Qwen2-Audio; weights and package are the caller's."""
+
+
+class Ltu(Native):
+    """Listen, think, understand; weights and package are the caller's."""
+
+
+MODELS: dict[str, type[Model]] = {"echo": Echo, "cascaded": Cascaded, "qwen_audio": QwenAudio, "ltu": Ltu}
+
+
+def available() -> list[str]:
+    """Models that run without options."""
+    return [name for name, model in MODELS.items() if not model.needs]
 
 
 def register(name: str, model: type[Model]) -> None:
@@ -54,6 +93,9 @@ def register(name: str, model: type[Model]) -> None:
 def get_model(name: str, **options) -> Model:
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}; there are {', '.join(MODELS)}")
+    missing = [x for x in MODELS[name].needs if x not in options]
+    if missing:
+        raise ValueError(f"model {name!r} needs {', '.join(missing)}")
     return MODELS[name](**options)
 
 

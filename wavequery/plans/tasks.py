@@ -83,6 +83,11 @@ def config(task: str, **values):
     return replace(CONFIGS[task](), **{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
 
 
+def create_task_suite(names: list[str] | None = None, configs: dict | None = None) -> dict:
+    """Name -> configuration of the tasks, all by default."""
+    return {t: config(t, **(configs or {}).get(t, {})) for t in (names or list_tasks())}
+
+
 def load_config(path: str) -> dict:
     import yaml
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import json
-import struct
 import sys
 import wave
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,8 +28,21 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INSTANCE).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_split(spark: SparkSession, task: str, folder: str, split: str = "test") -> DataFrame:
-    return read_instances(spark, f"{folder}/{task}_{split}.jsonl")
+    path = f"{folder}/{task}_{split}.jsonl"
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return read_instances(spark, path)
+
+
+def read_splits(spark: SparkSession, tasks: list[str], folder: str, split: str = "test") -> dict[str, DataFrame]:
+    """Instances of the tasks whose file is there; others are skipped."""
+    return {t: read_split(spark, t, folder, split) for t in tasks if exists(spark, f"{folder}/{t}_{split}.jsonl")}
 
 
 def write_instances(df: DataFrame, path: str) -> None:
@@ -63,9 +77,28 @@ def result_documents(summary: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def write_results(documents: DataFrame, folder: str) -> None:
-    """A JSON document each, in a folder by task and model."""
-    rows = documents.withColumn("_t", F.col("task")).withColumn("_m", F.col("model"))
-    rows.write.mode("overwrite").partitionBy("_t", "_m").json(folder)
+    """``{task}_{model}_results.json`` in the folder for each document, as
+    ``read_results`` reads them; others that are there stay."""
+    spark = documents.sparkSession
+    rows = documents.select("task", "model", F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"}).alias("value"))
+    aside = f"{folder}/_results"
+    rows.repartition("task", "model").write.mode("overwrite").partitionBy("task", "model").text(aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    for own in fs.globStatus(path(f"{aside}/task=*/model=*/part-*")):  # a short list: tasks by models
+        model, task = (unquote(x.getName().partition("=")[2]).replace("/", "_") for x in (own.getPath().getParent(), own.getPath().getParent().getParent()))
+        to = path(f"{folder}/{task}_{model}_results.json")
+        fs.delete(to, False)
+        fs.rename(own.getPath(), to)
+    fs.delete(path(aside), True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, by Spark's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def summary_json(documents: DataFrame) -> str:
@@ -74,68 +107,81 @@ def summary_json(documents: DataFrame) -> str:
     for r in documents.select(F.to_json(F.struct(*[c for c in documents.columns if c != "predictions"])).alias("j")).collect():
         x = json.loads(r["j"])
         out.setdefault(x["task"], {})[x["model"]] = x
-    return json.dumps(out, indent=2)
+    return json.dumps(out, indent=2, sort_keys=True)
+
+
+def write_summary(documents: DataFrame, folder: str) -> None:
+    write_text(documents.sparkSession, f"{folder}/summary.json", summary_json(documents))
+
+
+def score_documents(scores: DataFrame) -> DataFrame:
+    """The aggregator as rows to write: one JSON document for each answer, with
+    its metrics by name; errors without a value are NULL."""
+    metrics = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
+    return scores.groupBy("task", "model", "instance_id").agg(metrics).select(F.to_json(F.struct("task", "model", "instance_id", "metrics"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files, written by all tasks."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 # ------------------------------------------------------------------- audio
 FRAMES = "clip_id string, frame_idx long, samples array<double>"
 
 
-def decode_wav(raw: bytes) -> tuple[list[float], int]:
-    """Mono samples in [-1, 1] and the sample rate of 8, 16 or 32-bit PCM."""
+def decode_wav(raw: bytes, most_seconds: float | None = None) -> tuple[np.ndarray, int]:
+    """Mono samples in [-1, 1] and the sample rate of 8, 16 or 32-bit PCM; no
+    more than ``most_seconds`` are read."""
     with wave.open(io.BytesIO(raw)) as w:
         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        data = w.readframes(w.getnframes())
-    n = len(data) // width
-    if width == 1:
-        values = [(x - 128) / 128 for x in data]
-    else:
-        values = [x / float(1 << (8 * width - 1)) for x in struct.unpack(f"<{n}{'h' if width == 2 else 'i'}", data)]
-    return [sum(values[i : i + channels]) / channels for i in range(0, n, channels)], rate
+        n = w.getnframes() if most_seconds is None else min(w.getnframes(), int(np.ceil(most_seconds * rate)))
+        data = np.frombuffer(w.readframes(n), {1: "u1", 2: "<i2", 4: "<i4"}[width])
+    out = np.zeros(len(data) // channels, np.float32)
+    for c in range(channels):
+        out += data[c::channels][: len(out)]
+    out /= np.float32(channels * (1 << (8 * width - 1)))
+    return out - np.float32(1) if width == 1 else out, rate
 
 
-def encode_wav(samples: list[float], rate: int = 16_000) -> bytes:
+def encode_wav(samples, rate: int = 16_000) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes(struct.pack(f"<{len(samples)}h", *[round(max(-1.0, min(1.0, x)) * 32767) for x in samples]))
+        w.writeframes(np.rint(np.clip(np.asarray(samples), -1, 1) * 32767).astype("<i2").tobytes())
     return out.getvalue()
 
 
-def resample(samples: list[float], rate: int, target: int) -> list[float]:
-    """Linear interpolation to another rate."""
-    if rate == target or not samples:
-        return samples
-    n = round(len(samples) * target / rate)
-    out = []
-    for i in range(n):
-        x = i * rate / target
-        k = min(int(x), len(samples) - 1)
-        nxt = samples[min(k + 1, len(samples) - 1)]
-        out.append(samples[k] + (nxt - samples[k]) * (x - k))
-    return out
+def resample(samples: np.ndarray, rate: int, target: int, first: int = 0, n: int | None = None) -> np.ndarray:
+    """Linear interpolation to another rate: ``n`` samples from the ``first`` on."""
+    total = round(len(samples) * target / rate)
+    at = np.arange(first, total if n is None else min(total, first + n))
+    if rate == target:
+        return samples[at]
+    at = at * (rate / target)
+    low = np.minimum(at.astype(np.int64), len(samples) - 1)
+    return samples[low] + (samples[np.minimum(low + 1, len(samples) - 1)] - samples[low]) * (at - low)
 
 
 def read_audio(spark: SparkSession, path: str, size: int = 16_000, rate: int = 16_000, most_seconds: float | None = None) -> DataFrame:
-    """WAV files as frames, resampled and cut to ``most_seconds``; one file is
-    decoded at a time."""
+    """WAV files as frames, resampled and cut to ``most_seconds``, of which no
+    more is decoded; one file at a time, some frames of it at a time."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    step = max(1, (1 << 20) // size)
 
     def run(batches):
         for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                values, own = decode_wav(raw)
-                values = resample(values, own, rate)
-                if most_seconds is not None:
-                    values = values[: int(most_seconds * rate)]
-                frames = [values[i : i + size] for i in range(0, len(values), size)]
-                yield pa.RecordBatch.from_pydict({"clip_id": pa.array([name] * len(frames), pa.string()), "frame_idx": pa.array(range(len(frames)), pa.int64()), "samples": pa.array(frames, pa.list_(pa.float64()))})
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                values, own = decode_wav(raw.as_buffer().to_pybytes(), most_seconds)
+                total = round(len(values) * rate / own)
+                total = total if most_seconds is None else min(total, int(most_seconds * rate))
+                for first in range(0, total, step * size):
+                    part = resample(values, own, rate, first, min(step * size, total - first))
+                    offsets = np.append(np.arange(0, len(part), size), len(part)).astype(np.int32)
+                    frames = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.astype(np.float64)))
+                    yield pa.RecordBatch.from_pydict({"clip_id": pa.array([name] * len(frames), pa.string()), "frame_idx": pa.array(np.arange(first // size, first // size + len(frames))), "samples": frames})
 
     return files.mapInArrow(run, FRAMES)
 
@@ -145,8 +191,7 @@ def wav_bytes(frames: DataFrame, rate: int = 16_000) -> DataFrame:
     must."""
 
     def one(key, table):
-        table = table.sort_by("frame_idx")
-        values = [x for f in table.column("samples").to_pylist() for x in f]
+        values = table.sort_by("frame_idx").column("samples").combine_chunks().flatten().to_numpy()
         return pa.table({"clip_id": pa.array([str(key[0].as_py())]), "content": pa.array([encode_wav(values, rate)], pa.binary())})
 
     return frames.groupBy("clip_id").applyInArrow(one, "clip_id string, content binary")
@@ -158,11 +203,40 @@ SPEAKERS = "dataset string, speaker_id string, path string, duration double, gen
 STORIES = "source string, path string, duration double, transcript string"
 
 
+def _audio(spark: SparkSession, folder: str, glob: str = "*.{wav,flac,mp3}") -> DataFrame:
+    """Paths below a folder, and their parts; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return files.select("path", F.split("path", "/").alias("parts"))
+
+
+def _typed(rows: DataFrame, schema: str) -> DataFrame:
+    fields = [x.split() for x in schema.split(", ")]
+    return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
 def discover(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Clips of a kind: WAV files in one folder a category."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
-    parts = F.split("path", "/")
-    return files.select(F.lit(kind).alias("kind"), F.element_at(parts, -2).alias("category"), "path", F.lit(None).cast("double").alias("duration"))
+    """Clips of a kind (background, needle, clue, event): one folder a category."""
+    rows = _audio(spark, folder).select(F.lit(kind).alias("kind"), F.element_at("parts", -2).alias("category"), "path")
+    return _typed(rows, CLIPS)
+
+
+#: How many folders above its files a speaker's own folder is: id/video/file,
+#: meeting/speaker/file, speaker/chapter/file.
+SPEAKER_LEVEL = {"voxceleb2": 3, "ami": 2, "librispeech": 3}
+
+
+def speakers(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
+    """One row a speaker, with the first of their files."""
+    rows = _audio(spark, folder).withColumn("speaker_id", F.try_element_at("parts", F.lit(-SPEAKER_LEVEL[dataset]))).where("speaker_id is not null")
+    return _typed(rows.groupBy("speaker_id").agg(F.min("path").alias("path")).withColumn("dataset", F.lit(dataset)), SPEAKERS)
+
+
+def stories(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """One row a story, its file; a text file of the same name is its transcript."""
+    rows = _audio(spark, folder).select(F.lit(source).alias("source"), "path", F.regexp_replace("path", r"\.[^./]+$", "").alias("name"))
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
+    texts = texts.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("name"), F.col("content").cast("string").alias("transcript"))
+    return _typed(rows.join(texts, "name", "left"), STORIES)
 
 
 def merged(*catalogues: DataFrame) -> DataFrame:
@@ -171,3 +245,23 @@ def merged(*catalogues: DataFrame) -> DataFrame:
     for c in catalogues[1:]:
         out = out.unionByName(c)
     return out.distinct()
+
+
+#: Configured name -> (table, kind, dataset or source).
+SOURCES = {
+    "audioset": ("clips", "background"), "fsd50k": ("clips", "background"), "acoustic_clues": ("clips", "clue"), "event_audio": ("clips", "event"), "needles": ("clips", "needle"),
+    "voxceleb2": ("speakers", "voxceleb2"), "ami": ("speakers", "ami"), "librispeech": ("speakers", "librispeech"),
+    "librivox": ("stories", "librivox"), "spotify_podcasts": ("stories", "spotify_podcasts"), "gigaspeech": ("stories", "gigaspeech"),
+}
+
+
+def discover_sources(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables clips, speakers and stories of all configured paths that are
+    there; unknown names and missing paths are left out."""
+    readers, schemas = {"clips": discover, "speakers": speakers, "stories": stories}, {"clips": CLIPS, "speakers": SPEAKERS, "stories": STORIES}
+    out = {t: [spark.createDataFrame([], s)] for t, s in schemas.items()}
+    for name, path in (paths or {}).items():
+        if name in SOURCES and path and exists(spark, path):
+            table, kind = SOURCES[name]
+            out[table].append(readers[table](spark, path, kind))
+    return {t: merged(*rows) for t, rows in out.items()}

@@ -44,7 +44,8 @@ SELECT event_id, 'm' || cast(event_id % 4 as string) AS model, cast(1 + user_id
 FROM (SELECT *, cast(1 + (user_id + event_id % 3) % 5 as string) AS p FROM {{events}}) AS x
 """
 
-#: One row per true event; its prediction is in the last columns.
+#: One row per true event; its prediction is in the last columns.  An instance
+#: has eight events of a user and day, or what is left of them.
 SOUNDSCAPE = f"""
 SELECT instance_id, model, ord, event_type, {mmss('start_s')} AS start_ts,
        CASE WHEN event_id % 7 = 0 THEN 'ongoing' ELSE {mmss('start_s + dur')} END AS end_ts,
@@ -61,12 +62,15 @@ FROM (
          {mmss('greatest(0, start_s + event_id % 25 - 12)')} AS p_start,
          CASE WHEN event_id % 7 = 0 THEN 'ongoing' ELSE {mmss('greatest(0, start_s + event_id % 25 - 12) + dur')} END AS p_end
   FROM (
-    SELECT event_id, event_type, 'u' || cast(user_id as string) || '_' || cast(cast(ts as date) as string) AS instance_id,
-           'm' || cast(user_id % 4 as string) AS model,
-           row_number() OVER (PARTITION BY user_id, cast(ts as date) ORDER BY ts, event_id) AS ord,
-           (hour(ts) * 60 + minute(ts)) % 1800 AS start_s, 10 + event_id % 111 AS dur
-    FROM {{events}}
-  ) AS x WHERE ord <= 8
+    SELECT event_id, event_type, 'u' || cast(user_id as string) || '_' || day || '_' || cast(cast(floor((n - 1) / 8) as bigint) as string) AS instance_id,
+           'm' || cast(user_id % 4 as string) AS model, (n - 1) % 8 + 1 AS ord, start_s, dur
+    FROM (
+      SELECT event_id, event_type, user_id, cast(cast(ts as date) as string) AS day,
+             row_number() OVER (PARTITION BY user_id, cast(ts as date) ORDER BY ts, event_id) AS n,
+             (hour(ts) * 60 + minute(ts)) % 1800 AS start_s, 10 + event_id % 111 AS dur
+      FROM {{events}}
+    ) AS w
+  ) AS x
 ) AS y
 """
 
@@ -102,8 +106,8 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def soundscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """instance_id, model, true_events and response: a few rows per instance
-    (eight at most) are gathered."""
+    """instance_id, model, true_events and response: eight rows per instance at
+    most are gathered."""
     rows = table(spark, sf_dir, SOUNDSCAPE)
     event = F.struct("ord", F.col("event_type"), F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), F.col("overlap_names").alias("overlaps"))
     lists = rows.groupBy("instance_id", "model").agg(F.array_sort(F.collect_list(event)).alias("t"), F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
