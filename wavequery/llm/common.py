@@ -111,22 +111,24 @@ FREQUENT = 1 / 2000
 
 def frequent(rows: DataFrame, key: str) -> DataFrame:
     """The keys that a Misra-Gries summary names as frequent, ``1 / FREQUENT`` at
-    most; null is none."""
-    return stash(rows.stat.freqItems([key], FREQUENT).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull()), "frequent")
+    most, by way of the driver; null is none."""
+    found = rows.stat.freqItems([key], FREQUENT).first()[0]
+    return rows.sparkSession.createDataFrame([(x,) for x in found if x is not None], rows.select(key).schema)
 
 
 def split_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", names: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
     """``rows`` (stashed) joined to ``side``, which has one row a key at most.
-    Frequent keys (``names``, by default those of ``rows``) meet their row on the
-    map side; the rest is shuffled, and no key of it has more than ``FREQUENT``
-    of the rows.  ``on``: columns that make up the key, ``key`` among them, if it
-    is frequent wherever they are."""
+    Frequent keys (``names``, by default those of ``rows``; so ``1 / FREQUENT`` rows
+    of ``side`` at most) meet their row on the map side; the rest is shuffled, and
+    no key of it has more than ``FREQUENT`` of the rows.  ``on``: columns that make
+    up the key, ``key`` among them, if it is frequent wherever they are."""
     on, names = on or [key], frequent(rows, key) if names is None else names
-    heavy = stash(side.join(F.broadcast(names), key, "left_semi"), "frequent_rows")
+    heavy = F.broadcast(side.join(F.broadcast(names), key, "left_semi"))
     light = rows.where(F.col(key).isNotNull()).join(F.broadcast(names), key, "left_anti").join(side, on, how)
-    often = rows.join(F.broadcast(names), key, "left_semi").join(small(heavy), on, how)
-    both = light.unionByName(often)
-    return both if how == "inner" else both.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    if how == "inner":
+        return light.unionByName(rows.join(heavy, on))
+    often = rows.join(F.broadcast(names.join(heavy, key, "left")), key)
+    return light.unionByName(often).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def repeated(df: DataFrame, make, fields: list[tuple[str, str]], distinct: str | None = None) -> DataFrame:

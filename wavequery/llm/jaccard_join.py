@@ -32,7 +32,7 @@ large, and at most ``SHRINK`` of the one they come from, are divided again, up t
 against all members, in blocks of bounded size dealt over tasks, by one byte a
 class: two sets differ in at least as many shingles as classes have different
 bytes.  Members with a partner that this, the sizes and the triangle inequality,
-by distances to a common pivot, leave open meet again, with their sets, and are
+by distances to a common pivot, leave open meet again, with their texts, and are
 measured exactly; what a link has joined is not compared again, so a block
 returns a spanning forest and not its pairs.  Components of the links are found
 by alternating large and small stars; no group is ever collected.
@@ -61,22 +61,26 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, frequent, keep_ids, keep_one, map_arrow, mix, read_documents, release, repeated, row_steps, split_join, stash, text_or_empty, tidy, word_rows
+from .common import arrow_bytes, frequent, keep_ids, keep_one, map_arrow, mix, read_documents, release, repeated, row_steps, small, split_join, stash, text_or_empty, tidy, word_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, NEAR, SMALL = 3, 90, 64
 
 #: Members of a region that meet in one block: the ones to place, all others;
-#: and their shingles.
-BLOCK, AGAINST, SHINGLES = 512, 2048, 1 << 20
+#: and their weight, shingles or eighths of the text's bytes.
+BLOCK, AGAINST, WEIGHT = 512, 2048, 1 << 20
 
 #: Members from which a region is divided, its pivots, how much smaller than its
 #: own a region must be to be divided again, and how often.
 LARGE, PIVOTS, SHRINK, LEVELS = 2048, 8, 0.8, 4
 
-#: Shingles of a pivot that may be broadcast: 2000 of them at most, so 32 MB.
-BROADCAST_SHINGLES = 2000
+#: Weight of a pivot whose text may be broadcast: 2000 of them at most, so 32 MB.
+BROADCAST_WEIGHT = 2000
+
+#: Classes of a view for each class of the regions: the finer, the closer the
+#: number of classes that differ comes to the number of shingles that differ.
+FINE = 4
 
 
 # ------------------------------------------------------------------- sets
@@ -154,12 +158,13 @@ def _first(order: np.ndarray, code: int, near: int) -> np.ndarray:
     return _named(mix(np.sort(order)[: n - -(-near * n // 100) + 1] + np.uint64(code + 1)), code)
 
 
-def _classes(order: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the shingles of each class, and one byte of each."""
-    cls = (order >> np.uint64(33)).astype(np.int64) % m
-    sums = np.zeros(m, np.uint64)
-    np.add.at(sums, cls, order)
-    return sums, (mix(sums) >> np.uint64(56)).astype(np.uint8)
+def _classes(order: np.ndarray, m: int) -> tuple[np.ndarray, bytes]:
+    """Sums of the shingles of each of m classes, and one byte of each of FINE * m
+    classes."""
+    cls = (order >> np.uint64(33)).astype(np.int64) % (FINE * m)
+    fine = np.zeros(FINE * m, np.uint64)
+    np.add.at(fine, cls, order)
+    return fine.reshape(FINE, m).sum(0), (mix(fine) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def regions(u: np.ndarray, near: int = NEAR, known: list | None = None) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
@@ -172,7 +177,7 @@ def regions(u: np.ndarray, near: int = NEAR, known: list | None = None) -> tuple
     order = mix(u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
     if near * n <= 100 * (SMALL - 1):
         out.append(_first(order, FEW, near))
-        views.append((FEW, _classes(order, SMALL)[1].tobytes()))
+        views.append((FEW, _classes(order, SMALL)[1]))
     if n >= SMALL:
         own = bisect.bisect_right(known, n, key=lambda x: x[1])
         for k in (own, own - 1):
@@ -184,7 +189,7 @@ def regions(u: np.ndarray, near: int = NEAR, known: list | None = None) -> tuple
             out.append(_named(mix(sums[full] + mix((full + (k << 40) + 2).astype(np.uint64))), k))
             if m - len(full) > spare:
                 out.append(_first(order, k, near))
-            views.append((k, view.tobytes()))
+            views.append((k, view))
     return np.concatenate(out), views
 
 
@@ -222,16 +227,9 @@ def _members(batch):
         yield out
 
 
-def _as_sets(words: int):
-    def rows(batch):
-        for _, _, sets in text_sets(batch.column("text"), words):
-            yield pa.RecordBatch.from_arrays([pa.array([node(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["c", "n", "u"])
-
-    return rows
-
-
-def unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+def sets_of(texts, words: int) -> list[np.ndarray]:
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    return [u for _, _, sets in text_sets(column, words) for u in sets]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -245,11 +243,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _pairs(near: int):
-    """Links between the sets a and b of each row, and their distance."""
+def _pairs(words: int, near: int):
+    """Links between the texts a and b of each row, and their distance."""
 
     def rows(batch):
-        one, two = unpack(batch.column("a")), unpack(batch.column("b"))
+        one, two = sets_of(batch.column("a"), words), sets_of(batch.column("b"), words)
         common = np.array([overlap(x, y) for x, y in zip(one, two)])
         a, b = np.array([len(x) for x in one]), np.array([len(x) for x in two])
         far = 1 - common / np.maximum(1, a + b - common)
@@ -265,46 +263,48 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NE
     members = stash(repeated(nodes.select("c", "regions"), _members, [("region", "long"), ("c", "long")], "c").distinct(), "members")
     crowd = stash(members.groupBy("c").agg(F.count(F.lit(1)).alias("score")), "crowd")
     # One row of the table stands for each set that isn't alone in all its regions.
-    first = nodes.join(crowd, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("r"))
-    ids = stash(first.select("r.doc_id", "r.k"), "set_ids")
-    sets = stash(map_arrow(keep_ids(texts, ids, ["doc_id", "k"]).select("text"), _as_sets(words), "c long, n long, u binary"), "sets")
+    first = nodes.join(crowd, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("r"), F.first("n").alias("n"))
+    ids = stash(first.select(F.col("r.doc_id").alias("_d"), F.col("r.k").alias("_k"), "c", "n"), "set_ids")
+    weight = F.greatest(F.col("n"), F.floor(F.octet_length("text") / 8)).alias("w")
+    sets = texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")))
+    sets = stash(sets.select("c", "n", weight, "text"), "sets")
     names = frequent(members, "region")
     # The best pivot of each set: the one that is in most regions with others.
     pivots = members.join(crowd, "c").groupBy("region").agg(F.max(F.struct("score", "c")).alias("pivot"))
     best = split_join(members, pivots, "region", names=names).where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"))
     star = stash(best.join(crowd, "c").where(F.col("pivot") > F.struct("score", "c")).select("c", F.col("pivot.c").alias("hub")), "star")
-    measured = measure(star, sets, near)
+    measured = measure(star, sets, words, near)
     release(ids, star)
     found = measured.where("link").select("c", "hub")
     up = found.select(F.col("c").alias("hub"), F.col("hub").alias("top"))
     label = found.join(up, "hub", "left").select("c", F.coalesce("top", "hub").alias("label"))
-    known = sets.select("c", "n").distinct().join(label, "c", "left").join(measured.select("c", "hub", "far"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    known = sets.select("c", "n", "w").distinct().join(label, "c", "left").join(measured.select("c", "hub", "far"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     labelled = stash(members.join(known, "c"), "labelled")
     release(members, crowd)
-    out = found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(nodes, sets, labelled, names, near))
+    out = found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(nodes, sets, labelled, names, words, near))
     out = stash(out.distinct(), "links")
     release(sets, labelled, measured)
     return out
 
 
-def measure(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+def measure(pairs: DataFrame, sets: DataFrame, words: int, near: int) -> DataFrame:
     """c, hub, link and far (distance) of pairs (c, hub), stashed."""
-    other = sets.select(F.col("c").alias("hub"), F.col("u").alias("b"), "n")
-    often = other.where(F.col("n") <= BROADCAST_SHINGLES).join(F.broadcast(frequent(pairs, "hub")), "hub", "left_semi").drop("n")
+    other = sets.select(F.col("c").alias("hub"), F.col("text").alias("b"), "w")
+    often = other.where(F.col("w") <= BROADCAST_WEIGHT).join(F.broadcast(frequent(pairs, "hub")), "hub", "left_semi").drop("w")
     often = stash(often.dropDuplicates(["hub"]), "frequent_hubs")
-    own = sets.select("c", F.col("u").alias("a"))
-    light = pairs.join(F.broadcast(often.select("hub")), "hub", "left_anti").join(own, "c").join(other.drop("n"), "hub")
+    own = sets.select("c", F.col("text").alias("a"))
+    light = pairs.join(F.broadcast(often.select("hub")), "hub", "left_anti").join(own, "c").join(other.drop("w"), "hub")
     heavy = pairs.join(F.broadcast(often.select("hub")), "hub", "left_semi").join(own, "c").join(F.broadcast(often), "hub")
     rows = light.unionByName(heavy).select("c", "hub", "a", "b")
-    return stash(map_arrow(rows, _pairs(near), "c long, hub long, link boolean, far double").distinct(), "measured")
+    return stash(map_arrow(rows, _pairs(words, near), "c long, hub long, link boolean, far double").distinct(), "measured")
 
 
-CELL = ["region", "code", "c", "n", "label", "hub", "far", "mine", "was"]
+CELL = ["region", "code", "c", "n", "w", "label", "hub", "far", "mine", "was"]
 
 
-def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFrame, near: int) -> DataFrame:
+def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFrame, words: int, near: int) -> DataFrame:
     """Links inside regions whose members don't yet hang together.  ``members``:
-    region, c, n, label, hub, far, stashed; ``names``: its frequent regions."""
+    region, c, n, w, label, hub, far, stashed; ``names``: its frequent regions."""
     groups = members.groupBy("region").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("all"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("print")
     )
@@ -315,13 +315,13 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     main = counts.groupBy("region").agg(F.max(F.struct("k", "label")).alias("main"))
     code = F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code")
     rows = split_join(open_, main, "region", names=names)
-    rows = rows.select("region", code, "c", "n", "label", "hub", "far", (F.col("label") != F.col("main.label")).alias("mine"), F.lit(1 << 60).alias("was"))
-    cells, found = divide(stash(rows, "cells"), sets, near)
+    rows = rows.select("region", code, "c", "n", "w", "label", "hub", "far", (F.col("label") != F.col("main.label")).alias("mine"), F.lit(1 << 60).alias("was"))
+    cells, found = divide(stash(rows, "cells"), sets, words, near)
     release(open_)
     by_region = cells.groupBy("region").agg(
-        F.count(F.lit(1)).alias("all"), F.count_if("mine").alias("rest"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("mine"), F.col("n")).otherwise(0)).alias("rest_n")
+        F.count(F.lit(1)).alias("all"), F.count_if("mine").alias("rest"), F.sum("w").alias("all_w"), F.sum(F.when(F.col("mine"), F.col("w")).otherwise(0)).alias("rest_w")
     )
-    r, f = (F.greatest(F.ceil(F.col(a) / x), F.ceil(F.col(a + "_n") / SHINGLES)).cast("int").alias(name) for a, x, name in (("rest", BLOCK, "_r"), ("all", AGAINST, "_f")))
+    r, f = (F.greatest(F.ceil(F.col(a) / x), F.ceil(F.col(a + "_w") / WEIGHT)).cast("int").alias(name) for a, x, name in (("rest", BLOCK, "_r"), ("all", AGAINST, "_f")))
     rows = split_join(cells, by_region.where("rest > 0").select("region", r, f), "region")
     place, keep = F.pmod(F.xxhash64("c", F.lit(1)), F.col("_r")).cast("int"), ["region", "code", "c", "n", "label", "hub", "far"]
     theirs = F.pmod(F.xxhash64("c", F.lit(2)), F.col("_f")).cast("int")
@@ -336,40 +336,40 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     # Most pairs are open in many regions: of blocks with the same open members one stays.
     marks = open_.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c", "mine").cast("decimal(38,0)")).alias("print"))
     some = open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block")
-    rows = some.join(sets.select("c", "u"), "c").repartition(F.col("block")).sortWithinPartitions("block", "c")
-    forests = rows.select("block", "c", "label", "mine", "u").mapInArrow(tidy(_by_block(lambda x: forest(x, near))), "u long, v long")
+    rows = some.join(sets.select("c", "text"), "c").repartition(F.col("block")).sortWithinPartitions("block", "c")
+    forests = rows.select("block", "c", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words, near))), "u long, v long")
     out = stash(forests.unionByName(found).distinct(), "within")
     release(open_)
     return out
 
 
 # ------------------------------------------------------------ Voronoi regions
-REGION = "region long, code int, c long, n long, label long, hub long, far double, mine boolean, was long, pivot long"
+REGION = "region long, code int, c long, n long, w long, label long, hub long, far double, mine boolean, was long, pivot long"
 
 
-def divide(cells: DataFrame, sets: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
+def divide(cells: DataFrame, sets: DataFrame, words: int, near: int) -> tuple[DataFrame, DataFrame]:
     """Divide large regions by pivots, again and again: the regions that are
     left, stashed, and links (u, v) of members to pivots.  ``cells``: ``CELL``,
     stashed; ``mine`` marks the members that must meet all members."""
     spark = cells.sparkSession
     found = spark.createDataFrame([], "u long, v long")
     for level in range(LEVELS):
-        sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n"), F.count_if("mine").alias("rest"), F.max("was").alias("was"), F.min("label").alias("low"), F.max("label").alias("high"))
-        large = stash(sizes.where((F.col("all") > LARGE) & (F.col("rest") > 0) & (F.col("low") != F.col("high")) & (F.col("all") <= SHRINK * F.col("was"))).select("region", "all", "all_n"), "large")
+        sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("all"), F.sum("w").alias("all_w"), F.count_if("mine").alias("rest"), F.max("was").alias("was"), F.min("label").alias("low"), F.max("label").alias("high"))
+        large = stash(sizes.where((F.col("all") > LARGE) & (F.col("rest") > 0) & (F.col("low") != F.col("high")) & (F.col("all") <= SHRINK * F.col("was"))).select("region", "all", "all_w"), "large")
         if not large.limit(1).count():
             release(large)
             break
         rows = stash(split_join(cells, large, "region"), "large_rows")
         slot = F.pmod(F.xxhash64("c", F.lit(level + 3)), F.lit(PIVOTS)).cast("int").alias("slot")
-        chosen = rows.groupBy("region", slot).agg(F.min(F.struct(F.xxhash64("c", F.lit(level + 7)), "c", "label", "all", "all_n")).alias("p"))
-        deals = F.greatest(F.ceil(F.col("all") / AGAINST), F.ceil(F.col("all_n") / SHINGLES)).cast("int")
-        pivots = chosen.select("region", "slot", "p.c", "p.label", "p.all", "p.all_n")
-        pivots = pivots.join(sets.select("c", "u"), "c").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
-        members = rows.join(sets.select("c", "u"), "c").withColumn("deal", F.pmod(F.xxhash64("c", F.lit(9)), deals).cast("int"))
+        chosen = rows.groupBy("region", slot).agg(F.min(F.struct(F.xxhash64("c", F.lit(level + 7)), "c", "label", "all", "all_w")).alias("p"))
+        deals = F.greatest(F.ceil(F.col("all") / AGAINST), F.ceil(F.col("all_w") / WEIGHT)).cast("int")
+        pivots = chosen.select("region", "slot", "p.c", "p.label", "p.all", "p.all_w")
+        pivots = pivots.join(sets.select("c", "text"), "c").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+        members = rows.join(sets.select("c", "text"), "c").withColumn("deal", F.pmod(F.xxhash64("c", F.lit(9)), deals).cast("int"))
         both = members.withColumn("slot", F.lit(-1)).unionByName(pivots, allowMissingColumns=True)
-        both = both.select(F.xxhash64("region", "deal").alias("cell"), *CELL[:-1], F.col("all").alias("was"), "slot", "u")
+        both = both.select(F.xxhash64("region", "deal").alias("cell"), *CELL[:-1], F.col("all").alias("was"), "slot", "text")
         both = both.repartition(F.col("cell")).sortWithinPartitions("cell", F.col("slot").desc(), "c")
-        new = stash(both.mapInArrow(tidy(_by_block(lambda x, level=level: nearest(x, near, level))), REGION), "voronoi")
+        new = stash(both.mapInArrow(tidy(_by_block(lambda x, level=level: nearest(x, words, near, level))), REGION), "voronoi")
         found = stash(found.unionByName(new.where("pivot is not null").select(F.col("c").alias("u"), F.col("pivot").alias("v"))).distinct(), "pivot_links")
         rest = split_join(cells, large.select("region", F.lit(True).alias("_large")), "region", "left").where("_large is null")
         cells = stash(rest.select(*CELL).unionByName(new.select(*CELL)), "cells")
@@ -377,31 +377,31 @@ def divide(cells: DataFrame, sets: DataFrame, near: int) -> tuple[DataFrame, Dat
     return cells, found
 
 
-def nearest(rows: list[tuple], near: int, level: int) -> pa.RecordBatch:
-    """Members of a region, ``CELL`` and u, after its pivots (slot >= 0): each is
-    in the region of its nearest pivot, and, without having to meet all members,
-    in each whose pivot is at most 2 tau farther."""
+def nearest(rows: list[tuple], words: int, near: int, level: int) -> pa.RecordBatch:
+    """Members of a region, (cell, ``CELL``, slot, text), after its pivots (slot
+    >= 0): each is in the region of its nearest pivot, and, without having to meet
+    all members, in each whose pivot is at most 2 tau farther."""
+    all_sets = sets_of([x[12] for x in rows], words)
     pivots = {}
-    for x in rows:
-        if x[10] >= 0:
-            pivots.setdefault(x[3], x)
-    pivots = sorted(pivots.values(), key=lambda x: x[10])
-    sets = [np.frombuffer(x[11], np.uint64) for x in pivots]
+    for x, u in zip(rows, all_sets):
+        if x[11] >= 0:
+            pivots.setdefault(x[3], (x, u))
+    sets = [u for _, u in pivots.values()]
+    pivots = [x for x, _ in pivots.values()]
     size = np.array([len(u) for u in sets])
     tau, out = 1 - near / 100, []
-    for x in rows:
-        if x[10] >= 0:
+    for x, u in zip(rows, all_sets):
+        if x[11] >= 0:
             continue
-        u = np.frombuffer(x[11], np.uint64)
         common = np.array([overlap(u, v) for v in sets])
         far = 1 - common / np.maximum(1, len(u) + size - common)
         own = int(far.argmin())
         close = bool(linked(common[own], len(u), size[own], near)) and pivots[own][3] != x[3]
-        label = pivots[own][5] if close else x[5]
+        label = pivots[own][6] if close else x[6]
         for j in np.flatnonzero(far <= far[own] + 2 * tau + 1e-9).tolist():
-            name = xxhash.xxh3_64_intdigest(f"{x[1]}:{level}:{pivots[j][10]}".encode()) - (1 << 63)
-            out.append((name, x[2], x[3], x[4], label, pivots[j][3], float(far[j]), x[8] and j == own, x[9], pivots[own][3] if close and j == own else None))
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
+            name = xxhash.xxh3_64_intdigest(f"{x[1]}:{level}:{pivots[j][11]}".encode()) - (1 << 63)
+            out.append((name, *x[2:6], label, pivots[j][3], float(far[j]), x[9] and j == own, x[10], pivots[own][3] if close and j == own else None))
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], [*CELL, "pivot"])
 
 
@@ -455,10 +455,10 @@ def open_members(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], v) for i, v in zip((0, 1, 3, 6), types)], ["block", "c", "label", "mine"])
 
 
-def forest(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
-    """Links between members of a block (block, c, label, mine, u) that join what
-    is not joined yet."""
-    sets = [np.frombuffer(x[4], np.uint64) for x in rows]
+def forest(rows: list[tuple], words: int = WORDS, near: int = NEAR) -> pa.RecordBatch:
+    """Links between members of a block (block, c, label, mine, text) that join
+    what is not joined yet."""
+    sets = sets_of([x[4] for x in rows], words)
     others, mine = [i for i, x in enumerate(rows) if not x[3]], [i for i, x in enumerate(rows) if x[3]]
     found = []
     if others and mine:
