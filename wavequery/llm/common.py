@@ -47,11 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+#: Of how many shuffle partitions a file of a narrow table is made.
+FEWER = 8
+
+
+def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.  ``narrow``:
+    its rows are some numbers each and cheap to make, so it becomes fewer files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(-(-partitions(spark) // FEWER)) if narrow else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

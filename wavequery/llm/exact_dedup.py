@@ -57,6 +57,7 @@ def _heavy_groups(digests: DataFrame, support: float) -> DataFrame:
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where(F.col("group_size") > 1),
         "heavy",
+        True,
     )
 
 
@@ -67,7 +68,7 @@ def deduplicate(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     rows that repeat both, the first one met stays."""
     groups = exact_groups(docs, support).where("group_size > 1").withColumn("key", _short(F.col("text_sha256")))
     rows = groups.groupBy("doc_id", "key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    return keep_one(docs, _short(text_sha()), stash(rows, "copies"))
+    return keep_one(docs, _short(text_sha()), stash(rows, "copies", True))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

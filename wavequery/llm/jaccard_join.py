@@ -260,11 +260,11 @@ def _pairs(words: int, near: int):
 def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """Links (u, v) that connect what is linked: nodes of a component, not all
     pairs.  ``texts``: doc_id, k, text; ``nodes``: stashed, see ``NODES``."""
-    members = stash(repeated(nodes.select("c", "regions"), _members, [("region", "long"), ("c", "long")], "c").distinct(), "members")
-    crowd = stash(members.groupBy("c").agg(F.count(F.lit(1)).alias("score")), "crowd")
+    members = stash(repeated(nodes.select("c", "regions"), _members, [("region", "long"), ("c", "long")], "c").distinct(), "members", True)
+    crowd = stash(members.groupBy("c").agg(F.count(F.lit(1)).alias("score")), "crowd", True)
     # One row of the table stands for each set that isn't alone in all its regions.
     first = nodes.join(crowd, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("r"), F.first("n").alias("n"))
-    ids = stash(first.select(F.col("r.doc_id").alias("_d"), F.col("r.k").alias("_k"), "c", "n"), "set_ids")
+    ids = stash(first.select(F.col("r.doc_id").alias("_d"), F.col("r.k").alias("_k"), "c", "n"), "set_ids", True)
     weight = F.greatest(F.col("n"), F.floor(F.octet_length("text") / 8)).alias("w")
     sets = texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")))
     sets = stash(sets.select("c", "n", weight, "text"), "sets")
@@ -272,17 +272,17 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NE
     # The best pivot of each set: the one that is in most regions with others.
     pivots = members.join(crowd, "c").groupBy("region").agg(F.max(F.struct("score", "c")).alias("pivot"))
     best = split_join(members, pivots, "region", names=names).where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"))
-    star = stash(best.join(crowd, "c").where(F.col("pivot") > F.struct("score", "c")).select("c", F.col("pivot.c").alias("hub")), "star")
+    star = stash(best.join(crowd, "c").where(F.col("pivot") > F.struct("score", "c")).select("c", F.col("pivot.c").alias("hub")), "star", True)
     measured = measure(star, sets, words, near)
     release(ids, star)
     found = measured.where("link").select("c", "hub")
     up = found.select(F.col("c").alias("hub"), F.col("hub").alias("top"))
     label = found.join(up, "hub", "left").select("c", F.coalesce("top", "hub").alias("label"))
     known = sets.select("c", "n", "w").distinct().join(label, "c", "left").join(measured.select("c", "hub", "far"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    labelled = stash(members.join(known, "c"), "labelled")
+    labelled = stash(members.join(known, "c"), "labelled", True)
     release(members, crowd)
     out = found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(nodes, sets, labelled, names, words, near))
-    out = stash(out.distinct(), "links")
+    out = stash(out.distinct(), "links", True)
     release(sets, labelled, measured)
     return out
 
@@ -296,7 +296,7 @@ def measure(pairs: DataFrame, sets: DataFrame, words: int, near: int) -> DataFra
     light = pairs.join(F.broadcast(often.select("hub")), "hub", "left_anti").join(own, "c").join(other.drop("w"), "hub")
     heavy = pairs.join(F.broadcast(often.select("hub")), "hub", "left_semi").join(own, "c").join(F.broadcast(often), "hub")
     rows = light.unionByName(heavy).select("c", "hub", "a", "b")
-    return stash(map_arrow(rows, _pairs(words, near), "c long, hub long, link boolean, far double").distinct(), "measured")
+    return stash(map_arrow(rows, _pairs(words, near), "c long, hub long, link boolean, far double").distinct(), "measured", True)
 
 
 CELL = ["region", "code", "c", "n", "w", "label", "hub", "far", "mine", "was"]
@@ -310,13 +310,13 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     )
     # Regions with the same members are one.
     groups = groups.where("low != high").groupBy("all", "print").agg(F.min("region").alias("region")).select("region")
-    open_ = stash(split_join(members, groups, "region", names=names), "open")
+    open_ = stash(split_join(members, groups, "region", names=names), "open", True)
     counts = open_.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("region").agg(F.max(F.struct("k", "label")).alias("main"))
     code = F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code")
     rows = split_join(open_, main, "region", names=names)
     rows = rows.select("region", code, "c", "n", "w", "label", "hub", "far", (F.col("label") != F.col("main.label")).alias("mine"), F.lit(1 << 60).alias("was"))
-    cells, found = divide(stash(rows, "cells"), sets, words, near)
+    cells, found = divide(stash(rows, "cells", True), sets, words, near)
     release(open_)
     by_region = cells.groupBy("region").agg(
         F.count(F.lit(1)).alias("all"), F.count_if("mine").alias("rest"), F.sum("w").alias("all_w"), F.sum(F.when(F.col("mine"), F.col("w")).otherwise(0)).alias("rest_w")
@@ -328,7 +328,7 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     mine = rows.where("mine").select(*keep, place.alias("r"), F.explode(F.sequence(F.lit(0), F.col("_f") - 1)).alias("f"), F.lit(True).alias("mine"))
     other = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r"), theirs.alias("f"), F.lit(False).alias("mine"))
     blocks = stash(mine.unionByName(other).select(F.xxhash64("region", "r", "f").alias("block"), *keep[1:], "mine"), "blocks")
-    used = stash(blocks.select("c").distinct(), "used")
+    used = stash(blocks.select("c").distinct(), "used", True)
     views = keep_ids(nodes.select("c", "views"), used, "c").dropDuplicates(["c"]).select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view")
     rows = blocks.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
     open_ = stash(rows.select("block", "c", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(lambda x: open_members(x, near))), OPEN), "open_members")
@@ -338,7 +338,7 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     some = open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block")
     rows = some.join(sets.select("c", "text"), "c").repartition(F.col("block")).sortWithinPartitions("block", "c")
     forests = rows.select("block", "c", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words, near))), "u long, v long")
-    out = stash(forests.unionByName(found).distinct(), "within")
+    out = stash(forests.unionByName(found).distinct(), "within", True)
     release(open_)
     return out
 
@@ -355,7 +355,7 @@ def divide(cells: DataFrame, sets: DataFrame, words: int, near: int) -> tuple[Da
     found = spark.createDataFrame([], "u long, v long")
     for level in range(LEVELS):
         sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("all"), F.sum("w").alias("all_w"), F.count_if("mine").alias("rest"), F.max("was").alias("was"), F.min("label").alias("low"), F.max("label").alias("high"))
-        large = stash(sizes.where((F.col("all") > LARGE) & (F.col("rest") > 0) & (F.col("low") != F.col("high")) & (F.col("all") <= SHRINK * F.col("was"))).select("region", "all", "all_w"), "large")
+        large = stash(sizes.where((F.col("all") > LARGE) & (F.col("rest") > 0) & (F.col("low") != F.col("high")) & (F.col("all") <= SHRINK * F.col("was"))).select("region", "all", "all_w"), "large", True)
         if not large.limit(1).count():
             release(large)
             break
@@ -370,9 +370,9 @@ def divide(cells: DataFrame, sets: DataFrame, words: int, near: int) -> tuple[Da
         both = both.select(F.xxhash64("region", "deal").alias("cell"), *CELL[:-1], F.col("all").alias("was"), "slot", "text")
         both = both.repartition(F.col("cell")).sortWithinPartitions("cell", F.col("slot").desc(), "c")
         new = stash(both.mapInArrow(tidy(_by_block(lambda x, level=level: nearest(x, words, near, level))), REGION), "voronoi")
-        found = stash(found.unionByName(new.where("pivot is not null").select(F.col("c").alias("u"), F.col("pivot").alias("v"))).distinct(), "pivot_links")
+        found = stash(found.unionByName(new.where("pivot is not null").select(F.col("c").alias("u"), F.col("pivot").alias("v"))).distinct(), "pivot_links", True)
         rest = split_join(cells, large.select("region", F.lit(True).alias("_large")), "region", "left").where("_large is null")
-        cells = stash(rest.select(*CELL).unionByName(new.select(*CELL)), "cells")
+        cells = stash(rest.select(*CELL).unionByName(new.select(*CELL)), "cells", True)
         release(large, rows, new)
     return cells, found
 
@@ -493,7 +493,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     component.  Alternating large and small stars, each a map-side combined
     minimum and a join, until nothing changes."""
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = stash(e, "edges")
+    e = stash(e, "edges", True)
     last = None
     for _ in range(most):
         before, both = e, e.union(e.select("v", "u"))
@@ -502,7 +502,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         small_star = e.join(low, "u")
         e = small_star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stash(e, "edges")
+        e = stash(e, "edges", True)
         release(before)
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
@@ -518,7 +518,7 @@ def _grouped(docs: DataFrame, words: int, near: int) -> DataFrame:
     nodes = stash(map_arrow(texts, _nodes(words, near), NODES), "nodes")
     roots = components(links(texts, nodes, words, near)).withColumnRenamed("u", "c")
     rows = split_join(nodes.select("doc_id", "k", "c", "n"), roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    rows = stash(rows.select("doc_id", "k", "n", "root"), "rooted")
+    rows = stash(rows.select("doc_id", "k", "n", "root"), "rooted", True)
     release(nodes)
     some = rows.where("n > 0")
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
@@ -538,7 +538,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
     kept = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k")))
     rows = _grouped(docs, words, near).withColumn("kept", kept)
     rows = rows.groupBy("doc_id", F.col("k").alias("key")).agg(F.first("kept").alias("kept"), F.sum(F.when(F.col("first").isNull(), 0).otherwise(1)).alias("n"))
-    return keep_one(docs, F.xxhash64(text_or_empty()), stash(rows.where("not kept or n > 1"), "copies"))
+    return keep_one(docs, F.xxhash64(text_or_empty()), stash(rows.where("not kept or n > 1"), "copies", True))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

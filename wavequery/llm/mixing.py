@@ -117,7 +117,7 @@ def _plan(docs: DataFrame, weight: Column | None, seed: int, share: float, cap:
     narrow = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), *_ordered(docs, weight, seed)), "sizes")
     shares = [F.avg((F.col("_level") == x).cast("double")).alias(f"_p{i}") for i, x in enumerate(LEVELS)]
     sources = narrow.groupBy("_s").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"), *shares)
-    targets = stash(source_targets(sources, share, cap, weights), "targets")
+    targets = stash(source_targets(sources, share, cap, weights), "targets", True)
     total = targets.agg(F.sum("_rows").alias("rows"), F.count(F.lit(1)).alias("n")).first()
     buckets = 2 * partitions(spark)
     side = targets.drop("source")
@@ -142,7 +142,7 @@ def mixed(docs: DataFrame, weight: Column | None = None, seed: int = SEED, share
     """The rows of ``docs``, with all columns, each as often as the mix takes it."""
     place = F.struct("_key", "_id", "_size", "_hash")
     plan = _plan(docs, weight, seed, share, cap, weights)
-    last = stash(plan.groupBy(F.col("_s").alias("_mix_s")).agg(F.first("epochs").alias("_mix_n"), F.max(F.when(F.col("more"), place)).alias("_mix_last")), "last_taken")
+    last = stash(plan.groupBy(F.col("_s").alias("_mix_s")).agg(F.first("epochs").alias("_mix_n"), F.max(F.when(F.col("more"), place)).alias("_mix_last")), "last_taken", True)
     side = F.broadcast(last) if last.count() <= BROADCAST_SOURCES else last
     # All columns go as one, so none can clash with those of the plan.
     rows = docs.select(F.struct("*").alias("_row"), F.struct(*_ordered(docs, weight, seed)).alias("_own")).join(side, F.col("_own._s") == F.col("_mix_s"))

@@ -88,7 +88,7 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndarray:
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = stash(labels.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(most), "chosen")
+    chosen = stash(labels.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(most), "chosen", True)
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def rows(batch):

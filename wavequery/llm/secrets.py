@@ -104,11 +104,11 @@ class Ledger:
         every row of ``docs`` and how many blobs were scanned."""
         blob = F.sha2(text_or_empty().cast("binary"), 256)
         paths = stash(docs.select("doc_id", blob.alias("blob")), "paths")
-        unseen = stash(self.lacks(paths, version), "unseen")
+        unseen = stash(self.lacks(paths, version), "unseen", True)
         n = unseen.count()
         if n:
             texts = docs.select("doc_id", text_or_empty().alias("text"), blob.alias("blob"))
-            others = stash(paths.distinct().join(unseen, (paths["blob"] == unseen["blob"]) & paths["doc_id"].eqNullSafe(unseen["doc_id"]), "left_anti"), "others")
+            others = stash(paths.distinct().join(unseen, (paths["blob"] == unseen["blob"]) & paths["doc_id"].eqNullSafe(unseen["doc_id"]), "left_anti"), "others", True)
             # By the shorter list: of what to scan, or of what not to.
             short = [F.col("doc_id"), _name("blob").alias("name")]
             named = texts.withColumn("name", _name("blob"))

@@ -285,22 +285,22 @@ def repeats(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gra
     rows = rows.select("doc_id", "d", F.xxhash64("text").alias("k"), "text")
     each = stash(rows.select("doc_id", "d", "k", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     copies = each.groupBy("sha").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    narrow = stash(split_join(each, stash(copies, "copies"), "sha", "left"), "narrow")
-    others = stash(narrow.where("d != first").select("d", "k").distinct(), "others")
+    narrow = stash(split_join(each, stash(copies, "copies", True), "sha", "left"), "narrow", True)
+    others = stash(narrow.where("d != first").select("d", "k").distinct(), "others", True)
     texts = rows.where(F.octet_length("text") >= length).select("d", "k", "text")
     runs = stash(repeated(drop_ids(texts, others, ["d", "k"]), _runs(length, gram, keep_first), RUNS), "runs")
     release(each, others)
     spans = runs.where("rel < 0").select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).distinct()
     real = runs.where("rel >= 0")
-    contexts = stash(real.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "k", "s", "rel", "n")).alias("first")), "contexts")
+    contexts = stash(real.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "k", "s", "rel", "n")).alias("first")), "contexts", True)
     twice = contexts.where("times > 1").select("anchor", "ctx", F.col("first").alias("_first"))
     known = split_join(real, twice, "ctx", on=["anchor", "ctx"])
     if keep_first:
         known = known.where(F.struct("d", "k", "s", "rel", "n") != F.col("_first"))
-    known = stash(known.select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b")).unionByName(spans), "known")
+    known = stash(known.select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b")).unionByName(spans), "known", True)
     kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = split_join(contexts, kinds, "anchor").select("anchor", "times", F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.s").alias("s"), F.col("first.rel").alias("rel"), F.col("first.n").alias("n"), (F.col("kinds") > MOST).alias("hot"))
-    several = stash(several, "several")
+    several = stash(several, "several", True)
     release(runs, contexts)
     found = stash(known.unionByName(_several(texts, several, length, keep_first)), "found")
     release(known, several)
@@ -311,7 +311,7 @@ def _several(texts: DataFrame, several: DataFrame, length: int, keep_first: bool
     """Spans of the contexts that share an anchor with others."""
     spark = texts.sparkSession
     lists = several.groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "times", "s", "rel", "n", "hot")).alias("runs"))
-    ids = stash(several.select("d", "k").distinct(), "ids")
+    ids = stash(several.select("d", "k").distinct(), "ids", True)
     cut = stash(map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, rel int, n int, hot boolean, bytes binary"), "cut")
     cold = cut.where("not hot").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "d", "k", "s")
     found = cold.mapInArrow(tidy(_resolve(length, keep_first)), SPANS)
@@ -327,10 +327,10 @@ def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
         blocks = stash(map_arrow(pending, _blocks(length, level), "core string, whole string, times long, d long, k long, s long, rel int, lo int, hi int"), "blocks")
         place = F.struct("d", "k", F.col("s") + F.col("rel") - F.col("hi"))
         cores = blocks.groupBy("core").agg(F.sum("times").alias("in_core"), F.min(place).alias("first")).where("in_core > 1")
-        some = stash(split_join(blocks, cores, "core"), "cores")
+        some = stash(split_join(blocks, cores, "core"), "cores", True)
         if level > 1:
             wholes = some.groupBy("whole").agg(F.sum("times").alias("in_whole"), F.min(place).alias("one")).where("in_whole > 1")
-            some = stash(split_join(some, wholes, "whole", "left"), "some")
+            some = stash(split_join(some, wholes, "whole", "left"), "some", True)
             whole = F.coalesce(F.col("in_whole") > 1, F.lit(False)) if not keep_first else F.lit(False)
             done = some.where(whole)
             # One of each such block goes on: others may share a part of it.
@@ -412,11 +412,11 @@ def deduplicate(docs: DataFrame, keep_first: bool = False, length: int = LENGTH,
     remaining bytes (kept) of every row."""
     narrow, found = repeats(docs, keep_first, length, gram)
     gone = (F.col("times") > 1) & (F.col("n_bytes") >= length)
-    lists = stash(found.groupBy("d", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
+    lists = stash(found.groupBy("d", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans", True)
     if keep_first:
         gone &= F.col("d") != F.col("first")
     gone = F.coalesce(gone, F.lit(False))
-    ids = stash(lists.select("d", "k").join(narrow.where(gone).select("d", "k").distinct(), ["d", "k"], "left_anti"), "cut_ids")
+    ids = stash(lists.select("d", "k").join(narrow.where(gone).select("d", "k").distinct(), ["d", "k"], "left_anti"), "cut_ids", True)
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), text_or_empty().alias("text"))
     texts = keep_ids(texts.select("doc_id", "d", F.xxhash64("text").alias("k"), "text"), ids, ["d", "k"])
     some = map_arrow(texts.join(lists, ["d", "k"]).select("doc_id", "text", "a", "b"), _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -233,7 +233,7 @@ ASIDE, ONE, TWO, BOTH = (0, 1), (2, 3, 4), (5, 6, 7), (2, 3, 4, 5, 6, 7)
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
     """The model from labelled rows (doc_id, label)."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = stash(labels.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most), "chosen")
+    chosen = stash(labels.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most), "chosen", True)
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(8)).cast("int").alias("part")
     sample = stash(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("*", part), "sample")
     known = _lexicons(sample)
@@ -279,7 +279,7 @@ def _lexicons(sample: DataFrame) -> dict:
     words = map_arrow(sample.where(F.col("part").isin(list(BOTH))), rows, "doc int, word long, label int, part int")
     half = F.col("part").isin(list(ONE))
     sums = [F.sum(F.when(test, value).otherwise(0)).alias(name) for name, test, value in (("a1", half, F.col("label")), ("b1", half, F.lit(1)), ("a2", ~half, F.col("label")), ("b2", ~half, F.lit(1)))]
-    counts = stash(words.groupBy("word").agg(*sums).where(F.col("a1") + F.col("a2") >= LEAST_DOCS), "words")
+    counts = stash(words.groupBy("word").agg(*sums).where(F.col("a1") + F.col("a2") >= LEAST_DOCS), "words", True)
     totals = sample.groupBy("part").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for group, a, b in ((ONE, F.col("a1"), F.col("b1")), (TWO, F.col("a2"), F.col("b2")), (BOTH, F.col("a1") + F.col("a2"), F.col("b1") + F.col("b2"))):
