@@ -29,9 +29,9 @@ one, and is also put into each region whose pivot is at most 2 tau farther (the
 triangle inequality: a linked set may belong there).  Regions that are still
 large, and at most ``SHRINK`` of the one they come from, are divided again, up to
 ``LEVELS`` times.  In what remains, the members outside the largest group are held
-against all members, in blocks of bounded size dealt over tasks, by one byte a
+against all members, in blocks of bounded size dealt over tasks, by a few bits a
 class: two sets differ in at least as many shingles as classes have different
-bytes.  Members with a partner that this, the sizes and the triangle inequality,
+bits.  Members with a partner that this, the sizes and the triangle inequality,
 by distances to a common pivot, leave open meet again, with their texts, and are
 measured exactly; what a link has joined is not compared again, so a block
 returns a spanning forest and not its pairs.  Components of the links are found
@@ -78,9 +78,10 @@ LARGE, PIVOTS, SHRINK, LEVELS = 2048, 8, 0.8, 4
 #: Weight of a pivot whose text may be broadcast: 2000 of them at most, so 32 MB.
 BROADCAST_WEIGHT = 2000
 
-#: Classes of a view for each class of the regions: the finer, the closer the
-#: number of classes that differ comes to the number of shingles that differ.
-FINE = 4
+#: A byte of a view holds four bits each of two classes, into which the shingles
+#: of a class of the regions are dealt: the finer, the closer the number of
+#: classes that differ comes to the number of shingles that differ.
+_NIBBLES = np.array([(x & 15 > 0) + (x >> 4 > 0) for x in range(256)], np.uint8)
 
 
 # ------------------------------------------------------------------- sets
@@ -159,16 +160,17 @@ def _first(order: np.ndarray, code: int, near: int) -> np.ndarray:
 
 
 def _classes(order: np.ndarray, m: int) -> tuple[np.ndarray, bytes]:
-    """Sums of the shingles of each of m classes, and one byte of each of FINE * m
-    classes."""
-    cls = (order >> np.uint64(33)).astype(np.int64) % (FINE * m)
-    fine = np.zeros(FINE * m, np.uint64)
+    """Sums of the shingles of each of m classes, and of 2 m classes four bits
+    each, as m bytes."""
+    cls = (order >> np.uint64(33)).astype(np.int64) % (2 * m)
+    fine = np.zeros(2 * m, np.uint64)
     np.add.at(fine, cls, order)
-    return fine.reshape(FINE, m).sum(0), (mix(fine) >> np.uint64(56)).astype(np.uint8).tobytes()
+    bits = (mix(fine) >> np.uint64(60)).astype(np.uint8)
+    return fine[:m] + fine[m:], (bits[:m] | bits[m:] << 4).tobytes()
 
 
 def regions(u: np.ndarray, near: int = NEAR, known: list | None = None) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The regions of a set, and (scheme, a byte for each class).  Linked sets
+    """The regions of a set, and (scheme, bits of each class).  Linked sets
     that differ share a region.  ``known``: ``schemes(near)``."""
     n, known = len(u), known or schemes(near)
     if n < least_size(near):  # no other set is near enough
@@ -259,15 +261,19 @@ def _pairs(words: int, near: int):
 # ------------------------------------------------------------------- links
 def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """Links (u, v) that connect what is linked: nodes of a component, not all
-    pairs.  ``texts``: doc_id, k, text; ``nodes``: stashed, see ``NODES``."""
+    pairs.  ``texts``: doc_id, k, text; ``nodes``: stashed, see ``NODES``, and
+    deleted when its regions and views are no longer needed."""
     members = stash(repeated(nodes.select("c", "regions"), _members, [("region", "long"), ("c", "long")], "c").distinct(), "members", True)
     crowd = stash(members.groupBy("c").agg(F.count(F.lit(1)).alias("score")), "crowd", True)
     # One row of the table stands for each set that isn't alone in all its regions.
     first = nodes.join(crowd, "c", "left_semi").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("r"), F.first("n").alias("n"))
+    views = keep_ids(nodes.select("c", "views"), crowd.select("c"), "c").dropDuplicates(["c"])
+    views = stash(views.select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view"), "views", True)
     ids = stash(first.select(F.col("r.doc_id").alias("_d"), F.col("r.k").alias("_k"), "c", "n"), "set_ids", True)
     weight = F.greatest(F.col("n"), F.floor(F.octet_length("text") / 8)).alias("w")
     sets = texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")))
     sets = stash(sets.select("c", "n", weight, "text"), "sets")
+    release(nodes)
     names = frequent(members, "region")
     # The best pivot of each set: the one that is in most regions with others.
     pivots = members.join(crowd, "c").groupBy("region").agg(F.max(F.struct("score", "c")).alias("pivot"))
@@ -281,9 +287,9 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NE
     known = sets.select("c", "n", "w").distinct().join(label, "c", "left").join(measured.select("c", "hub", "far"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     labelled = stash(members.join(known, "c"), "labelled", True)
     release(members, crowd)
-    out = found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(nodes, sets, labelled, names, words, near))
+    out = found.select(F.col("c").alias("u"), F.col("hub").alias("v")).unionByName(_within(views, sets, labelled, names, words, near))
     out = stash(out.distinct(), "links", True)
-    release(sets, labelled, measured)
+    release(sets, labelled, measured, views)
     return out
 
 
@@ -302,7 +308,7 @@ def measure(pairs: DataFrame, sets: DataFrame, words: int, near: int) -> DataFra
 CELL = ["region", "code", "c", "n", "w", "label", "hub", "far", "mine", "was"]
 
 
-def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFrame, words: int, near: int) -> DataFrame:
+def _within(views: DataFrame, sets: DataFrame, members: DataFrame, names: DataFrame, words: int, near: int) -> DataFrame:
     """Links inside regions whose members don't yet hang together.  ``members``:
     region, c, n, w, label, hub, far, stashed; ``names``: its frequent regions."""
     groups = members.groupBy("region").agg(
@@ -310,13 +316,13 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     )
     # Regions with the same members are one.
     groups = groups.where("low != high").groupBy("all", "print").agg(F.min("region").alias("region")).select("region")
+    code = F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code")
     open_ = stash(split_join(members, groups, "region", names=names), "open", True)
     counts = open_.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("region").agg(F.max(F.struct("k", "label")).alias("main"))
-    code = F.expr(f"cast(region & {(1 << CODE) - 1} as int)").alias("code")
-    rows = split_join(open_, main, "region", names=names)
-    rows = rows.select("region", code, "c", "n", "w", "label", "hub", "far", (F.col("label") != F.col("main.label")).alias("mine"), F.lit(1 << 60).alias("was"))
-    cells, found = divide(stash(rows, "cells", True), sets, words, near)
+    cells = split_join(open_, main, "region", names=names)
+    cells = cells.select("region", code, "c", "n", "w", "label", "hub", "far", (F.col("label") != F.col("main.label")).alias("mine"), F.lit(1 << 60).alias("was"))
+    cells, found = divide(stash(cells, "cells", True), sets, words, near)
     release(open_)
     by_region = cells.groupBy("region").agg(
         F.count(F.lit(1)).alias("all"), F.count_if("mine").alias("rest"), F.sum("w").alias("all_w"), F.sum(F.when(F.col("mine"), F.col("w")).otherwise(0)).alias("rest_w")
@@ -328,11 +334,9 @@ def _within(nodes: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     mine = rows.where("mine").select(*keep, place.alias("r"), F.explode(F.sequence(F.lit(0), F.col("_f") - 1)).alias("f"), F.lit(True).alias("mine"))
     other = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r"), theirs.alias("f"), F.lit(False).alias("mine"))
     blocks = stash(mine.unionByName(other).select(F.xxhash64("region", "r", "f").alias("block"), *keep[1:], "mine"), "blocks")
-    used = stash(blocks.select("c").distinct(), "used", True)
-    views = keep_ids(nodes.select("c", "views"), used, "c").dropDuplicates(["c"]).select("c", F.explode("views").alias("v")).select("c", "v.code", "v.view")
     rows = blocks.join(views, ["c", "code"]).repartition(F.col("block")).sortWithinPartitions("block", "c")
     open_ = stash(rows.select("block", "c", "n", "label", "hub", "far", "mine", "view").mapInArrow(tidy(_by_block(lambda x: open_members(x, near))), OPEN), "open_members")
-    release(blocks, cells, used)
+    release(blocks, cells)
     # Most pairs are open in many regions: of blocks with the same open members one stays.
     marks = open_.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c", "mine").cast("decimal(38,0)")).alias("print"))
     some = open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block")
@@ -445,7 +449,7 @@ def open_members(rows: list[tuple], near: int = NEAR) -> pa.RecordBatch:
             at = np.flatnonzero(open_)
             if not len(at):
                 continue
-            differ = np.count_nonzero(views[at] != np.frombuffer(view, np.uint8), axis=1)
+            differ = _NIBBLES[views[at] ^ np.frombuffer(view, np.uint8)].sum(1, dtype=np.int64)
             at = at[(100 + near) * differ <= (100 - near) * (size + n[at])]
             if len(at):
                 mine_kept.append(x)
@@ -516,10 +520,11 @@ def _grouped(docs: DataFrame, words: int, near: int) -> DataFrame:
     and the first row of the component (first.doc_id, first.k)."""
     texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("k"), "text")
     nodes = stash(map_arrow(texts, _nodes(words, near), NODES), "nodes")
+    ids = stash(nodes.select("doc_id", "k", "c", "n"), "nodes", True)
     roots = components(links(texts, nodes, words, near)).withColumnRenamed("u", "c")
-    rows = split_join(nodes.select("doc_id", "k", "c", "n"), roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rows = split_join(ids, roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     rows = stash(rows.select("doc_id", "k", "n", "root"), "rooted", True)
-    release(nodes)
+    release(ids)
     some = rows.where("n > 0")
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
     none = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
