@@ -343,6 +343,22 @@ def test_suffix_dedup(docs, rows, monkeypatch, keep_first, most):
     assert got == removed(rows, suffix_dedup.LENGTH, keep_first)
 
 
+def test_suffix_dedup_shuffles_what_it_may_not_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(docs, with_bytes=False).collect())
+    assert got == removed(rows, suffix_dedup.LENGTH, False)
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffix_dedup_of_regular_texts(spark, keep_first):
+    """Texts that hold the same context very often, in one text and in two."""
+    rng = random.Random(1)
+    rows = [(1, "x" * 900, ""), (2, "ab" * 500 + text(rng, 40), ""), (3, text(rng, 30) + "ab" * 300, ""), (4, "y" * 300 + text(rng, 50) + "y" * 260, ""), (5, text(rng, 30) + "x" * 230, ""), (6, text(rng, 80), "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(docs, keep_first, with_bytes=False).collect())
+    assert got == removed(rows, suffix_dedup.LENGTH, keep_first)
+
+
 def test_suffix_dedup_returns_bytes(docs, rows):
     for r in suffix_dedup.deduplicate(docs).collect():
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
@@ -555,6 +571,41 @@ def test_pieces_on_odd_characters(monkeypatch):
     assert p.encode_all([long])[0].tolist() == lib.encode(long)
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_pieces_of_regular_words(spark, turn):
+    """Words whose letters follow a regular pattern, in one worker, either order."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [thue_morse(n, x, y) for n in (16, 256, 1024, 1500, 4096) for x, y in ("ab", "ba", "xy", "yx")][::turn]
+    p = pieces.Pieces(pieces.load_model())
+    for t in texts:
+        assert p.encode_all([t])[0].tolist() == lib.encode(t)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert all(r["ids"] == lib.encode(texts[r["doc_id"]]) and r["exact"] for r in pieces.encode(docs).collect())
+
+
+def test_pieces_survive_a_collision():
+    """A cut whose hash is that of another one still gets its own ids."""
+    p = pieces.Pieces(pieces.load_model())
+    ids, _, exact = p.encode_all(["river stone"])
+    places = p.new_places.copy()
+    p.new_places = places[::-1].copy()  # every known cut has the place of another
+    again, _, right = p.encode_all(["river stone"])
+    assert again.tolist() == ids.tolist() and exact.all() and right.all()
+
+
+def test_pieces_of_runs_without_a_cut():
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    made = ["a" * 9000, "".join(rng.choice("etaoinshr") for _ in range(9000)), "x" * 1025 + " " + "=" * 5000, "\u4e2d\u6587" * 3000, "".join(rng.choice("aA1-") for _ in range(12000))]
+    p = pieces.Pieces(pieces.load_model())
+    ids, sizes, exact = p.encode_all(made)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [lib.encode(t) for t in made] and exact.all()
+
+
 # -------------------------------------------------------------- PII
 @pytest.mark.parametrize(
     "value",
@@ -662,6 +713,87 @@ def test_toxic_rows_go(labelled):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_trees_by_brute_force(monkeypatch):
+    """Against a grower that tries every threshold of every feature in a node."""
+    monkeypatch.setattr(toxicity, "TREES", 6)
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.normal(size=120), np.round(rng.random(120), 1), rng.integers(0, 3, 120).astype(float)], 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] == 1) ^ (rng.random(120) < 0.1)).astype(float)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, toxicity.BINS + 1)[1:-1])) for f in range(3)]
+    score = np.full(120, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+
+        def leaf(rows, depth):
+            best = (1e-6, None, None)
+            if depth < toxicity.DEPTH:
+                for f in range(3):
+                    for t in edges[f]:
+                        left = [i for i in rows if x[i, f] <= t]
+                        right = [i for i in rows if x[i, f] > t]
+                        a, b, c, d = sum(g[left]), sum(h[left]), sum(g[right]), sum(h[right])
+                        if b >= 1 and d >= 1:
+                            gain = a * a / (b + 1) + c * c / (d + 1) - (a + c) ** 2 / (b + d + 1)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, left, right)
+                if best[1] is not None:
+                    return leaf(best[1], depth + 1) + leaf(best[2], depth + 1)
+            return [(rows, -toxicity.RATE * sum(g[rows]) / (sum(h[rows]) + toxicity.REGULAR))]
+
+        for rows, value in leaf(list(range(120)), 0):
+            score[rows] += value
+    model = toxicity.grow(x, y)
+    assert toxicity.raw_scores(model, x) == pytest.approx(score, abs=1e-9)
+
+
+def test_ftrl_by_brute_force():
+    """Against a learner that keeps one number at a time."""
+    rng = random.Random(3)
+    z, n, top = collections.defaultdict(float), collections.defaultdict(float), 1 << quality.BITS
+    model = quality.Ftrl()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(300):
+        cells, label = sorted(rng.sample(range(60), rng.randint(0, 9))), float(rng.random() < 0.4)
+        x = {c: 1 / max(1, len(cells)) ** 0.5 for c in cells} | {top: 1.0}
+        error = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items()))) - label
+        for i, v in x.items():
+            w, g = weight(i), error * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * w
+            n[i] += g * g
+        model.learn(np.array(cells, np.int32), label)
+    assert [model.weights(np.array([i]))[0] for i in [*range(60), top]] == pytest.approx([weight(i) for i in [*range(60), top]])
+
+
+@pytest.mark.parametrize("step", [common.STEP, 200])
+def test_features_and_grams_of_long_texts(step, rows):
+    """Texts in pieces: counts are those of the whole texts but for what a cut
+    divides; the rows' order and number are kept."""
+    import pyarrow as pa
+
+    texts = [t or "" for _, t, _ in rows]
+    data, offs = common.arrow_bytes(pa.array(texts))
+    learned = np.sort(toxicity.hash_words(["ocean", "river", "caf\u00e9"]))
+    want, cells = toxicity.features(data, offs, learned, np.ones(3)), quality.grams(data, offs)
+    with pytest.MonkeyPatch.context() as m:
+        for f in (common.segments, common.row_steps):
+            m.setattr(f, "__defaults__", (step, *f.__defaults__[1:]))
+        got, own = toxicity.features(data, offs, learned, np.ones(3)), quality.grams(data, offs)
+    short = np.flatnonzero(np.diff(offs) <= 4 * step)
+    near = [i for i, name in enumerate(toxicity.FEATURES) if name == "near"]
+    rest = [i for i in range(len(toxicity.FEATURES)) if i not in near]
+    assert np.allclose(got[short][:, rest], want[short][:, rest])
+    for i in range(len(texts)):
+        a, b = set(cells[0][cells[1][i] : cells[1][i + 1]].tolist()), set(own[0][own[1][i] : own[1][i + 1]].tolist())
+        pieces_of_it = len(texts[i].encode()) // step
+        assert len(a - b) <= pieces_of_it and (not b - a or " " not in texts[i])
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(0)
     s = rng.normal(size=300)

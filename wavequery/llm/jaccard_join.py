@@ -548,3 +548,25 @@ def deduplicate(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_documents(spark, sf_dir))
+
+
+#: Shingles as text, joined with each other; every document reaches the others of its component.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
+  FROM w
+), n AS (
+  SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), e AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id
+)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(root) AS component_id FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
