@@ -799,3 +799,15 @@ def test_isotonic_rises():
     s = rng.normal(size=300)
     x, y = toxicity.isotonic(s, (rng.random(300) < 1 / (1 + np.exp(-s))).astype(float))
     assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+
+
+def test_pairs_of_pieces_by_brute_force():
+    """Whether two pieces encode their own concatenation, against merging it."""
+    p = pieces.Pieces(pieces.load_model())
+    rng = random.Random(4)
+    names = list(p.ids)
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(4000)]
+    pairs += [(q[:k], q[k:]) for q in rng.sample(names, 3000) for k in range(1, len(q)) if q[:k] in p.ids and q[k:] in p.ids]
+    got = p.agree(np.array([p.ids[a] for a, _ in pairs]), np.array([p.ids[b] for _, b in pairs]))
+    assert got.tolist() == [p.merged(a + b) == [a, b] for a, b in pairs] and 0.1 < got.mean() < 0.9
+    assert all(p.merged(q) == [q] for q in rng.sample(names, 3000))

@@ -50,7 +50,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 #: Characters of text that are cut and encoded at a time; of new cuts that one
 #: suffix array indexes; cuts that a worker remembers.
-PART, INDEX, REMEMBERED, PAIR_BITS = 1 << 20, 1 << 18, 500_000, 20
+PART, INDEX, REMEMBERED = 1 << 20, 1 << 18, 500_000
 
 #: Characters of a cut from which it is merged in windows; of a window; of what
 #: is left to the next window.
@@ -119,17 +119,35 @@ class Pieces:
             self.joined[r[:-1], r[1:]] = True
         chars = sorted({c for p in self.ids for c in p})
         # Two bytes a character, none 0 or 255, so keys sort and pad as bytes; 1, 1 is any other.
-        self.codes = {c: bytes([2 + k // 253, 1 + k % 253]) for k, c in enumerate(chars)}
+        codes = {c: bytes([2 + k // 253, 1 + k % 253]) for k, c in enumerate(chars)}
+        self.codes = np.full(0x110000, 0x0101, "<u2")
+        self.codes[[ord(c) for c in chars]] = [int.from_bytes(codes[c], "little") for c in chars]
         self.width = 2 * self.longest
-        by_key = sorted((b"".join(self.codes[c] for c in p), len(p), i) for p, i in self.ids.items())
+        by_key = sorted((b"".join(codes[c] for c in p), len(p), i) for p, i in self.ids.items())
         self.keys = np.array([k for k, _, _ in by_key], f"S{self.width}")
         self.ends = np.array([k.ljust(self.width, b"\xff") for k, _, _ in by_key], f"S{self.width}")
         self.lengths = np.array([n for _, n, _ in by_key])
         self.of_key = np.array([i for _, _, i in by_key])
-        self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)  # a direct-mapped cache of agrees()
-        self.pair_agrees = np.zeros(1 << PAIR_BITS, bool)
+        self._learn_merges()
         self.forget()
 
+    def _learn_merges(self) -> None:
+        """Pieces by rank (the order in which merges are preferred), the two parts
+        that each is merged from, and which pairs are merged into which piece."""
+        order = sorted(self.ids, key=lambda p: (self.costs[p], self.ids[p]))
+        rank = {p: r for r, p in enumerate(order)}
+        self.rank_of = np.zeros(len(self.model), np.int64)
+        self.rank_of[[self.ids[p] for p in order]] = np.arange(len(order))
+        self.left, self.right = np.arange(len(order)), np.arange(len(order))
+        pairs = []
+        for r, p in enumerate(order):
+            pairs += [(rank[p[:k]] * len(order) + rank[p[k:]], r) for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
+            if len(p) > 1 and (parts := self.merged(p, last=True)) is not None:
+                self.left[r], self.right[r] = rank[parts[0]], rank[parts[1]]
+        pairs.sort()
+        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs], np.int64)
+
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # of known cuts, sorted
         self.places = np.zeros((0, 2), np.int64)  # where each one's ids are, and how many
@@ -137,20 +155,24 @@ class Pieces:
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
     # -------------------------------------------------------------- encoding
-    def merged(self, cut: str) -> list[str]:
-        """Plain BPE: the best-scored, leftmost pair is merged until none is left."""
+    def merged(self, cut: str, last: bool = False):
+        """Plain BPE: the best-scored, leftmost pair is merged until none is left.
+        ``last``: the two parts of the merge that makes all of it, or None."""
         if len(cut) > 64:
             return self._merged_by_heap(cut)
-        parts, none, cost = list(cut), float("inf"), self.costs.get
+        parts, none, cost, pair = list(cut), float("inf"), self.costs.get, None
         costs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
         while costs and (best := min(costs)) < none:
             k = costs.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            pair = parts[k : k + 2]
+            parts[k : k + 2] = [pair[0] + pair[1]]
             del costs[k]
             if k:
                 costs[k - 1] = cost(parts[k - 1] + parts[k], none)
             if k < len(costs):
                 costs[k] = cost(parts[k] + parts[k + 1], none)
+        if last:
+            return pair if len(parts) == 1 else None
         return parts
 
     def _merged_by_heap(self, cut: str) -> list[str]:
@@ -212,29 +234,37 @@ class Pieces:
 
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pieces a, b encode their own concatenation; a < 0 is a
-        character without a piece, which merges with nothing."""
-        key = a * len(self.model) + b
-        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-        out = self.pair_agrees[slot]
-        lost = (self.pair_key[slot] != key) & (a >= 0)
-        if lost.any():
-            lost = np.flatnonzero(lost)
-            pairs, first, back = np.unique(key[lost], return_index=True, return_inverse=True)
-            good = np.zeros(len(pairs), bool)
-            for k, (x, y) in enumerate(zip(a[lost[first]].tolist(), b[lost[first]].tolist())):
-                left, right = self.model[x][0], self.model[y][0]
-                good[k] = self.merged(left + right) == [left, right]
-            out[lost] = good[back]
-            self.pair_key[slot[lost[first]]] = -1
-            self.pair_agrees[slot[lost[first]]] = good
-            self.pair_key[slot[lost[first]]] = pairs
-            # Two pairs may want one slot: the one whose key stands must have its value.
-            self.pair_agrees[slot[lost[first]]] = np.where(self.pair_key[slot[lost[first]]] == pairs, good, self.pair_agrees[slot[lost[first]]])
-        return out | (a < 0)
+        character without a piece, which merges with nothing.
+
+        They don't if a merge across the border comes before the merges that make
+        the two.  The last part of the left piece and the first part of the right
+        one meet there at every moment: seen backwards, the one of the later merge
+        is taken apart, and a pair that meets must not have a merge that is
+        preferred to the one that was just undone."""
+        out = np.ones(len(a), bool)
+        todo = np.flatnonzero(a >= 0)
+        x, y = self.rank_of[a[todo]], self.rank_of[b[todo]]
+        n = len(self.left)
+        limit = np.full(len(todo), n + 1)
+        while len(todo):
+            key = x * n + y
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            bad = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit)
+            out[todo[bad]] = False
+            left_later = x > y
+            # Undo the later merge; if that piece has no parts, the other one's.
+            x2, y2 = self.right[x], self.left[y]
+            take_x = np.where(left_later, x2 != x, (y2 == y) & (x2 != x))
+            take_y = np.where(left_later, (x2 == x) & (y2 != y), y2 != y)
+            limit = np.where(take_x, x, y + 1)
+            x, y = np.where(take_x, x2, x), np.where(take_y, y2, y)
+            go = ~bad & (take_x | take_y)
+            todo, x, y, limit = todo[go], x[go], y[go], limit[go]
+        return out
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and piece of all occurrences of all pieces."""
-        units = b"".join([self.codes.get(c, b"\x01\x01") for c in text])
+        units = self.codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tobytes()
         padded = np.frombuffer(units + bytes(self.width), np.uint8)
         suffixes = np.lib.stride_tricks.as_strided(padded, (len(text), self.width), (2, 1)).copy().view(f"S{self.width}").ravel()
         order = np.argsort(suffixes)
@@ -256,9 +286,9 @@ class Pieces:
         inside = start + length <= first[own[start]] + size[own[start]]
         start, length, piece = start[inside], length[inside], piece[inside]
         offset = start + length - first[own[start]]
-        by = np.lexsort((-length, offset))
-        start, length, piece, offset = start[by], length[by], piece[by], offset[by]
         group = offset * (self.longest + 1) + (self.longest - length)
+        by = np.argsort(group)
+        start, length, piece, offset, group = start[by], length[by], piece[by], offset[by], group[by]
         bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
         bounds = np.append(bounds, len(group)) if len(bounds) == 0 or bounds[-1] != len(group) else bounds
         alone = np.ones(len(text), bool)  # characters without a piece
