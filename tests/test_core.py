@@ -245,6 +245,9 @@ def test_registry_and_config():
     assert tasks.config("anih", background_duration=1800, num_instances=3).background_duration == 1800
     with pytest.raises(ValueError):
         tasks.config("nope")
+    suite = tasks.create_task_suite(["anih", "soundscape"], {"soundscape": {"num_events": 3}})
+    assert list(suite) == ["anih", "soundscape"] and suite["soundscape"].num_events == 3 and list(tasks.create_task_suite()) == tasks.list_tasks()
+    assert drivers.chosen("all", ["a", "b"]) == ["a", "b"] and drivers.chosen(["b", "c"], ["a", "b"]) == ["b"] and drivers.chosen("c", ["a"]) == []
 
 
 def test_generators_are_deterministic_and_sound(spark):
