@@ -128,7 +128,7 @@ def split_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", n
     no key of it has more than ``FREQUENT`` of the rows.  ``on``: columns that make
     up the key, ``key`` among them, if it is frequent wherever they are."""
     on, names = on or [key], frequent(rows, key) if names is None else names
-    heavy = F.broadcast(side.join(F.broadcast(names), key, "left_semi"))
+    heavy = F.broadcast(side.join(F.broadcast(names), key))
     light = rows.where(F.col(key).isNotNull()).join(F.broadcast(names), key, "left_anti").join(side, on, how)
     if how == "inner":
         return light.unionByName(rows.join(heavy, on))

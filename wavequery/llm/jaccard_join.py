@@ -75,8 +75,8 @@ BLOCK, AGAINST, WEIGHT = 512, 2048, 1 << 20
 #: own a region must be to be divided again, and how often.
 LARGE, PIVOTS, SHRINK, LEVELS = 2048, 8, 0.8, 4
 
-#: Weight of a pivot whose text may be broadcast: 2000 of them at most, so 32 MB.
-BROADCAST_WEIGHT = 2000
+#: Sets that are measured against a pivot in one task.
+AROUND = 256
 
 #: A byte of a view holds four bits each of two classes, into which the shingles
 #: of a class of the regions are dealt: the finer, the closer the number of
@@ -245,17 +245,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _pairs(words: int, near: int):
-    """Links between the texts a and b of each row, and their distance."""
-
-    def rows(batch):
-        one, two = sets_of(batch.column("a"), words), sets_of(batch.column("b"), words)
-        common = np.array([overlap(x, y) for x, y in zip(one, two)])
-        a, b = np.array([len(x) for x in one]), np.array([len(x) for x in two])
-        far = 1 - common / np.maximum(1, a + b - common)
-        yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("hub"), pa.array(linked(common, a, b, near)), pa.array(far)], ["c", "hub", "link", "far"])
-
-    return rows
+def distances(rows: list[tuple], words: int, near: int) -> pa.RecordBatch:
+    """c, hub, link and far (distance) of sets (cell, hub, c, text) around a
+    pivot, whose own rows come first."""
+    sets = sets_of([x[3] for x in rows], words)
+    out = []
+    for x, u in zip(rows, sets):
+        if x[2] == x[1]:
+            pivot = u
+            continue
+        common = overlap(u, pivot)
+        out.append((x[2], x[1], bool(linked(common, len(u), len(pivot), near)), 1 - common / max(1, len(u) + len(pivot) - common)))
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["c", "hub", "link", "far"])
 
 
 # ------------------------------------------------------------------- links
@@ -276,7 +278,7 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NE
     release(nodes)
     names = frequent(members, "region")
     # The best pivot of each set: the one that is in most regions with others.
-    pivots = members.join(crowd, "c").groupBy("region").agg(F.max(F.struct("score", "c")).alias("pivot"))
+    pivots = members.join(small(crowd), "c").groupBy("region").agg(F.max(F.struct("score", "c")).alias("pivot"))
     best = split_join(members, pivots, "region", names=names).where("pivot.c != c").groupBy("c").agg(F.max("pivot").alias("pivot"))
     star = stash(best.join(crowd, "c").where(F.col("pivot") > F.struct("score", "c")).select("c", F.col("pivot.c").alias("hub")), "star", True)
     measured = measure(star, sets, words, near)
@@ -294,15 +296,22 @@ def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, near: int = NE
 
 
 def measure(pairs: DataFrame, sets: DataFrame, words: int, near: int) -> DataFrame:
-    """c, hub, link and far (distance) of pairs (c, hub), stashed."""
-    other = sets.select(F.col("c").alias("hub"), F.col("text").alias("b"), "w")
-    often = other.where(F.col("w") <= BROADCAST_WEIGHT).join(F.broadcast(frequent(pairs, "hub")), "hub", "left_semi").drop("w")
-    often = stash(often.dropDuplicates(["hub"]), "frequent_hubs")
-    own = sets.select("c", F.col("text").alias("a"))
-    light = pairs.join(F.broadcast(often.select("hub")), "hub", "left_anti").join(own, "c").join(other.drop("w"), "hub")
-    heavy = pairs.join(F.broadcast(often.select("hub")), "hub", "left_semi").join(own, "c").join(F.broadcast(often), "hub")
-    rows = light.unionByName(heavy).select("c", "hub", "a", "b")
-    return stash(map_arrow(rows, _pairs(words, near), "c long, hub long, link boolean, far double").distinct(), "measured", True)
+    """c, hub, link and far (distance) of pairs (c, hub), stashed.  The sets around
+    a pivot meet it in parts of bounded size, so a text travels once, and that of
+    a pivot once a part."""
+    sizes = pairs.join(sets.select("c", "w"), "c").groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("w"))
+    parts = F.greatest(F.ceil(F.col("k") / AROUND), F.ceil(F.col("w") / WEIGHT)).cast("int").alias("parts")
+    sizes = stash(sizes.select("hub", parts), "pivots", True)
+    cell = F.xxhash64("hub", F.col("part")).alias("cell")
+    around = split_join(pairs, sizes, "hub").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    around = stash(around.select(cell, "hub", "c"), "around", True)
+    pivots = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(cell, "hub", F.col("hub").alias("c"))
+    pivots = stash(pivots, "pivot_parts", True)
+    rows = sets.select("c", "text").join(small(pivots), "c").unionByName(sets.select("c", "text").join(small(around), "c"))
+    rows = rows.select("cell", "hub", "c", "text").repartition(F.col("cell")).sortWithinPartitions("cell", F.desc(F.col("c") == F.col("hub")), "c")
+    out = stash(rows.mapInArrow(tidy(_by_block(lambda x: distances(x, words, near))), "c long, hub long, link boolean, far double").distinct(), "measured", True)
+    release(sizes, around, pivots)
+    return out
 
 
 CELL = ["region", "code", "c", "n", "w", "label", "hub", "far", "mine", "was"]
@@ -339,11 +348,11 @@ def _within(views: DataFrame, sets: DataFrame, members: DataFrame, names: DataFr
     release(blocks, cells)
     # Most pairs are open in many regions: of blocks with the same open members one stays.
     marks = open_.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c", "mine").cast("decimal(38,0)")).alias("print"))
-    some = open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block")
-    rows = some.join(sets.select("c", "text"), "c").repartition(F.col("block")).sortWithinPartitions("block", "c")
+    some = stash(open_.join(marks.groupBy("size", "print").agg(F.min("block").alias("block")).select("block"), "block"), "open_blocks", True)
+    rows = sets.select("c", "text").join(small(some), "c").repartition(F.col("block")).sortWithinPartitions("block", "c")
     forests = rows.select("block", "c", "label", "mine", "text").mapInArrow(tidy(_by_block(lambda x: forest(x, words, near))), "u long, v long")
     out = stash(forests.unionByName(found).distinct(), "within", True)
-    release(open_)
+    release(open_, some)
     return out
 
 
