@@ -279,16 +279,16 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 # ---------------------------------------------------------------- operators
 def repeats(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Narrow tables: all rows (doc_id, d, k, sha, n_bytes, rows of the same
-    text, whether it is the one that goes on) and spans (d, k, a, b) to remove
-    from texts, which overlap.  Copied texts as a whole have no spans."""
+    text, whether it is the one that goes on) and, of each text, lists (d, k, a,
+    b) of the spans to remove, which overlap.  Copied texts as a whole have no spans."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), text_or_empty().alias("text"))
     rows = rows.select("doc_id", "d", F.xxhash64("text").alias("k"), "text")
-    each = stash(rows.select("doc_id", "d", "k", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
+    each = stash(rows.select("doc_id", "d", "k", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts", True)
     copies = each.groupBy("sha").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     narrow = stash(split_join(each, stash(copies, "copies", True), "sha", "left"), "narrow", True)
     others = stash(narrow.where("d != first").select("d", "k").distinct(), "others", True)
     texts = rows.where(F.octet_length("text") >= length).select("d", "k", "text")
-    runs = stash(repeated(drop_ids(texts, others, ["d", "k"]), _runs(length, gram, keep_first), RUNS), "runs")
+    runs = stash(repeated(drop_ids(texts, others, ["d", "k"]), _runs(length, gram, keep_first), RUNS), "runs", True)
     release(each, others)
     spans = runs.where("rel < 0").select("d", "k", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).distinct()
     real = runs.where("rel >= 0")
@@ -302,20 +302,27 @@ def repeats(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gra
     several = split_join(contexts, kinds, "anchor").select("anchor", "times", F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.s").alias("s"), F.col("first.rel").alias("rel"), F.col("first.n").alias("n"), (F.col("kinds") > MOST).alias("hot"))
     several = stash(several, "several", True)
     release(runs, contexts)
-    found = stash(known.unionByName(_several(texts, several, length, keep_first)), "found")
+    lists = known.unionByName(_several(texts, several, length, keep_first)).groupBy("d", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    lists = stash(lists, "spans", True)
     release(known, several)
-    return narrow, found
+    return narrow, lists
 
 
 def _several(texts: DataFrame, several: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Spans of the contexts that share an anchor with others."""
     spark = texts.sparkSession
-    lists = several.groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "times", "s", "rel", "n", "hot")).alias("runs"))
-    ids = stash(several.select("d", "k").distinct(), "ids", True)
-    cut = stash(map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, rel int, n int, hot boolean, bytes binary"), "cut")
-    cold = cut.where("not hot").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "d", "k", "s")
+
+    def cut(hot: bool) -> DataFrame:
+        some = several.where(F.col("hot") == F.lit(hot))
+        lists = some.groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "times", "s", "rel", "n")).alias("runs"))
+        ids = stash(some.select("d", "k").distinct(), "ids", True)
+        return map_arrow(keep_ids(texts, ids, ["d", "k"]).join(lists, ["d", "k"]), _cut(length), "anchor long, times long, d long, k long, s long, rel int, n int, bytes binary")
+
+    cold = cut(False).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "d", "k", "s")
     found = cold.mapInArrow(tidy(_resolve(length, keep_first)), SPANS)
-    return found.unionByName(_hot(cut.where("hot").drop("hot"), length, keep_first))
+    if not several.where("hot").limit(1).count():
+        return found
+    return found.unionByName(_hot(stash(cut(True), "cut", True), length, keep_first))
 
 
 def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -324,7 +331,7 @@ def _hot(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     pending = contexts.withColumn("open", F.array(F.struct((F.col("rel") - F.col("n") + 1).alias("lo"), F.col("rel").alias("hi"))))
     spans = None
     for level in BLOCKS:
-        blocks = stash(map_arrow(pending, _blocks(length, level), "core string, whole string, times long, d long, k long, s long, rel int, lo int, hi int"), "blocks")
+        blocks = stash(map_arrow(pending, _blocks(length, level), "core string, whole string, times long, d long, k long, s long, rel int, lo int, hi int"), "blocks", True)
         place = F.struct("d", "k", F.col("s") + F.col("rel") - F.col("hi"))
         cores = blocks.groupBy("core").agg(F.sum("times").alias("in_core"), F.min(place).alias("first")).where("in_core > 1")
         some = stash(split_join(blocks, cores, "core"), "cores", True)
@@ -357,8 +364,8 @@ def _cut(length: int):
             m = len(runs)
             table["bytes"] = [raw[o + s : o + s + n + length - 1] for s, n in zip(table["s"], table["n"])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(table["anchor"], pa.int64()), pa.array(table["times"], pa.int64()), pa.array([d] * m, pa.int64()), pa.array([k] * m, pa.int64()), pa.array(table["s"], pa.int64()), pa.array(table["rel"], pa.int32()), pa.array(table["n"], pa.int32()), pa.array(table["hot"], pa.bool_()), pa.array(table["bytes"], pa.binary())],
-                ["anchor", "times", "d", "k", "s", "rel", "n", "hot", "bytes"],
+                [pa.array(table["anchor"], pa.int64()), pa.array(table["times"], pa.int64()), pa.array([d] * m, pa.int64()), pa.array([k] * m, pa.int64()), pa.array(table["s"], pa.int64()), pa.array(table["rel"], pa.int32()), pa.array(table["n"], pa.int32()), pa.array(table["bytes"], pa.binary())],
+                ["anchor", "times", "d", "k", "s", "rel", "n", "bytes"],
             )
 
     return rows
@@ -410,9 +417,8 @@ def _remove(batch):
 def deduplicate(docs: DataFrame, keep_first: bool = False, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_bytes``, the
     remaining bytes (kept) of every row."""
-    narrow, found = repeats(docs, keep_first, length, gram)
+    narrow, lists = repeats(docs, keep_first, length, gram)
     gone = (F.col("times") > 1) & (F.col("n_bytes") >= length)
-    lists = stash(found.groupBy("d", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans", True)
     if keep_first:
         gone &= F.col("d") != F.col("first")
     gone = F.coalesce(gone, F.lit(False))
