@@ -50,13 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 #: Of how many shuffle partitions a file of a narrow table is made.
 FEWER = 8
 
+#: On a local disk (``file:``), tables that live for minutes need no checksum
+#: files, each of which costs a process of its own.  Other stores don't see this.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.  ``narrow``:
     its rows are some numbers each and cheap to make, so it becomes fewer files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(-(-partitions(spark) // FEWER)) if narrow else df).write.parquet(path)
+    (df.coalesce(-(-partitions(spark) // FEWER)) if narrow else df).write.options(**PLAIN).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -69,7 +69,7 @@ WORDS, NEAR, SMALL = 3, 90, 64
 
 #: Members of a region that meet in one block: the ones to place, all others;
 #: and their weight, shingles or eighths of the text's bytes.
-BLOCK, AGAINST, WEIGHT = 512, 2048, 1 << 20
+BLOCK, AGAINST, WEIGHT = 256, 1024, 1 << 20
 
 #: Members from which a region is divided, its pivots, how much smaller than its
 #: own a region must be to be divided again, and how often.
