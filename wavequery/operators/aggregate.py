@@ -6,13 +6,12 @@ metric with nothing left counts as 0.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.choice import draw
 from .evaluators import PRIMARY
+from .weights import AT_ONCE, interval, weigh
 
 KEYS = ["task", "model", "metric"]
 
@@ -90,62 +89,35 @@ def bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: float = 0
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
     draws = values.select(*KEYS, "n", "k", b).select(*KEYS, "b", (draw(F.col("model"), F.col("metric"), F.col("b"), F.col("k")) % F.col("n")).alias("k"))
     means = draws.join(values.select(*KEYS, "k", "value"), [*KEYS, "k"]).groupBy(*KEYS, "b").agg(F.avg("value").alias("mu"))
-    return _interval(means, confidence, KEYS).join(values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS)
-
-
-#: Poisson weights of 2**k equal values are drawn at once, for k up to this.
-AT_ONCE = 12
-
-
-def _poisson(u: Column, k: Column) -> Column:
-    """The number that the uniform u stands for in Poisson(2**k): the entries of
-    a table of cumulative probabilities that are at most u, by halving; for
-    single values, which are most, one comparison an entry."""
-    tables, lows, size = [], [], 1023
-    for mean in (2.0**i for i in range(AT_ONCE + 1)):
-        low = max(0, int(mean - 7.5 * math.sqrt(mean)))
-        sums, total = [], 0.0
-        for x in range(low, int(mean + 7.5 * math.sqrt(mean)) + 8):
-            total += math.exp(x * math.log(mean) - mean - math.lgamma(x + 1))
-            sums.append(total)
-        tables.append(F.split(F.lit(",".join(map(repr, (sums + [2.0] * size)[:size]))), ",").cast("array<double>"))
-        lows.append(low)
-    table = F.element_at(F.array(*tables), k + 1)
-    steps = F.lit([1 << i for i in reversed(range(10))]).cast("array<int>")
-    single, total = F.lit(0), 0.0
-    for x in range(12):
-        total += math.exp(-1 - math.lgamma(x + 1))
-        single = single + (u >= total).cast("int")
-    many = F.element_at(F.lit(lows).cast("array<int>"), k + 1) + F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.element_at(table, n + step) <= u, n + step).otherwise(n))
-    return F.when(k == 0, single).otherwise(many)
+    return _interval(means, confidence).join(values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS)
 
 
 def poisson_bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: float = 0.95) -> DataFrame:
     """The same interval with Poisson(1) weights instead of draws.  Weights of
     equal values add up to Poisson(count), so each distinct value of a group
     takes a few draws a replicate, one for each power of two in its count, and
-    only ``replicates`` partial sums of each group and task are shuffled."""
+    only one row of ``replicates`` partial sums of each group and task is
+    shuffled."""
     top = 1 << AT_ONCE
     equal = scores.where(F.col("value").isNotNull()).groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c"))
     whole = F.transform(F.when(F.col("c") >= top, F.sequence(F.lit(1).cast("long"), F.floor(F.col("c") / top))).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(AT_ONCE).alias("k"), i.alias("i")))
     bits = F.filter(F.sequence(F.lit(0), F.lit(AT_ONCE - 1)), lambda k: F.col("c").bitwiseAND(F.element_at(F.lit([1 << i for i in range(AT_ONCE)]).cast("array<bigint>"), k + 1)) > 0)
     parts = equal.select(*KEYS, "value", F.explode(F.concat(whole, F.transform(bits, lambda k: F.struct(k.alias("k"), F.lit(0).cast("long").alias("i"))))).alias("p"))
+    group = F.xxhash64(*KEYS)
+    seed = F.xxhash64(draw(F.col("model"), F.col("metric"), F.col("value"), F.col("p.k"), F.col("p.i")), "task", "value", "p.k", "p.i")
     # Small rows still have many draws: deal them over all tasks, by a number
     # of partitions, as Spark would put them together.
-    seed = draw(F.col("model"), F.col("metric"), F.col("value"), F.col("p.k"), F.col("p.i"))
-    group = F.xxhash64(*KEYS)  # sums by a number are cheaper than by three names
-    parts = parts.withColumn("seed", seed).repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), F.xxhash64(*KEYS, "value", "p"))
+    rows = parts.select(group.alias("g"), "value", F.col("p.k").cast("int").alias("k"), seed.alias("seed"))
+    rows = rows.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "seed").sortWithinPartitions("g", "seed")
+    sums = rows.mapInArrow(weigh(replicates), "g long, w array<double>, wv array<double>")
+    limits = sums.groupBy("g").applyInArrow(interval(confidence), "g long, ci_lo double, ci_hi double")
     names = equal.groupBy(group.alias("g")).agg(*[F.first(k).alias(k) for k in KEYS], F.sum("c").alias("n"))
-    rows = parts.select(group.alias("g"), "value", "p.k", "p.i", "seed", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    u = F.shiftrightunsigned(F.xxhash64("seed", "value", "k", "i", "b"), 11) / float(1 << 53)
-    rows = rows.select("g", "value", "b", _poisson(u, F.col("k")).alias("w"))
-    means = rows.groupBy("g", "b").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("mu"))
-    return _interval(means, confidence, ["g"]).join(names, "g").select(*KEYS, "ci_lo", "ci_hi", "n")
+    return limits.join(names, "g").select(*KEYS, "ci_lo", "ci_hi", "n")
 
 
-def _interval(means: DataFrame, confidence: float, keys: list[str]) -> DataFrame:
+def _interval(means: DataFrame, confidence: float) -> DataFrame:
     tail = (1 - confidence) / 2
-    return means.groupBy(*keys).agg(F.percentile("mu", F.lit(tail)).alias("ci_lo"), F.percentile("mu", F.lit(1 - tail)).alias("ci_hi"))
+    return means.groupBy(*KEYS).agg(F.percentile("mu", F.lit(tail)).alias("ci_lo"), F.percentile("mu", F.lit(1 - tail)).alias("ci_hi"))
 
 
 def with_intervals(summary: DataFrame, intervals: DataFrame) -> DataFrame:
