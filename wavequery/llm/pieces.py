@@ -50,7 +50,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 #: Characters of text that are cut and encoded at a time; of new cuts that one
 #: suffix array indexes; cuts that a worker remembers.
-PART, INDEX, REMEMBERED = 1 << 20, 1 << 18, 500_000
+PART, INDEX, REMEMBERED = 1 << 19, 1 << 16, 300_000
 
 #: Characters of a cut from which it is merged in windows; of a window; of what
 #: is left to the next window.
