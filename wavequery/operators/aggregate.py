@@ -29,14 +29,14 @@ def summarise(scores: DataFrame) -> DataFrame:
     distinct values of the bin that it is in."""
     equal = scores.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c"))
     v, c = F.col("value"), F.col("c")
-    known = F.when(v.isNotNull(), c)
-    reach = equal.groupBy(*KEYS).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.coalesce(F.sum(known), F.lit(0)).alias("k"), F.sum(c).alias("n"))
-    rows = equal.where(v.isNotNull()).join(reach, KEYS).withColumn("d", v - F.col("min"))
+    known = F.when(v.isNotNull(), c).otherwise(0)  # a filter would be pushed below the table that all parts share
+    reach = equal.groupBy(*KEYS).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.sum(known).alias("k"), F.sum(c).alias("n"))
+    rows = equal.join(reach, KEYS).withColumns({"d": v - F.col("min"), "c": known})
     # Distances to the least value: equal values have a deviation of exactly 0.
     sums = rows.groupBy(*KEYS).agg(F.sum(c * F.col("d")).alias("s"), F.sum(c * F.col("d") * F.col("d")).alias("q"))
     mean = F.col("s") / F.col("k")
     std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean))
-    out = reach.join(sums, KEYS, "left").join(_medians(rows), KEYS, "left")
+    out = reach.join(sums, KEYS).join(_medians(rows), KEYS)
     return out.select(
         *KEYS,
         F.coalesce(F.col("min") + mean, F.lit(0.0)).alias("mean"),
@@ -52,12 +52,12 @@ def _medians(rows: DataFrame) -> DataFrame:
     """The median of each group from its distinct values (value, c) with the
     group's min, max and number of values k."""
     width = (F.col("max") - F.col("min")) / BINS
-    rows = rows.select(*KEYS, "value", "c", "k", F.when(width > 0, F.least(F.lit(BINS - 1), F.floor(F.col("d") / width))).otherwise(0).cast("int").alias("bin"))
+    rows = rows.select(*KEYS, "value", "c", "k", F.when(width > 0, F.least(F.lit(BINS - 1), F.floor(F.coalesce("d", F.lit(0.0)) / width))).otherwise(0).cast("int").alias("bin"))
     bins = rows.groupBy(*KEYS, "bin", "k").agg(F.sum("c").alias("c"))
     ahead = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
     low, high = F.floor((F.col("k") - 1) / 2), F.floor(F.col("k") / 2)  # the two ranks, from 0, that count
-    hit = bins.where(((F.col("before") <= low) & (low < F.col("before") + F.col("c"))) | ((F.col("before") <= high) & (high < F.col("before") + F.col("c"))))
+    hit = bins.where((F.col("k") == 0) | ((F.col("before") <= low) & (low < F.col("before") + F.col("c"))) | ((F.col("before") <= high) & (high < F.col("before") + F.col("c"))))
     inside = rows.join(hit.select(*KEYS, "bin", "before"), [*KEYS, "bin"])
     upto = Window.partitionBy(*KEYS, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("before") + F.sum("c").over(upto))
