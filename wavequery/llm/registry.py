@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, jaccard_join, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
+from . import exact_dedup, filter_audit, jaccard_join, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_winnow_fingerprints": winnowing.op8_winnow_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
