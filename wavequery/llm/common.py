@@ -356,6 +356,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VISIBLE = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -376,27 +377,28 @@ def spans_of(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, np.searchsorted(start, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, A-Z lower-cased or not, and the first word of each row."""
-    start, end, first = spans_of(~_SPACE[data], offs)
+def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True, table: np.ndarray = _VISIBLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, A-Z lower-cased or not, and the first word of each
+    row.  ``table``: for each byte, whether words hold it (never white space)."""
+    start, end, first = spans_of(table[data], offs)
     return span_hashes(_LOWER[data] if lower else data, start, end), first
 
 
-def word_rows(column, lower: bool = True):
+def word_rows(column, lower: bool = True, table: np.ndarray = _VISIBLE):
     """Word hashes of each text, and the range of rows, some rows at a time:
     (i, j, hashes, first word of each row)."""
     data, offs = arrow_bytes(column)
     cuts, row = segments(data, offs)
     if cuts is offs:
         for i, j in row_steps(offs):
-            yield i, j, *word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower)
+            yield i, j, *word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower, table)
         return
     last = np.searchsorted(row, np.arange(len(offs)))  # the first piece of each row
     for i, j in row_steps(offs):
         parts, firsts, n = [], [np.zeros(1, np.int64)], 0
         for a, b in row_steps(cuts[last[i] : last[j] + 1]):
             p, q = cuts[last[i] + a], cuts[last[i] + b]
-            h, first = word_hashes(data[p:q], cuts[last[i] + a : last[i] + b + 1] - p, lower)
+            h, first = word_hashes(data[p:q], cuts[last[i] + a : last[i] + b + 1] - p, lower, table)
             parts.append(h)
             firsts.append(first[1:] + n)
             n += len(h)

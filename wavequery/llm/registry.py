@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, filter_audit, jaccard_join, mixing, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing
+from . import exact_dedup, filter_audit, jaccard_join, mixing, pieces, pii, quality, ranked_search, secrets, suffix_dedup, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
 }
