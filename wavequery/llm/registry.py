@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, filter_audit, jaccard_join, mixing, pieces, pii, quality, ranked_search, secrets, suffix_dedup, toxicity, winnowing
+from . import context_tree, exact_dedup, filter_audit, jaccard_join, mixing, pieces, pii, quality, ranked_search, secrets, suffix_dedup, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_context_tree": context_tree.op13_context_tree,
     "pipeline": corpus_pipeline.run,
 }
 
