@@ -22,7 +22,7 @@ No task holds the tree or a copy of it:
 
 The base score, by counts of whole words, comes the same way.  What is shuffled
 are the runs of every block, so it follows the corpus; a word or run that all
-texts have is one number a block.  Words are told apart by 63-bit hashes.
+texts have is one number a block.  Words are told apart by 62-bit hashes.
 
 Edge cases: null text is empty, one end, and scored; without training rows every
 byte costs 8 bits and the base scores are 0; rows without a doc_id aren't held
@@ -44,7 +44,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, arrow_bytes, map_arrow, mix, partitions, read_documents, release, row_steps, span_hashes, spans_of, stash, text_or_empty, tidy
+from .common import _LOWER, _SPACE, arrow_bytes, map_arrow, mix, partitions, read_documents, row_steps, span_hashes, spans_of, stash, text_or_empty, tidy
 from .toxicity import fold
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,10 +55,10 @@ DEPTH = 6
 WHOLE = 3
 
 #: Bytes of text in a block, and positions that are looked at together.
-BLOCK, STEP = 8 << 20, 1 << 20
+BLOCK, STEP = 12 << 20, 1 << 20
 
 END, SPACE = 0xFF, 0x20
-WORD, END_KEY = np.uint64(1 << 63), np.uint64((1 << 64) - 1)
+WORD, END_KEY = np.uint64(1 << 62), np.uint64((1 << 63) - 1)
 
 
 # --------------------------------------------------------------- text to keys
@@ -102,35 +102,85 @@ def runs(text: np.ndarray, offs: np.ndarray):
 def words(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The key of every word, and the first word of each text."""
     start, end, first = spans_of((text != SPACE) & (text != END), offs)
-    return span_hashes(text, start, end) | WORD, first
+    return span_hashes(text, start, end) >> np.uint64(2) | WORD, first
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    out, at = np.unique(keys, return_inverse=True)
-    return out, np.bincount(at, counts, len(out)).astype(np.int64)
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    out, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return out, np.bincount(at, np.concatenate(counts), len(out)).astype(np.int64)
+
+
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, of keys doubled; odd ones count.  In place."""
+    keys.sort()
+    odd = (keys & np.uint64(1)).astype(np.uint8)
+    keys >>= np.uint64(1)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(odd, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 def counted(text: np.ndarray, offs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of a block, and how often its ``known`` texts have each."""
-    keys, counts = [], []
+    keys, counts, own, n = [], [], np.empty(min(len(text), BLOCK), np.uint64), 0
 
-    def add(own, train):
-        u = np.unique(own)
-        n = np.zeros(len(u), np.int64)
-        t, c = np.unique(own[train], return_counts=True)
-        n[np.searchsorted(u, t)] = c
-        keys.append(u)
-        counts.append(n)
+    def done(some):
+        k, c = tallied(some)
+        keys.append(k)
+        counts.append(c)
 
-    for a, b, own in runs(text, offs):
+    for a, b, part in runs(text, offs):
         i, j = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b - 1, "right")
-        add(own, np.repeat(known[i:j], np.diff(np.clip(offs[i : j + 1], a, b))))
-    own, first = words(text, offs)
-    add(own, np.repeat(known, np.diff(first)))
-    add(np.full(len(known), END_KEY), known)
-    return merged(keys, counts)
+        if n + b - a > len(own):
+            done(own[:n])
+            n = 0
+        own[n : n + b - a] = part << np.uint64(1) | np.repeat(known[i:j], np.diff(np.clip(offs[i : j + 1], a, b)))
+        n += b - a
+    done(own[:n])
+    if len(keys) > 1:
+        k, c = merged(keys, counts)
+        keys, counts = [k], [c]
+    part, first = words(text, offs)
+    done(part << np.uint64(1) | np.repeat(known, np.diff(first)))
+    done(np.full(len(known), END_KEY << np.uint64(1)) | known)
+    return np.concatenate(keys), np.concatenate(counts)  # runs, words, the end: in order
+
+
+class Places:
+    """Where keys are among sorted distinct ones, by tables of their hashes."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables, left, turn = keys, [], np.arange(len(keys), dtype=np.int32), 0
+        while len(left):
+            shift = np.uint64(64 - max(8, (2 * len(left)).bit_length()))
+            table = np.zeros(1 << int(64 - shift), np.int32)
+            slot = self.slot(keys[left], turn, shift)
+            table[slot] = left
+            self.tables.append((shift, table))
+            left, turn = left[table[slot] != left], turn + 1
+
+    @staticmethod
+    def slot(keys: np.ndarray, turn: int, shift) -> np.ndarray:
+        return ((keys + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys that are all there."""
+        out = np.zeros(len(keys), np.int32)
+        todo, own = None, keys
+        for turn, (shift, table) in enumerate(self.tables):
+            at = table[self.slot(own, turn, shift)]
+            if todo is None:
+                out = at
+                todo = np.flatnonzero(self.keys[at] != own)
+            else:
+                out[todo] = at
+                todo = todo[self.keys[at] != own]
+            if not len(todo):
+                break
+            own = keys[todo]
+        return out
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -142,6 +192,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def dealt(keys: np.ndarray, buckets: int):
     """(bucket, places of its keys) of sorted keys; places in order."""
     to = bucket_of(keys, buckets)
+    to = to.astype(np.uint16) if buckets <= 1 << 16 else to  # sorted by digits
     order = np.argsort(to, kind="stable")
     bounds = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(order) else np.zeros(0, np.int64)
     for a, b in zip(bounds, [*bounds[1:], len(order)]):
@@ -171,17 +222,30 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
 
 
+#: log_gamma of n + 1/2 and of n + 1 for small n.
+_SMALL = 4096
+_HALF, _WHOLE = log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(_SMALL) + 1.0)
+
+
+def _looked_up(table: np.ndarray, n: np.ndarray, more: float) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1)]
+    far = np.flatnonzero(n >= _SMALL)
+    out[far] = log_gamma(n[far] + more)
+    return out
+
+
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of what the estimator gives to all that was seen."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    return _looked_up(_HALF, zeros, 0.5) + _looked_up(_HALF, ones, 0.5) - _looked_up(_WHOLE, zeros + ones, 1.0) - math.log(math.pi)
 
 
 class Level:
     """Nodes of one depth, sorted: context << 8 | leading bits after a 1; with
-    ``kt``, the estimate of a one, and ``w``, its weight against longer contexts."""
+    ``kt``, the estimate of a one, ``w``, its weight against longer contexts,
+    and whether training has seen them."""
 
     def __init__(self, node, zeros, ones, longer=None) -> None:
-        self.node, self.zeros, self.ones = node, zeros, ones
+        self.node, self.zeros, self.ones, self.seen = node, zeros, ones, zeros + ones > 0
         own = estimate(zeros, ones)
         self.kt = (ones + 0.5) / (zeros + ones + 1.0)
         if longer is None:
@@ -192,29 +256,23 @@ class Level:
 
     def shorter(self):
         """Nodes one byte shorter, and the sums of zeros, ones and logarithms."""
-        up, at = np.unique((self.node >> 16) << 8 | (self.node & 255), return_inverse=True)
-        return (up, *(np.bincount(at, x, len(up)) for x in (self.zeros, self.ones, self.log)))
-
-    def find(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where nodes are, and whether they are there."""
-        if not len(self.node):
-            return np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
-        at = np.minimum(np.searchsorted(self.node, nodes), len(self.node) - 1)
-        return at, self.node[at] == nodes
-
-
-def subtrees(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Levels DEPTH, DEPTH - 1, ... WHOLE from the runs that training has."""
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    context, byte = (keys >> np.uint64(8)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
-    nodes = [context << 8 | 1 << b | byte >> (8 - b) for b in range(8)]
-    bits = [(byte >> (7 - b)) & 1 for b in range(8)]
-    node, at = np.unique(np.concatenate(nodes), return_inverse=True)
-    both, ones = np.bincount(at, np.tile(counts, 8), len(node)), np.bincount(at, np.tile(counts, 8) * np.concatenate(bits), len(node))
-    levels = [Level(node, both - ones, ones)]
+        up, self.up = np.unique((self.node >> 16) << 8 | (self.node & 255), return_inverse=True)
+        zeros, ones = (np.bincount(self.up, x, len(up)).astype(np.int64) for x in (self.zeros, self.ones))
+        return up, zeros, ones, np.bincount(self.up, self.log, len(up))
+
+
+def subtree(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, list[Level]]:
+    """For one of the eight decisions: the leaf of each of the sorted runs, and
+    the levels DEPTH, DEPTH - 1, ... WHOLE."""
+    byte = (keys & np.uint64(255)).astype(np.int64)
+    node = (keys >> np.uint64(8)).astype(np.int64) << 8 | 1 << bit | byte >> (8 - bit)
+    new = np.append(True, node[1:] != node[:-1])[: len(node)]
+    first = np.flatnonzero(new)
+    both, ones = (np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64) for x in (counts, counts * ((byte >> (7 - bit)) & 1)))
+    levels = [Level(node[first], both - ones, ones)]
     for _ in range(DEPTH - WHOLE):
         levels.append(Level(*levels[-1].shorter()))
-    return levels
+    return np.cumsum(new) - 1, levels
 
 
 class Top:
@@ -241,31 +299,29 @@ class Top:
         b[at] *= 1 - w
 
 
-def run_scores(keys: np.ndarray, levels: list[Level], two: tuple, top: Top) -> np.ndarray:
-    """log10 of the probability of each run's byte.  ``two``: nodes of two bytes
-    (sorted), their kt and w."""
-    context, byte = (keys >> np.uint64(8)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
-    out = np.zeros(len(keys))
-    two = _Nodes(*two)
+def run_scores(keys: np.ndarray, counts: np.ndarray, two: tuple, top: Top) -> np.ndarray:
+    """log10 of the probability of each run's byte, of whole subtrees of sorted
+    runs.  ``two``: nodes of two bytes (sorted), their kt and w."""
+    byte, out = (keys & np.uint64(255)).astype(np.int64), np.zeros(len(keys))
+    node, kt, w = two
     for bit in range(8):
-        u = 1 << bit | byte >> (8 - bit)
-        first = (context >> (8 * (DEPTH - 1))) << 8 | u
+        leaf, levels = subtree(keys, counts, bit)
+        up, *_ = levels[-1].shorter()
+        first = (up >> 16) << 8 | (up & 255)
         z, a, b = top.z[first], top.a[first], top.b[first]
-        going = top.seen[first]
-        for depth, level in [(2, two), *[(DEPTH - k, levels[k]) for k in reversed(range(len(levels)))]]:
-            at, there = level.find((context >> (8 * (DEPTH - depth))) << 8 | u)
-            going = going & there
+        at = np.minimum(np.searchsorted(node, up), max(0, len(node) - 1))
+        going = top.seen[first] & (node[at] == up if len(node) else False)
+        own = np.flatnonzero(going)
+        Top.extend(own, kt[at[own]], w[at[own]], z, a, b)
+        for level in reversed(levels):  # each node goes on from the one it is a longer context of
+            z, a, b, going = z[level.up], a[level.up], b[level.up], going[level.up] & level.seen
             own = np.flatnonzero(going)
-            Top.extend(own, level.kt[at[own]], level.w[at[own]], z, a, b)
+            Top.extend(own, level.kt[own], level.w[own], z, a, b)
+        z = z[leaf]
         out += np.log10(np.where((byte >> (7 - bit)) & 1, z, 1 - z))
     return out
 
 
-class _Nodes(Level):
-    def __init__(self, node, kt, w) -> None:
-        self.node, self.kt, self.w = node, kt, w
-
-
 # ------------------------------------------------------------------- the jobs
 TEXTS = -1
 CELLS = "block long, bucket int, keys binary, counts binary, doc_ids array<bigint>, held array<boolean>, text binary"
@@ -306,7 +362,7 @@ def _grouped(batches, key: str):
         yield at, own
 
 
-SUMS = "bucket int, keys binary, counts binary, node long, zeros double, ones double, log double, tokens long, kinds long"
+SUMS = "bucket int, keys binary, counts binary, node long, zeros long, ones long, log double, tokens long, kinds long"
 
 
 def summed(cells: DataFrame) -> DataFrame:
@@ -325,8 +381,8 @@ def summed(cells: DataFrame) -> DataFrame:
                     keys, counts, size = [k], [c], 0
             keys, counts = merged(keys, counts)
             words = counts[keys >= WORD]
-            level = subtrees(keys[keys < WORD], counts[keys < WORD])[-1]
-            node, zeros, ones, log = level.shorter()
+            known = (counts > 0) & (keys < WORD)
+            node, zeros, ones, log = (np.concatenate(x) for x in zip(*[subtree(keys[known], counts[known], bit)[1][-1].shorter() for bit in range(8)]))
             n = len(node) + 1  # a row of the bucket's own, and one for each node
             yield pa.RecordBatch.from_pydict(
                 {
@@ -334,8 +390,8 @@ def summed(cells: DataFrame) -> DataFrame:
                     "keys": pa.array([pack(_gaps(keys))] + [None] * (n - 1), pa.binary()),
                     "counts": pa.array([pack(counts)] + [None] * (n - 1), pa.binary()),
                     "node": pa.array(np.append(0, node), mask=np.arange(n) == 0),
-                    "zeros": pa.array(np.append(0.0, zeros)),
-                    "ones": pa.array(np.append(0.0, ones)),
+                    "zeros": pa.array(np.append(0, zeros)),
+                    "ones": pa.array(np.append(0, ones)),
                     "log": pa.array(np.append(0.0, log)),
                     "tokens": pa.array(np.append(words.sum(), np.zeros(n - 1, np.int64)).astype(np.int64)),
                     "kinds": pa.array(np.append((words > 0).sum(), np.zeros(n - 1, np.int64)).astype(np.int64)),
@@ -356,10 +412,10 @@ def top_levels(sums: DataFrame) -> tuple[DataFrame, Top]:
     def total(rows):
         return rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log")])
 
-    two = stash(map_arrow(total(sums.where("node is not null").select("node", "zeros", "ones", "log")), settled, "node long, zeros double, ones double, log double, kt double, w double"), "two", True)
+    two = stash(map_arrow(total(sums.where("node is not null").select("node", "zeros", "ones", "log")), settled, "node long, zeros long, ones long, log double, kt double, w double"), "two", True)
     shorter = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(255)).alias("node")
     one = total(two.select(shorter, "zeros", "ones", "log")).toPandas().sort_values("node")  # 256 * 255 rows at most
-    return two, Top([one.node.to_numpy(np.int64), *(one[c].to_numpy(np.float64) for c in ("zeros", "ones", "log"))])
+    return two, Top([one.node.to_numpy(np.int64), *(one[c].to_numpy(kind) for c, kind in (("zeros", np.int64), ("ones", np.int64), ("log", np.float64)))])
 
 
 #: What a bucket reads, in this order.
@@ -400,12 +456,12 @@ def answers(cells: DataFrame, sums: DataFrame, two: DataFrame, top: Top) -> Data
                     runs_ = keys < WORD
                     found = [np.concatenate([x[k] for x in nodes]) if nodes else np.zeros(0, np.int64 if k == 0 else float) for k in range(3)]
                     order = np.argsort(found[0])
-                    scores = run_scores(keys[runs_], subtrees(keys[runs_], counts[runs_]), tuple(x[order] for x in found), top).astype(np.float32)
+                    scores = run_scores(keys[runs_], counts[runs_], tuple(x[order] for x in found), top).astype(np.float32)
                     nodes = []
                 else:
                     place = np.searchsorted(keys, own)  # every key that is asked for is there
                     n = int(np.searchsorted(own, WORD))
-                    out.append((blocks_[i], bucket, scores[place[:n]].tobytes() + counts[place[n:]].tobytes()))
+                    out.append((blocks_[i], bucket, scores[place[:n]].tobytes() + pack(counts[place[n:]])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "values"])
 
     own = parts.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
@@ -429,15 +485,15 @@ def scored(cells: DataFrame, replies: DataFrame, buckets: int, tokens: int, kind
             n = int(np.searchsorted(own, n_runs))
             cell = values[bucket]
             score[own[:n]] = np.frombuffer(cell, np.float32, n)
-            count[own[n:] - n_runs] = np.frombuffer(cell, np.int64, len(own) - n, 4 * n)
-        total = np.zeros(len(offs) - 1)
+            count[own[n:] - n_runs] = unpack(cell[4 * n :], np.int64)
+        total, places = np.zeros(len(offs) - 1), Places(keys[:n_runs])
         for a, b, own in runs(text, offs):
             i, j = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b - 1, "right")
-            sums = np.append(0.0, np.cumsum(score[np.searchsorted(keys[:n_runs], own)], dtype=np.float64))
+            sums = np.append(0.0, np.cumsum(score[places.find(own)], dtype=np.float64))
             bounds = np.clip(offs[i : j + 1], a, b) - a
             total[i:j] += sums[bounds[1:]] - sums[bounds[:-1]]
         own, first = words(text, offs)
-        c = np.append(count[np.searchsorted(keys[n_runs:], own)], 0)
+        c = np.append(count[Places(keys[n_runs:]).find(own)], 0)
         end = count[-1]  # the end's key is the last one
 
         def per_text(x):
@@ -474,9 +530,7 @@ def score(docs: DataFrame, held, block: int = BLOCK) -> DataFrame:
     sums = summed(cells)
     two, top = top_levels(sums)
     n = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
-    replies = stash(answers(cells, sums, two, top), "answers")
-    release(sums, two)
-    return scored(cells, replies, buckets, n["tokens"], n["kinds"])
+    return scored(cells, answers(cells, sums, two, top), buckets, n["tokens"], n["kinds"])
 
 
 def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
