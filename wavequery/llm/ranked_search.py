@@ -7,14 +7,14 @@ ranges of (term, contribution, document) and sorted so that a list's head is its
 first rows; a list that most documents are in is many partitions.  Contributions
 are what a document gains from a term, before the query's own weight of it.
 
-1. The heads of all lists, ``TOP`` postings each, add up to partial scores; the
+1. The heads of all lists, ``HEAD`` postings each, add up to partial scores; the
    exact scores of each query's best documents by them give a lower bound: the
    ``TOP``-th of these.
-2. A document that exceeds the bound exceeds, in one list at least, the bound
-   over the number of the query's lists.  Every list is read down to this uniform
-   threshold; the sums give a better bound, and what a document can have at most
-   (its sum, and the threshold for each list it wasn't met in) against it leaves
-   the candidates.
+2. Every list of a query is read down to one threshold, such that a document
+   that is met in none can't reach the bound: a list gives it the threshold at
+   most, or the list's own first posting where that is less.  The sums give a
+   better bound, and what a document can have at most (its sum, and so much for
+   each list it wasn't met in) against it leaves the candidates.
 3. The candidates' exact scores are looked up in the forward index.
 
 Queries are the stated set: they are taken in blocks of at most ``TERMS``
@@ -49,8 +49,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOP, TERMS = 20, 500_000
 
-#: Documents by partial scores whose exact scores make the first bound.
-LOOKED_UP = 2 * TOP
+#: Postings of a head, and documents by partial scores whose exact scores make
+#: the first bound.
+HEAD, LOOKED_UP = 5 * TOP, 10 * TOP
 
 
 def term_counts(column):
@@ -79,6 +80,7 @@ def forward_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """A row for each document that has terms: row (a number), doc_id, n (its
     terms with repeats), and the places in the sorted vocabulary of those it has,
     with their occurrences."""
+    vocabulary = vocabulary if len(vocabulary) else np.zeros(1, np.uint64)  # without queries nothing is found
 
     def lists(values, bounds):
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
@@ -128,16 +130,16 @@ class Index:
         counts = self.forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         weight = F.floor(1000 * F.log((2.0 * total["docs"] + 2) / (2.0 * F.col("df") + 1))).cast("long")
         own = queries.join(F.broadcast(place), "hash").join(counts, "term").select("item", "term", (weight * F.col("times")).alias("g")).where("g > 0")
-        #: item, term, g (the query's weight of the term) and lists (of the query).
-        self.weights = stash(own.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("item"))), "weights", True)
+        #: item, term, g (the query's weight of the term).
+        self.weights = stash(own, "weights", True)
         rows = self.forward.select("row", "n", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("row", "n", F.col("x.terms").alias("term"), F.col("x.tf").cast("long").alias("tf"))
         asked = F.broadcast(self.weights.select("term").distinct())
         rows = rows.join(asked, "term", "left_semi").select("term", self.gain.alias("c"), "row")
         order = [F.col("term"), F.desc("c"), F.col("row")]
         self.postings = stash(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order), "postings")
 
-    def heads(self, most: int = TOP) -> DataFrame:
-        """The first postings of every list."""
+    def heads(self, most: int = HEAD) -> DataFrame:
+        """The first postings of every list, ranked."""
 
         def first(batch):
             term, c, row = (np.asarray(batch.column(k)) for k in ("term", "c", "row"))
@@ -146,7 +148,7 @@ class Index:
             place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
             yield batch.take(pa.array(order[place < most]))
 
-        return _best(map_arrow(self.postings, first, self.postings.schema), ["term"], [F.desc("c"), F.col("row")], most).drop("rank")
+        return _best(map_arrow(self.postings, first, self.postings.schema), ["term"], [F.desc("c"), F.col("row")], most)
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """item, row, doc_id and score of (item, row) pairs (stashed)."""
@@ -155,27 +157,35 @@ class Index:
         found = found.join(F.broadcast(self.weights), ["item", "term"])
         return found.groupBy("item", "row", "doc_id").agg(F.sum(F.col("g") * self.gain).alias("score"))
 
-    def bounds(self, most: int = TOP) -> DataFrame:
-        """Phase 1: a lower bound of each query's last score, 0 where the heads
-        hold too few documents."""
-        sums = self.heads(most).join(F.broadcast(self.weights), "term").groupBy("item", "row").agg(F.sum(F.col("g") * F.col("c")).alias("part"))
-        tried = stash(_best(sums, ["item"], [F.desc("part"), F.col("row")], LOOKED_UP).select("item", "row"), "tried", True)
-        last = _best(self.exact(tried), ["item"], [F.desc("score"), F.col("row")], most).where(F.col("rank") == most)
-        every = self.weights.select("item", "lists").distinct()
-        return every.join(last.select("item", F.col("score").alias("bound")), "item", "left").select("item", "lists", F.coalesce("bound", F.lit(0)).alias("bound"))
+    def thresholds(self, most: int = TOP) -> DataFrame:
+        """Phase 1: for each list of each query (item, term, g) its first posting
+        ``top``, the query's lower ``bound``, 0 where the heads hold too few
+        documents, and the threshold ``t``."""
+        heads = stash(self.heads(max(HEAD, most)), "heads", True)
+        sums = heads.join(F.broadcast(self.weights), "term").groupBy("item", "row").agg(F.sum(F.col("g") * F.col("c")).alias("part"))
+        tried = stash(_best(sums, ["item"], [F.desc("part"), F.col("row")], max(LOOKED_UP, most)).select("item", "row"), "tried", True)
+        last = _best(self.exact(tried), ["item"], [F.desc("score"), F.col("row")], most).where(F.col("rank") == most).select("item", F.col("score").alias("bound"))
+        lists = self.weights.join(heads.where("rank = 1").select("term", F.col("c").alias("first")), "term").select("item", "term", "g", (F.col("g") * F.col("first")).alias("top"))
+        lists = lists.join(last, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+        # The tops in rising order: what is left below the bound, shared by those that exceed their share.
+        rising, own = Window.partitionBy("item").orderBy("top", "term"), Window.partitionBy("item")
+        lower = F.coalesce(F.sum("top").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        share = _div(F.greatest(F.lit(0), F.col("bound") - 1 - lower), F.count(F.lit(1)).over(own) - F.row_number().over(rising) + 1)
+        lists = lists.withColumn("t", share).withColumn("t", F.coalesce(F.min(F.when(F.col("t") < F.col("top"), F.struct("top", "term", "t"))).over(own)["t"], F.lit(0)))
+        return stash(lists, "thresholds", True)
 
     def candidates(self, most: int = TOP) -> DataFrame:
         """Phase 2: the (item, row) that can be among the best."""
-        t = F.greatest(F.lit(0), _div(F.col("bound") - 1, F.col("lists")))  # a list that isn't read far enough gives no more
-        bounds = stash(self.bounds(most).withColumn("t", t), "bounds", True)
-        asked = stash(self.weights.drop("lists").join(F.broadcast(bounds), "item").withColumn("least", _div(F.col("t"), F.col("g")) + 1).select("term", F.col("item"), "g", "least"), "asked", True)
-        side = F.broadcast(asked.withColumnRenamed("term", "_term"))
-        met = self.postings.join(side, (F.col("term") == F.col("_term")) & (F.col("c") >= F.col("least")))
-        sums = stash(met.groupBy("item", "row").agg(F.sum(F.col("g") * F.col("c")).alias("part"), F.count(F.lit(1)).alias("seen")), "sums")
+        cap = F.least("t", "top")  # what a document that the list isn't read down to gets from it at most
+        lists = self.thresholds(most).withColumn("cap", cap)
+        asked = F.broadcast(lists.select(F.col("term").alias("_term"), "item", "g", "cap", (_div(F.col("t"), F.col("g")) + 1).alias("least")))
+        met = self.postings.join(asked, (F.col("term") == F.col("_term")) & (F.col("c") >= F.col("least")))
+        sums = stash(met.groupBy("item", "row").agg(F.sum(F.col("g") * F.col("c")).alias("part"), F.sum("cap").alias("met")), "sums")
         better = _best(sums, ["item"], [F.desc("part"), F.col("row")], most).where(F.col("rank") == most).select("item", F.col("part").alias("better"))
-        bounds = bounds.join(better, "item", "left").select("item", "lists", "t", F.greatest("bound", F.coalesce("better", F.lit(0))).alias("bound"))
-        able = F.col("part") + (F.col("lists") - F.col("seen")) * F.col("t") >= F.col("bound")
-        out = stash(sums.join(F.broadcast(bounds), "item").where(able).select("item", "row"), "candidates", True)
+        queries = lists.groupBy("item").agg(F.max("bound").alias("bound"), F.sum("cap").alias("caps")).join(better, "item", "left")
+        queries = stash(queries.select("item", "caps", F.greatest("bound", F.coalesce("better", F.lit(0))).alias("bound")), "bounds", True)
+        able = F.col("part") + F.col("caps") - F.col("met") >= F.col("bound")
+        out = stash(sums.join(F.broadcast(queries), "item").where(able).select("item", "row"), "candidates", True)
         release(sums)
         return out
 
