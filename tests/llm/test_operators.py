@@ -444,6 +444,20 @@ def test_ledger_scans_only_unseen_blobs(spark, docs, nothing):
     assert secrets.Ledger(spark).scan(nothing)[1] == 0 and ledger.findings(ledger.scan(nothing)[0]).count() == 0
 
 
+def test_a_named_ledger_lasts(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("doc_id < 120").write.parquet(f"{tmp_path}/before/documents.parquet")
+    spark.conf.set(secrets.LEDGER_SETTING, f"{tmp_path}/ledger")
+    try:
+        before, after, again = (secrets.op3_secret_scan(spark, f"{tmp_path}{x}").collect() for x in ("/before", "", ""))
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+    seen = {r["blob"] for r in before}
+    assert all(r["new_blob"] for r in before) and not any(r["new_blob"] for r in again)
+    assert {r["blob"] for r in after if not r["new_blob"]} == {r["blob"] for r in after} & seen != set()
+    assert sorted(r[:7] for r in after) == sorted(r[:7] for r in again) == sorted(r[:7] for r in secrets.op3_secret_scan(spark, str(tmp_path)).collect())
+
+
 def test_second_version_of_a_scanned_path(spark):
     schema = "doc_id long, text string"
     first = [(1, "old secret=abcdefgh"), (2, "same"), (None, "old token=abcdefgh")]
@@ -556,6 +570,15 @@ def test_pieces_equal_the_library(docs, rows, clashing, nothing):
     assert pieces.encode(nothing).count() == 0
 
 
+def test_the_mark_of_a_space_does_not_come_back(spark):
+    texts = ["a\u2581b", "a b", "\u2581", " a", "plain \u2581 mark", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pieces.encode(df)
+    exact = {r["doc_id"]: r["exact"] for r in out.collect()}
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(out).collect()}
+    assert exact == {i: back[i] == t for i, t in enumerate(texts)} and exact == {0: False, 1: True, 2: False, 3: True, 4: False, 5: True}
+
+
 def test_pieces_on_odd_characters(monkeypatch):
     import sentencepiece
 
@@ -657,6 +680,50 @@ def test_numbers_are_permuted_within_their_format():
         pii.Cipher(b"")
 
 
+def slow_pseudonyms(text, cipher):
+    """Each place is tried with each kind in turn, the longest way first."""
+    kinds = {
+        "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+        "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+        "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
+        "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    }
+    out, spans, i = "", [], 0
+    while i < len(text):
+        if i and re.match(r"[A-Za-z0-9]", text[i - 1]):
+            out, i = out + text[i], i + 1
+            continue
+        for kind, pattern in kinds.items():
+            m = re.compile(f"(?:{pattern})(?![A-Za-z0-9])").match(text, i)
+            new = cipher.pseudonym(kind, m[0]) if m else None
+            if new is not None:
+                out, i = out + new, m.end()
+                spans.append((m.start(), m.end(), kind))
+                break
+        else:
+            out, i = out + text[i], i + 1
+    return out, spans
+
+
+def test_pseudonyms_of_texts_by_brute_force():
+    """Values stand apart, in words; invalid ones stay."""
+    rng, cipher = random.Random(8), pii.Cipher(b"key")
+    values = ["ada.l@mail.example.org", "x+1@a-b.de", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013001", "2021-02-28", "2021-02-30", "31.12.1999", "1/13/2001", "99.99.2000"]
+    values += ["123-45-6789", "000-12-3456", "123-00-4567", "10.0.255.1", "10.0.256.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "plain", "42", "3.14", "@home", "a@b", "12-34", "ÄÖ"]
+    for _ in range(300):
+        text = " , ".join(rng.choice(values) for _ in range(rng.randint(0, 8)))
+        assert pii.replace(text, cipher) == slow_pseudonyms(text, cipher)
+
+
+def test_the_query_needs_a_key(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(ValueError):
+        pii.op7_pii_pseudonyms(spark, str(tmp_path))
+    assert pii.op7_pii_pseudonyms(spark, str(tmp_path), "key").count() == docs.count()
+
+
 def test_pii_edges(clashing, nothing):
     out = pii.pseudonymise(clashing, b"key")
     assert out.count() == clashing.count() and out.columns.count("spans") == 1

@@ -434,7 +434,7 @@ class Pieces:
         if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
         size = np.bincount(of, np.concatenate(sizes), len(texts)).astype(np.int64)
-        wrong = np.bincount(of, ~np.concatenate(exact), len(texts))
+        wrong = np.bincount(of, ~np.concatenate(exact), len(texts)) + [SPACE in t for t in texts]  # a space's mark comes back as a space
         return np.concatenate(ids), size, wrong == 0
 
     # -------------------------------------------------------------- decoding

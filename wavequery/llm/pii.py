@@ -1,8 +1,9 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
 Found: e-mail addresses (local part of at most 64 characters, labels of at most
-63, domain of at most 253), IPv4 addresses, phone numbers, payment cards (Luhn), IBANs (modulo 97),
-social security numbers that can be issued and dates that exist.  A value is
+63, domain of at most 253), IPv4 addresses, phone numbers (any digits but zeros alone), payment cards
+(Luhn), IBANs (modulo 97), social security and taxpayer numbers (areas 001 to 999 without 666, groups
+from 01, serial numbers from 0001) and dates that exist.  A value is
 taken as a number below the size of its format (digits stay digits, letters
 letters of their case, a date a date of 1900-2099 whose day and month are written
 with as many digits, an address an address, check digits are made anew) and
@@ -37,9 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROUNDS = 8
 
-#: The setting that holds the key of ``op7_pii_pseudonyms``, and the key of the
-#: test tables, whose personal data are made up, where it is unset.
-KEY_SETTING, TEST_KEY = "spark.wavequery.pii.key", b"key of the test tables"
+#: The setting that holds the key of ``op7_pii_pseudonyms``.
+KEY_SETTING = "spark.wavequery.pii.key"
 
 LOCAL, LABEL, DOMAIN = 64, 63, 253
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -232,6 +232,9 @@ def pseudonymise(docs: DataFrame, key: bytes, col: str = "text") -> DataFrame:
     return map_arrow(docs, rows, f"{schema}, n_found long, spans string")
 
 
-def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(KEY_SETTING, None)
-    return pseudonymise(read_documents(spark, sf_dir).select("doc_id", "text"), key.encode() if key else TEST_KEY)
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    """``key``: by default that of the setting; without either this is an error."""
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING}")
+    return pseudonymise(read_documents(spark, sf_dir).select("doc_id", "text"), key.encode())

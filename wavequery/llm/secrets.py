@@ -48,7 +48,12 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
-LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+#: The setting that names a lasting ledger for ``op3_secret_scan``; without it a
+#: run has a ledger of its own.
+LEDGER_SETTING = "spark.wavequery.secrets.ledger"
+
+#: ``scan`` names the run that scanned a blob.
+LEDGER = "blob string, rule_version string, scan string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def find_spans(text: str, rules=RULES) -> list[tuple[int, int, int, str]]:
@@ -65,7 +70,7 @@ def _join(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans)
 
 
-def _scan(version: str, rules):
+def _scan(version: str, rules, name: str):
     compiled = tuple((kind, re.compile(pattern), group, least) for kind, pattern, group, least in rules)
 
     def scan(batch: pa.RecordBatch):
@@ -77,7 +82,7 @@ def _scan(version: str, rules):
                 out[f"n_{kind}"].append(sum(x[3] == kind for x in base))
             out["base_sha256"].append(hashlib.sha256(_join(base).encode()).hexdigest())
             out["spans"].append(_join(spans))
-        columns = {"blob": batch.column("blob"), "rule_version": pa.array([version] * batch.num_rows, pa.string())}
+        columns = {"blob": batch.column("blob"), "rule_version": pa.array([version] * batch.num_rows, pa.string()), "scan": pa.array([name] * batch.num_rows, pa.string())}
         yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for k, v in out.items()})
 
     return scan
@@ -88,6 +93,7 @@ class Ledger:
     folder if that is not given."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.name = uuid.uuid4().hex
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/blob-ledger-{uuid.uuid4().hex}"
         spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(self.path)
 
@@ -113,7 +119,7 @@ class Ledger:
             short = [F.col("doc_id"), _name("blob").alias("name")]
             named = texts.withColumn("name", _name("blob"))
             named = drop_ids(named, others.select(short), ["doc_id", "name"]) if others.count() < n else keep_ids(named, unseen.select(short), ["doc_id", "name"])
-            fresh = stash(map_arrow(named.select("text", "blob"), _scan(version, rules), LEDGER), "findings")
+            fresh = stash(map_arrow(named.select("text", "blob"), _scan(version, rules, self.name), LEDGER), "findings")
             fresh.dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
             release(others, fresh)
         release(unseen)
@@ -131,8 +137,9 @@ def _name(blob: str):
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = Ledger(spark)
+    """Findings of every document by way of the ledger that the setting names: a
+    run scans what earlier ones haven't.  ``new_blob``: this run scanned it."""
+    ledger = Ledger(spark, spark.conf.get(LEDGER_SETTING, None))
     paths, _ = ledger.scan(read_documents(spark, sf_dir))
-    if ledger.lacks(paths, RULE_VERSION).limit(1).count():  # what a second scan would take
-        raise RuntimeError("the ledger lacks blobs that were scanned")
-    return ledger.findings(paths).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob", "rule_version")
+    found = ledger.findings(paths).withColumn("new_blob", F.col("scan") == ledger.name)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob", "rule_version", "new_blob")
