@@ -67,16 +67,21 @@ def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete stashed tables that nothing reads any more, and let the driver
-    find the shuffle files that nothing refers to (it learns of them by its
-    garbage collection alone)."""
+    """Delete stashed tables that nothing reads any more, and the shuffle files
+    that nothing refers to."""
     for df in tables:
         spark, path = df.sparkSession, df._stash_path
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        forget(tables[0].sparkSession)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let the driver find the shuffle files that nothing refers to (it learns of
+    them by its garbage collection alone)."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, arrow_bytes, map_arrow, mix, partitions, read_documents, row_steps, span_hashes, spans_of, stash, text_or_empty, tidy
+from .common import _LOWER, _SPACE, arrow_bytes, forget, map_arrow, mix, partitions, read_documents, row_steps, span_hashes, spans_of, stash, text_or_empty, tidy
 from .toxicity import fold
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -530,6 +530,7 @@ def score(docs: DataFrame, held, block: int = BLOCK) -> DataFrame:
     sums = summed(cells)
     two, top = top_levels(sums)
     n = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    forget(docs.sparkSession)  # the shuffle of the counts
     return scored(cells, answers(cells, sums, two, top), buckets, n["tokens"], n["kinds"])
 
 
