@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavequery.functions import intervals, text
-from wavequery.operators import aggregate, evaluators, generate, report, signal
+from wavequery.operators import aggregate, evaluators, generate, report, signal, sweep
 from wavequery.plans import drivers, runner, tasks
 from wavequery.sources import files
 
@@ -103,7 +103,7 @@ def test_overlap_join_is_the_theta_join(spark):
     rng = random.Random(9)
     rows = [(i, rng.randint(0, 2), float(s := rng.randint(0, 50)), s + rng.choice([0.0, 0.5, 3.0, 25.0])) for i in range(80)]
     df = spark.createDataFrame(rows, "i int, k int, s double, e double")
-    got = sorted((r["i"], r["i_r"]) for r in intervals.overlap_join(df, df, ["k"], 7.0).collect())
+    got = sorted((r["i"], r["i_r"]) for r in sweep.overlap_join(df, df, ["k"]).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[3] > a[2] and b[3] > b[2] and a[2] < b[3] and b[2] < a[3])
 
 

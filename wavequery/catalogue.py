@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as o
-from .functions.intervals import greedy_match, lcs_length, overlap_join, temporal_iou, timed
+from .functions.intervals import lcs_length, temporal_iou
 from .functions.text import anih_answer, drift_answer, mmss, narrative_answer, seconds, seconds_or_zero, soundscape_answer, title
 from .operators import aggregate, generate, report, signal
-from .operators.evaluators import METRICS, SCORE, long_scores
+from .operators.evaluators import METRICS, SCORE, long_scores, match_events, types_of_pairs
+from .operators.sweep import overlap_join
 from .plans import runner
 from .plans.tasks import prompt
 from .sources import files, fixtures
+from .sources.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +72,11 @@ def summary(spark, sf_dir):
     return aggregate.summarise(all_scores(spark, sf_dir))
 
 
+def main_summary(spark, sf_dir):
+    """Of the primary metrics alone."""
+    return aggregate.summarise(aggregate.primary(all_scores(spark, sf_dir)))
+
+
 def latencies(spark, sf_dir):
     """latency_ms is -1 for answers that failed."""
     ms = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value"))
@@ -153,9 +160,7 @@ def anih_leaderboard(spark, sf_dir):
 
 
 def _matched(spark, sf_dir):
-    rows = fixtures.soundscape(spark, sf_dir).withColumn("events", soundscape_answer(F.col("response")))
-    rows = rows.withColumns({"p": timed(F.col("events")), "t": timed(F.col("true_events"))})
-    return rows.withColumn("m", greedy_match(F.col("p"), F.col("t")))
+    return match_events(fixtures.soundscape(spark, sf_dir).withColumn("events", soundscape_answer(F.col("response"))))
 
 
 @query(
@@ -176,10 +181,8 @@ def greedy_event_match(spark, sf_dir):
 
 @query(f"SELECT instance_id, k, lcs, lcs_strict FROM ({o.LCS})")
 def lcs_ordering(spark, sf_dir):
-    pairs = F.filter(F.transform("m", lambda j, i: F.struct(F.get("p", i).alias("p"), F.get("t", j).alias("t"), j.alias("j"), i.alias("i"))), lambda x: x["j"] >= 0)
-    rows = _matched(spark, sf_dir).withColumn("pairs", pairs).where(F.size("pairs") > 0)
-    p, t = F.transform("pairs", lambda x: x["p"]["event_type"]), F.transform("pairs", lambda x: x["t"]["event_type"])
-    by_time = F.transform(F.array_sort(F.transform("pairs", lambda x: F.struct(x["t"]["s"].alias("s"), x["i"].alias("i"), x["t"]["event_type"].alias("e")))), lambda x: x["e"])
+    rows = _matched(spark, sf_dir).where(F.size("pairs") > 0)
+    p, t, by_time = types_of_pairs()
     return rows.select("instance_id", F.size("pairs").cast("long").alias("k"), lcs_length(p, t).cast("long").alias("lcs"), lcs_length(p, by_time).cast("long").alias("lcs_strict"))
 
 
@@ -204,14 +207,25 @@ def bootstrap_ci(spark, sf_dir):
     return aggregate.poisson_bootstrap(all_scores(spark, sf_dir))
 
 
+#: Replicates of the intervals that SQL repeats draw by draw.
+DRAWN = 40
+
+
+@query(o.bootstrap_draws(DRAWN))
+def bootstrap_draws(spark, sf_dir):
+    """The interval of every metric of every task, drawn with replacement."""
+    rows = aggregate.bootstrap(all_scores(spark, sf_dir), DRAWN)
+    return rows.select("task", "model", "metric", "n", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
 @query(f"SELECT task, model, {o.r6('score')} AS score, rank FROM ({o.RANKED})")
 def model_ranking(spark, sf_dir):
-    return aggregate.rank_models(summary(spark, sf_dir)).select("task", "model", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return aggregate.rank_models(main_summary(spark, sf_dir)).select("task", "model", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT task, model, {o.r6('score')} AS score FROM ({o.RANKED}) WHERE rank = 1")
 def best_model(spark, sf_dir):
-    return aggregate.best_models(summary(spark, sf_dir)).select("task", "model", r6("score").alias("score"))
+    return aggregate.best_models(main_summary(spark, sf_dir)).select("task", "model", r6("score").alias("score"))
 
 
 @query(
@@ -232,20 +246,20 @@ def joined_scores(spark, sf_dir):
 )
 def dense_result_grid(spark, sf_dir):
     """Without the results of one model in one task: the grid has a gap there."""
-    rows = summary(spark, sf_dir).where("not (task = 'soundscape' and model = 'm3')")
+    rows = main_summary(spark, sf_dir).where("not (task = 'soundscape' and model = 'm3')")
     return report.dense_grid(rows).select("task", "model", r6("mean").alias("mean"))
 
 
 @query(f"SELECT task, {', '.join(o.r6(f'max(mean) FILTER (model = {m!r})') + ' AS ' + m for m in MODELS)} FROM ({o.PRIMARY}) GROUP BY task")
 def main_table(spark, sf_dir):
-    return report.main_table(summary(spark, sf_dir), MODELS).select("task", *[r6(m).alias(m) for m in MODELS])
+    return report.main_table(main_summary(spark, sf_dir), MODELS).select("task", *[r6(m).alias(m) for m in MODELS])
 
 
 @query()
 def main_table_intervals(spark, sf_dir):
     """The main table as text, ``mean [low, high]``."""
-    scores = all_scores(spark, sf_dir)
-    rows = aggregate.with_intervals(aggregate.summarise(scores), aggregate.poisson_bootstrap(aggregate.primary(scores)))
+    scores = keep(aggregate.primary(all_scores(spark, sf_dir)), "primary")
+    rows = aggregate.with_intervals(aggregate.summarise(scores), aggregate.poisson_bootstrap(scores))
     return report.main_cells(rows, MODELS)
 
 
@@ -254,7 +268,7 @@ _TASKS = list(METRICS)
 
 @query(f"SELECT model, {', '.join(f'coalesce({o.r6(f'max(mean) FILTER (task = {t!r})')}, 0) AS {t}' for t in _TASKS)} FROM ({o.PRIMARY}) GROUP BY model")
 def radar_matrix(spark, sf_dir):
-    return report.radar(summary(spark, sf_dir), MODELS).select("model", *[r6(t).alias(t) for t in _TASKS])
+    return report.radar(main_summary(spark, sf_dir), MODELS).select("model", *[r6(t).alias(t) for t in _TASKS])
 
 
 @query(f"SELECT task, model, floor((600 + event_id % 5 * 720) / 600)::BIGINT AS step, {o.r6('avg(s.value)')} AS mean, count(*) AS n FROM ({o.long('anih')}) s JOIN events ON event_id::VARCHAR = instance_id WHERE metric = 'composite_score' GROUP BY ALL")
@@ -288,7 +302,7 @@ def failure_breakdown(spark, sf_dir):
 
 @query(f"SELECT task, model, {o.r6('avg_latency_ms / 1000')} AS latency_s, {o.r6('mean')} AS accuracy FROM ({o.PRIMARY}) JOIN ({o.LATENCY}) USING (model)")
 def latency_accuracy(spark, sf_dir):
-    rows = report.latency_accuracy(summary(spark, sf_dir), aggregate.mean_latency(latencies(spark, sf_dir)))
+    rows = report.latency_accuracy(main_summary(spark, sf_dir), aggregate.mean_latency(latencies(spark, sf_dir)))
     return rows.select("task", "model", r6("latency_s").alias("latency_s"), r6("accuracy").alias("accuracy"))
 
 
@@ -466,7 +480,7 @@ def concat_crossfade(spark, sf_dir):
 def interval_overlap_join(spark, sf_dir):
     s = F.unix_timestamp("ts").cast("double")
     rows = fixtures.events(spark, sf_dir).select("event_id", "user_id", s.alias("s"), (s + 600 + F.col("event_id") % 7200).alias("e"))
-    pairs = overlap_join(rows, rows, ["user_id"], 7200.0).where("event_id < event_id_r")
+    pairs = overlap_join(rows, rows, ["user_id"]).where("event_id < event_id_r")
     return pairs.select("event_id", "event_id_r", (F.least("e", "e_r") - F.greatest("s", "s_r")).alias("overlap_s"))
 
 

@@ -1,17 +1,39 @@
 """Intervals and sequences: overlap, greedy matching, common subsequences.
 
 Matching and subsequences are folds over one row's arrays (about ten elements):
-nothing is exploded or shuffled.
+nothing is exploded or shuffled.  Rows with long arrays go through an index of
+sorted starts and through bit-parallel subsequences, Arrow batches at a time;
+for the others those get nulls and have nothing to do.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import seconds_or_zero
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ONGOING = 10  # seconds that an open end lasts
+LEAST_IOU = 0.3  # that a match exceeds
+
+#: Events of a side up to which rows are folded; bits of a number that is no sign.
+FOLDED = 62
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: a generator of one row
+    stands between them and what reads them, or else they would be written out
+    in each place, folds within folds too."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_pinned")
+    return df.drop(*columns).select("*", row).select(*[c for c in df.columns if c not in columns], "_pinned.*")
 
 
 def temporal_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -38,7 +60,7 @@ def greedy_match(predicted: Column, true: Column) -> Column:
     -1.  Both sides are ``timed`` arrays."""
 
     def best(used: Column, x: Column) -> Column:
-        start = F.struct(F.lit(0.3).alias("b"), F.lit(-1).alias("i"))
+        start = F.struct(F.lit(LEAST_IOU).alias("b"), F.lit(-1).alias("i"))
 
         def better(m: Column, j: Column) -> Column:
             g = F.get(true, j)
@@ -49,35 +71,103 @@ def greedy_match(predicted: Column, true: Column) -> Column:
         found = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(true) - 1, F.lit(0))), start, better)
         return F.concat(used, F.array(F.when(F.size(true) > 0, found["i"]).otherwise(-1)))
 
-    return F.aggregate(predicted, F.array().cast("array<int>"), best)
+    def plain(events: Column) -> Column:
+        return F.transform(F.when(long, events), lambda x: F.struct(F.lower(x["event_type"]).alias("type"), x["s"].alias("s"), x["e"].alias("e")))
+
+    long = _long(predicted, true)
+    return F.when(long, _indexed_match(plain(predicted), plain(true))).otherwise(F.aggregate(F.when(~long, predicted), F.array().cast("array<int>"), best))
+
+
+def _long(a: Column, b: Column) -> Column:
+    return F.coalesce(F.greatest(F.size(a), F.size(b)) > FOLDED, F.lit(False))
+
+
+def match_events(predicted: tuple, true: tuple) -> np.ndarray:
+    """``greedy_match`` of (type numbers, starts, ends) of one row.
+
+    True events of a type are sorted by their starts.  An overlap above 0.3 of
+    the hull means a hull below the predicted length over 0.3, so only those that
+    start in a window as long can match; they are compared all at once."""
+    t_type, t_start, t_end = true
+    order = np.lexsort((t_start, t_type))
+    t_type, t_start, t_end = t_type[order], t_start[order], t_end[order]
+    free, out = np.ones(len(order), bool), np.full(len(predicted[0]), -1, np.int32)
+    first, last = np.searchsorted(t_type, predicted[0]), np.searchsorted(t_type, predicted[0], "right")
+    for k, (s, e, a, z) in enumerate(zip(predicted[1].tolist(), predicted[2].tolist(), first.tolist(), last.tolist())):
+        if e <= s or a == z:
+            continue
+        reach = (e - s) / LEAST_IOU * (1 + 1e-9)
+        lo, hi = a + np.searchsorted(t_start[a:z], e - reach), a + np.searchsorted(t_start[a:z], e)
+        near = lo + np.flatnonzero(free[lo:hi])
+        if not len(near):
+            continue
+        overlap = np.maximum(0.0, np.minimum(e, t_end[near]) - np.maximum(s, t_start[near]))
+        hull = np.maximum(e, t_end[near]) - np.minimum(s, t_start[near])
+        iou = np.where(hull > 0, overlap / np.where(hull > 0, hull, 1.0), 0.0)
+        most = iou.max()
+        if most > LEAST_IOU:
+            same = near[iou == most]
+            own = same[np.argmin(order[same])]
+            free[own], out[k] = False, order[own]
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _indexed_match(predicted: pa.Array, true: pa.Array) -> pa.Array:
+    def side(events, row, names):
+        x = events[row].values
+        kinds = np.array([names.setdefault(t, len(names)) if t is not None else -1 - k for k, t in enumerate(x.field("type").to_pylist())], np.int64)
+        return kinds, *(np.asarray(x.field(c), np.float64) for c in ("s", "e"))
+
+    out = []
+    for row in range(len(predicted)):
+        names: dict = {}
+        out.append(match_events(side(predicted, row, names), side(true, row, names)) if predicted[row].is_valid and true[row].is_valid else None)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table at a time."""
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
+    """Length of the longest common subsequence.
+
+    Bit-parallel: bit j of a number is 0 where a row of the table rises at j, so
+    an element of ``a`` turns a row into the next one by an addition."""
+    none = F.lit(0).cast("long")
+
+    def bit(j: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), j)
+
+    def folded(a: Column, b: Column) -> Column:
+        def bits(x: Column) -> Column:
+            return F.aggregate(F.transform(b, lambda y, j: F.when(y == x, bit(j)).otherwise(none)), none, lambda u, v: u.bitwiseOR(v))
+
+        full = bit(F.size(b)) - 1
 
-    def row(old: Column, x: Column) -> Column:
-        def cell(new: Column, j: Column) -> Column:
-            same = F.get(b, j - 1) == x
-            v = F.when(same, F.get(old, j - 1) + 1).otherwise(F.greatest(F.get(old, j), F.get(new, j - 1)))
-            return F.concat(new, F.array(v))
+        def row(v: Column, u: Column) -> Column:
+            return (v + u.bitwiseAND(v)).bitwiseOR(v - u.bitwiseAND(v)).bitwiseAND(full)
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(F.lit(0)), cell)
+        return F.size(b) - F.bit_count(F.aggregate(F.transform(a, bits), full, row))
 
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.get(F.aggregate(a, zeros, row), F.size(b))).otherwise(0)
+    long = _long(a, b)
+    # A transform of one element binds both sides: they are computed once.
+    pair = F.array(F.struct(F.when(~long, a).alias("a"), F.when(~long, b).alias("b")))
+    short = F.element_at(F.transform(pair, lambda x: folded(x["a"], x["b"])), 1)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.when(long, _long_lcs(F.when(long, a), F.when(long, b))).otherwise(short)).otherwise(0)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float, start: str = "s", end: str = "e") -> DataFrame:
-    """Pairs of rows with equal keys whose intervals [s, e) overlap: both sides
-    are put into bins of ``width``, bins meet in an equi-join, and a pair counts
-    in the bin where its overlap begins, so it appears once.  Columns of the
-    right side, keys aside, get the suffix ``_r``."""
+def common_length(a: list, b: list) -> int:
+    """The same over one number of as many bits as ``b`` has elements."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        if x is not None:
+            where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
 
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        first, last = F.floor(F.col(s) / width), F.floor((F.col(e) - 1e-9) / width)
-        return df.where(F.col(e) > F.col(s)).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
-    right = right.select(*keys, *[F.col(c).alias(c + "_r") for c in right.columns if c not in keys])
-    both = binned(left, start, end).join(binned(right, start + "_r", end + "_r"), [*keys, "_bin"])
-    begin = F.greatest(F.col(start), F.col(start + "_r"))
-    return both.where((begin < F.least(F.col(end), F.col(end + "_r"))) & (F.floor(begin / width) == F.col("_bin"))).drop("_bin")
+@F.arrow_udf(T.IntegerType())
+def _long_lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else common_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())

@@ -10,33 +10,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.choice import draw
+from ..sources.scratch import keep
+from . import multinomial
 from .evaluators import PRIMARY
 from .weights import AT_ONCE, interval, weigh
 
 KEYS = ["task", "model", "metric"]
 
 
-#: Bins of a group's range, of which one or two are looked into for its median.
-BINS = 1024
+#: Distinct values of a group that one task sorts at most, in how many bins the
+#: others are divided at a time, and the rank error of the bins' bounds (1 over).
+LEAF, BINS, ACCURACY = 4096, 64, 6400
 
 
 def summarise(scores: DataFrame) -> DataFrame:
     """mean, std (population), median, min, max and n of every metric.
 
-    Equal values of a metric become one row with their count, in one shuffle
-    with partial sums; all else reads that table.  No buffer holds a group: the
-    median is found by a histogram of the group's range and then among the
-    distinct values of the bin that it is in."""
-    equal = scores.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c"))
+    The scores are computed once: equal values of a metric become one row with
+    their count, in one shuffle with partial sums, and that table is written; all
+    else reads it.  No buffer holds a group: its median is found by selection
+    (``selected``)."""
+    equal = keep(scores.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c")), "equal")
     v, c = F.col("value"), F.col("c")
-    known = F.when(v.isNotNull(), c).otherwise(0)  # a filter would be pushed below the table that all parts share
+    known = F.when(v.isNotNull(), c).otherwise(0)
     reach = equal.groupBy(*KEYS).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.sum(known).alias("k"), F.sum(c).alias("n"))
     rows = equal.join(reach, KEYS).withColumns({"d": v - F.col("min"), "c": known})
     # Distances to the least value: equal values have a deviation of exactly 0.
     sums = rows.groupBy(*KEYS).agg(F.sum(c * F.col("d")).alias("s"), F.sum(c * F.col("d") * F.col("d")).alias("q"))
     mean = F.col("s") / F.col("k")
     std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean))
-    out = reach.join(sums, KEYS).join(_medians(rows), KEYS)
+    medians = _medians(equal.where("value is not null").join(reach.select(*KEYS, "k"), KEYS))
+    out = reach.join(sums, KEYS).join(medians, KEYS, "left")
     return out.select(
         *KEYS,
         F.coalesce(F.col("min") + mean, F.lit(0.0)).alias("mean"),
@@ -48,25 +52,49 @@ def summarise(scores: DataFrame) -> DataFrame:
     )
 
 
-def _medians(rows: DataFrame) -> DataFrame:
-    """The median of each group from its distinct values (value, c) with the
-    group's min, max and number of values k."""
-    width = (F.col("max") - F.col("min")) / BINS
-    rows = rows.select(*KEYS, "value", "c", "k", F.when(width > 0, F.least(F.lit(BINS - 1), F.floor(F.coalesce("d", F.lit(0.0)) / width))).otherwise(0).cast("int").alias("bin"))
-    bins = rows.groupBy(*KEYS, "bin", "k").agg(F.sum("c").alias("c"))
-    ahead = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
-    low, high = F.floor((F.col("k") - 1) / 2), F.floor(F.col("k") / 2)  # the two ranks, from 0, that count
-    hit = bins.where((F.col("k") == 0) | ((F.col("before") <= low) & (low < F.col("before") + F.col("c"))) | ((F.col("before") <= high) & (high < F.col("before") + F.col("c"))))
-    inside = rows.join(hit.select(*KEYS, "bin", "before"), [*KEYS, "bin"])
-    upto = Window.partitionBy(*KEYS, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("c").over(upto))
-    first = inside.withColumn("from", F.col("upto") - F.col("c"))
+def _ranks() -> tuple[Column, Column]:
+    """The two ranks, from 0, that make a median of k values."""
+    return F.floor((F.col("k") - 1) / 2), F.floor(F.col("k") / 2)
+
+
+def selected(rows: DataFrame, leaf: int = LEAF, bins: int = BINS) -> DataFrame:
+    """Of distinct values (KEYS, value, c, k) those among which the median is,
+    with how many values are ``before`` them; ``leaf`` at most in any group.
+
+    Recursive selection: groups that have more are divided at approximate
+    quantiles of their distinct values, so an outlier takes a bin of its own and
+    no more; what isn't in the bins of the two ranks leaves.  A round divides the
+    values of a group by about ``bins``; a quantile's buffer and the bins are
+    bounded, so no task holds a group."""
+    rows = rows.withColumn("before", F.lit(0).cast("long"))
+    low, high = _ranks()
+    while (rows.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0) > leaf:
+        cuts = rows.groupBy(*KEYS).agg(F.percentile_approx("value", [i / bins for i in range(1, bins)], ACCURACY).alias("cuts"))
+        place = F.size(F.filter("cuts", lambda x: x < F.col("value"))).alias("bin")
+        placed = rows.join(cuts, KEYS).select(*KEYS, "value", "c", "k", "before", place)
+        sums = placed.groupBy(*KEYS, "bin", "k", "before").agg(F.sum("c").alias("own"))
+        ahead = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("from", F.col("before") + F.coalesce(F.sum("own").over(ahead), F.lit(0)))
+        upto = F.col("from") + F.col("own")
+        hit = sums.where((F.col("from") <= low) & (low < upto) | (F.col("from") <= high) & (high < upto))
+        # The two ranks are neighbours: nothing is between their bins.
+        first = Window.partitionBy(*KEYS)
+        hit = hit.select(*KEYS, "bin", F.min("from").over(first).alias("before"))
+        rows = keep(placed.drop("before").join(hit, [*KEYS, "bin"]).select(*KEYS, "value", "c", "k", "before"), "selected")
+    return rows
+
+
+def _medians(rows: DataFrame, leaf: int = LEAF, bins: int = BINS) -> DataFrame:
+    """The median of each group from its distinct values (KEYS, value, c, k)."""
+    upto = Window.partitionBy(*KEYS).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = selected(rows, leaf, bins).withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    inside = inside.withColumn("from", F.col("upto") - F.col("c"))
+    low, high = _ranks()
 
     def at(rank):
         return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("value")))
 
-    return first.groupBy(*KEYS).agg(((at(low) + at(high)) / 2).alias("median"))
+    return inside.groupBy(*KEYS).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def mean_latency(responses: DataFrame) -> DataFrame:
@@ -75,21 +103,26 @@ def mean_latency(responses: DataFrame) -> DataFrame:
     return responses.groupBy("model").agg(F.coalesce(F.avg(F.when(ms > 0, ms)), F.lit(0.0)).alias("avg_latency_ms"))
 
 
-def bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean: ``replicates`` resamples with
-    replacement, drawn by hash, so that any engine draws the same.
+#: Values are drawn as whole numbers of this unit, so that sums are exact.
+UNIT = 1e-6
 
-    ``replicates * n`` draws meet their values in an equi-join on the index
-    within a group, whose values are numbered in one task: for groups of up to
-    some 10 000 values.  ``poisson_bootstrap`` moves no draws and has no such
-    bound; the registered queries use it."""
-    own = Window.partitionBy(*KEYS)
-    values = scores.where(F.col("value").isNotNull())
-    values = values.withColumns({"k": F.row_number().over(own.orderBy("instance_id")) - 1, "n": F.count(F.lit(1)).over(own)})
-    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-    draws = values.select(*KEYS, "n", "k", b).select(*KEYS, "b", (draw(F.col("model"), F.col("metric"), F.col("b"), F.col("k")) % F.col("n")).alias("k"))
-    means = draws.join(values.select(*KEYS, "k", "value"), [*KEYS, "k"]).groupBy(*KEYS, "b").agg(F.avg("value").alias("mu"))
-    return _interval(means, confidence).join(values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS)
+
+def bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: float = 0.95, leaf: int = multinomial.LEAF) -> DataFrame:
+    """Percentile interval of the mean: ``replicates`` resamples with replacement
+    of the values, rounded to ``UNIT``.
+
+    No draw is a row: equal values become one with their count, and the n draws
+    of a replicate are dealt over them (``multinomial``).  A group is buckets of
+    some ``leaf`` distinct values; buckets and blocks of replicates are tasks'
+    work, and their sums meet by group and replicate."""
+    q = F.round(F.col("value") / UNIT).cast("long").alias("q")
+    equal = keep(scores.where("value is not null").groupBy(*KEYS, q).agg(F.count(F.lit(1)).alias("c")), "equal")
+    group = F.conv(F.substring(F.md5(F.concat_ws(":", *KEYS).cast("binary")), 1, 15), 16, 10).cast("long")
+    sizes = equal.groupBy(*KEYS).agg(F.sum("c").alias("n")).withColumn("g", group)
+    totals = multinomial.sums(equal, group, replicates, leaf).withColumnRenamed("total", "mu")
+    # Percentiles of the sums: whole numbers, of ``replicates`` a group.
+    limits = _interval(totals, confidence, ["g"]).join(sizes, "g")
+    return limits.select(*KEYS, *[(F.col(c) / F.col("n") * UNIT).alias(c) for c in ("ci_lo", "ci_hi")], "n")
 
 
 def poisson_bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: float = 0.95) -> DataFrame:
@@ -115,9 +148,9 @@ def poisson_bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: f
     return limits.join(names, "g").select(*KEYS, "ci_lo", "ci_hi", "n")
 
 
-def _interval(means: DataFrame, confidence: float) -> DataFrame:
+def _interval(means: DataFrame, confidence: float, keys: list[str]) -> DataFrame:
     tail = (1 - confidence) / 2
-    return means.groupBy(*KEYS).agg(F.percentile("mu", F.lit(tail)).alias("ci_lo"), F.percentile("mu", F.lit(1 - tail)).alias("ci_hi"))
+    return means.groupBy(*keys).agg(F.percentile("mu", F.lit(tail)).alias("ci_lo"), F.percentile("mu", F.lit(1 - tail)).alias("ci_hi"))
 
 
 def with_intervals(summary: DataFrame, intervals: DataFrame) -> DataFrame:

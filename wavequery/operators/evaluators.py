@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import greedy_match, lcs_length, temporal_iou, timed
+from ..functions.intervals import greedy_match, lcs_length, pinned, temporal_iou, timed
 from ..functions.text import anih_answer, drift_answer, narrative_answer, seconds, soundscape_answer, step_matches, word_jaccard
 
 METRICS = {
@@ -59,16 +59,28 @@ def score_drift(df: DataFrame) -> DataFrame:
     return df.withColumn("joint_accuracy", F.col("speaker_accuracy") * F.col("appearance_hit_5s")).drop("a")
 
 
+def match_events(df: DataFrame) -> DataFrame:
+    """Adds to rows with ``events`` and true_events both sides with seconds, p and
+    t, the matches m of p, and the matched ``pairs`` (p, t) in order of p."""
+    df = pinned(df, p=timed(F.col("events")), t=timed(F.col("true_events")))
+    df = pinned(df, m=greedy_match(F.col("p"), F.col("t")))
+    pairs = F.filter(F.transform("m", lambda j, i: F.struct(i.alias("i"), j.alias("j"))), lambda x: x["j"] >= 0)
+    return pinned(df, pairs=F.transform(pairs, lambda x: F.struct(F.get("p", x["i"]).alias("p"), F.get("t", x["j"]).alias("t"))))
+
+
+def types_of_pairs() -> tuple[Column, Column, Column]:
+    """Types of the ``pairs``: predicted, true, and true in order of time."""
+    by_time = F.transform(F.array_sort(F.transform("pairs", lambda x, i: F.struct(x["t"]["s"].alias("s"), i.alias("i"), x["t"]["event_type"].alias("e")))), lambda x: x["e"])
+    return F.transform("pairs", lambda x: x["p"]["event_type"]), F.transform("pairs", lambda x: x["t"]["event_type"]), by_time
+
+
 def score_soundscape(df: DataFrame) -> DataFrame:
     """Adds scores to rows with response (or ``events``, already parsed) and
     true_events.  Without true events the last two metrics are NULL.
     ``ordering_accuracy_strict`` orders the matched true events by time."""
     if "events" not in df.columns:
         df = df.withColumn("events", soundscape_answer(F.col("response")))
-    df = df.withColumns({"p": timed(F.col("events")), "t": timed(F.col("true_events"))})
-    df = df.withColumn("m", greedy_match(F.col("p"), F.col("t")))
-    pairs = F.filter(F.transform("m", lambda j, i: F.struct(i.alias("i"), j.alias("j"))), lambda x: x["j"] >= 0)
-    df = df.withColumn("pairs", F.transform(pairs, lambda x: F.struct(F.get("p", x["i"]).alias("p"), F.get("t", x["j"]).alias("t"))))
+    df = match_events(df)
     k, n, true = F.size("pairs"), F.size("p"), F.size("t")
     iou = F.transform("pairs", lambda x: temporal_iou(x["p"]["s"], x["p"]["e"], x["t"]["s"], x["t"]["e"]))
 
@@ -82,8 +94,7 @@ def score_soundscape(df: DataFrame) -> DataFrame:
     def mean(values: Column) -> Column:
         return ratio(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
 
-    p_types, t_types = F.transform("pairs", lambda x: x["p"]["event_type"]), F.transform("pairs", lambda x: x["t"]["event_type"])
-    by_time = F.transform(F.array_sort(F.transform("pairs", lambda x, i: F.struct(x["t"]["s"].alias("s"), i.alias("i"), x["t"]["event_type"].alias("e")))), lambda x: x["e"])
+    p_types, t_types, by_time = types_of_pairs()
     some = F.size("t") > 0
     df = df.withColumns(
         {

@@ -388,3 +388,62 @@ WITH x AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))
 SELECT a.event_id AS event_id, b.event_id AS event_id_r, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_s FROM x a JOIN x b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e AND a.event_id < b.event_id
 """
 DEDUPE = "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+
+# ---------------------------------------------------------------- bootstrap
+_WORDS = "18446744073709551616::UHUGEINT"
+_GOLDEN = "11400714819323198485::UHUGEINT"
+
+
+def _plus(a: str, b: str) -> str:
+    """a + b * golden ratio, modulo 2^64."""
+    return f"((({a})::UHUGEINT + ({b})::UHUGEINT * {_GOLDEN}) % {_WORDS})::UBIGINT"
+
+
+def _mixed(x: str) -> str:
+    """The finishing steps of a 64-bit counter; a list of one binds what is used twice."""
+    for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        x = f"list_transform([{x}], lambda y: ((xor(y, y >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {_WORDS})::UBIGINT)[1]"
+    return f"list_transform([{x}], lambda y: xor(y, y >> 31))[1]"
+
+
+def bootstrap_draws(replicates: int, confidence: float = 0.95) -> str:
+    """A state is a node of a replicate's tree while its binomial number is
+    counted: draws left, rest of the probability, draws below so far."""
+    tail = (1 - confidence) / 2
+    word = _mixed(_plus("node_seed", "((step::UBIGINT << 40) + j::UBIGINT)"))
+    zeros = f"coalesce(list_sum(list_transform(range((m + 63) // 64), lambda j: bit_count({word} & (18446744073709551615::UBIGINT >> (64 - least(64, m - 64 * j))::UBIGINT)))), 0)::BIGINT"
+    child = "(node * 2 + c.child)::UBIGINT"
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT task, model, metric, q, c, sum(c) OVER (PARTITION BY task, model, metric ORDER BY q)::BIGINT AS u
+  FROM (SELECT task, model, metric, round(value / 0.000001::DOUBLE)::BIGINT AS q, count(*)::BIGINT AS c FROM ({LONG}) WHERE value IS NOT NULL GROUP BY ALL)
+), g AS MATERIALIZED (
+  SELECT task, model, metric, ('0x' || substr(md5(task || ':' || model || ':' || metric), 1, 15))::UBIGINT AS seed,
+         list(q ORDER BY q) AS qs, list_prepend(0::BIGINT, list(u ORDER BY q)) AS upto, sum(c)::BIGINT AS n, count(*)::BIGINT AS d
+  FROM v GROUP BY task, model, metric
+), s AS (
+  SELECT task, model, metric, rep, seed, {_mixed(_plus('seed', '1'))} AS node_seed, 1::UBIGINT AS node, 0::BIGINT AS lo, d AS hi, n AS total, 0 AS step, n AS m, upto[d // 2 + 1] AS rest, 0::BIGINT AS below
+  FROM (SELECT * REPLACE ({_mixed(_plus('seed', 'rep'))} AS seed) FROM g, range({replicates}) AS r(rep))
+  UNION ALL
+  SELECT task, model, metric, rep, seed,
+         CASE WHEN done THEN {_mixed(_plus('seed', child))} ELSE node_seed END,
+         CASE WHEN done THEN {child} ELSE node END,
+         CASE WHEN done AND c.child = 1 THEN mid ELSE lo END, CASE WHEN done AND c.child = 0 THEN mid ELSE hi END,
+         CASE WHEN done THEN CASE c.child WHEN 0 THEN below ELSE total - below END ELSE total END,
+         CASE WHEN done THEN 0 ELSE step + 1 END,
+         CASE WHEN done THEN CASE c.child WHEN 0 THEN below ELSE total - below END ELSE m END,
+         CASE WHEN NOT done THEN rest WHEN c.child = 0 THEN upto[(lo + mid) // 2 + 1] - upto[lo + 1] ELSE upto[(mid + hi) // 2 + 1] - upto[mid + 1] END,
+         CASE WHEN done THEN 0 ELSE below END
+  FROM (
+    SELECT *, m = 0 OR rest = 0 AS done FROM (
+      SELECT * REPLACE (below + CASE WHEN one THEN zeros ELSE 0 END AS below, CASE WHEN one THEN m - zeros ELSE zeros END AS m, 2 * rest - CASE WHEN one THEN whole ELSE 0 END AS rest) FROM (
+        SELECT s.*, g.upto, (lo + hi) // 2 AS mid, g.upto[hi + 1] - g.upto[lo + 1] AS whole, 2 * rest >= g.upto[hi + 1] - g.upto[lo + 1] AS one, {zeros} AS zeros
+        FROM s JOIN g USING (task, model, metric) WHERE hi - lo > 1 AND total > 0
+      )
+    )
+  ), (VALUES (0), (1)) AS c(child) WHERE done OR c.child = 0
+), t AS (
+  SELECT task, model, metric, rep, sum(total * g.qs[lo + 1])::BIGINT AS total, any_value(g.n) AS n FROM s JOIN g USING (task, model, metric) WHERE hi - lo = 1 GROUP BY ALL
+)
+SELECT task, model, metric, n, {r6(f"quantile_cont(total, {tail!r}) / n * 0.000001::DOUBLE")} AS ci_lo, {r6(f"quantile_cont(total, {1 - tail!r}) / n * 0.000001::DOUBLE")} AS ci_hi FROM t GROUP BY task, model, metric, n
+"""
