@@ -13,7 +13,7 @@ from ..functions.choice import draw
 from ..sources.scratch import keep
 from . import multinomial
 from .evaluators import PRIMARY
-from .weights import AT_ONCE, interval, weigh
+from .weights import AT_ONCE, added, interval, weigh
 
 KEYS = ["task", "model", "metric"]
 
@@ -129,8 +129,8 @@ def poisson_bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: f
     """The same interval with Poisson(1) weights instead of draws.  Weights of
     equal values add up to Poisson(count), so each distinct value of a group
     takes a few draws a replicate, one for each power of two in its count, and
-    only one row of ``replicates`` partial sums of each group and task is
-    shuffled."""
+    only ``replicates`` partial sums of each group and task are shuffled, which
+    are added up by blocks of replicates."""
     top = 1 << AT_ONCE
     equal = scores.where(F.col("value").isNotNull()).groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c"))
     whole = F.transform(F.when(F.col("c") >= top, F.sequence(F.lit(1).cast("long"), F.floor(F.col("c") / top))).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(AT_ONCE).alias("k"), i.alias("i")))
@@ -141,8 +141,10 @@ def poisson_bootstrap(scores: DataFrame, replicates: int = 10_000, confidence: f
     # Small rows still have many draws: deal them over all tasks, by a number
     # of partitions, as Spark would put them together.
     rows = parts.select(group.alias("g"), "value", F.col("p.k").cast("int").alias("k"), seed.alias("seed"))
-    rows = rows.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "seed").sortWithinPartitions("g", "seed")
-    sums = rows.mapInArrow(weigh(replicates), "g long, w array<double>, wv array<double>")
+    parts_of_work = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = rows.repartition(parts_of_work, "seed").sortWithinPartitions("g", "seed")
+    kind = "g long, block int, w array<double>, wv array<double>"
+    sums = rows.mapInArrow(weigh(replicates), kind).repartition(parts_of_work, "g", "block").sortWithinPartitions("g", "block").mapInArrow(added, kind)
     limits = sums.groupBy("g").applyInArrow(interval(confidence), "g long, ci_lo double, ci_hi double")
     names = equal.groupBy(group.alias("g")).agg(*[F.first(k).alias(k) for k in KEYS], F.sum("c").alias("n"))
     return limits.join(names, "g").select(*KEYS, "ci_lo", "ci_hi", "n")

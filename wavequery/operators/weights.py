@@ -43,7 +43,7 @@ def uniform(seeds: np.ndarray, replicates: int) -> np.ndarray:
 
 def weigh(replicates: int):
     """(g, value, k, seed), sorted by g, to the sums of weights, and of weighted
-    values, of each group and replicate."""
+    values, of each group and replicate, BLOCK replicates a row."""
     tables = [cumulative(2.0**k) for k in range(AT_ONCE + 1)]
 
     def sums(value, k, seed):
@@ -58,8 +58,9 @@ def weigh(replicates: int):
                 wv += value[own] @ x
         return w, wv
 
-    def row(g, w, wv):
-        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([w], pa.list_(pa.float64())), pa.array([wv], pa.list_(pa.float64()))], ["g", "w", "wv"])
+    def rows(g, w, wv):
+        cuts = range(0, replicates, BLOCK)
+        return _rows([g] * len(cuts), range(len(cuts)), [w[i : i + BLOCK] for i in cuts], [wv[i : i + BLOCK] for i in cuts])
 
     def run(batches):
         at, total = None, None
@@ -68,23 +69,52 @@ def weigh(replicates: int):
             bounds = np.flatnonzero(np.append(True, np.diff(g) != 0)) if len(g) else []
             for a, b in zip(bounds, [*bounds[1:], len(g)]):
                 if at is not None and g[a] != at:
-                    yield row(at, *total)
+                    yield rows(at, *total)
                     total = None
                 at = int(g[a])
                 part = sums(value[a:b], k[a:b], seed[a:b].view(np.uint64))
                 total = part if total is None else (total[0] + part[0], total[1] + part[1])
         if at is not None:
-            yield row(at, *total)
+            yield rows(at, *total)
 
     return run
 
 
+#: Replicates whose sums travel together.
+BLOCK = 256
+
+
+def _rows(g, block, w, wv) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((g, block, w, wv), kinds)], ["g", "block", "w", "wv"])
+
+
+def added(batches):
+    """The sums of all tasks, sorted by g and block, to one row for each; two
+    rows are in memory at a time, however many tasks there were."""
+    at, w, wv = None, None, None
+    for batch in batches:
+        out = []
+        for i, key in enumerate(zip(batch.column("g").to_pylist(), batch.column("block").to_pylist())):
+            x, y = (np.asarray(batch.column(c)[i].values) for c in ("w", "wv"))
+            if key == at:
+                w, wv = w + x, wv + y
+            else:
+                if at is not None:
+                    out.append((*at, w, wv))
+                at, w, wv = key, x, y
+        if out:
+            yield _rows(*zip(*out))
+    if at is not None:
+        yield _rows([at[0]], [at[1]], [w], [wv])
+
+
 def interval(confidence: float):
-    """The percentiles of a group's weighted means."""
+    """The percentiles of a group's weighted means, from one row for each block."""
     tail = 100 * (1 - confidence) / 2
 
     def one(table: pa.Table) -> pa.Table:
-        w, wv = (np.sum([np.asarray(x.values) for x in table.column(c)], axis=0) for c in ("w", "wv"))
+        w, wv = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("w", "wv"))
         low, high = np.percentile(wv[w > 0] / w[w > 0], [tail, 100 - tail])
         return pa.table({"g": table.column("g")[:1], "ci_lo": pa.array([low]), "ci_hi": pa.array([high])})
 

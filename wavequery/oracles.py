@@ -336,6 +336,14 @@ FORE = f"SELECT clip_id, k, CASE WHEN clip_id % 6 = 5 THEN 0.0::DOUBLE ELSE 0.5:
 
 RMS = f"SELECT clip_id, {r6('sqrt(avg(v * v))')} AS rms FROM ({TONES}) GROUP BY clip_id"
 PEAK = f"SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1 END')} AS v FROM (SELECT *, max(abs(v)) OVER (PARTITION BY clip_id) AS m FROM ({TONES}))"
+#: 400 samples at 100 to 256 at 64: a sinc of 16 crossings a side under a Hann window, at times 25 n / 16.
+RESAMPLED = f"""
+WITH x AS ({TONES}), h AS (
+  SELECT n, k, CASE WHEN d = 0 THEN 2.0::DOUBLE ELSE sin(pi() * 0.64::DOUBLE * d) / (pi() * 0.64::DOUBLE * d) * (1 + cos(pi() * 0.64::DOUBLE * d / 16)) END AS h
+  FROM (SELECT n, k, n * 25 / 16.0::DOUBLE - k AS d FROM range(256) AS a(n), range(-30, 430) AS b(k)) WHERE abs(d) * 0.64::DOUBLE < 16
+), w AS (SELECT n, sum(h) AS total FROM h GROUP BY n)
+SELECT clip_id, n AS pos, {r6('sum(x.v * h.h / w.total)')} AS v FROM h JOIN w USING (n) JOIN x ON x.k = h.k GROUP BY clip_id, n
+"""
 #: The foreground of clip c starts at sample 37 + 61 (c mod 6): the last passes the end.
 MIX = f"""
 WITH b AS ({TONES}), f AS (SELECT clip_id, k + 37 + 61 * (clip_id % 6) AS k, v FROM ({FORE})), n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id),

@@ -104,7 +104,7 @@ def write_report(scores: DataFrame, latencies: DataFrame, folder: str, replicate
     for name, df in tables.items():
         files.write_csv(df, f"{folder}/{name}")
     files.write_text(spark, f"{folder}/summary.md", report.summary_markdown(cells, best))
-    for name in ("main_table", "detail_table"):
-        df = tables[name].orderBy(*[c for c in ("task", "metric") if c in tables[name].columns])
-        files.write_text(spark, f"{folder}/{name}.tex", report.latex([r.asDict() for r in df.collect()], df.columns, name.replace("_", " ").capitalize(), f"tab:{name}"))
-
+    texts = {"main_table": cells.orderBy("task")} | {f"detail_{task}": tables["detail_table"].where(F.col("task") == task).drop("task").orderBy("metric") for task in report.PRIMARY}
+    for name, df in texts.items():  # a table of all tasks, and one for each
+        if rows := [r.asDict() for r in df.collect()]:
+            files.write_text(spark, f"{folder}/{name}.tex", report.latex(rows, df.columns, name.replace("_", " ").capitalize(), f"tab:{name}"))

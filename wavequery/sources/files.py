@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.resample import resample
+from . import pcm
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INSTANCE = T.StructType(
@@ -24,8 +27,9 @@ RESULT = "task string, model string, num_instances long, metrics map<string, str
 
 
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; ground truth and metadata stay VARIANT until a task types them."""
-    return spark.read.schema(INSTANCE).json(path)
+    """JSON lines; ground truth and metadata stay VARIANT until a task types them.
+    A line that is no JSON object is an error."""
+    return spark.read.schema(INSTANCE).option("mode", "FAILFAST").json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -127,21 +131,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------- audio
-FRAMES = "clip_id string, frame_idx long, samples array<double>"
-
-
 def decode_wav(raw: bytes, most_seconds: float | None = None) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and the sample rate of 8, 16 or 32-bit PCM; no
-    more than ``most_seconds`` are read."""
-    with wave.open(io.BytesIO(raw)) as w:
-        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        n = w.getnframes() if most_seconds is None else min(w.getnframes(), int(np.ceil(most_seconds * rate)))
-        data = np.frombuffer(w.readframes(n), {1: "u1", 2: "<i2", 4: "<i4"}[width])
-    out = np.zeros(len(data) // channels, np.float32)
-    for c in range(channels):
-        out += data[c::channels][: len(out)]
-    out /= np.float32(channels * (1 << (8 * width - 1)))
-    return out - np.float32(1) if width == 1 else out, rate
+    """Mono samples in [-1, 1] and the sample rate of a file in memory; no more
+    than ``most_seconds`` are decoded."""
+    kind, channels, rate, width, at, n = pcm.header(raw, len(raw))
+    n = n if most_seconds is None else min(n, int(np.ceil(most_seconds * rate)))
+    return pcm.numbers(raw[at : at + n * width * channels], kind, width, channels), rate
 
 
 def encode_wav(samples, rate: int = 16_000) -> bytes:
@@ -154,36 +149,20 @@ def encode_wav(samples, rate: int = 16_000) -> bytes:
     return out.getvalue()
 
 
-def resample(samples: np.ndarray, rate: int, target: int, first: int = 0, n: int | None = None) -> np.ndarray:
-    """Linear interpolation to another rate: ``n`` samples from the ``first`` on."""
-    total = round(len(samples) * target / rate)
-    at = np.arange(first, total if n is None else min(total, first + n))
-    if rate == target:
-        return samples[at]
-    at = at * (rate / target)
-    low = np.minimum(at.astype(np.int64), len(samples) - 1)
-    return samples[low] + (samples[np.minimum(low + 1, len(samples) - 1)] - samples[low]) * (at - low)
+def read_pcm(spark: SparkSession, path: str, size: int = 16_000, most_seconds: float | None = None, part_bytes: int = 16 << 20) -> DataFrame:
+    """WAV files (one, or all below a folder) as frames of their own rate:
+    clip_id, rate, length (samples), frame_idx, samples, error.  Ranges of
+    ``part_bytes`` are tasks; no more than ``most_seconds`` of a file are read; a
+    file that can't be read is a row with an error."""
+    spark.dataSource.register(pcm.PcmSource)
+    reader = spark.read.format("pcm").option("frame", size).option("partBytes", part_bytes)
+    return (reader if most_seconds is None else reader.option("mostSeconds", most_seconds)).load(path)
 
 
 def read_audio(spark: SparkSession, path: str, size: int = 16_000, rate: int = 16_000, most_seconds: float | None = None) -> DataFrame:
-    """WAV files as frames, resampled and cut to ``most_seconds``, of which no
-    more is decoded; one file at a time, some frames of it at a time."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    step = max(1, (1 << 20) // size)
-
-    def run(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-                values, own = decode_wav(raw.as_buffer().to_pybytes(), most_seconds)
-                total = round(len(values) * rate / own)
-                total = total if most_seconds is None else min(total, int(most_seconds * rate))
-                for first in range(0, total, step * size):
-                    part = resample(values, own, rate, first, min(step * size, total - first))
-                    offsets = np.append(np.arange(0, len(part), size), len(part)).astype(np.int32)
-                    frames = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.astype(np.float64)))
-                    yield pa.RecordBatch.from_pydict({"clip_id": pa.array([name] * len(frames), pa.string()), "frame_idx": pa.array(np.arange(first // size, first // size + len(frames))), "samples": frames})
-
-    return files.mapInArrow(run, FRAMES)
+    """The same files as frames of one rate, clip_id, frame_idx, samples, cut to
+    ``most_seconds``; files with errors are left out."""
+    return resample(read_pcm(spark, path, size, most_seconds).where("error is null"), size, rate)
 
 
 def wav_bytes(frames: DataFrame, rate: int = 16_000) -> DataFrame:
