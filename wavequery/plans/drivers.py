@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate, generate, report
 from ..operators.evaluators import SCORE, long_scores
 from ..sources import files
+from ..sources.scratch import keep
 from . import runner, tasks
 
 #: Instances of a task whose configuration doesn't say how many.
@@ -81,9 +82,9 @@ def evaluate(spark: SparkSession, folder: str, wanted_tasks: str | list[str] = "
     scores, responses = reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, responses)
     if out:
         summary = aggregate.with_intervals(aggregate.summarise(scores), aggregate.poisson_bootstrap(scores, replicates))
-        documents = files.result_documents(summary, responses)
-        files.write_results(documents, out)
-        files.write_summary(documents, out)
+        heads = keep(files.result_heads(summary, responses), "heads")
+        files.write_results(heads, responses, out)
+        files.write_summary(heads, out)
     return scores, responses
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import sys
 import wave
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,27 +68,41 @@ def last_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def result_documents(summary: DataFrame, responses: DataFrame) -> DataFrame:
-    """One document a task and model, as ``RESULT``.  ``summary`` has ci_lo and
-    ci_hi; ``responses``: task, model, instance_id, raw_response, latency_ms."""
+def result_heads(summary: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row a task and model: ``RESULT`` without predictions.  ``summary`` has
+    ci_lo and ci_hi; ``responses``: task, model, instance_id, raw_response,
+    latency_ms."""
     ci = F.when(F.col("ci_lo").isNotNull(), F.array("ci_lo", "ci_hi"))
     metrics = summary.groupBy("task", "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.struct("mean", "std", "median", ci.alias("ci_95")).alias("v"))))).alias("metrics"))
     ms = F.col("latency_ms")
-    answers = responses.groupBy("task", "model").agg(
-        F.count(F.lit(1)).alias("num_instances"),
-        F.coalesce(F.avg(F.when(ms > 0, ms)), F.lit(0.0)).alias("avg_latency_ms"),
-        F.array_sort(F.collect_list(F.struct("instance_id", "raw_response", F.coalesce(ms, F.lit(-1.0)).alias("latency_ms")))).alias("predictions"),
-    )
-    return answers.join(metrics, ["task", "model"], "left").select("task", "model", "num_instances", "metrics", "avg_latency_ms", "predictions")
-
-
-def write_results(documents: DataFrame, folder: str) -> None:
-    """``{task}_{model}_results.json`` in the folder for each document, as
-    ``read_results`` reads them; others that are there stay."""
-    spark = documents.sparkSession
-    rows = documents.select("task", "model", F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"}).alias("value"))
+    answers = responses.groupBy("task", "model").agg(F.count(F.lit(1)).alias("num_instances"), F.coalesce(F.avg(F.when(ms > 0, ms)), F.lit(0.0)).alias("avg_latency_ms"))
+    return answers.join(metrics, ["task", "model"], "left").select("task", "model", "num_instances", "metrics", "avg_latency_ms")
+
+
+def _lines(heads: DataFrame, responses: DataFrame) -> DataFrame:
+    """The documents line by line: (task, model, place, instance_id, value).  A
+    document opens with its head, has a line for each answer, and closes."""
+    full = {"ignoreNullFields": "false"}
+    head = F.to_json(F.struct(*heads.columns), full)
+    ends = heads.select("task", "model", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(', "predictions": [')).alias("value")), F.struct(F.lit(2).alias("place"), F.lit("]}").alias("value")))).alias("x"))
+    ends = ends.select("task", "model", "x.place", F.lit(None).cast("string").alias("instance_id"), "x.value")
+    answer = F.to_json(F.struct("instance_id", "raw_response", F.coalesce("latency_ms", F.lit(-1.0)).alias("latency_ms")), full)
+    first = F.row_number().over(Window.partitionBy("task", "model").orderBy("instance_id", "raw_response", "latency_ms")) == 1
+    comma = F.when(first, "").otherwise(",")
+    return ends.unionByName(responses.select("task", "model", F.lit(1).alias("place"), F.col("instance_id").cast("string").alias("instance_id"), F.concat(comma, answer).alias("value")))
+
+
+def write_results(heads: DataFrame, responses: DataFrame, folder: str) -> None:
+    """``{task}_{model}_results.json`` in the folder for each head, as
+    ``read_results`` reads them; others that are there stay.
+
+    A document is one file, so one task writes it, but line by line from Spark's
+    sort: no row or task holds its answers.  Files get their names when all are
+    written."""
+    spark = heads.sparkSession
     aside = f"{folder}/_results"
-    rows.repartition("task", "model").write.mode("overwrite").partitionBy("task", "model").text(aside)
+    lines = _lines(heads, responses).repartition("task", "model").sortWithinPartitions("task", "model", "place", "instance_id", F.desc(F.col("value").startswith("{")))
+    lines.select("task", "model", "value").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("task", "model").text(aside)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
     for own in fs.globStatus(path(f"{aside}/task=*/model=*/part-*")):  # a short list: tasks by models
@@ -105,17 +121,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def summary_json(documents: DataFrame) -> str:
+def summary_json(heads: DataFrame) -> str:
     """task -> model -> result without predictions; tasks by models in size."""
     out: dict = {}
-    for r in documents.select(F.to_json(F.struct(*[c for c in documents.columns if c != "predictions"])).alias("j")).collect():
+    for r in heads.select(F.to_json(F.struct(*heads.columns)).alias("j")).collect():
         x = json.loads(r["j"])
         out.setdefault(x["task"], {})[x["model"]] = x
     return json.dumps(out, indent=2, sort_keys=True)
 
 
-def write_summary(documents: DataFrame, folder: str) -> None:
-    write_text(documents.sparkSession, f"{folder}/summary.json", summary_json(documents))
+def write_summary(heads: DataFrame, folder: str) -> None:
+    write_text(heads.sparkSession, f"{folder}/summary.json", summary_json(heads))
 
 
 def score_documents(scores: DataFrame) -> DataFrame:
@@ -139,13 +155,17 @@ def decode_wav(raw: bytes, most_seconds: float | None = None) -> tuple[np.ndarra
     return pcm.numbers(raw[at : at + n * width * channels], kind, width, channels), rate
 
 
+def pcm_16(samples) -> bytes:
+    return np.rint(np.clip(np.asarray(samples), -1, 1) * 32767).astype("<i2").tobytes()
+
+
 def encode_wav(samples, rate: int = 16_000) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes(np.rint(np.clip(np.asarray(samples), -1, 1) * 32767).astype("<i2").tobytes())
+        w.writeframes(pcm_16(samples))
     return out.getvalue()
 
 
@@ -166,8 +186,7 @@ def read_audio(spark: SparkSession, path: str, size: int = 16_000, rate: int = 1
 
 
 def wav_bytes(frames: DataFrame, rate: int = 16_000) -> DataFrame:
-    """clip_id and its WAV file; a clip's frames meet in one task, as its file
-    must."""
+    """clip_id and its WAV file as one value; for clips that fit into a row."""
 
     def one(key, table):
         values = table.sort_by("frame_idx").column("samples").combine_chunks().flatten().to_numpy()
@@ -176,6 +195,42 @@ def wav_bytes(frames: DataFrame, rate: int = 16_000) -> DataFrame:
     return frames.groupBy("clip_id").applyInArrow(one, "clip_id string, content binary")
 
 
+def write_wav(frames: DataFrame, folder: str, rate: int = 16_000) -> DataFrame:
+    """``{clip_id}.wav`` in a folder (of a store that Arrow knows) for each clip:
+    clip_id, path and the number of samples.
+
+    A file is one task's, which writes frame by frame as Spark's sort gives them:
+    the head, then samples, so memory doesn't grow with a clip.  The number of
+    samples, which the head has, is summed before.  A file has another name until
+    it is whole, so a task that is repeated does no harm."""
+    sizes = frames.groupBy(F.col("clip_id").cast("string").alias("clip_id")).agg(F.sum(F.size("samples")).alias("n"))
+    rows = frames.select(F.col("clip_id").cast("string").alias("clip_id"), "frame_idx", "samples").join(sizes, "clip_id")
+
+    def run(batches):
+        store, base = arrow_fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        out, at, done = None, None, []
+
+        def close():
+            out.close()
+            store.move(f"{base}/.{at[0]}.part", f"{base}/{at[0]}.wav")
+            done.append((at[0], f"{base}/{at[0]}.wav", at[1]))
+
+        for batch in batches:
+            for clip, n, samples in zip(batch.column("clip_id").to_pylist(), batch.column("n").to_pylist(), batch.column("samples")):
+                if at is None or clip != at[0]:
+                    if at is not None:
+                        close()
+                    at, out = (clip, n), store.open_output_stream(f"{base}/.{clip}.part")
+                    out.write(b"RIFF" + struct.pack("<I", (36 + 2 * n) & 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", (2 * n) & 0xFFFFFFFF))
+                out.write(pcm_16(np.asarray(samples.values)))
+        if at is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["clip_id", "path", "n"])
+
+    return rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_idx").mapInArrow(run, "clip_id string, path string, n long")
+
+
 # --------------------------------------------------------------- catalogues
 CLIPS = "kind string, category string, path string, duration double"
 SPEAKERS = "dataset string, speaker_id string, path string, duration double, gender string, accent string"
