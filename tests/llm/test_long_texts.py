@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[2]
 MADE = """
 import random, resource, sys
 import numpy as np, pyarrow as pa
-from wavequery.llm import jaccard_join, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing, common
+from wavequery.llm import context_tree, filter_audit, ranked_search, jaccard_join, pieces, pii, quality, secrets, suffix_dedup, toxicity, winnowing, common
 
 rng, kind = random.Random(1), sys.argv[2]
 some = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)) for _ in range(40)]
@@ -55,13 +55,28 @@ def op10():
     assert exact.all()
 
 
+def op11():
+    assert len(filter_audit.text_masks(batch.column("text"))) == 1
+
+
+def op12():
+    assert sum(n.sum() for _, _, n in ranked_search.term_counts(batch.column("text"))) > 0
+
+
+def op13():
+    text, offs = context_tree.stream(*bytes_of())
+    keys, counts = context_tree.counted(text, offs, np.array([True]))
+    places = context_tree.Places(keys[keys < context_tree.WORD])
+    assert sum(len(places.find(own)) for _, _, own in context_tree.runs(text, offs)) == len(text)
+
+
 globals()[sys.argv[1]]()
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
 
 
 @pytest.mark.parametrize("kind", ["words", "one letter", "no space"])
-@pytest.mark.parametrize("operator", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op10"])
+@pytest.mark.parametrize("operator", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op10", "op11", "op12", "op13"])
 def test_memory(operator, kind):
     # Runs without a cut take some microseconds a character, so op10 gets fewer.
     size = 2_000_000 if operator == "op10" and kind != "words" else 30_000_000
