@@ -346,7 +346,7 @@ SELECT clip_id, n AS pos, {r6('sum(x.v * h.h / w.total)')} AS v FROM h JOIN w US
 """
 #: The foreground of clip c starts at sample 37 + 61 (c mod 6): the last passes the end.
 MIX = f"""
-WITH b AS ({TONES}), f AS (SELECT clip_id, k + 37 + 61 * (clip_id % 6) AS k, v FROM ({FORE})), n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id),
+WITH b AS MATERIALIZED ({TONES}), f AS MATERIALIZED (SELECT clip_id, k + 37 + 61 * (clip_id % 6) AS k, v FROM ({FORE})), n AS MATERIALIZED (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id),
 g AS (SELECT b.clip_id, sum(v * v) AS e FROM b JOIN n ON n.clip_id = b.clip_id AND k BETWEEN a AND z GROUP BY b.clip_id)
 SELECT p.clip_id, p.k AS pos, {r6("coalesce(b.v, 0) + coalesce(f.v, 0) * CASE WHEN n.e > 0 AND coalesce(g.e, 0) > 0 THEN 10 ** 0.5::DOUBLE * sqrt(g.e / n.e) ELSE 1 END")} AS v
 FROM (SELECT clip_id, k FROM {SUPPLIERS} AS c, range(450) AS s(k) WHERE k < 400 OR clip_id % 6 = 5) p LEFT JOIN b USING (clip_id, k) LEFT JOIN f USING (clip_id, k) JOIN n ON n.clip_id = p.clip_id LEFT JOIN g ON g.clip_id = p.clip_id
@@ -374,8 +374,8 @@ SELECT clip_id, k AS pos, {r6('v * CASE WHEN m > 1 THEN 0.95::DOUBLE / m ELSE 1
 def mixed_audio(background: str, foreground: str, fore_n: int, at: str, snr_db: float) -> str:
     """A background with a foreground continued to fore_n samples from ``at`` on."""
     return f"""
-WITH b AS ({background}), f AS (SELECT c.clip_id, s.k + {at} AS k, coalesce(x.v, 0) AS v FROM {SUPPLIERS} AS c CROSS JOIN range({fore_n}) AS s(k) LEFT JOIN ({foreground}) x ON x.clip_id = c.clip_id AND x.k = s.k),
-n AS (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id), g AS (SELECT b.clip_id, sum(v * v) AS e FROM b JOIN n ON n.clip_id = b.clip_id AND k BETWEEN a AND z GROUP BY b.clip_id)
+WITH b AS MATERIALIZED ({background}), f AS MATERIALIZED (SELECT c.clip_id, s.k + {at} AS k, coalesce(x.v, 0) AS v FROM {SUPPLIERS} AS c CROSS JOIN range({fore_n}) AS s(k) LEFT JOIN ({foreground}) x ON x.clip_id = c.clip_id AND x.k = s.k),
+n AS MATERIALIZED (SELECT clip_id, min(k) AS a, max(k) AS z, sum(v * v) AS e FROM f GROUP BY clip_id), g AS (SELECT b.clip_id, sum(v * v) AS e FROM b JOIN n ON n.clip_id = b.clip_id AND k BETWEEN a AND z GROUP BY b.clip_id)
 SELECT b.clip_id, b.k AS pos, {r6(f"b.v + coalesce(f.v, 0) * CASE WHEN n.e > 0 AND g.e > 0 THEN 10 ** ({snr_db / 20!r}::DOUBLE) * sqrt(g.e / n.e) ELSE 1 END")} AS v
 FROM b LEFT JOIN f USING (clip_id, k) JOIN n ON n.clip_id = b.clip_id JOIN g ON g.clip_id = b.clip_id
 """
