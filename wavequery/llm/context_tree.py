@@ -199,14 +199,23 @@ def dealt(keys: np.ndarray, buckets: int):
         yield int(to[order[a]]), order[a:b]
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+def pack(values: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values).tobytes())
 
 
 def unpack(cell: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
 
 
+def pack_floats(values: np.ndarray) -> bytes:
+    """First bytes together, then second ones and so on: they are alike."""
+    return pack(values.astype(np.float32).view(np.uint8).reshape(-1, 4).T)
+
+
+def unpack_floats(cell: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(cell, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+
+
 def _gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
@@ -339,7 +348,7 @@ def blocks(docs: DataFrame, held, buckets: int, block: int = BLOCK) -> DataFrame
                 text, at = stream(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 keys, counts = counted(text, at, ~out[i:j])
                 cells = [(number, k, pack(_gaps(keys[own])), pack(counts[own]), None, None, None) for k, own in dealt(keys, buckets)]
-                cells.append((number, TEXTS, None, None, ids[i:j].to_pylist(), out[i:j].tolist(), pack(text)))
+                cells.append((number, TEXTS, None, None, ids[i:j].to_pylist(), out[i:j].tolist(), pack(text, 3)))
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in CELLS.split(", ")])
                 number += 1
@@ -423,8 +432,8 @@ NODES, MODEL, ASKED = range(3)
 
 
 def answers(cells: DataFrame, sums: DataFrame, two: DataFrame, top: Top) -> DataFrame:
-    """block, bucket and values: log10 of the probability of each run, as floats,
-    then the training count of each word, in the order of the block's keys."""
+    """block, bucket, values, counts: log10 of the probability of each run, and the
+    training count of each word, in the order of the block's keys."""
     spark = cells.sparkSession
     empty = {"block": F.lit(None).cast("long"), "keys": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary"), "nodes": F.lit(None).cast("array<struct<node: bigint, kt: double, w: double>>")}
 
@@ -456,16 +465,16 @@ def answers(cells: DataFrame, sums: DataFrame, two: DataFrame, top: Top) -> Data
                     runs_ = keys < WORD
                     found = [np.concatenate([x[k] for x in nodes]) if nodes else np.zeros(0, np.int64 if k == 0 else float) for k in range(3)]
                     order = np.argsort(found[0])
-                    scores = run_scores(keys[runs_], counts[runs_], tuple(x[order] for x in found), top).astype(np.float32)
+                    scores = run_scores(keys[runs_], counts[runs_], tuple(x[order] for x in found), top)
                     nodes = []
                 else:
                     place = np.searchsorted(keys, own)  # every key that is asked for is there
                     n = int(np.searchsorted(own, WORD))
-                    out.append((blocks_[i], bucket, scores[place[:n]].tobytes() + pack(counts[place[n:]])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "values"])
+                    out.append((blocks_[i], bucket, pack_floats(scores[place[:n]]), pack(counts[place[n:]])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "bucket", "values", "counts"])
 
     own = parts.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
-    return own.mapInArrow(tidy(rows), "block long, bucket int, values binary")
+    return own.mapInArrow(tidy(rows), "block long, bucket int, values binary, counts binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
@@ -483,9 +492,7 @@ def scored(cells: DataFrame, replies: DataFrame, buckets: int, tokens: int, kind
         score, count = np.zeros(n_runs, np.float32), np.zeros(len(keys) - n_runs, np.int64)
         for bucket, own in dealt(keys, buckets):
             n = int(np.searchsorted(own, n_runs))
-            cell = values[bucket]
-            score[own[:n]] = np.frombuffer(cell, np.float32, n)
-            count[own[n:] - n_runs] = unpack(cell[4 * n :], np.int64)
+            score[own[:n]], count[own[n:] - n_runs] = unpack_floats(values[bucket][0]), unpack(values[bucket][1], np.int64)
         total, places = np.zeros(len(offs) - 1), Places(keys[:n_runs])
         for a, b, own in runs(text, offs):
             i, j = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b - 1, "right")
@@ -514,7 +521,7 @@ def scored(cells: DataFrame, replies: DataFrame, buckets: int, tokens: int, kind
                 if batch.column("bucket")[i].as_py() == TEXTS:
                     text = batch, i
                 else:
-                    values[batch.column("bucket")[i].as_py()] = batch.column("values")[i].as_py()
+                    values[batch.column("bucket")[i].as_py()] = batch.column("values")[i].as_py(), batch.column("counts")[i].as_py()
             batch, i = text
             yield pa.RecordBatch.from_pydict(texts(batch.column("text")[i].as_py(), batch.column("doc_ids")[i].as_py(), batch.column("held")[i].as_py(), values))
 

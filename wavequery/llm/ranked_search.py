@@ -17,7 +17,7 @@ are what a document gains from a term, before the query's own weight of it.
    each list it wasn't met in) against it leaves the candidates.
 3. The candidates' exact scores are looked up in the forward index.
 
-Queries are the stated set: they are taken in blocks of at most ``TERMS``
+Queries are the stated set: they are dealt to blocks of about ``TERMS``
 (query, term) rows (or one query), which are broadcast; documents, postings and
 candidates are shuffled, or broadcast behind a count.  Terms are told apart by
 64-bit hashes.  All numbers but the weights' logarithm are integers.
