@@ -158,7 +158,7 @@ def repeated(df: DataFrame, make, fields: list[tuple[str, str]], distinct: str |
     kinds = {"long": np.int64, "int": np.int32}
     dtype = np.dtype([(name, kinds[kind]) for name, kind in fields])
     key, n = fields[0][0], partitions(df.sparkSession)
-    buckets = 2 * n
+    buckets = 4 * n  # a bucket is sorted at once
 
     def order(rows):
         rows = rows[np.lexsort((rows[distinct], rows[key])) if distinct else np.argsort(rows[key], kind="stable")]
