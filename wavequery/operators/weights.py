@@ -19,8 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Weights of 2**k equal values are drawn at once, for k up to this.
 AT_ONCE = 12
 
-#: Weights that are in memory at a time.
-CELLS = 1 << 20
+#: Weights that are in memory at a time: what fits a core's cache.
+CELLS = 1 << 17
 
 
 def cumulative(mean: float) -> tuple[int, np.ndarray]:
@@ -30,30 +30,55 @@ def cumulative(mean: float) -> tuple[int, np.ndarray]:
     return low, np.cumsum(np.exp(x * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in x.tolist()])))
 
 
-def uniform(seeds: np.ndarray, replicates: int) -> np.ndarray:
-    """A number in [0, 1) for each seed and replicate: 53 bits of a mixed counter."""
+def bits(seeds: np.ndarray, replicates: int) -> np.ndarray:
+    """64 bits for each seed and replicate: a mixed counter."""
     h = seeds[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(30)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
+    return h
+
+
+def uniform(h: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) of the first 53 bits."""
     return (h >> np.uint64(11)) * 2.0**-53
 
 
+#: First bits of a number that are looked up.
+LOOKED_UP = 16
+
+
+def lookup(low: int, table: np.ndarray) -> np.ndarray:
+    """For all first bits the Poisson number that they decide, or -1 where it
+    depends on the bits behind them."""
+    first = np.arange(1 << LOOKED_UP, dtype=np.uint64) << np.uint64(64 - LOOKED_UP)
+    ends = [np.searchsorted(table, uniform(x), "right") + low for x in (first, first | np.uint64((1 << 64 - LOOKED_UP) - 1))]
+    return np.where(ends[0] == ends[1], ends[0], -1).astype(np.int16)
+
+
+def poisson(h: np.ndarray, low: int, table: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The Poisson numbers of random bits: mostly by their first bits, those that
+    these don't decide by search."""
+    x = known[(h >> np.uint64(64 - LOOKED_UP)).view(np.int64)]
+    open_ = x < 0
+    x[open_] = np.searchsorted(table, uniform(h[open_]), "right") + low
+    return x.astype(np.float64)
+
+
 def weigh(replicates: int):
     """(g, value, k, seed), sorted by g, to the sums of weights, and of weighted
     values, of each group and replicate, BLOCK replicates a row."""
-    tables = [cumulative(2.0**k) for k in range(AT_ONCE + 1)]
+    tables = [(*t, lookup(*t)) for t in (cumulative(2.0**k) for k in range(AT_ONCE + 1))]
 
     def sums(value, k, seed):
         w, wv, step = np.zeros(replicates), np.zeros(replicates), max(1, CELLS // replicates)
         for each in np.unique(k).tolist():
-            low, table = tables[each]
             at = np.flatnonzero(k == each)
             for i in range(0, len(at), step):
                 own = at[i : i + step]
-                x = (np.searchsorted(table, uniform(seed[own], replicates), "right") + low).astype(np.float64)
+                x = poisson(bits(seed[own], replicates), *tables[each])
                 w += x.sum(0)
                 wv += value[own] @ x
         return w, wv
