@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_core import greedy, lcs, scores
 from wavequery.functions import intervals
-from wavequery.operators import aggregate, multinomial, sweep
+from wavequery.operators import aggregate, evaluators, multinomial, sweep, weights
 
 
 # ------------------------------------------------------------------ medians
@@ -120,3 +120,39 @@ def test_five_thousand_events_take_seconds(spark):
     began = time.process_time()
     n = intervals.common_length(a, b)
     assert time.process_time() - began < 1 and 0 < n < 5000
+
+
+# -------------------------------------------------------------- equal answers
+def test_equal_answers_are_scored_once(spark):
+    """The counted scores are those of all rows, and fewer rows are parsed."""
+    df = spark.range(600).select("id", F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.concat(F.lit("Timestamp: 01:0"), F.col("id") % 5).alias("response"), F.lit("01:02").alias("needle_timestamp"), F.lit("rain").alias("gt_sound"))
+    got = evaluators.counted_scores(df, "anih")
+    assert got.count() == 10 * len(evaluators.METRICS["anih"])
+    want = aggregate.summarise(evaluators.long_scores(evaluators.score_anih(df), "anih", "id"))
+    assert sorted(aggregate.summarise(got).collect()) == sorted(want.collect())
+
+
+def test_short_timelines_need_no_python(spark):
+    event = "array<struct<event_type:string,start:string,end:string,overlaps:string>>"
+    line = "1. Event: rain, Start: 00:01, End: 00:09"
+    rows = [(i, "\n".join([line] * n), [("rain", "00:01", "00:09", "")] * n) for i, n in enumerate([0, 1, 62, 63, 70])]
+    df = spark.createDataFrame(rows, f"i int, response string, true_events {event}")
+    short = evaluators._score_soundscape(df.where("i < 3"), True)
+    assert "ArrowEvalPython" not in short._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["event_f1"] for r in evaluators.score_soundscape(df).collect()}
+    assert got == {0: 0.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_looked_up_weights_are_those_that_are_searched():
+    seeds = np.random.default_rng(4).integers(0, 1 << 63, 7, dtype=np.uint64)
+    for k in (0, 3, 12):
+        low, table = weights.cumulative(2.0**k)
+        h = weights.bits(seeds, 3000)
+        assert (weights.poisson(h, low, table, weights.lookup(low, table)) == np.searchsorted(table, weights.uniform(h), "right") + low).all()
+
+
+def test_poisson_bootstrap_reads_scores_once(spark, monkeypatch):
+    kept, real = [], aggregate.keep
+    monkeypatch.setattr(aggregate, "keep", lambda df, name: kept.append(name) or real(df, name))
+    assert aggregate.poisson_bootstrap(scores(spark, [0.0, 1.0, 1.0]), 200).count() == 1
+    assert kept == ["equal"]
