@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_core import greedy, lcs, scores
-from wavequery.functions import intervals
+from wavequery.functions import intervals, text
 from wavequery.operators import aggregate, evaluators, multinomial, sweep, weights
 
 
@@ -143,6 +143,22 @@ def test_short_timelines_need_no_python(spark):
     assert got == {0: 0.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
 
 
+def test_a_pattern_runs_once_a_line(spark):
+    lines = ["1. Event: $1 , Start: 00:10, End: \\0", "\u00a0noise 2) dog; 00:20; 00:30", "\r", "3: event: a, start 1, end 2, overlaps: b, c", "EVENT x, Start: 5", "4. x, Event: y, Start: 1, End: 2,Overlaps: "]
+    df = spark.createDataFrame([("\n".join(lines),), (None,), ("",)], "r string").select(text.soundscape_answer(F.col("r")).alias("e"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Start[:") == 1 and plan.count(r"[\.\:\)]") == 1
+    want = [("$1", "00:10", "\\0", ""), ("dog", "00:20", "00:30", ""), ("a", "1", "2", "b, c"), ("y", "1", "2", "")]
+    assert [[tuple(e) for e in r["e"]] for r in df.collect()] == [want, [], []]
+
+
+def test_subsequences_of_nulls(spark):
+    """NULL is equal to nothing; what is left may be all of the other side."""
+    rows = [(["a", None, "b"], ["a", "b"], 2), (["a", None], ["a", None], 1), ([None], [None], 0), ([None], [], 0), (["b", "a"], ["a", "b"], 1)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, n int")
+    assert [r["n"] == r["x"] for r in df.select("n", intervals.lcs_length(F.col("a"), F.col("b"), True).alias("x")).collect()] == [True] * 5
+
+
 def test_looked_up_weights_are_those_that_are_searched():
     seeds = np.random.default_rng(4).integers(0, 1 << 63, 7, dtype=np.uint64)
     for k in (0, 3, 12):
