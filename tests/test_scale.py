@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_core import greedy, lcs, scores
 from wavequery.functions import intervals, text
-from wavequery.operators import aggregate, evaluators, multinomial, sweep, weights
+from wavequery.operators import aggregate, evaluators, multinomial, report, sweep, weights
 
 
 # ------------------------------------------------------------------ medians
@@ -159,6 +159,13 @@ def test_subsequences_of_nulls(spark):
     assert [r["n"] == r["x"] for r in df.select("n", intervals.lcs_length(F.col("a"), F.col("b"), True).alias("x")).collect()] == [True] * 5
 
 
+def test_reports_read_the_summary_alone(spark):
+    grid = report.dense_grid(aggregate.summarise(scores(spark, [0.0, 1.0, 1.0])))
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    files = {f.rsplit("/", 2)[-2].split("-")[0] for f in grid.inputFiles()}
+    assert files == {"summary"} and "percentile" not in plan and len(grid.collect()) == 1
+
+
 def test_looked_up_weights_are_those_that_are_searched():
     seeds = np.random.default_rng(4).integers(0, 1 << 63, 7, dtype=np.uint64)
     for k in (0, 3, 12):
